@@ -51,7 +51,7 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
         pairs = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(let(let(pairs, starts), covered))
 
-    hashes = F.transform(words, F.xxhash64)
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
     windows = let(hashes, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (window - 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(window)))))
     return F.when(F.size(words) <= window, 0).otherwise(let(windows, count)).cast("long")
 
@@ -62,7 +62,7 @@ def measure(docs: DataFrame) -> DataFrame:
     A null text measures 0 in all. Lines are what `\\n` splits; those without a word don't count. A column of that
     name in docs is replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.transform(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), F.xxhash64)
+    lines = F.transform(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x))
     both = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
     counted = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     chars = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long")

@@ -40,13 +40,13 @@ WITH sized AS (
   FROM documents),
 each AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight,
-                 row_number() OVER (ORDER BY source ASC NULLS LAST) AS at FROM each),
+                 row_number() OVER (ORDER BY source ASC NULLS LAST) AS pos FROM each),
 full_at AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS full_at FROM named),
 level AS (SELECT *, ((SELECT sum(source_size) FROM each)::DOUBLE * 1.5::DOUBLE
-    - coalesce(sum(cap) OVER (ORDER BY full_at, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
-    / sum(weight) OVER (ORDER BY full_at, at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM full_at),
+    - coalesce(sum(cap) OVER (ORDER BY full_at, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY full_at, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM full_at),
 targets AS (SELECT source, source_size, CASE WHEN full_at <= level OR x IS NULL THEN cap ELSE weight * x END AS target
-  FROM level, (SELECT min_by(level, (full_at, at)) FILTER (WHERE full_at > level) AS x FROM level)),
+  FROM level, (SELECT min_by(level, (full_at, pos)) FILTER (WHERE full_at > level) AS x FROM level)),
 timed AS (SELECT doc_id, size, shuffle_key, source_size, target,
     sum(size) OVER (PARTITION BY s.source ORDER BY shuffle_key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
@@ -64,7 +64,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesc
 windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win FROM d, unnest(range(1, len(words) - 6)) AS r(i) WHERE len(words) >= 8),
 found AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows),
 repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM found, range(0, 8) AS r(k) WHERE n > 1 GROUP BY doc_id),
-lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
