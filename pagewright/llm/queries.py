@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing, quality_rules, substring_dedup, token_output, url_filters
+from . import chat_format, decontamination, mixing, ngram_join, quality_rules, substring_dedup, token_output, url_filters
 from .common import table
 
 
@@ -119,3 +119,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_substring_dedup"] = op5_substring_dedup
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_ngram_join"] = op4_ngram_join
