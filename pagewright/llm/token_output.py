@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -40,10 +42,12 @@ CHUNK_BYTES = 2_000_000
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 512, 2_048, 65_536
 #: A worker's cache of encoded words; a bound on memory.
 CACHE_WORDS = 400_000
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)\Z")
 
 
 class Encoder:
-    """Encodes whole texts with a tokenizer, word by word through a cache.
+    """Encodes whole texts with a tokenizer, word by word through a cache. Distinct words are found per
+    batch, so the work in Python is by distinct word, and texts are put together from them by array operations.
 
     Words are what ASCII white space separates. The tokenizer must drop white space and never join what it separates
     (as the default one does); `whole=True` is for any other and encodes each text at once."""
@@ -52,40 +56,72 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.words, self.cores = Tokenizer.from_file(path), whole, {}, {}
+        self.tokenizer, self.whole, self.words, self.cores = Tokenizer.from_file(path), whole, {}, {"": b""}
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a word
+        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _core_ids(self, cores: list[str]) -> list[bytes]:
+        """The ids of cores. Plain ones are encoded as one text and parted behind the ids that end words; if that
+        gives another number of parts, one by one."""
+        if not all(map(_PLAIN.match, cores)):
+            plain = [c for c in cores if _PLAIN.match(c) and c[-1] not in ".,"]
+            odd = [c for c in cores if not _PLAIN.match(c) or c[-1] in ".,"]
+            found = dict(zip(plain + odd, self._core_ids(plain) + self._ids(odd), strict=True))
+            return [found[c] for c in cores]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.nonzero(self.ends[ids])[0] + 1
+        if len(cuts) != len(cores) or len(cuts) and cuts[-1] != len(ids):
+            return self._ids(cores)
+        data, at = ids.tobytes(), (np.concatenate([[0], cuts]) * self.kind.itemsize).tolist()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     @staticmethod
-    def _split(word: bytes) -> tuple[str, str]:
+    def _split(word: str) -> tuple[str, str]:
         """(core, mark): a plain Latin word, in lower case if ASCII, and a full stop or comma behind it, which this
         tokenizer always takes apart; other words whole."""
-        s = word.decode()
-        core, mark = (s[:-1], s[-1]) if s[-1] in ".," else (s, "")
-        if not core.isalpha() or max(core) >= "ɐ":
-            return s, ""
+        if not (found := _PLAIN.match(word)):
+            return word, ""
+        core, mark = found.groups()
         return (core.lower() if core.isascii() else core), mark
 
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The ids of each text, as bytes."""
-        if self.whole:
-            yield from self._ids([(t or b"").decode() for t in texts])
-            return
-        chunks = [t.split() if t else [] for t in texts]
-        new = {w: self._split(w) for w in set().union(*chunks) if w not in self.words}
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, from the cache or the tokenizer."""
+        get = self.words.get
+        out = list(map(get, words))
+        new = {i: self._split(words[i]) for i, x in enumerate(out) if x is None}
         wanted = [c for c in {x for pair in new.values() for x in pair if x} if c not in self.cores]
-        self.cores.update(zip(wanted, self._ids(wanted), strict=True))
-        self.words.update((w, self.cores[c] + (self.cores[m] if m else b"")) for w, (c, m) in new.items())
-        for c in chunks:
-            yield b"".join(map(self.words.__getitem__, c))
-        if len(self.words) > CACHE_WORDS:
-            for w in new:
-                del self.words[w]
+        self.cores.update(zip(wanted, self._core_ids(wanted), strict=True))
+        for i, (core, mark) in new.items():
+            out[i] = self.cores[core] + (self.cores[mark] if mark else b"")
+            if len(self.words) < CACHE_WORDS:
+                self.words[words[i]] = out[i]
         if len(self.cores) > CACHE_WORDS:
             for w in wanted:
                 del self.cores[w]
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null texts are empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.whole:
+            return [np.frombuffer(x, self.kind) for x in self._ids(texts.to_pylist())]
+        split = pc.ascii_split_whitespace(texts)
+        flat = pc.dictionary_encode(split.flatten())
+        ids = self._words(flat.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // self.kind.itemsize
+        starts, every = np.cumsum(lengths, dtype=np.int32) - lengths, np.frombuffer(b"".join(ids), self.kind)
+        word = flat.indices.to_numpy()
+        n = lengths[word]
+        ends = np.cumsum(n, dtype=np.int32)
+        place = np.repeat(starts[word] - ends + n, n)
+        place += np.arange(len(place), dtype=np.int32)
+        whole = every[place]
+        cuts = np.concatenate([np.zeros(1, np.int32), ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [whole[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -108,10 +144,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, whole: bool = False) -> by
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, whole)
         for b in small_batches(batches, 256):
-            found = [x[: SAMPLE_IDS * e.kind.itemsize] for x in e.encode(b.column(0).to_pylist())]
+            found = [x[:SAMPLE_IDS].tobytes() for x in e.encode(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["ids"])
 
-    rows = docs.filter(F.col("doc_id").isin(ids)).select(F.col("text").cast("binary").alias("text")).mapInArrow(encode, "ids binary")
+    rows = docs.filter(F.col("doc_id").isin(ids)).select("text").mapInArrow(encode, "ids binary")
     samples = sorted(bytes(r[0]) for r in rows.limit(4 * SAMPLE_DOCS).collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -127,7 +163,7 @@ def dict_hash(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()[:16]
 
 
-def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, whole: bool = False) -> str:
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, whole: bool = False, level: int = 3) -> str:
     """Writes the ids of all texts, each with end_id behind, and returns the path."""
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark)}/tokens/{uuid.uuid4().hex}"
@@ -141,9 +177,9 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, whole)
-        end, compress = np.array([end_id], e.kind).tobytes(), zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True, **_dictionary(data)).compress
-        for b in small_batches(batches):
-            ids = [x + end for x in e.encode(b.column("text").to_pylist())]
+        end, compress = np.array([end_id], e.kind).tobytes(), zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True, **_dictionary(data)).compress
+        for b in small_batches(batches, 2048):
+            ids = [x.tobytes() + end for x in e.encode(b.column("text"))]
             at = b.column("doc_id")
             shard = np.where(at.is_null(), 0, np.searchsorted(borders, at.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), at, pa.array([len(x) // e.kind.itemsize for x in ids], pa.int32()), pa.array([compress(x) for x in ids], pa.binary())], names=["shard", "doc_id", "n_tokens", "frame"])
@@ -167,7 +203,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
         cols = [pa.array([shard], pa.int32()), pa.array([chunk], pa.int32()), pa.array([name]), pa.array([sum(counts)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([offsets], pa.list_(pa.int64())), pa.array([b"".join(frames)], pa.binary())]
         return pa.RecordBatch.from_arrays(cols, names=["shard", "chunk", "dict_hash", "n_ids", "doc_ids", "n_tokens", "offsets", "payload"])
 
-    encoded = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(encode, "shard int, doc_id long, n_tokens int, frame binary")
+    encoded = docs.mapInArrow(encode, "shard int, doc_id long, n_tokens int, frame binary")
     dealt = encoded.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "frame")
     dealt.mapInArrow(pack, "shard int, chunk int, dict_hash string, n_ids long, doc_ids array<long>, n_tokens array<int>, offsets array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/shards")
     return path
