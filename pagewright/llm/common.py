@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +50,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it again, so it is computed once
     and survives lost executors."""
     spark = df.sparkSession
+    release(spark)
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
-    schema = df.schema
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -70,9 +69,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class WordHashes(dict):
-    """bytes -> 64-bit hash, with a bounded cache."""
+    """word -> 64-bit hash of its UTF-8 bytes, with a bounded cache."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(self) < CACHE_WORDS:
             self[word] = h
@@ -82,16 +81,21 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
-def hashed_words(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hashes of all texts' words, one after another, and the number of words of each text.
 
-    bytes.split() splits at exactly the bytes 0x20 and 0x09-0x0D."""
-    counts, parts = np.empty(len(texts), np.int64), []
-    for i, t in enumerate(texts):
-        words = (t.lower() if lower else t).split() if t else []
-        counts[i] = len(words)
-        parts.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), counts
+    Arrow splits at exactly the characters U+0020 and U+0009-U+000D; each distinct word of the batch is hashed once."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = pc.dictionary_encode(split.flatten())
+    words = flat.dictionary
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()
+    known = np.fromiter(map(_HASHES.__getitem__, (pc.ascii_lower(words) if lower else words).to_pylist()), np.uint64, len(words))
+    at = flat.indices.to_numpy()
+    cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
+    if empty < 0:
+        return known[at], np.diff(cuts)
+    full = at != empty
+    return known[at[full]], np.diff(np.concatenate([[0], np.cumsum(full)])[cuts])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

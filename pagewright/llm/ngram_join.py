@@ -41,7 +41,7 @@ _A = _R.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 1 << 63, HASHES, np.uint64)
 
 
-def shingles(texts: list[bytes | None], k: int = K) -> list[np.ndarray]:
+def shingles(texts: pa.Array, k: int = K) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     h, counts = hashed_words(texts)
     ends, out = np.cumsum(counts), []
@@ -123,7 +123,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, set_a, set_b, n (the identity of the shingle set), bands."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            sets = shingles(b.column("text").to_pylist(), k)
+            sets = shingles(b.column("text"), k)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [[]] * len(sets)
             for i, keys in zip(full, band_keys(signatures([sets[i] for i in full])) if full else [], strict=True):
@@ -152,7 +152,7 @@ def _members(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, blo
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 256):
-            sets = shingles(b.column("text").to_pylist(), k)
+            sets = shingles(b.column("text"), k)
             keep = [i for i, (s, x) in enumerate(zip(sets, b.column("set_a").to_pylist(), strict=True)) if len(s) and int(s.sum(dtype=np.uint64).view(np.int64)) == x]
             if keep:
                 own = [sets[i] for i in keep]
@@ -225,7 +225,7 @@ def join(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, tolerance: f
     """doc_id, class_id, copy_id, n_links: one row for each row of docs. class_id is the least doc_id of the documents
     that links connect, copy_id that of the documents with an equal shingle set, n_links the number of other documents
     that this one is similar to."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(_sketches(docs, k))
     same = ["set_a", "set_b", "n"]
     classes = sketches.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"))

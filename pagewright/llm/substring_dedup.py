@@ -47,14 +47,24 @@ def anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]
     return least, at + np.arange(n)
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the base and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, _INVERSE)):
+            _POWERS[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, base)]))
+    return _POWERS
+
+
 def segments(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, number of windows, hash of the segment's words) of each run of windows with one anchor."""
     least, at = anchors(h, window, k)
     starts = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1])
     sizes = np.diff(np.append(starts, len(least)))
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, _BASE)]))
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, _INVERSE)]))
+    power, inverse = _powers(len(h))
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])])
     whole = (prefix[starts + sizes + window - 1] - prefix[starts]) * inverse[starts]
     return least[starts], starts, sizes, mixed(whole + sizes.astype(np.uint64))
 
@@ -110,14 +120,14 @@ class Automaton:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def _anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
     """(anchor, doc_id), distinct within a row of docs."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            h, counts = hashed_words(b.column("text").to_pylist())
+            h, counts = hashed_words(b.column("text"))
             ends = np.cumsum(counts)
             found = [np.unique(anchors(h[e - n : e], window, k)[0]) if n >= window else np.empty(0, np.uint64) for e, n in zip(ends, counts, strict=True)]
             ids = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in found])
@@ -129,18 +139,24 @@ def _anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
 def _occurrences(docs: DataFrame, wanted: DataFrame, window: int, k: int) -> DataFrame:
     """(doc_id, text_key, pos, anchor, segment, words): the segments of each document whose anchors are wanted of it."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 256):
-            cols: list[list] = [[], [], [], [], [], []]
-            for i, key, t, want in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_key", "text", "anchors")), strict=True):
-                h, _ = hashed_words([t])
-                if len(h) < window:
+        for b in small_batches(batches):
+            flat, counts = hashed_words(b.column("text"))
+            parts, words, lists = [], [], b.column("anchors")
+            want, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for row, (n, end, i, key) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), strict=True)):
+                if n < window:
                     continue
-                least, starts, sizes, whole = segments(h, window, k)
-                keep = np.isin(least.view(np.int64), np.array(want, np.int64))
-                ws = t.split()
-                places = list(zip(starts[keep].tolist(), sizes[keep].tolist(), strict=True))
-                for col, add in zip(cols, ([i] * len(places), [key] * len(places), [s for s, _ in places], least[keep].view(np.int64).tolist(), whole[keep].view(np.int64).tolist(), [b" ".join(ws[s : s + n + window - 1]) for s, n in places]), strict=True):
-                    col += add
+                least, starts, sizes, whole = segments(flat[end - n : end], window, k)
+                keep = np.nonzero(np.isin(least.view(np.int64), want[cuts[row] : cuts[row + 1]]))[0]
+                starts = starts[keep]
+                same = np.empty((2, len(keep)), np.int64)
+                same[0], same[1] = i, key
+                parts.append((*same, starts, least[keep].view(np.int64), whole[keep].view(np.int64)))
+                ws = b.column("text")[row].as_py().encode().split()
+                places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)])
+                line = b" ".join(ws)
+                words += [line[x:y] for x, y in zip(places[starts].tolist(), (places[starts + sizes[keep] + window - 1] - 1).tolist(), strict=True)]
+            cols = [*map(np.concatenate, zip(*parts, strict=True)), words] if parts else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "text_key", "pos", "anchor", "segment", "words"])
 
@@ -196,7 +212,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             n, removed, kept = [], [], []
-            for t, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
+            for t, starts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("starts").to_pylist(), strict=True):
                 ws = t.split() if t else []
                 n.append(len(ws))
                 if starts:
