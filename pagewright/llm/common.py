@@ -81,8 +81,9 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
-def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of all texts' words, one after another, and the number of words of each text.
+def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the distinct words, the place of each word of all texts among them, and the number of
+    words of each text.
 
     Arrow splits at exactly the characters U+0020 and U+0009-U+000D; each distinct word of the batch is hashed once."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
@@ -93,9 +94,15 @@ def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     at = flat.indices.to_numpy()
     cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
     if empty < 0:
-        return known[at], np.diff(cuts)
+        return known, at, np.diff(cuts)
     full = at != empty
-    return known[at[full]], np.diff(np.concatenate([[0], np.cumsum(full)])[cuts])
+    return known, at[full], np.diff(np.concatenate([[0], np.cumsum(full)])[cuts])
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all texts' words, one after another, and the number of words of each text."""
+    known, at, counts = coded_words(texts)
+    return known[at], counts
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -1,8 +1,10 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 A document's features are the hashed words it has: each word's core (A-Z lower-cased, without punctuation around it)
-and, by itself, the punctuation. All grades share one weight for each feature; ordered thresholds cut the score into
-grades: P(grade <= k) = sigmoid(threshold[k] - score). Out come the expected grade and tail probabilities.
+and, by itself, the punctuation; and, as words too, tenths of four shares: words in capitals, words equal to the word
+before, lines equal to an earlier line, words that end in punctuation. All grades share one sparse set of weights;
+ordered thresholds cut the score into grades: P(grade <= k) = sigmoid(threshold[k] - score). Out come the expected
+grade and tail probabilities.
 
 Training takes at most TRAIN_ROWS labelled documents (those with the smallest md5 of doc_id), so that what the driver
 fits is bounded; scoring is one pass over all documents without a shuffle, with the weights (BUCKETS floats) broadcast.
@@ -26,13 +28,17 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 BUCKETS = 1 << 20
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 12_000
 #: Most features of one training document that are used: bounds the driver's memory at TRAIN_ROWS times this.
-TRAIN_FEATURES = 2_000
+TRAIN_FEATURES = 4_000
 GRADES = 3
-ROUNDS = 150
-L2 = 2e-4
+ROUNDS = 400
+RATE = 0.1
+#: Weight of the absolute values of weights, and the least training documents that a feature must be in.
+L1 = 2e-4
+LEAST_DOCS = 5
 CACHE_WORDS = 300_000
+_MARKED = re.compile(rb"[!-/:-@\[-`{-~](?=[\x20\x09-\x0D]|$)")
 _EDGE = re.compile(rb"^([!-/:-@\[-`{-~]*)(.*?)([!-/:-@\[-`{-~]*)$", re.DOTALL)
 
 
@@ -55,8 +61,18 @@ def features(text: bytes | None) -> np.ndarray:
     """The distinct buckets of a text."""
     if not text:
         return np.empty(0, np.int32)
-    pairs = [_CACHE[w] for w in set(text.split())]
-    found = np.unique(np.array(pairs, np.int32))
+    words = text.split()
+    own, n = set(words), max(1, len(words))
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    shares = (
+        sum(len(w) > 1 and w.isupper() for w in own) / max(1, len(own)),
+        sum(map(bytes.__eq__, words, words[1:])) / n,
+        1 - len(set(lines)) / max(1, len(lines)),
+        len(_MARKED.findall(text)) / n,
+    )
+    tenths = [xxhash.xxh64_intdigest(b"s%d:%d" % (i, min(9, int(10 * x)))) % BUCKETS for i, x in enumerate(shares)]
+    found = np.array([x for w in own for x in _CACHE[w]] + tenths, np.int32)
+    found = np.unique(found)
     return found[found >= 0]
 
 
@@ -78,43 +94,39 @@ class OrdinalModel:
 
     def score(self, text: bytes | None) -> float:
         f = features(text)
-        return float(self.weights[f].sum() / np.sqrt(len(f))) if len(f) else 0.0
+        return float(self.weights[f].sum())
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k from 1 on, a column each."""
         return 1 - _sigmoid(self.thresholds[None, :] - scores[:, None])
 
 
-def fit(indices: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, rounds: int = ROUNDS, l2: float = L2) -> OrdinalModel:
-    """Full-batch gradient steps, scaled by feature (AdaGrad), on the mean log likelihood."""
+def fit(indices: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, rounds: int = ROUNDS, l1: float = L1, least_docs: int = LEAST_DOCS) -> OrdinalModel:
+    """Full-batch proximal gradient steps, scaled by feature, on the mean log likelihood with an L1 penalty: words that
+    say nothing keep no weight."""
     weights = np.zeros(BUCKETS, np.float32)
     if len(np.unique(grades)) < 2:
         return OrdinalModel(weights, np.full(n_grades - 1, -40.0), n_grades, len(grades))
-    sizes = np.array([len(i) for i in indices])
-    keep = sizes > 0
-    indices, grades, sizes = [i for i in indices if len(i)], grades[keep], sizes[keep]
-    flat, starts = np.concatenate(indices), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    n, at = len(grades), np.arange(len(grades))
+    flat, doc = np.concatenate(indices), np.repeat(at, [len(i) for i in indices])
+    known = np.bincount(flat, minlength=BUCKETS) >= least_docs
+    doc, flat = doc[known[flat]], flat[known[flat]]
     used, flat = np.unique(flat, return_inverse=True)
-    scale = np.repeat(1 / np.sqrt(sizes), sizes)
     w, pace = np.zeros(len(used)), np.full(len(used), 1e-8)
-    share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / len(grades), 0.01, 0.99)
-    cuts = np.log(share / (1 - share))
-    for k in range(1, len(cuts)):
-        cuts[k] = max(cuts[k], cuts[k - 1] + 0.1)
-    n, at = len(grades), np.arange(len(grades))
-    for r in range(rounds):
-        s = np.add.reduceat(w[flat] * scale, starts)
+    share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 0.01, 0.99)
+    cuts = np.maximum.accumulate(np.log(share / (1 - share)))
+    for _ in range(rounds):
+        s = np.bincount(doc, w[flat], n)
         below = np.column_stack([np.zeros(n), _sigmoid(cuts[None, :] - s[:, None]), np.ones(n)])
         lo, hi = below[at, grades], below[at, grades + 1]
         slope_lo, slope_hi, p = lo * (1 - lo), hi * (1 - hi), np.maximum(hi - lo, 1e-9)
-        by_score = (slope_hi - slope_lo) / p / n  # of the negative log likelihood
-        grad = np.bincount(flat, np.repeat(by_score, sizes) * scale, len(used)) + l2 * w / len(used) * 1e3
+        grad = np.bincount(flat, ((slope_hi - slope_lo) / p / n)[doc], len(used))
         pace += grad**2
-        w -= 0.5 * grad / np.sqrt(pace)
-        by_cut = np.zeros(len(cuts))
-        for k in range(len(cuts)):
-            by_cut[k] = (slope_lo[grades == k + 1] / p[grades == k + 1]).sum() - (slope_hi[grades == k] / p[grades == k]).sum()
-        cuts = np.maximum.accumulate(cuts - 0.5 * by_cut / n)
+        step = RATE / np.sqrt(pace)
+        w -= step * grad
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        by_cut = [(slope_lo[grades == k + 1] / p[grades == k + 1]).sum() - (slope_hi[grades == k] / p[grades == k]).sum() for k in range(len(cuts))]
+        cuts = np.maximum.accumulate(cuts - 0.5 * np.array(by_cut) / n)
     weights[used] = w
     return OrdinalModel(weights, cuts, n_grades, n)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing, ngram_join, quality_rules, substring_dedup, token_output, url_filters
+from . import chat_format, decontamination, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_output, url_filters
 from .common import table
 
 
@@ -126,3 +126,16 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_ngram_join"] = op4_ngram_join
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rated = labels.select("doc_id", quality_classifier.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality_classifier.score(docs, quality_classifier.train(docs, rated))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op6_quality_classifier": op6_quality_classifier, "op10_lm_scoring": op10_lm_scoring}
