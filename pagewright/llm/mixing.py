@@ -108,9 +108,10 @@ def take(docs: DataFrame, **options) -> DataFrame:
     return timed.select("doc_id", "size", "source_size", "target", "mix_source", "shuffle_key", "copies", "cut_slot", "edge", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
-def mix(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, partitions: int | None = None, ordered: bool = True, **options) -> DataFrame:
     """The mix itself: the taken copies with all columns of docs, in order of finish time (range-partitioned, sorted
-    within partitions). Columns mix_finish and mix_copy are added, in place of any of these names in docs.
+    within partitions) or, with ordered=False, without that last exchange of the texts. Columns mix_finish and mix_copy
+    are added, in place of any of these names in docs.
 
     Documents are found again by doc_id and number of words; repeated rows that agree in both are dealt alike."""
     docs = docs.drop("mix_finish", "mix_copy")
@@ -118,6 +119,8 @@ def mix(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     chosen = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.slice("copies", F.lit(1), F.col("times")).alias("_mix_copies"))
     out = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & (n_words(docs["text"]) == F.col("_mix_size")))
     out = out.withColumn("_mix", F.explode("_mix_copies")).select(*[docs[c] for c in docs.columns], F.col("_mix.finish").alias("mix_finish"), F.col("_mix.copy").alias("mix_copy"))
+    if not ordered:
+        return out
     order = ["mix_finish", "mix_copy", "doc_id"]
     out = out.repartitionByRange(partitions, *order) if partitions else out.repartitionByRange(*order)
     return out.sortWithinPartitions(*order)
