@@ -54,7 +54,16 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no later step reads, and lets shuffle files of finished steps go."""
+    for df in tables:
+        _forget(df.sparkSession, df.written_to)
+    release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, gram_hashes, hashed_words, materialize, mixed, small_batches
+from .common import discard, gram_hashes, grouped, hashed_words, materialize, mixed, small_batches
 
 WINDOW = 13
 ANCHOR = 5
@@ -35,16 +35,28 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
-def anchors(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of word hashes: its least k-gram hash, and that gram's place (the leftmost)."""
+def anchors(h: np.ndarray, window: int, k: int) -> np.ndarray:
+    """For each window of word hashes, its least k-gram hash."""
     g = gram_hashes(h, k)
-    n, w = len(h) - window + 1, window - k + 1
-    least, at = g[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, w):
-        less = g[j : j + n] < least
-        np.copyto(least, g[j : j + n], where=less)
-        at[less] = j
-    return least, at + np.arange(n)
+    n = max(0, len(h) - window + 1)
+    least = g[:n].copy()
+    for j in range(1, window - k + 1):
+        np.minimum(least, g[j : j + n], out=least)
+    return least
+
+
+def anchor_places(h: np.ndarray, least: np.ndarray, window: int, k: int) -> np.ndarray:
+    """Where each window's anchor stands (the leftmost of equal ones)."""
+    g, at = gram_hashes(h, k), np.arange(len(least))
+    for j in range(window - k, -1, -1):
+        np.copyto(at, np.arange(j, j + len(least)), where=g[j : j + len(least)] == least)
+    return at
+
+
+def whole_windows(counts: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the n windows over texts laid end to end: the text that each starts in, and whether it ends there too."""
+    doc = np.repeat(np.arange(len(counts)), counts)[:n]
+    return doc, np.arange(n) + window <= np.cumsum(counts)[doc]
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -58,15 +70,22 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def segments(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows, hash of the segment's words) of each run of windows with one anchor."""
-    least, at = anchors(h, window, k)
-    starts = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1])
-    sizes = np.diff(np.append(starts, len(least)))
+def segments(h: np.ndarray, counts: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor, first window, number of windows, hash of the segment's words) of each run of windows with one
+    anchor, over texts laid end to end."""
+    least = anchors(h, window, k)
+    doc, whole = whole_windows(counts, len(least), window)
+    at = anchor_places(h, least, window, k)
+    own = np.nonzero(whole)[0]
+    if not len(own):
+        return own, least[:0], own, own, least[:0]
+    new = np.concatenate([[True], (at[own[1:]] != at[own[:-1]]) | (doc[own[1:]] != doc[own[:-1]])])
+    first = np.nonzero(new)[0]
+    starts, sizes = own[first], np.diff(np.append(first, len(own)))
     power, inverse = _powers(len(h))
     prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])])
-    whole = (prefix[starts + sizes + window - 1] - prefix[starts]) * inverse[starts]
-    return least[starts], starts, sizes, mixed(whole + sizes.astype(np.uint64))
+    digest = (prefix[starts + sizes + window - 1] - prefix[starts]) * inverse[starts]
+    return doc[starts], least[starts], starts, sizes, mixed(digest + sizes.astype(np.uint64))
 
 
 class Automaton:
@@ -128,10 +147,14 @@ def _anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             h, counts = hashed_words(b.column("text"))
-            ends = np.cumsum(counts)
-            found = [np.unique(anchors(h[e - n : e], window, k)[0]) if n >= window else np.empty(0, np.uint64) for e, n in zip(ends, counts, strict=True)]
-            ids = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids, pa.int64())], names=["anchor", "doc_id"])
+            least = anchors(h, window, k)
+            doc, whole = whole_windows(counts, len(least), window)
+            doc, least = doc[whole], least[whole]
+            order = np.lexsort((least, doc))
+            doc, least = doc[order], least[order]
+            new = np.nonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]))[0] if len(doc) else order
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(ids[doc[new]], pa.int64())], names=["anchor", "doc_id"])
 
     return docs.mapInArrow(made, "anchor long, doc_id long")
 
@@ -140,23 +163,20 @@ def _occurrences(docs: DataFrame, wanted: DataFrame, window: int, k: int) -> Dat
     """(doc_id, text_key, pos, anchor, segment, words): the segments of each document whose anchors are wanted of it."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            flat, counts = hashed_words(b.column("text"))
-            parts, words, lists = [], [], b.column("anchors")
-            want, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for row, (n, end, i, key) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist(), b.column("doc_id").to_pylist(), b.column("text_key").to_pylist(), strict=True)):
-                if n < window:
-                    continue
-                least, starts, sizes, whole = segments(flat[end - n : end], window, k)
-                keep = np.nonzero(np.isin(least.view(np.int64), want[cuts[row] : cuts[row + 1]]))[0]
-                starts = starts[keep]
-                same = np.empty((2, len(keep)), np.int64)
-                same[0], same[1] = i, key
-                parts.append((*same, starts, least[keep].view(np.int64), whole[keep].view(np.int64)))
+            h, counts = hashed_words(b.column("text"))
+            doc, least, starts, sizes, digest = segments(h, counts, window, k)
+            # what one document shares, all that have it share
+            keep = np.isin(least.view(np.int64), np.unique(b.column("anchors").flatten().to_numpy()))
+            doc, least, starts, sizes, digest = doc[keep], least[keep], starts[keep], sizes[keep], digest[keep]
+            begins, words = np.cumsum(counts) - counts, []
+            rows, at = np.unique(doc, return_index=True)
+            for row, x, y in zip(rows.tolist(), at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
                 ws = b.column("text")[row].as_py().encode().split()
-                places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)])
-                line = b" ".join(ws)
-                words += [line[x:y] for x, y in zip(places[starts].tolist(), (places[starts + sizes[keep] + window - 1] - 1).tolist(), strict=True)]
-            cols = [*map(np.concatenate, zip(*parts, strict=True)), words] if parts else [[]] * 6
+                places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)])
+                line, own = b" ".join(ws), starts[x:y] - begins[row]
+                words += [line[i:j] for i, j in zip(places[own].tolist(), (places[own + sizes[x:y] + window - 1] - 1).tolist(), strict=True)]
+            ids, keys = (b.column(c).to_numpy(zero_copy_only=False)[doc] for c in ("doc_id", "text_key"))
+            cols = (ids, keys, starts - begins[doc], least.view(np.int64), digest.view(np.int64), words)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "text_key", "pos", "anchor", "segment", "words"])
 
@@ -196,17 +216,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     shared = materialize(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
     wanted = rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     found = materialize(_occurrences(docs, wanted, window, k))
+    discard(rows, shared)
     distinct = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("words").alias("words"))
     owners = _owners(distinct, window).filter(F.size("owners") > 0).withColumnsRenamed({"anchor": "a", "segment": "s"})
     own = found.select("doc_id", "text_key", "pos", "anchor", "segment").join(owners, (F.col("anchor") == F.col("a")) & (F.col("segment") == F.col("s")))
     own = own.filter(F.exists("owners", lambda x: x < F.col("doc_id")))
     starts = F.filter(F.transform("owners", lambda x, i: F.when(x < F.col("doc_id"), i + F.col("pos"))), lambda x: x.isNotNull())
-    return own.select("doc_id", "text_key", starts.alias("starts")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    spans = materialize(own.select("doc_id", "text_key", starts.alias("starts")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    del own, owners, distinct
+    discard(found)
+    return spans
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space): one row for each row of docs."""
-    spans = materialize(repeated_windows(docs, window, k))
+    spans = repeated_windows(docs, window, k)
     both = _texts(docs).alias("d").join(spans.alias("s"), (F.col("d.doc_id") == F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_key")), "left").select("d.doc_id", "d.text", "s.starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
