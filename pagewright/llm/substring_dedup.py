@@ -214,17 +214,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     docs = _texts(docs).filter("doc_id is not null")
     rows = materialize(_anchor_rows(docs, window, k))
     shared = materialize(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    wanted = rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    found = materialize(_occurrences(docs, wanted, window, k))
+    wanted = materialize(rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")))
     discard(rows, shared)
+    found = materialize(_occurrences(docs, wanted, window, k))
+    discard(wanted)
     distinct = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("words").alias("words"))
-    owners = _owners(distinct, window).filter(F.size("owners") > 0).withColumnsRenamed({"anchor": "a", "segment": "s"})
+    owners = materialize(_owners(distinct, window).withColumnsRenamed({"anchor": "a", "segment": "s"}))
     own = found.select("doc_id", "text_key", "pos", "anchor", "segment").join(owners, (F.col("anchor") == F.col("a")) & (F.col("segment") == F.col("s")))
     own = own.filter(F.exists("owners", lambda x: x < F.col("doc_id")))
     starts = F.filter(F.transform("owners", lambda x, i: F.when(x < F.col("doc_id"), i + F.col("pos"))), lambda x: x.isNotNull())
     spans = materialize(own.select("doc_id", "text_key", starts.alias("starts")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    del own, owners, distinct
-    discard(found)
+    del own, distinct
+    discard(found, owners)
     return spans
 
 
