@@ -225,7 +225,7 @@ def _plan(spark, sf_dir):
     return p.withColumns({"src_w": F.lit(24), "src_h": F.lit(16), "dst_w": F.lit(12), "dst_h": (4 + F.col("image_id") % 9).cast("int"), "canvas_w": F.lit(14), "canvas_h": F.lit(16), "pad_x": F.lit(1), "pad_y": F.lit(2)})
 
 
-_AXIS = "{n} AS (SELECT s_suppkey AS image_id, d, ({src}.0::DOUBLE / {dst} * (d + 0.5) - 0.5) AS at FROM supplier, unnest(range(0, {dst})) AS t(d)), {n}t AS (SELECT image_id, d, CAST(least(greatest(floor(at), 0), {src} - 1) AS INT) AS s0, least(greatest(at - least(greatest(floor(at), 0), {src} - 1), 0.0), 1.0) AS f FROM {n}), {n}w AS (SELECT image_id, d, s0 AS s, 1 - f AS k FROM {n}t UNION ALL SELECT image_id, d, least(s0 + 1, {src} - 1), f FROM {n}t)"
+_AXIS = "{n} AS (SELECT s_suppkey AS image_id, d, ({src}.0::DOUBLE / {dst} * (d + 0.5) - 0.5) AS pos FROM supplier, unnest(range(0, {dst})) AS t(d)), {n}t AS (SELECT image_id, d, CAST(least(greatest(floor(pos), 0), {src} - 1) AS INT) AS s0, least(greatest(pos - least(greatest(floor(pos), 0), {src} - 1), 0.0), 1.0) AS f FROM {n}), {n}w AS (SELECT image_id, d, s0 AS s, 1 - f AS k FROM {n}t UNION ALL SELECT image_id, d, least(s0 + 1, {src} - 1), f FROM {n}t)"
 _RES = fx.PIXELS + ", " + _AXIS.format(n="ax", src=24, dst=12) + ", " + _AXIS.format(n="ay", src=16, dst="(4 + s_suppkey % 9)") + ", rx AS (SELECT g.image_id, y, d AS x, sum(v * k) AS v FROM gray g JOIN axw w ON w.image_id = g.image_id AND w.s = g.x GROUP BY g.image_id, y, d), rs AS (SELECT g.image_id, CAST(d AS INT) AS y, CAST(x AS INT) AS x, sum(v * k) AS v FROM rx g JOIN ayw w ON w.image_id = g.image_id AND w.s = g.y GROUP BY g.image_id, d, x)"
 query("p5_resample", f"WITH {_RES} SELECT * FROM rs")(lambda spark, sf_dir: pixels.resample(_gray(spark, sf_dir), _plan(spark, sf_dir)))
 query("p6_pad_canvas", f"WITH {_RES}, gr AS (SELECT s_suppkey AS image_id, CAST(a AS INT) AS y, CAST(b AS INT) AS x FROM supplier, range(16) AS t(a), range(14) AS u(b)) SELECT gr.image_id, gr.y, gr.x, coalesce(v, 1.0) AS v FROM gr LEFT JOIN rs ON rs.image_id = gr.image_id AND rs.y + 2 = gr.y AND rs.x + 1 = gr.x")(lambda spark, sf_dir: pixels.pad_canvas(pixels.resample(_gray(spark, sf_dir), _plan(spark, sf_dir)), _plan(spark, sf_dir)))
@@ -238,14 +238,14 @@ def _rects(spark, sf_dir):
 query("p7_crop", f"{_PX} SELECT image_id + 1000000 AS image_id, y - 3 AS y, CAST(x - image_id % 9 AS INT) AS x, r, g, b FROM px WHERE x >= image_id % 9 AND x < image_id % 9 + 10 AND y >= 3 AND y < 7 + image_id % 5")(lambda spark, sf_dir: pixels.crop_px(fx.pixels(spark, sf_dir), _rects(spark, sf_dir)))
 
 
-@query("p8_crop_rotated", f"""{_PX}, o AS (SELECT s_suppkey AS image_id, oy, ox, least(greatest(2 + (ox + 0.5) / 10 * 8 + (oy + 0.5) / 10 * -6, 0), 23)::DOUBLE AS sx, least(greatest(3 + (ox + 0.5) / 10 * 6 + (oy + 0.5) / 10 * 8, 0), 15)::DOUBLE AS sy FROM supplier, range(10) AS t(oy), range(10) AS u(ox)),
+@query("p8_crop_rotated", f"""{_PX}, o AS (SELECT s_suppkey AS image_id, oy, ox, least(greatest(8.3137::DOUBLE + (ox + 0.5) / 10 * 8 + (oy + 0.5) / 10 * -6, 0), 23)::DOUBLE AS sx, least(greatest(1.1271::DOUBLE + (ox + 0.5) / 10 * 6 + (oy + 0.5) / 10 * 8, 0), 15)::DOUBLE AS sy FROM supplier, range(10) AS t(oy), range(10) AS u(ox)),
 q AS (SELECT *, floor(sx) AS a, floor(sy) AS b, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM o),
 s AS (SELECT image_id, oy, ox, least(a + i, 23) AS x, least(b + j, 15) AS y, abs(1 - i - fx) * abs(1 - j - fy) AS w FROM q, range(2) AS t(i), range(2) AS u(j))
 SELECT s.image_id + 1000000 AS image_id, CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, CAST(round(sum(r * w)) AS INT) AS r, CAST(round(sum(g * w)) AS INT) AS g, CAST(round(sum(b * w)) AS INT) AS b FROM s JOIN px ON px.image_id = s.image_id AND px.x = s.x AND px.y = s.y GROUP BY ALL""")
 def p8(spark, sf_dir):
-    q = F.array(*[g.point(F.lit(a), F.lit(b)) for a, b in ((2.0, 3.0), (10.0, 9.0), (4.0, 17.0), (-4.0, 11.0))])
-    d = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), (F.col("s_suppkey") + 1000000).alias("crop_id"), q.alias("quad"), F.lit(40).alias("page_w"), F.lit(40).alias("page_h"))
-    return pixels.crop_rotated(fx.pixels(spark, sf_dir), d.withColumns({"page_w": F.lit(24), "page_h": F.lit(16)}))
+    q = F.array(*[g.point(F.lit(a), F.lit(b)) for a, b in ((8.3137, 1.1271), (16.3137, 7.1271), (10.3137, 15.1271), (2.3137, 9.1271))])
+    d = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), (F.col("s_suppkey") + 1000000).alias("crop_id"), q.alias("quad"), F.lit(24).alias("page_w"), F.lit(16).alias("page_h"))
+    return pixels.crop_rotated(fx.pixels(spark, sf_dir), d)
 
 
 query("p9_rotate180", f"{_PX} SELECT image_id, 15 - y AS y, 23 - x AS x, r, g, b FROM px")(lambda spark, sf_dir: pixels.rotate180(fx.pixels(spark, sf_dir)))
@@ -394,7 +394,7 @@ _LB = f"{fx.LOGITS}, lb AS (SELECT vec_id AS crop_id, vec_id % 6 AS n FROM embed
 query("a6_alignment_loss", f"WITH {_LB}, pl AS (SELECT crop_id, CAST(floor((i + 0.5::DOUBLE) / n * 16) AS INT) AS t, arg_max(c, i) AS c FROM lc GROUP BY ALL) SELECT lg.crop_id, avg(-ln(greatest(abs(v[coalesce(c, 0) + 1]), 1e-6))) AS loss FROM lg LEFT JOIN pl ON pl.crop_id = lg.crop_id AND pl.t = lg.t GROUP BY lg.crop_id")(lambda spark, sf_dir: evaluation.alignment_loss(fx.logits(spark, sf_dir).withColumn("v", F.transform("v", lambda x: F.abs(x))), _labels(spark, sf_dir)))
 query("a7_simple_ctc_loss", f"WITH {_LB}, pl AS (SELECT crop_id, c, CAST(floor(i * (16::DOUBLE / n)) AS INT) AS t FROM lc), ls AS (SELECT pl.crop_id, avg(-v[c + 1]) AS loss FROM pl JOIN lg ON lg.crop_id = pl.crop_id AND lg.t = pl.t GROUP BY pl.crop_id) SELECT lb.crop_id, coalesce(loss, 0.0) AS loss FROM lb LEFT JOIN ls USING (crop_id)")(lambda spark, sf_dir: evaluation.simple_ctc_loss(fx.logits(spark, sf_dir), _labels(spark, sf_dir)))
 _PG = f"WITH {fx.PROGRESS}"
-query("a8_running_metrics", f"{_PG} SELECT epoch, batch, round(avg(loss) OVER w1, 6) AS running_loss, sum(correct) OVER w1 / (sum(processed) OVER w1)::DOUBLE AS running_accuracy FROM progress WINDOW w1 AS (PARTITION BY run, epoch ORDER BY batch)")(lambda spark, sf_dir: evaluation.running_metrics(fx.progress(spark, sf_dir)).select("epoch", "batch", F.round("running_loss", 6).alias("running_loss"), "running_accuracy"))
+query("a8_running_metrics", f"{_PG} SELECT epoch, batch, avg(loss) OVER w1 AS running_loss, sum(correct) OVER w1 / (sum(processed) OVER w1)::DOUBLE AS running_accuracy FROM progress WINDOW w1 AS (PARTITION BY run, epoch ORDER BY batch)")(lambda spark, sf_dir: evaluation.running_metrics(fx.progress(spark, sf_dir)).select("epoch", "batch", "running_loss", "running_accuracy"))
 _EP = "ep AS (SELECT run, epoch, round(avg(loss), 6) AS loss, avg(CAST(correct AS DOUBLE)) AS accuracy, count(*) AS batches FROM progress GROUP BY run, epoch)"
 
 
