@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..plans.lineage import checkpointed
 from . import pixels
 from .graph import connected
 from .layout import reading_order
@@ -130,4 +131,4 @@ def detect_model_free(px: DataFrame, size: int = 512, kernel: str = "triangle",
     plan = pixels.sizes_of(px).withColumn("p", g.resize_plan_square(F.col("src_w"), F.col("src_h"), size)).select("image_id", "src_w", "src_h", "p.*")
     plan = plan.withColumns({"dst_w": F.col("content_w"), "dst_h": F.col("content_h"), "canvas_w": F.lit(size), "canvas_h": F.lit(size)})
     gray = pixels.to_gray(pixels.pad_canvas(pixels.resample(px, plan, kernel, pixels.CHANNELS), plan, 255.0, pixels.CHANNELS))
-    return detect_regions(pixels.text_probability(gray), plan, **params)
+    return detect_regions(checkpointed(pixels.text_probability(gray)), checkpointed(plan), **params)

@@ -12,6 +12,7 @@ from ..functions import geometry as g
 from ..functions.text import repair_mojibake
 from ..operators import detection, evaluation, layout, pixels, recognition
 from ..sources import tables
+from .lineage import checkpointed
 
 RECOGNISED = "text string, confidence double, error string"
 
@@ -71,16 +72,16 @@ def recognize_pages(px: DataFrame, recognizer: Callable[[DataFrame], DataFrame],
     recognizer takes crop pixels and returns crop_id, text, rec_conf; crops that it leaves out are dropped."""
     pages = pixels.sizes_of(px).select(F.col("image_id").alias("page_id"), F.col("src_w").cast("double").alias("page_w"), F.col("src_h").cast("double").alias("page_h"))
     found = detection.detect_model_free(px, size, **params).join(pages.select("page_id", "page_w"), "page_id")
-    boxes = layout.merge_regions(found)
+    boxes = checkpointed(layout.merge_regions(found))
     named = boxes.withColumn("crop_id", crop_id(F.col("page_id"), F.col("seq")))
-    crops = crop_table(px, boxes)
+    crops = checkpointed(crop_table(px, boxes))
     direction = named.select(F.col("crop_id").alias("image_id"), g.text_direction(g.quad_width(F.col("quad")), g.quad_height(F.col("quad"))).alias("direction"))
-    turn = pixels.needs_rotation(pixels.to_gray(crops), direction, orientation_threshold).join(direction, "image_id")
+    turn = checkpointed(pixels.needs_rotation(pixels.to_gray(crops), direction, orientation_threshold).join(direction, "image_id"))
     rotated = turn.filter("rotate").select("image_id")
     upright = crops.join(rotated, "image_id", "left_anti").unionByName(pixels.rotate180(crops.join(rotated, "image_id", "left_semi")).select(*crops.columns))
-    read = recognizer(upright)
+    read = checkpointed(recognizer(checkpointed(upright)))
     regions = recognition.assemble_regions(named.drop("crop_id"), named.join(turn.withColumnRenamed("image_id", "crop_id"), "crop_id"), named.select("page_id", "seq", "crop_id").join(read, "crop_id"))
-    regions = layout.score_regions(regions, score_threshold)
+    regions = checkpointed(layout.score_regions(regions, score_threshold))
     shown = regions.filter("in_text").join(pages, "page_id")
     return regions, layout.page_text(shown)
 

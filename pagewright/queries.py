@@ -13,6 +13,7 @@ from .functions import geometry as g
 from .functions import text as t
 from .operators import detection, evaluation, layout, pixels, recognition
 from .plans import pipelines
+from .plans.lineage import checkpointed
 from .sources import tables
 from .streaming import streams
 
@@ -483,7 +484,7 @@ def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of suppliers: found without a model, read by the nearest of templates that part of the pages gives."""
     px = fx.pixels(spark, sf_dir)
     features = pixels.template_feature(px, 8, 8).select(F.col("image_id").alias("sample_id"), (F.col("image_id") % 5).cast("string").alias("label"), "feature")
-    read = pipelines.template_recognizer(recognition.train_templates(features), 8, 8)
+    read = pipelines.template_recognizer(checkpointed(recognition.train_templates(features)), 8, 8)
     return pipelines.recognize_pages(px, read, 32, kernel="bilinear", box_threshold=0.3, min_area=1.0)[1]
 
 
@@ -492,7 +493,7 @@ QUERIES["q1_recognize_pages"] = q1
 
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fn(pdf):
-        if (pdf["page_id"] % 13 == 5).any():
+        if (pdf["page_id"] % 1301 == 5).any():
             raise ValueError("unreadable")
         return pdf.assign(text=pdf["text"].str.upper(), confidence=pdf["rec_conf"])
 
@@ -500,5 +501,5 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.apply_recognizer(d, fn)
 
 
-query("u1_apply_recognizer", f"WITH {fx.REGIONS} SELECT page_id, seq, CASE WHEN page_id % 13 <> 5 THEN upper(text) END AS text, CASE WHEN page_id % 13 <> 5 THEN rec_conf END AS confidence, CASE WHEN page_id % 13 = 5 THEN 'ValueError: unreadable' END AS error FROM r")(u1)
+query("u1_apply_recognizer", f"WITH {fx.REGIONS} SELECT page_id, seq, CASE WHEN page_id % 1301 <> 5 THEN upper(text) END AS text, CASE WHEN page_id % 1301 <> 5 THEN rec_conf END AS confidence, CASE WHEN page_id % 1301 = 5 THEN 'ValueError: unreadable' END AS error FROM r")(u1)
 query("u2_apply_detector", "SELECT s_suppkey AS page_id, CAST(k AS INT) AS seq, CAST(s_suppkey % 10 + k AS DOUBLE) AS x0, CAST(k + 4 AS DOUBLE) AS y1, 0.5::DOUBLE AS det_conf FROM supplier, unnest(range(0, s_suppkey % 3)) AS t(k)")(lambda spark, sf_dir: pipelines.apply_detector(fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")), lambda r: [(r["image_id"] % 10 + k, k, 5, 4, 0.5) for k in range(r["image_id"] % 3)]).select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.bottom(F.col("quad")).alias("y1"), "det_conf"))
