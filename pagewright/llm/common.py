@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -63,7 +64,9 @@ def discard(*tables: DataFrame) -> None:
     """Deletes materialized tables that no later step reads, and lets shuffle files of finished steps go."""
     for df in tables:
         _forget(df.sparkSession, df.written_to)
-    release(tables[0].sparkSession)
+    for _ in range(2):  # what the first pass lets go holds on to what the second one finds
+        release(tables[0].sparkSession)
+        time.sleep(0.3)
 
 
 def release(spark: SparkSession) -> None:
