@@ -40,9 +40,10 @@ CHUNK_BYTES = 2_000_000
 #: What the dictionary is trained on: so many documents (smallest md5 of doc_id), so many ids of each at most. It is a
 #: bound on the training only; all ids are written.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 512, 2_048, 65_536
-#: A worker's cache of encoded words; a bound on memory.
-CACHE_WORDS = 400_000
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)\Z")
+#: A worker's caches of encoded words as they stand, and of their cores; bounds on memory. Cores are what costs.
+CACHE_WORDS, CACHE_CORES = 300_000, 800_000
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)\Z")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
 
 
 class Encoder:
@@ -67,9 +68,9 @@ class Encoder:
     def _core_ids(self, cores: list[str]) -> list[bytes]:
         """The ids of cores. Plain ones are encoded as one text and parted behind the ids that end words; if that
         gives another number of parts, one by one."""
-        if not all(map(_PLAIN.match, cores)):
-            plain = [c for c in cores if _PLAIN.match(c) and c[-1] not in ".,"]
-            odd = [c for c in cores if not _PLAIN.match(c) or c[-1] in ".,"]
+        plain = [c for c in cores if _LETTERS.match(c)]
+        if len(plain) < len(cores):
+            odd = [c for c in cores if not _LETTERS.match(c)]
             found = dict(zip(plain + odd, self._core_ids(plain) + self._ids(odd), strict=True))
             return [found[c] for c in cores]
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, self.kind)
@@ -81,7 +82,7 @@ class Encoder:
 
     @staticmethod
     def _split(word: str) -> tuple[str, str]:
-        """(core, mark): a plain Latin word, in lower case if ASCII, and a full stop or comma behind it, which this
+        """(core, mark): a plain Latin word, in lower case if ASCII, and the ASCII punctuation behind it, which this
         tokenizer always takes apart; other words whole."""
         if not (found := _PLAIN.match(word)):
             return word, ""
@@ -99,7 +100,7 @@ class Encoder:
             out[i] = self.cores[core] + (self.cores[mark] if mark else b"")
             if len(self.words) < CACHE_WORDS:
                 self.words[words[i]] = out[i]
-        if len(self.cores) > CACHE_WORDS:
+        if len(self.cores) > CACHE_CORES:
             for w in wanted:
                 del self.cores[w]
         return out
@@ -163,7 +164,7 @@ def dict_hash(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()[:16]
 
 
-def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, whole: bool = False, level: int = 3) -> str:
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, whole: bool = False, level: int = 1) -> str:
     """Writes the ids of all texts, each with end_id behind, and returns the path."""
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark)}/tokens/{uuid.uuid4().hex}"
@@ -178,7 +179,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, whole)
         end, compress = np.array([end_id], e.kind).tobytes(), zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True, **_dictionary(data)).compress
-        for b in small_batches(batches):
+        for b in small_batches(batches, 4096):
             ids = [x.tobytes() + end for x in e.encode(b.column("text"))]
             at = b.column("doc_id")
             shard = np.where(at.is_null(), 0, np.searchsorted(borders, at.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
