@@ -41,7 +41,7 @@ CHUNK_BYTES = 2_000_000
 #: bound on the training only; all ids are written.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 512, 2_048, 65_536
 #: A worker's caches of encoded words as they stand, and of their cores; bounds on memory. Cores are what costs.
-CACHE_WORDS, CACHE_CORES = 300_000, 800_000
+CACHE_WORDS, CACHE_CORES = 250_000, 450_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)\Z")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
 
@@ -179,7 +179,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, whole)
         end, compress = np.array([end_id], e.kind).tobytes(), zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True, **_dictionary(data)).compress
-        for b in small_batches(batches, 4096):
+        for b in small_batches(batches, 2048):
             ids = [x.tobytes() + end for x in e.encode(b.column("text"))]
             at = b.column("doc_id")
             shard = np.where(at.is_null(), 0, np.searchsorted(borders, at.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
