@@ -1,20 +1,23 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Tokens are words (A-Z lower-cased) and one end for each text. The restaurant of a context, the bucket of the token
-before (CONTEXTS buckets, the end stands before the first), seats its tokens; every table sends one customer to the
-root restaurant that all contexts share, whose base is uniform over the training vocabulary and one unknown word.
-Tables are sampled by blocked Gibbs sweeps: in a sweep the customers of each (context, word) are seated anew in the
-Chinese-restaurant way, given the restaurants' table totals and the root probabilities of the sweep before. Predictive
-probabilities are averaged over the sweeps after burn-in; log10 of them add up to scores and perplexities.
-
-Scale: training counts are summed in each batch, then by word; a word's row has its counts in all contexts, so a sweep
-is a map over word rows without a shuffle, and only table totals (CONTEXTS + 2 numbers) come to the driver. Sweeps are
-a function of row, seed and totals, so they are replayed, not stored, and lost executors change nothing. For scoring,
-the HEAVY most frequent words are broadcast (HEAVY * CONTEXTS doubles at most); the tokens of all others, which no
-broadcast could hold, are joined with the model by word. Counts and probabilities cover all training texts.
+Tokens are words (A-Z lower-cased) and one end for each text. Each token before (the end stands before the first) is a
+context with a restaurant of its own. Every table of a context sends one customer to the restaurant of the context's
+bucket (CONTEXTS buckets of contexts), every table of a bucket sends one to the root restaurant that all share, whose
+base is uniform over the training vocabulary and one unknown word. Tables are sampled by blocked Gibbs sweeps: in a
+sweep the customers of each (restaurant, word) are seated anew in the Chinese-restaurant way, given the restaurants'
+table totals and the parents' probabilities of the sweep before. PAIR_SWEEPS sweeps seat the contexts; between them
+buckets and root are swept once, at the end `sweeps` times, and their predictive probabilities are averaged over the
+sweeps after burn-in. log10 of predictive probabilities add up to scores and perplexities.
+
+Scale: (token before, word) pairs are rows, summed in each batch, then by pair; only pairs seen twice or more need a
+seat drawn, and their joins with contexts and words are by key. For buckets, a word's row has its customers in all
+of them, so a sweep is a map over word rows without a shuffle, and only table totals (CONTEXTS + 2 numbers) come to the
+driver. Sweeps are a function of row, seed and totals, so lost executors change nothing. For scoring, the HEAVY most
+frequent pairs are broadcast; tokens of all others, which no broadcast could hold, are joined with the pairs by key.
+Pairs that only texts outside training have are rows too, of count 0. Counts and probabilities cover all training texts.
 
 From the eighth customer on, an eighth of those seated so far are seated at once, with the expected number of new
-tables, rounded by chance. Words are known by 58 bits of their hash.
+tables, rounded by chance. Words are known by 58 bits of their hash, pairs by 64.
 
 Null texts are empty (one end token); a null doc_id counts as the empty text for the split. Rows that agree in doc_id
 and text score alike, as often as they come. Without training texts every word is unknown and N is 0.
@@ -31,14 +34,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded_words, materialize, mixed, small_batches
+from .common import coded_words, discard, materialize, mixed, small_batches
 
 BITS = 5
 CONTEXTS = 1 << BITS
-HEAVY = 100_000
+HEAVY = 1_000_000
 SWEEPS, BURN_IN = 3, 1
-STRENGTH = 10.0
+PAIR_SWEEPS = 2
+STRENGTH, PAIR_STRENGTH = 10.0, 1.0
 SEED = 11
+WORD_SHIFT = 6
 #: No word has a space, so no word has this hash.
 END = np.uint64(xxhash.xxh64_intdigest(" end"))
 
@@ -47,8 +52,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 7 == 2
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words' 58 bits, place of each token among them, context of each token, tokens of each text)."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of each token's pair, word before each token, tokens of each text). Words are 58 bits of their hash."""
     known, at, counts = coded_words(texts, lower=True)
     n = counts + 1
     place = np.empty(len(at) + len(counts), np.int64)
@@ -56,43 +61,49 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     inner = np.ones(len(place), bool)
     inner[last] = False
     place[inner], place[last] = at, len(known)
-    known = np.append(known, END)
-    bucket = (mixed(known) >> np.uint64(64 - BITS)).astype(np.int64)[place]
-    context = np.concatenate([bucket[-1:], bucket[:-1]])  # the last token is an end
-    return (known >> np.uint64(BITS + 1)).astype(np.int64), place, context, n
+    word = (np.append(known, END) >> np.uint64(WORD_SHIFT)).astype(np.int64)[place]
+    before = np.concatenate([word[-1:], word[:-1]])  # the last token is an end
+    return before ^ (word << WORD_SHIFT), before, n
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """word, c, contexts, counts: one row for each distinct token of docs."""
+def _word() -> Column:
+    """The word of a pair, from its key and the word before."""
+    return F.shiftrightunsigned(F.col("key").bitwiseXOR(F.col("u")), WORD_SHIFT)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("u"), F.lit(CONTEXTS)).cast("int")
+
+
+def pairs(docs: DataFrame, learn: Column) -> DataFrame:
+    """key, u (the token before), c (in texts where `learn` holds), n (in all): one row for each distinct pair."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 8192):
-            known, place, context, _ = tokens(b.column(0))
-            keys, n = np.unique((known[place] << BITS) | context, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
-
-    def merged(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        at = np.nonzero(first)[0]
-        keys, n = keys[at], np.add.reduceat(n, at) if len(at) else n
-        words = keys >> BITS
-        starts = np.nonzero(np.concatenate([[True], words[1:] != words[:-1]]))[0] if len(keys) else at
-        offsets = pa.array(np.append(starts, len(keys)), pa.int32())
-        total = np.add.reduceat(n, starts) if len(starts) else n
-        return pa.RecordBatch.from_arrays([pa.array(words[starts]), pa.array(total), pa.ListArray.from_arrays(offsets, pa.array((keys & (CONTEXTS - 1)).astype(np.int8))), pa.ListArray.from_arrays(offsets, pa.array(n))], names=["word", "c", "contexts", "counts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        for b in batches:
-            keys = np.concatenate([keys, b.column("key").to_numpy()])
-            n = np.concatenate([n, b.column("n").to_numpy()])
-            if len(keys) and (end := int(np.searchsorted(keys, keys[-1] >> BITS << BITS))):  # the last word may go on
-                yield merged(keys[:end], n[:end])
-                keys, n = keys[end:], n[end:]
-        yield merged(keys, n)
+            key, before, n = tokens(b.column("text"))
+            learnt = np.repeat(b.column("learn").to_numpy(zero_copy_only=False), n)
+            for part in (True, False):
+                own = np.nonzero(learnt == part)[0]
+                keys, first, count = np.unique(key[own], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(before[own][first]), pa.array(count * part, pa.int64()), pa.array(count, pa.int64())], names=["key", "u", "c", "n"])
+
+    counted = docs.select("text", learn.alias("learn")).mapInArrow(made, "key long, u long, c long, n long")
+    return counted.groupBy("key").agg(F.first("u").alias("u"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def _word_parts(rows: DataFrame, c: Column, t: Column) -> DataFrame:
+    return rows.select(_word().alias("word"), _bucket().alias("context"), c.alias("c"), t.alias("t")).groupBy("word", "context").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
-    counted = docs.select("text").mapInArrow(made, "key long, n long")
-    dealt = counted.repartition(F.shiftright("key", BITS)).sortWithinPartitions("key")
-    return dealt.mapInArrow(merge, "word long, c long, contexts array<tinyint>, counts array<long>")
+
+def _word_rows(parts: DataFrame) -> DataFrame:
+    """word, c, contexts, counts (customers in each bucket) from the parts."""
+    each = parts.groupBy("word", "context").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).groupBy("word")
+    each = each.agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.struct(F.col("context").cast("tinyint").alias("context"), "t"))).alias("x"))
+    return each.select("word", "c", F.col("x.context").alias("contexts"), F.col("x.t").alias("counts"))
+
+
+def count(docs: DataFrame) -> DataFrame:
+    """word, c, contexts, counts: one row for each distinct token of docs, with one table for each pair."""
+    return _word_rows(_word_parts(pairs(docs, F.lit(True)), F.col("c"), F.lit(1)))
 
 
 @dataclass
@@ -219,69 +230,120 @@ def predictive(counts: DataFrame, totals: Totals, burn_in: int = BURN_IN) -> Dat
     return counts.mapInArrow(made, "word long, c long, contexts array<tinyint>, seen array<double>, root array<double>")
 
 
+def _parent(totals: Totals, burn_in: int) -> Column:
+    """The averaged probability of `word` in the bucket of `u`, given the word's predictive row (null: unknown)."""
+    samples, context = range(burn_in + 1, len(totals.tables)), _bucket()
+    seen = F.coalesce(F.get("seen", F.array_position("contexts", context.cast("tinyint")).cast("int") - 1), F.lit(0.0))
+    root = [F.coalesce(F.get("root", F.lit(i)), F.lit(totals.unknown(s))) for i, s in enumerate(samples)]
+    gamma = [F.get(F.lit([float(x) for x in totals.gamma(s)]), context) for s in samples]
+    return seen + sum((g * r for g, r in zip(gamma, root, strict=True)), F.lit(0.0)) / len(root)
+
+
+def _placed(rows: DataFrame, contexts: DataFrame, model: DataFrame) -> DataFrame:
+    """rows (key, u, ...) with customers and tables of the context and the word's predictive row."""
+    rows = rows.withColumn("own", _word()).join(contexts, "u", "left")
+    return rows.join(model.withColumnRenamed("c", "total"), F.col("own") == F.col("word"), "left")
+
+
+def _reseated(multi: DataFrame, contexts: DataFrame, model: DataFrame, totals: Totals, discount: float, sweep: int) -> DataFrame:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, c, new = (b.column(x).to_numpy() for x in ("key", "c", "new"))
+            t = seat(c, new, discount, mixed(key.view(np.uint64)), SEED * 64 + 32 + sweep)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("u"), b.column("c"), b.column("n"), pa.array(t.astype(np.int64))], names=["key", "u", "c", "n", "t"])
+
+    new = (F.lit(PAIR_STRENGTH) + F.lit(discount) * F.col("tables")) * _parent(totals, 0)
+    return _placed(multi.drop("t"), contexts, model).select("key", "u", "c", "n", new.alias("new")).mapInArrow(made, multi.schema)
+
+
+@dataclass
+class Model:
+    """pairs: key, u, c, n, t; contexts: u, customers, tables; words: as predictive gives them."""
+
+    pairs: DataFrame
+    contexts: DataFrame
+    words: DataFrame
+    totals: Totals
+    discount: float
+    burn_in: int
+    n: int
+    v: int
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """key, log_p, base, known of pairs."""
+        customers, tables = F.coalesce("customers", F.lit(0)), F.coalesce("tables", F.lit(0))
+        own = F.col("c") - self.discount * F.col("t") + (PAIR_STRENGTH + self.discount * tables) * _parent(self.totals, self.burn_in)
+        base = F.log10((F.coalesce("total", F.lit(0)) + 1) / F.lit(float(self.n + self.v + 1)))
+        return _placed(rows, self.contexts, self.words).select("key", F.log10(own / (PAIR_STRENGTH + customers)).alias("log_p"), base.alias("base"), F.col("total").isNotNull().cast("long").alias("known"))
+
+
+def learn(found: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, pair_sweeps: int = PAIR_SWEEPS) -> Model:
+    """The model of pairs that `pairs` gave, written."""
+    trained, one = found.filter("c > 0"), F.lit(1)
+    of_words = materialize(_word_parts(trained, F.col("c"), one))
+    of_contexts = materialize(trained.groupBy("u").agg(F.sum("c").alias("customers"), F.count(one).alias("tables")))
+    ones, twos = found.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    discount = float(np.clip(ones / max(1.0, ones + 2 * twos), 0.05, 0.95))
+    multi = materialize(found.filter("c > 1").withColumn("t", F.lit(1).cast("long")))
+    contexts, counts = of_contexts, materialize(_word_rows(of_words))
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(one)).first()
+    for sweep in range(pair_sweeps):
+        totals = fit(counts, 1)
+        model = materialize(predictive(counts, totals, 0))
+        seated = materialize(_reseated(multi, contexts, model, totals, discount, sweep))
+        discard(multi, model, counts, *([contexts] if sweep else []))
+        multi, more = seated, F.col("t") - 1
+        counts = materialize(_word_rows(of_words.unionByName(_word_parts(multi, F.lit(0), more))))
+        both = of_contexts.unionByName(multi.select("u", F.lit(0).alias("customers"), more.alias("tables")))
+        contexts = materialize(both.groupBy("u").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")))
+    totals = fit(counts, sweeps)
+    words = materialize(predictive(counts, totals, burn_in))
+    discard(counts, of_words, of_contexts)
+    every = found.filter("c <= 1").withColumn("t", F.col("c")).unionByName(multi)
+    return Model(every, contexts, words, totals, discount, burn_in, n, v)
+
+
 def score(docs: DataFrame, train: DataFrame | None = None, heavy: int = HEAVY, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row for each row of docs.
-    The model learns from `train`, or from those of docs that aren't held out."""
+    The model learns from the texts of `train`, or from those of docs that aren't held out."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = materialize(count(docs.filter(~held_out(F.col("doc_id"))) if train is None else train))
-    totals = fit(counts, sweeps)
-    model = materialize(predictive(counts, totals, burn_in))
-    gammas = [totals.gamma(s) for s in range(burn_in + 1, sweeps + 1)]
-    top = model.orderBy(F.desc("c"), "word").limit(heavy).toArrow().combine_chunks()  # at most `heavy` rows
-    names, prob, base = _heavy(top, gammas, totals)
-    shared = docs.sparkSession.sparkContext.broadcast((names, np.log10(prob), base))
+    texts = docs.select("text", (~held_out(F.col("doc_id")) if train is None else F.lit(False)).alias("learn"))
+    if train is not None:
+        texts = texts.unionByName(train.select("text", F.lit(True).alias("learn")))
+    model = learn(materialize(pairs(texts, F.col("learn"))), sweeps, burn_in)
+    top = model.pairs.orderBy(F.desc("n"), "key").limit(heavy)
+    top = materialize(top)
+    held = model.scored(top).toArrow().combine_chunks()  # at most `heavy` rows
+    order = np.argsort(held.column("key").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(held.column(c).to_numpy()[order] for c in ("key", "log_p", "base", "known")))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, log_p, base = shared.value
+        keys, log_p, base, known = shared.value
         for b in small_batches(batches):
-            known, place, context, n = tokens(b.column("text"))
-            slot = np.searchsorted(names, known)
-            slot = np.where(names[np.minimum(slot, len(names) - 1)] == known, slot, -1)[place] if len(names) else np.full(len(place), -1)
+            key, _, n = tokens(b.column("text"))
+            slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            found = keys[slot] == key if len(keys) else np.zeros(len(key), bool)
             rows = b.column("row").to_numpy()
             doc = np.repeat(np.arange(len(n)), n)
-            own, rest = np.nonzero(slot >= 0)[0], np.nonzero(slot < 0)[0]
-            sums = lambda x: np.bincount(doc[own], x, len(n))
-            whole = (rows, mixed(rows.view(np.uint64)).view(np.int64), n, np.bincount(doc[own], minlength=len(n)), sums(base[slot[own]]), sums(log_p[slot[own], context[own]]), np.ones(len(n), np.int64))
-            nothing, none = np.zeros(len(rest), np.int64), np.zeros(len(rest))
-            tail = (rows[doc[rest]], known[place[rest]] << BITS | context[rest], nothing, nothing, none, none, nothing)
-            ids = pa.concat_arrays([b.column("doc_id"), pa.nulls(len(rest), pa.int64())])
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.concatenate([x, y])) for x, y in zip(whole, tail, strict=True)]], names=["doc_id", "row", "key", "n_tokens", "n_known", "base", "score", "copies"])
+            own, rest, slot = doc[found], np.nonzero(~found)[0], slot[found]
+            sums = lambda x: pa.array(np.bincount(own, x[slot], len(n)))
+            whole = pa.StructArray.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), sums(known), sums(base), sums(log_p)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows, rows[doc[rest]]])), pa.array(np.concatenate([mixed(rows.view(np.uint64)).view(np.int64), key[rest]])), pa.concat_arrays([whole, pa.nulls(len(rest), whole.type)])], names=["row", "key", "whole"])
 
     hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    parts = hashed.mapInArrow(made, "doc_id long, row long, key long, n_tokens long, n_known long, base double, score double, copies long")
-    return _joined(parts, model, top, gammas, totals, heavy, burn_in)
-
-
-def _heavy(top: pa.Table, gammas: list[np.ndarray], totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words in order, probability of each in each context, base log10)."""
-    words, c = top.column("word").to_numpy(), top.column("c").to_numpy()
-    order = np.argsort(words)
-    if not len(words):
-        return words.astype(np.int64), np.ones((0, CONTEXTS)), np.empty(0)
-    root = np.array(top.column("root").to_pylist(), np.float64)
-    prob = sum(root[:, s : s + 1] * g[None, :] for s, g in enumerate(gammas)) / len(gammas)
-    lists = top.column("contexts").combine_chunks()
-    row = np.repeat(np.arange(len(words)), np.diff(lists.offsets.to_numpy()))
-    prob[row, lists.flatten().to_numpy()] += top.column("seen").combine_chunks().flatten().to_numpy()
-    return words[order], prob[order], np.log10((c[order] + 1) / (totals.n + totals.v + 1))
-
-
-def _joined(parts: DataFrame, model: DataFrame, top: pa.Table, gammas: list[np.ndarray], totals: Totals, heavy: int, burn_in: int) -> DataFrame:
-    if top.num_rows == heavy:  # the others come after the last of the heavy ones
-        c, word = top.column("c")[-1].as_py(), top.column("word")[-1].as_py()
-        model = model.filter((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > word)))
-    else:
-        model = model.filter(F.lit(False))
-    rare, context = F.col("copies") == 0, F.col("key").bitwiseAND(F.lit(CONTEXTS - 1)).cast("int")
-    parts = parts.withColumn("own", F.when(rare, F.shiftright("key", BITS)).otherwise(-1 - F.abs(F.shiftright("key", 1))))
-    both = parts.join(model, F.col("own") == F.col("word"), "left")
-    seen = F.coalesce(F.get("seen", F.array_position("contexts", context.cast("tinyint")).cast("int") - 1), F.lit(0.0))
-    root = [F.coalesce(F.get("root", F.lit(s)), F.lit(totals.unknown(burn_in + 1 + s))) for s in range(len(gammas))]
-    p = seen + sum((F.get(F.lit([float(x) for x in g]), context) * r for g, r in zip(gammas, root, strict=True)), F.lit(0.0)) / len(gammas)
-    base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(totals.n + totals.v + 1)))
-    known = F.col("n_known") + F.when(rare & F.col("c").isNotNull(), 1).otherwise(0)
-    add = lambda x, y: F.sum(F.when(rare, x).otherwise(F.col(y)))
-    rows = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), add(base, "base").alias("base"), add(F.log10(p), "score").alias("score"), F.sum("copies").alias("copies"))
-    rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    parts = hashed.mapInArrow(made, "row long, key long, whole struct<doc_id: long, n_tokens: long, n_known: double, base: double, score: double>")
+    last = top.agg(F.count(F.lit(1)), F.min_by(F.struct("n", "key"), F.struct("n", F.bitwise_not("key")))).first()
+    rest = F.lit(False)
+    if last[0] == heavy:  # the others come after the last of the heavy ones
+        rest = (F.col("n") < last[1][0]) | ((F.col("n") == last[1][0]) & (F.col("key") > last[1][1]))
+    return _joined(parts, model.scored(model.pairs.filter(rest)), model.n)
+
+
+def _joined(parts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    both = parts.join(pairs, "key", "left")
+    rare = F.col("whole").isNull()
+    add = lambda x, y: F.sum(F.when(rare, F.col(x)).otherwise(F.col(f"whole.{y}")))
+    rows = both.groupBy("row").agg(F.max("whole.doc_id").alias("doc_id"), F.sum("whole.n_tokens").alias("n_tokens"), add("known", "n_known").alias("n_known"), add("base", "base").alias("base"), add("log_p", "score").alias("score"), F.count("whole").alias("copies"))
+    rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     each = lambda c: (F.col(c) / F.col("copies"))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

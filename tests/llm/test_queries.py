@@ -214,3 +214,26 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     got = [r for r in QUERIES["op10_lm_scoring"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
     assert lm_scoring.score(documents(spark, [])).count() == 0
+
+
+def test_contexts_of_one_bucket_are_told_apart(spark):
+    # more contexts than buckets, each followed by a word of its own
+    rows = [(i, " ".join(f"c{k} w{k}" for k in range(i % 9, 200, 3)), "s") for i in range(60)]
+    held = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    right, wrong = " ".join(f"c{k} w{k}" for k in range(0, 200, 3)), " ".join(f"c{k} w{(k + 3) % 198}" for k in range(0, 198, 3))
+    train = plain_documents(spark, [r for r in rows])
+    got = {r["doc_id"]: r for r in lm_scoring.score(documents(spark, [(held, right, "s"), (held + 7000, wrong, "s")]), train).collect()}
+    assert got[held]["perplexity"] < 10 and got[held + 7000]["perplexity"] > 5 * got[held]["perplexity"]
+
+
+def test_probabilities_of_a_real_context_sum_to_one(spark):
+    texts = plain_documents(spark, lm_rows()).select("text")
+    found = lm_scoring.materialize(lm_scoring.pairs(texts, lm_scoring.F.lit(True)))
+    model = lm_scoring.learn(found)
+    vocabulary = model.words.select("word")
+    some = model.contexts.orderBy("u").limit(3).select("u")
+    key = lm_scoring.F.col("u").bitwiseXOR(lm_scoring.F.shiftleft("word", lm_scoring.WORD_SHIFT))
+    every = some.crossJoin(vocabulary).select(key.alias("key"), "u").join(model.pairs.select("key", "c", "n", "t"), "key", "left").fillna(0)
+    parts = model.scored(every.unionByName(some.selectExpr("u as key", "u", "0L as c", "0L as n", "0L as t"))).join(every.select("key", "u"), "key", "left")
+    p = lm_scoring.F.sum(lm_scoring.F.pow(lm_scoring.F.lit(10.0), "log_p"))
+    assert parts.agg(p).first()[0] == pytest.approx(3.0, abs=1e-6)
