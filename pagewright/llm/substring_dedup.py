@@ -8,6 +8,8 @@
 3. Reference shards. Each anchor's distinct segments are one shard. They are streamed, smallest doc_id first, through
    a suffix automaton whose states know the first document that has their strings; the state that matches the last 13
    words tells each window's owner.
+   Anchors that occur more than SHARD times make no shard: their windows are rows, and the owner of a window is the
+   least doc_id of its hash, so an automaton never holds more than SHARD segments.
 4. Owners go back to the segments' occurrences; words covered by windows that a smaller document owns are removed.
 
 A corpus that is its own reference can't be broadcast, so the automata are dealt by anchor: each is built where its
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from .common import discard, gram_hashes, grouped, hashed_words, materialize, mi
 
 WINDOW = 13
 ANCHOR = 5
+#: Most occurrences of an anchor whose segments go through an automaton.
+SHARD = 1_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
@@ -209,7 +214,36 @@ def _owners(distinct: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(made, "anchor long, segment long, owners array<long>")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+def _distinct(found: DataFrame) -> DataFrame:
+    return found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("words").alias("words"))
+
+
+def _window_rows(distinct: DataFrame, window: int) -> DataFrame:
+    """(anchor, segment, lo, i, win): each window of the segments, by its hash."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            row, at, win = [], [], []
+            for r, text in enumerate(b.column("words").to_pylist()):
+                ws = text.split()
+                n = len(ws) - window + 1
+                row += [r] * n
+                at += range(n)
+                win += [xxhash.xxh64_intdigest(b" ".join(ws[i : i + window])) for i in range(n)]
+            row = np.array(row, np.int64)
+            own = [pa.array(b.column(c).to_numpy(zero_copy_only=False)[row], pa.int64()) for c in ("anchor", "segment", "lo")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(at, pa.int32()), pa.array(np.array(win, np.uint64).view(np.int64))], names=["anchor", "segment", "lo", "i", "win"])
+
+    return distinct.select("anchor", "segment", "lo", "words").mapInArrow(made, "anchor long, segment long, lo long, i int, win long")
+
+
+def _owners_by_window(windows: DataFrame) -> DataFrame:
+    """As _owners, from written window rows: nothing is gathered but the few windows of a segment."""
+    first = windows.groupBy("win").agg(F.min("lo").alias("owner"))
+    each = windows.join(first, "win").groupBy("anchor", "segment")
+    return each.agg(F.array_sort(F.collect_list(F.struct("i", "owner"))).alias("x")).select("anchor", "segment", F.col("x.owner").alias("owners"))
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, shard: int = SHARD) -> DataFrame:
     """(doc_id, text_key, starts): the windows of each document that also start in a document with a smaller id."""
     docs = _texts(docs).filter("doc_id is not null")
     rows = materialize(_anchor_rows(docs, window, k))
@@ -218,20 +252,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) ->
     discard(rows, shared)
     found = materialize(_occurrences(docs, wanted, window, k))
     discard(wanted)
-    distinct = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("words").alias("words"))
-    owners = materialize(_owners(distinct, window).withColumnsRenamed({"anchor": "a", "segment": "s"}))
+    often = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard).select("anchor"))
+    windows = materialize(_window_rows(_distinct(found.join(often, "anchor", "left_semi")), window))
+    both = _owners(_distinct(found.join(often, "anchor", "left_anti")), window).unionByName(_owners_by_window(windows))
+    owners = materialize(both.withColumnsRenamed({"anchor": "a", "segment": "s"}))
+    del both
+    discard(often, windows)
     own = found.select("doc_id", "text_key", "pos", "anchor", "segment").join(owners, (F.col("anchor") == F.col("a")) & (F.col("segment") == F.col("s")))
     own = own.filter(F.exists("owners", lambda x: x < F.col("doc_id")))
     starts = F.filter(F.transform("owners", lambda x, i: F.when(x < F.col("doc_id"), i + F.col("pos"))), lambda x: x.isNotNull())
     spans = materialize(own.select("doc_id", "text_key", starts.alias("starts")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-    del own, distinct
+    del own
     discard(found, owners)
     return spans
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, shard: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space): one row for each row of docs."""
-    spans = repeated_windows(docs, window, k)
+    spans = repeated_windows(docs, window, k, shard)
     both = _texts(docs).alias("d").join(spans.alias("s"), (F.col("d.doc_id") == F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_key")), "left").select("d.doc_id", "d.text", "s.starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

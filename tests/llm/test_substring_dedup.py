@@ -69,3 +69,10 @@ def test_query_over_whole_table(spark, sf_dir):
     rows = [(r["doc_id"], r["text"], "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = sorted((i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in brute(rows))
     assert sorted(map(tuple, QUERIES["op5_substring_dedup"](spark, sf_dir).collect())) == want
+
+
+def test_frequent_anchors_make_no_automaton(spark):
+    # one passage in each text, every time with other words around it: its anchors have a segment for each text
+    rows = corpus() + [(30_000 + i, f"{sentence(9000 + i, 20)} {sentence(77, 15)} {sentence(9500 + i, 20)}", "s") for i in range(60)]
+    for shard in (0, 8):
+        assert sorted(map(tuple, dedup.dedup(documents(spark, rows), shard=shard).collect()), key=repr) == brute(rows)
