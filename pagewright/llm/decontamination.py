@@ -5,9 +5,10 @@ corpus. For exact containment the necessary prefix is one word, the rarest, so a
 these prefix words only. A hit fixes where the window would have to start: the positional bound (it starts at 0 or
 later) and the length bound (it ends within the document) come first, then the words are compared exactly.
 
-Scale: documents are never shuffled; two passes over them (rarity, matching). The benchmark goes to the workers in
-blocks of at most BLOCK_WORDS words, so what is broadcast has a fixed bound; more blocks mean more passes over the
-documents (a stated query set against all rows), united by one small aggregation.
+Scale: documents are never shuffled; two passes over them (rarity, matching). Windows are made by Spark and dealt by
+hash into blocks of about BLOCK_WORDS windows; the driver holds one block at a time, and what is broadcast has a fixed
+bound. More blocks mean more passes over the documents (a stated query set against all rows), united by one small
+aggregation that keeps repeated rows.
 
 Words: A-Z lower-cased, then runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Null or empty texts have no words.
 Repeated items count once by item_id; an item_id of null is named `null`. An empty benchmark hits nothing.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -64,18 +65,29 @@ class Index:
         return sorted(hit), sorted(items)
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks, streamed through the driver one partition at a time."""
-    block, size = [], 0
+def _windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, win): the distinct windows of each item, words joined by one space."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 64):
+            ids, wins = [], []
+            for item, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                ws = words(t)
+                for at in range(max(1, len(ws) - window + 1)) if ws else ():
+                    ids.append(item)
+                    wins.append(b" ".join(ws[at : at + window]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(wins, pa.binary())], names=["item_id", "win"])
+
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    for row in rows.toLocalIterator():
-        ws = words(bytes(row["text"])) if row["text"] is not None else []
-        if block and size + len(ws) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], ws))
-        size += len(ws)
-    yield block
+    return rows.mapInArrow(made, "item_id string, win binary").distinct()
+
+
+def _blocks(benchmark: DataFrame, block_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """(item, words of a window) in blocks that Spark deals; the driver collects one block at a time."""
+    windows = materialize(_windows(benchmark, window))
+    blocks = max(1, -(-windows.count() // block_words))
+    for i in range(blocks):
+        rows = windows.filter(F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == i).collect()
+        yield [(r["item_id"], bytes(r["win"]).split()) for r in rows]
 
 
 def rarity(docs: DataFrame, vocabulary: list[bytes]) -> dict[bytes, int]:
@@ -105,12 +117,11 @@ def _index(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, hits (positions of hit words), items (sorted ids): one row for each row of docs; with more
-    than one block, rows that agree in doc_id and text make one row."""
+    """doc_id, n_words, hits (positions of hit words), items (sorted ids): one row for each row of docs."""
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, text_hash long, hits array<int>, items array<string>"
     found = []
-    for block in _blocks(benchmark, block_words):
+    for block in _blocks(benchmark, block_words, window):
         shared = docs.sparkSession.sparkContext.broadcast(_index(docs, block, window))
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -129,13 +140,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     if len(found) == 1:
         return found[0].drop("text_hash")
     rows = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash", "n_words")
-    rows = rows.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return rows.drop("text_hash")
+    rows = rows.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(found)).cast("int").alias("copies"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies")))  # each block has every row once
+    return rows.withColumn("_", copy).drop("text_hash", "copies", "_")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs. No shuffle."""
-    for block in _blocks(benchmark, block_words):
+    for block in _blocks(benchmark, block_words, window):
         shared = docs.sparkSession.sparkContext.broadcast(_index(docs, block, window))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

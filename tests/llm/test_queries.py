@@ -237,3 +237,16 @@ def test_probabilities_of_a_real_context_sum_to_one(spark):
     parts = model.scored(every.unionByName(some.selectExpr("u as key", "u", "0L as c", "0L as n", "0L as t"))).join(every.select("key", "u"), "key", "left")
     p = lm_scoring.F.sum(lm_scoring.F.pow(lm_scoring.F.lit(10.0), "log_p"))
     assert parts.agg(p).first()[0] == pytest.approx(3.0, abs=1e-6)
+
+
+def test_blocks_keep_repeated_rows(spark):
+    bench = spark.createDataFrame([(f"i{i}", sentence(i, 25)) for i in range(6)], "item_id string, text string")
+    rows = ODD + [(50, "x " + sentence(1, 25) + " y", "s"), (50, "x " + sentence(1, 25) + " y", "s"), (None, sentence(2, 12), "s"), (None, sentence(2, 12), "s")]
+    one, many = (sorted(map(str, decontamination.find(documents(spark, rows), bench, block_words=n).collect())) for n in (1000, 40))
+    assert len(many) == len(rows) and one == many
+
+
+def test_one_long_item_is_dealt_into_blocks(spark):
+    bench = spark.createDataFrame([("long", sentence(3, 200))], "item_id string, text string")
+    blocks = [len(b) for b in decontamination._blocks(bench, 50, 10)]
+    assert len(blocks) == 4 and sum(blocks) == 191 and max(blocks) < 100
