@@ -42,8 +42,9 @@ CHUNK_BYTES = 2_000_000
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 512, 2_048, 65_536
 #: A worker's caches of encoded words as they stand, and of their cores; bounds on memory. Cores are what costs.
 CACHE_WORDS, CACHE_CORES = 250_000, 450_000
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)\Z")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+\Z")
+#: Without U+0130: in lower case it has a combining dot, which joins the punctuation behind it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)\Z")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+\Z")
 
 
 class Encoder:

@@ -51,3 +51,14 @@ def test_another_dictionary_is_refused(spark):
     bad.write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(ValueError, match="has not the hash"):
         token_output.read(spark, path)
+
+
+def test_letters_before_punctuation_as_the_tokenizer(spark):
+    import pyarrow as pa
+
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)] if c not in (0xD7, 0xF7)]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    texts = [" ".join(f"{x}{m} DEN{x}ZL{x}{m}" for m in marks) for x in letters]
+    t = Tokenizer.from_file(PATH)
+    got = token_output.Encoder(PATH).encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
