@@ -21,7 +21,7 @@ TRAIN_ROWS = 2_000
 
 
 def host(url: Column) -> Column:
-    rest = F.substring_index(F.regexp_extract(url, r"(?s)://(.*)", 1), "\0", 1)
+    rest = F.regexp_extract(url, r"(?s)://(.*)", 1)
     found = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.coalesce(found, F.lit(""))
 

@@ -250,3 +250,10 @@ def test_one_long_item_is_dealt_into_blocks(spark):
     bench = spark.createDataFrame([("long", sentence(3, 200))], "item_id string, text string")
     blocks = [len(b) for b in decontamination._blocks(bench, 50, 10)]
     assert len(blocks) == 4 and sum(blocks) == 191 and max(blocks) < 100
+
+
+def test_a_nul_does_not_end_the_host(spark):
+    urls = ["http://net\0.evil.org/es/x", "http://\0/es/x", "http://A\0.net/es/x\0y"]
+    got = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    for r in got:
+        assert (r["host"], r["path"]) == parts(urls[r["page_id"]]) and r["rule"] == best_rule(r["host"], r["path"])
