@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session names none."""
+    """spark.checkpoint.dir, or the folder set on the context. A local session may do without either and gets a
+    temporary folder; on a cluster executors would not share one, so that is an error."""
     context = spark.sparkContext
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
