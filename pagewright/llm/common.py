@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import tempfile
-import time
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,29 +16,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpoint_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Entries of a worker's word-hash cache; a bound on memory (about 60 MB), not on the words that are hashed.
-CACHE_WORDS = 300_000
+#: Entries of a worker's word-hash cache and their longest word; a bound on memory, not on the words that are hashed.
+CACHE_WORDS, CACHE_CHARS = 200_000, 32
+#: Bytes of text that a worker handles at a time; a longer text is a batch of its own.
+BATCH_BYTES = 4_000_000
+
+#: While a table is written: its shuffles go when it is done, and batches for Python are bounded by bytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    java = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if java.isDefined():
-        return java.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def _forget(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -47,32 +42,35 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def _conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it again, so it is computed once
-    and survives lost executors."""
+    and survives lost executors. The shuffles that made it are dropped."""
     spark = df.sparkSession
-    release(spark)
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
+    with _conf(spark, _WRITING):
+        df.write.option("compression", "zstd").parquet(path)
+    atexit.register(forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes materialized tables that no later step reads, and lets shuffle files of finished steps go."""
+    """Deletes materialized tables that no later step reads."""
     for df in tables:
-        _forget(df.sparkSession, df.written_to)
-    for _ in range(2):  # what the first pass lets go holds on to what the second one finds
-        release(tables[0].sparkSession)
-        time.sleep(0.3)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        forget(df.sparkSession, df.written_to)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -80,19 +78,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+_HELD: list[Any] = [None, None]
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """The one object that a Python worker keeps from task to task. One of another key takes its place, so what
+    stages keep does not add up in workers that they share."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash of its UTF-8 bytes, with a bounded cache."""
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHE_WORDS:
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_CHARS:
             self[word] = h
         return h
 
 
-_HASHES = WordHashes()
-
-
 def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The 64-bit hashes of the distinct words, the place of each word of all texts among them, and the number of
     words of each text.
@@ -102,7 +116,7 @@ def coded_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     flat = pc.dictionary_encode(split.flatten())
     words = flat.dictionary
     empty = pc.index(words, pa.scalar("", words.type)).as_py()
-    known = np.fromiter(map(_HASHES.__getitem__, (pc.ascii_lower(words) if lower else words).to_pylist()), np.uint64, len(words))
+    known = np.fromiter(map(held("words", WordHashes).__getitem__, (pc.ascii_lower(words) if lower else words).to_pylist()), np.uint64, len(words))
     at = flat.indices.to_numpy()
     cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
     if empty < 0:
@@ -141,11 +155,21 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches that stay small with long texts."""
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows` rows and, unless one row alone has more, `size` bytes of strings."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        lengths = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                lengths += pc.fill_null(pc.binary_length(c), 0).to_numpy()
+        ends, at = np.cumsum(lengths), 0
+        while at < b.num_rows:
+            full = np.searchsorted(ends, ends[at] - lengths[at] + size, side="right")
+            to = int(min(max(at + 1, full), at + rows))
+            yield b.slice(at, to - at)
+            at = to
+        del b, lengths, ends
+    trim()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:

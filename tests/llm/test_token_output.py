@@ -62,3 +62,28 @@ def test_letters_before_punctuation_as_the_tokenizer(spark):
     t = Tokenizer.from_file(PATH)
     got = token_output.Encoder(PATH).encode(pa.array(texts))
     assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_another_tokenizer_is_given_whole_texts_and_its_id_width_is_stored(spark):
+    import json
+
+    known = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert token_output.takes_words(known)
+    cased = {**known, "normalizer": {"type": "Sequence", "normalizers": known["normalizer"]["normalizers"][:2]}}
+    assert not token_output.takes_words(cased)
+    path = token_output.write(documents(spark, [(1, "a b", "s")]), PATH)
+    assert spark.read.parquet(f"{path}/dictionary").first()["id_bytes"] == 2
+    assert spark.read.parquet(f"{path}/shards").first()["first_id"] == 1
+
+
+def test_texts_of_some_megabytes(spark):
+    rows = [(1, " ".join(sentence(i, 2_000) for i in range(100)), "s"), (2, "y" * 300_000, "s"), (3, "", "s")]
+    path = token_output.write(documents(spark, rows), PATH)
+    assert sorted(map(tuple, token_output.read(spark, path).collect())) == expected(rows)
+
+
+def test_query_over_whole_table(spark, sf_dir):
+    from pagewright.llm.queries import QUERIES
+
+    rows = [(r["doc_id"], r["text"], "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted(map(tuple, QUERIES["op3_token_output"](spark, sf_dir).collect())) == sorted(expected(rows))
