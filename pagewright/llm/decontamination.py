@@ -5,10 +5,12 @@ corpus. For exact containment the necessary prefix is one word, the rarest, so a
 these prefix words only. A hit fixes where the window would have to start: the positional bound (it starts at 0 or
 later) and the length bound (it ends within the document) come first, then the words are compared exactly.
 
-Scale: documents are never shuffled; two passes over them (rarity, matching). Windows are made by Spark and dealt by
-hash into blocks of about BLOCK_WORDS windows; the driver holds one block at a time, and what is broadcast has a fixed
-bound. More blocks mean more passes over the documents (a stated query set against all rows), united by one small
-aggregation that keeps repeated rows.
+Rarity is counted once, over RARITY buckets of word hashes: words that share a bucket only change which word of a
+window is its prefix, never what is found.
+
+Scale: documents are never shuffled. Windows are made by Spark and dealt by hash into blocks of about BLOCK_WINDOWS;
+the driver holds one block at a time, and its index (about 50 MB) is what is broadcast. More blocks mean more passes
+over the documents (a stated query set against all rows), united by one small aggregation that keeps repeated rows.
 
 Words: A-Z lower-cased, then runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`. Null or empty texts have no words.
 Repeated items count once by item_id; an item_id of null is named `null`. An empty benchmark hits nothing.
@@ -22,13 +24,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import coded_words, materialize, small_batches
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+#: Most windows of an index on average: a bound on what each Python worker and the driver hold.
+BLOCK_WINDOWS = 100_000
+RARITY = 1 << 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -40,14 +45,15 @@ def words(text: bytes | None) -> list[bytes]:
 class Index:
     """Windows of a block of items, found by their rarest word."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], count: dict[bytes, int], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], count: np.ndarray, window: int):
+        often = lambda w: count[xxhash.xxh64_intdigest(w) % RARITY]
         self.items: dict[tuple, set[str]] = defaultdict(set)
         prefix: dict[bytes, set[tuple[int, int]]] = defaultdict(set)
         for item, ws in items:
             for at in range(max(1, len(ws) - window + 1)) if ws else ():
                 w = tuple(ws[at : at + window])
                 self.items[w].add(item)
-                rarest = min(range(len(w)), key=lambda i: (count.get(w[i], 0), w[i], i))
+                rarest = min(range(len(w)), key=lambda i: (often(w[i]), w[i], i))
                 prefix[w[rarest]].add((rarest, len(w)))
         self.prefix = {w: sorted(x) for w, x in prefix.items()}
 
@@ -81,48 +87,48 @@ def _windows(benchmark: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(made, "item_id string, win binary").distinct()
 
 
-def _blocks(benchmark: DataFrame, block_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, block_windows: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """(item, words of a window) in blocks that Spark deals; the driver collects one block at a time."""
     windows = materialize(_windows(benchmark, window))
-    blocks = max(1, -(-windows.count() // block_words))
+    blocks = max(1, -(-windows.count() // block_windows))
     for i in range(blocks):
         rows = windows.filter(F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == i).collect()
         yield [(r["item_id"], bytes(r["win"]).split()) for r in rows]
 
 
-def rarity(docs: DataFrame, vocabulary: list[bytes]) -> dict[bytes, int]:
-    """How often each word of the vocabulary occurs in all documents. Counts are summed in each task first."""
-    if not vocabulary:
-        return {}
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+def _plain(texts: pa.Array) -> pa.Array:
+    """binary texts with A-Z lower-cased and a space for every other ASCII byte that is no letter or digit."""
+    if texts.offset or len(texts.buffers()) != 3:
+        texts = pa.concat_arrays([texts, texts[:0]]) if len(texts) else pa.array([], pa.binary())
+    flat, offsets, data = texts.buffers()
+    data = pa.py_buffer(data.to_pybytes().translate(_LOWER)) if data else data
+    return pa.Array.from_buffers(pa.string(), len(texts), [flat, offsets, data], offset=texts.offset)
+
 
+def rarity(docs: DataFrame) -> np.ndarray:
+    """How often the words of each bucket occur in all documents. Counts are summed in each task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total = shared.value, np.zeros(len(shared.value) + 1, np.int64)
+        total = np.zeros(RARITY, np.int64)
         for b in small_batches(batches):
-            for t in b.column(0).to_pylist():
-                ws = words(t)
-                found = np.fromiter((ids.get(w, -1) for w in ws), np.int64, len(ws))
-                total += np.bincount(found + 1, minlength=len(total))
-        at = np.nonzero(total[1:])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1:][at])], names=["word", "n"])
-
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word long, n long")
-    rows = counted.groupBy("word").agg(F.sum("n").alias("n")).collect()  # bounded by the block's vocabulary
-    return {vocabulary[r["word"]]: r["n"] for r in rows}
-
+            known, at, _ = coded_words(_plain(b.column(0)))
+            total += np.bincount((known % np.uint64(RARITY)).astype(np.int64)[at], minlength=RARITY)
+        full = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["bucket", "n"])
 
-def _index(docs: DataFrame, block: list[tuple[str, list[bytes]]], window: int) -> Index:
-    vocabulary = sorted({w for _, ws in block for w in ws})
-    return Index(block, rarity(docs, vocabulary), window)
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "bucket long, n long")
+    out = np.zeros(RARITY, np.int64)
+    for r in counted.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most RARITY rows
+        out[r["bucket"]] = r["n"]
+    return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, hits (positions of hit words), items (sorted ids): one row for each row of docs."""
     slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, text_hash long, hits array<int>, items array<string>"
-    found = []
-    for block in _blocks(benchmark, block_words, window):
-        shared = docs.sparkSession.sparkContext.broadcast(_index(docs, block, window))
+    found, counts = [], rarity(docs)
+    for block in _blocks(benchmark, block_windows, window):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, counts, window))
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -145,15 +151,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     return rows.withColumn("_", copy).drop("text_hash", "copies", "_")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents, with all their columns, in which no benchmark window occurs. No shuffle."""
-    for block in _blocks(benchmark, block_words, window):
-        shared = docs.sparkSession.sparkContext.broadcast(_index(docs, block, window))
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents, with all their columns, in which no benchmark window occurs. No shuffle; each block after the
+    first reads what the one before it left."""
+    counts = rarity(docs)
+    for i, block in enumerate(_blocks(benchmark, block_windows, window)):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, counts, window))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in small_batches(batches):
                 texts = b.column("text").cast(pa.binary()).to_pylist()
                 yield b.filter(pa.array([not shared.value.find(words(t))[0] for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = (materialize(docs) if i else docs).mapInArrow(keep, docs.schema)
     return docs
