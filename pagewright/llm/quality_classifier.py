@@ -6,8 +6,8 @@ before, lines equal to an earlier line, words that end in punctuation. All grade
 ordered thresholds cut the score into grades: P(grade <= k) = sigmoid(threshold[k] - score). Out come the expected
 grade and tail probabilities.
 
-Training takes at most TRAIN_ROWS labelled documents (those with the smallest md5 of doc_id), so that what the driver
-fits is bounded; scoring is one pass over all documents without a shuffle, with the weights (BUCKETS floats) broadcast.
+Training takes at most TRAIN_ROWS labelled documents, those with the smallest md5 of doc_id, and of these, in that
+order, as many as have TRAIN_CELLS features in all; each with all its features. So what the driver fits is bounded; scoring is one pass over all documents without a shuffle, with the weights (BUCKETS floats) broadcast.
 
 Null and empty texts have no features and score 0. Without labels of two grades, every document gets the highest
 grade. Repeated rows score alike. Whole texts count, whatever their length.
@@ -25,19 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import discard, held, materialize, small_batches
 
 BUCKETS = 1 << 20
-TRAIN_ROWS = 12_000
-#: Most features of one training document that are used: bounds the driver's memory at TRAIN_ROWS times this.
-TRAIN_FEATURES = 4_000
+#: Bounds of the sample of labelled rows that training takes: rows, and features of all of them together.
+TRAIN_ROWS, TRAIN_CELLS = 12_000, 20_000_000
 GRADES = 3
 ROUNDS = 400
 RATE = 0.1
 #: Weight of the absolute values of weights, and the least training documents that a feature must be in.
 L1 = 2e-4
 LEAST_DOCS = 5
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_CHARS = 200_000, 32
 _MARKED = re.compile(rb"[!-/:-@\[-`{-~](?=[\x20\x09-\x0D]|$)")
 _EDGE = re.compile(rb"^([!-/:-@\[-`{-~]*)(.*?)([!-/:-@\[-`{-~]*)$", re.DOTALL)
 
@@ -49,14 +48,11 @@ class _Buckets(dict):
         left, core, right = _EDGE.match(word.lower()).groups()
         marks = left + right
         found = (xxhash.xxh64_intdigest(b"w" + core) % BUCKETS if core else -1, xxhash.xxh64_intdigest(b"p" + marks) % BUCKETS if marks else -1)
-        if len(self) < CACHE_WORDS:
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_CHARS:
             self[word] = found
         return found
 
 
-_CACHE = _Buckets()
-
-
 def features(text: bytes | None) -> np.ndarray:
     """The distinct buckets of a text."""
     if not text:
@@ -71,7 +67,8 @@ def features(text: bytes | None) -> np.ndarray:
         len(_MARKED.findall(text)) / n,
     )
     tenths = [xxhash.xxh64_intdigest(b"s%d:%d" % (i, min(9, int(10 * x)))) % BUCKETS for i, x in enumerate(shares)]
-    found = np.array([x for w in own for x in _CACHE[w]] + tenths, np.int32)
+    buckets = held("word buckets", _Buckets)
+    found = np.array([x for w in own for x in buckets[w]] + tenths, np.int32)
     found = np.unique(found)
     return found[found >= 0]
 
@@ -131,20 +128,26 @@ def fit(indices: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, r
     return OrdinalModel(weights, cuts, n_grades, n)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **options) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, cells: int = TRAIN_CELLS, **options) -> OrdinalModel:
     """labels: doc_id and grade (null: not rated)."""
     chosen = labels.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    chosen = chosen.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
+    chosen = chosen.select("doc_id", "grade", F.md5(F.col("doc_id").cast("string")).alias("place")).orderBy("place", "doc_id").limit(rows)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             found = [features(t) for t in b.column("text").to_pylist()]
-            step = [f[:: len(f) // TRAIN_FEATURES + 1] for f in found]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array(step, pa.list_(pa.int32()))], names=["doc_id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), b.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "place", "grade", "features"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    joined = texts.join(chosen.select("doc_id", F.col("grade").cast("int").alias("grade")), "doc_id").dropDuplicates(["doc_id"])
-    got = joined.mapInArrow(made, "doc_id long, grade int, features array<int>").toArrow().sort_by("doc_id")
+    joined = texts.join(chosen.select("doc_id", "place", F.col("grade").cast("int").alias("grade")), "doc_id").dropDuplicates(["doc_id"])
+    found = materialize(joined.mapInArrow(made, "doc_id long, place string, grade int, features array<int>"))
+    sizes = found.select("place", "doc_id", F.size("features").alias("n")).toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])  # at most `rows` rows
+    fitting, fits = found, np.cumsum(sizes.column("n").to_numpy()) <= cells
+    if fits.any() and not fits.all():
+        place, doc_id = (sizes.column(c)[int(fits.sum()) - 1].as_py() for c in ("place", "doc_id"))
+        fitting = found.filter((F.col("place") < place) | ((F.col("place") == place) & (F.col("doc_id") <= doc_id)))
+    got = fitting.select("doc_id", "grade", "features").toArrow().sort_by("doc_id")
+    discard(found)
     lists = got.column("features").combine_chunks()
     flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
     return fit([flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], got.column("grade").to_numpy().astype(np.int64), **options)
