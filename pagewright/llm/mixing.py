@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame operations only.
 
-Each source's documents are shuffled (by an md5 of doc_id and seed). A document's virtual finish time is its
+Each source's documents are shuffled (by an md5 of doc_id, or of the text where it is null, and seed). A document's virtual finish time is its
 source's cumulative words divided by the source's target; the second pass over a source goes on where the first
 ended. All copies are put in order of finish time and cut where their words reach the total budget.
 
@@ -29,6 +29,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(mix_source, source_size, target): words by source and how many the mix should take of them.
 
@@ -49,24 +53,25 @@ def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 
 def schedule(docs: DataFrame, digits: int = 3, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, cut). documents: doc_id, mix_source, size, shuffle_key, source_size, target and copies, an array of
+    """(documents, cut). documents: doc_id, mix_source, size, shuffle_key, mix_key, source_size, target and copies, an array of
     (finish, copy) for each pass. cut: one row with the slot in which the budget ends and the last copy in it.
 
     Null texts have size 0, a null source is a source of its own, repeated rows are rows of their own. Nothing else of
     the input is read, so extra columns do no harm. An empty table gives no documents and a cut of nulls."""
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed))))
-    sized = docs.select("doc_id", F.col("source").alias("mix_source"), n_words(F.col("text")).alias("size"), key.alias("shuffle_key"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")))))
+    key = F.md5(F.concat_ws(":", name, F.lit(str(seed))))
+    sized = docs.select("doc_id", F.col("source").alias("mix_source"), n_words(F.col("text")).alias("size"), key.alias("shuffle_key"), row_key().alias("mix_key"))
     sized = materialize(sized).withColumn("bucket", F.substring("shuffle_key", 1, digits))
     part = sized.groupBy("mix_source", "bucket").agg(F.sum("size").alias("part"))
     earlier = F.coalesce(F.sum("part").over(W.partitionBy("mix_source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     part = part.select("mix_source", "bucket", earlier.alias("earlier"))
     targets = source_targets(sized, weights, share, most)
     part = part.alias("p").join(targets.alias("t"), F.col("p.mix_source").eqNullSafe(F.col("t.mix_source"))).select(F.col("p.mix_source").alias("s"), F.col("bucket").alias("b"), "earlier", "source_size", "target")
-    inside = W.partitionBy("mix_source", "bucket").orderBy("shuffle_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("mix_source", "bucket").orderBy("shuffle_key", "doc_id", "size", "mix_key").rowsBetween(W.unboundedPreceding, 0)
     timed = sized.withColumn("inside", F.sum("size").over(inside))
     timed = timed.join(part, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     copies = [F.struct(((F.col("source_size") * i + F.col("earlier") + F.col("inside")) / F.col("target")).alias("finish"), F.lit(i).alias("copy")) for i in range(most)]
-    timed = timed.select("doc_id", "mix_source", "size", "shuffle_key", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), F.array(*copies)).alias("copies"))
+    timed = timed.select("doc_id", "mix_source", "size", "shuffle_key", "mix_key", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), F.array(*copies)).alias("copies"))
     timed = materialize(timed)
     return timed, _cut(timed, share)
 
@@ -105,7 +110,7 @@ def take(docs: DataFrame, **options) -> DataFrame:
     timed, cut = schedule(docs, **options)
     timed = timed.join(F.broadcast(cut), F.lit(True), "left")
     times = F.aggregate(F.coalesce(F.transform("copies", lambda c: F.when(_in(c["finish"], c["copy"]), 1).otherwise(0)), F.array(F.lit(0))), F.lit(0), lambda a, x: a + x)
-    return timed.select("doc_id", "size", "source_size", "target", "mix_source", "shuffle_key", "copies", "cut_slot", "edge", times.alias("times"), (F.col("size") * times).alias("taken"))
+    return timed.select("doc_id", "size", "source_size", "target", "mix_source", "shuffle_key", "mix_key", "copies", "cut_slot", "edge", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
 def mix(docs: DataFrame, partitions: int | None = None, ordered: bool = True, **options) -> DataFrame:
@@ -113,12 +118,24 @@ def mix(docs: DataFrame, partitions: int | None = None, ordered: bool = True, **
     within partitions) or, with ordered=False, without that last exchange of the texts. Columns mix_finish and mix_copy
     are added, in place of any of these names in docs.
 
-    Documents are found again by doc_id and number of words; repeated rows that agree in both are dealt alike."""
+    Rows are found again by doc_id and a hash of doc_id, source and text. Rows that agree in both are alike to the mix;
+    such rows are numbered on either side, so that together they give just the words that `take` says."""
     docs = docs.drop("mix_finish", "mix_copy")
-    chosen = take(docs, **options).filter("times > 0").dropDuplicates(["doc_id", "size"])
-    chosen = chosen.select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.slice("copies", F.lit(1), F.col("times")).alias("_mix_copies"))
-    out = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & (n_words(docs["text"]) == F.col("_mix_size")))
-    out = out.withColumn("_mix", F.explode("_mix_copies")).select(*[docs[c] for c in docs.columns], F.col("_mix.finish").alias("mix_finish"), F.col("_mix.copy").alias("mix_copy"))
+    taken = take(docs, **options).filter("size > 0")
+    taken = materialize(taken.select(F.col("mix_key").alias("_mix_key"), F.col("doc_id").alias("_mix_id"), F.slice("copies", F.lit(1), F.col("times")).alias("_mix_copies")))
+    more = materialize(taken.groupBy("_mix_key", "_mix_id").agg(F.count(F.lit(1)).alias("_mix_rows")).filter("_mix_rows > 1").select(F.col("_mix_key").alias("_more_key"), F.col("_mix_id").alias("_more_id")))
+    keyed, chosen = docs.withColumn("_key", row_key()), taken.filter(F.size("_mix_copies") > 0)
+    same = (F.col("_key") == F.col("_mix_key")) & F.col("doc_id").eqNullSafe(F.col("_mix_id"))
+    if not more.limit(1).count():
+        out = keyed.join(chosen, same)
+    else:
+        left = (F.col("_key") == F.col("_more_key")) & F.col("doc_id").eqNullSafe(F.col("_more_id"))
+        right = (F.col("_mix_key") == F.col("_more_key")) & F.col("_mix_id").eqNullSafe(F.col("_more_id"))
+        out = keyed.join(chosen.join(more, right, "left_anti"), same)
+        numbered = keyed.join(more, left, "left_semi").withColumn("_no", F.row_number().over(W.partitionBy("_key", "doc_id").orderBy("_key")))
+        places = chosen.join(more, right, "left_semi").withColumn("_mix_no", F.row_number().over(W.partitionBy("_mix_key", "_mix_id").orderBy("_mix_copies")))
+        out = out.unionByName(numbered.join(places, same & (F.col("_no") == F.col("_mix_no"))).drop("_no", "_mix_no"))
+    out = out.withColumn("_mix", F.explode("_mix_copies")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_mix.finish").alias("mix_finish"), F.col("_mix.copy").alias("mix_copy"))
     if not ordered:
         return out
     order = ["mix_finish", "mix_copy", "doc_id"]
