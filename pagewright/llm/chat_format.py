@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import grouped, small_batches
@@ -46,24 +47,29 @@ def unescape(s: str) -> str:
 
 
 def fold(kinds: list, ids: list, roles: list, texts: list) -> list[tuple[str, str]]:
-    """The final (role, text) messages of events in order."""
-    out: list[list] = []  # id, role, parts of the text
+    """The final (role, text) messages of events in order. Places of each id are kept, so an event costs the same in a
+    conversation of any length."""
+    out: list[list | None] = []  # id, role, parts of the text; None: deleted
+    places: dict = {}
     for kind, i, role, text in zip(kinds, ids, roles, texts, strict=True):
-        at = next((k for k in range(len(out) - 1, -1, -1) if out[k][0] == i), None) if kind != "message" else None
-        if kind == "message" or at is None and kind in ("delta", "edit"):
+        of = places.setdefault(i, [])
+        if kind == "message" or not of and kind in ("delta", "edit"):
+            of.append(len(out))
             out.append([i, role or "", [text or ""]])
-        elif at is None:
+        elif not of:
             continue
         elif kind == "delta":
-            out[at][2].append(text or "")
+            out[of[-1]][2].append(text or "")
         elif kind == "edit":
-            out[at][2] = [text or ""]
+            out[of[-1]][2] = [text or ""]
         elif kind == "regenerate":
-            out[at][2] = [text or ""]
-            del out[at + 1 :]
+            out[of[-1]][2] = [text or ""]
+            while len(out) > of[-1] + 1:
+                if (gone := out.pop()) is not None:
+                    places[gone[0]].pop()
         elif kind == "delete":
-            del out[at]
-    return [(role, "".join(parts)) for _, role, parts in out]
+            out[of.pop()] = None
+    return [(m[1], "".join(m[2])) for m in out if m is not None]
 
 
 def render(messages: list[tuple[str, str]], loss_role: str = LOSS_ROLE) -> tuple[str, list[int], list[int]]:
@@ -88,6 +94,22 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), F.col("turn").cast("long").alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def as_streamed(conversations: DataFrame) -> DataFrame:
+    """The events that a log of (conv_id, turn, role, text) would have, had each text been streamed: a user's text is
+    drafted and edited; any other is begun, regenerated and streamed in two deltas. Rows of one turn are told apart by a
+    number in order of role and text."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda step, kind, part: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), part.alias("text"))
+    first, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    user = F.array(event(0, "message", first), event(1, "edit", text))
+    other = F.array(event(0, "message", F.reverse(text)), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", rest))
+    number = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    d = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").withColumn("message", number)
+    d = d.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.explode(F.when(F.col("role") == "user", user).otherwise(other)).alias("e"))
+    return d.select("conv_id", (F.col("message") * 4 + F.col("e.step")).alias("seq"), "e.kind", "message", "role", "e.text")
+
+
 def format_chats(events: DataFrame) -> DataFrame:
     """conv_id, n_turns, formatted, loss_starts, loss_ends: one row for each conversation with events."""
     def batch(rows: list[tuple]) -> pa.RecordBatch:
