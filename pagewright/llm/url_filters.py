@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (rule, verdict): host, then the start of the path.
@@ -18,6 +18,14 @@ NGRAM = 3
 FEATURES = 4096
 #: Most labelled urls that training uses: those with the smallest md5.
 TRAIN_ROWS = 2_000
+#: Labelled urls by what their hosts and paths say, for both labels with common starts, endings and paths.
+BLOCKED = """casino-win casino-royal mega-casino online-casino lucky-casino free-bets best-bets bets-now sport-bets bet-win win-cash cash-win spam-farm
+link-farm seo-spam content-farm farm-links cheap-pills pills-shop buy-pills diet-pills pills-online adult-x adult-cams x-adult xxx-video hot-adult ads-track
+track-ads ads-server click-ads adtrack popup-ads poker-win free-poker slots-win malware-load keygen-crack warez-free crack-free phish-login""".split()
+ALLOWED = """news daily weather library museum school college history science garden kitchen recipes travel maps music theatre cinema sports
+health medicine doctor lawyer council city village river mountain forest farming market books poems letters journal review
+physics maths chemistry biology language grammar dictionary teacher parents children family people country nation theory
+motion station nature culture others author father mother weather-report thunder theory-of thread""".split()
 
 
 def host(url: Column) -> Column:
@@ -93,13 +101,21 @@ def by_rule(col: Column, rules: list[tuple[str, str]] = RULES) -> Column:
     return reduce(lambda c, r: c.when(col == r[0], F.lit(r[1])), rules[1:], F.when(col == rules[0][0], F.lit(rules[0][1])))
 
 
-def judge(pages: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """host, path, label: the small labelled table that the query trains on. Urls without a host are labelled block, as
+    nothing can be fetched from them."""
+    rows = [("", "", 1), ("", "/", 1), ("", "/en/1", 1)]
+    ends, starts, paths = ("com", "org", "net"), ("", "www.", "m.", "blog."), ("/", "/en/{}.html", "/de/{}", "/fr/{}", "/es/{}.html", "/en/{}")
+    for label, names in ((1, BLOCKED), (0, ALLOWED)):
+        for i, name in enumerate(names):
+            for k in range(6):
+                rows.append((f"{starts[(i + k) % 4]}{name}.example.{ends[(i + k) % 3]}", paths[k].format(100 + 37 * i + 11 * k), label))
+    return spark.createDataFrame(rows, "host string, path string, label int")
+
+
+def judge(pages: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block. The rule decides; else the regression does, trained on `labelled`
-    or, without it, on those urls of pages that a rule decides. Empty hosts are blocked: nothing can be fetched from
-    them. One row for each row of pages, repeated rows included."""
-    df = parts(pages)
-    if labelled is None:
-        labelled = df.select("host", "path", F.when(by_rule(F.col("rule")) == "block", 1).when(F.col("rule").isNotNull(), 0).alias("label"))
-    scored = train(labelled).p_block(df)
-    free = F.when((F.col("host") == "") | (F.col("p_block") >= threshold), "block").otherwise("allow")
+    (host, path, label). One row for each row of pages, repeated rows included."""
+    scored = train(labelled).p_block(parts(pages))
+    free = F.when(F.col("p_block") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce(by_rule(F.col("rule")), free).alias("verdict"), "p_block")
