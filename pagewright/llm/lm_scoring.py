@@ -1,23 +1,26 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
 Tokens are words (A-Z lower-cased) and one end for each text. Each token before (the end stands before the first) is a
-context with a restaurant of its own. Every table of a context sends one customer to the restaurant of the context's
-bucket (CONTEXTS buckets of contexts), every table of a bucket sends one to the root restaurant that all share, whose
-base is uniform over the training vocabulary and one unknown word. Tables are sampled by blocked Gibbs sweeps: in a
-sweep the customers of each (restaurant, word) are seated anew in the Chinese-restaurant way, given the restaurants'
-table totals and the parents' probabilities of the sweep before. PAIR_SWEEPS sweeps seat the contexts; between them
-buckets and root are swept once, at the end `sweeps` times, and their predictive probabilities are averaged over the
-sweeps after burn-in. log10 of predictive probabilities add up to scores and perplexities.
-
-Scale: (token before, word) pairs are rows, summed in each batch, then by pair; only pairs seen twice or more need a
-seat drawn, and their joins with contexts and words are by key. For buckets, a word's row has its customers in all
-of them, so a sweep is a map over word rows without a shuffle, and only table totals (CONTEXTS + 2 numbers) come to the
-driver. Sweeps are a function of row, seed and totals, so lost executors change nothing. For scoring, the HEAVY most
-frequent pairs are broadcast; tokens of all others, which no broadcast could hold, are joined with the pairs by key.
-Pairs that only texts outside training have are rows too, of count 0. Counts and probabilities cover all training texts.
-
-From the eighth customer on, an eighth of those seated so far are seated at once, with the expected number of new
-tables, rounded by chance. Words are known by 58 bits of their hash, pairs by 64.
+context with a restaurant of its own; all contexts share one parent, the root restaurant, to which every table of a
+context sends a customer and whose base is uniform over the training vocabulary and one unknown word. Seats are sampled
+in the Chinese-restaurant way by blocked Gibbs sweeps: root, then SWEEPS of all contexts given the root (a sweep seats
+the customers of each pair anew, given its context's tables of the sweep before), then the root again given the tables
+of the last sweep. Predictive probabilities are averaged over the sweeps after burn-in; their log10 add up to scores
+and perplexities. The discounts of contexts and root are estimated from how many pairs and words have one and two
+customers.
+
+The first EXACT customers of a pair draw one by one whether they open a table; those after them draw in blocks of a
+sixteenth of those seated, by a binomial with the probability at the block's start.
+
+Scale: pairs are dealt into shards of about SHARD_TOKENS tokens by context. A task sums the pairs of its batch, and
+what is shuffled is one packed, compressed row of each batch for each shard, so neither tokens nor pairs are Spark
+rows. A shard has its contexts whole, so seats need no other shard; contexts that a sample of texts finds often are
+spread over several shards by word, and their totals, one small row from each such shard, are summed by Spark. Words
+are dealt into shards of their own, which get each context shard's part of their counts and answer with probabilities;
+those of the HEAVY_WORDS most frequent are broadcast instead. Pairs that occur once, in training texts only, are
+not stored: a pair of a text that is not found is one of these. Draws depend on shard and seed alone and packed rows
+are merged in sorted order, so lost executors change nothing. Words are known by 64 bits of their hash, pairs by 64.
+Counts and probabilities cover all training texts, and what is gathered grows with them.
 
 Null texts are empty (one end token); a null doc_id counts as the empty text for the split. Rows that agree in doc_id
 and text score alike, as often as they come. Without training texts every word is unknown and N is 0.
@@ -25,25 +28,31 @@ and text score alike, as often as they come. Without training texts every word i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import coded_words, discard, materialize, mixed, small_batches
 
-BITS = 5
-CONTEXTS = 1 << BITS
-HEAVY = 1_000_000
-SWEEPS, BURN_IN = 3, 1
-PAIR_SWEEPS = 2
-STRENGTH, PAIR_STRENGTH = 10.0, 1.0
+#: Tokens of a shard, about; characters of a token, for the number of shards; most bits of that number.
+SHARD_TOKENS, TOKEN_CHARS, MOST_BITS = 5_000_000, 6, 22
+#: Texts that are sampled to find frequent contexts. They decide where pairs are kept, not what is counted.
+HOT_SAMPLE = 4_000
+HEAVY_WORDS = 500_000
+SWEEPS, BURN_IN, EXACT = 4, 1, 64
+STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 SEED = 11
-WORD_SHIFT = 6
+#: Rows of packed arrays: kind, the shard they go to, the shard they come from. Shards read them in order of kind.
+PACKED = "kind int, shard int, source int, payload binary"
+CONTEXTS, PAIRS, WORDS, ANSWERS, MORE, QUERIES = 0, 1, 2, 3, 4, 5
+CHUNK = 250_000
 #: No word has a space, so no word has this hash.
 END = np.uint64(xxhash.xxh64_intdigest(" end"))
 
@@ -53,297 +62,637 @@ def held_out(doc_id: Column) -> Column:
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key of each token's pair, word before each token, tokens of each text). Words are 58 bits of their hash."""
+    """(hash of each token, hash of the token before it, tokens of each text)."""
     known, at, counts = coded_words(texts, lower=True)
     n = counts + 1
-    place = np.empty(len(at) + len(counts), np.int64)
-    last = np.cumsum(n) - 1
+    place = np.full(len(at) + len(counts), len(known), np.int64)
     inner = np.ones(len(place), bool)
-    inner[last] = False
-    place[inner], place[last] = at, len(known)
-    word = (np.append(known, END) >> np.uint64(WORD_SHIFT)).astype(np.int64)[place]
-    before = np.concatenate([word[-1:], word[:-1]])  # the last token is an end
-    return before ^ (word << WORD_SHIFT), before, n
+    inner[np.cumsum(n) - 1] = False
+    place[inner] = at
+    word = np.append(known, END)[place]
+    return word, np.concatenate([word[-1:], word[:-1]]), n  # the last token is an end
 
 
-def _word() -> Column:
-    """The word of a pair, from its key and the word before."""
-    return F.shiftrightunsigned(F.col("key").bitwiseXOR(F.col("u")), WORD_SHIFT)
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(mixed(before) + word)
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("u"), F.lit(CONTEXTS)).cast("int")
+def pack(*arrays: np.ndarray) -> bytes:
+    head = np.array([len(a) for a in arrays], np.uint32).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
-def pairs(docs: DataFrame, learn: Column) -> DataFrame:
-    """key, u (the token before), c (in texts where `learn` holds), n (in all): one row for each distinct pair."""
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 8192):
-            key, before, n = tokens(b.column("text"))
-            learnt = np.repeat(b.column("learn").to_numpy(zero_copy_only=False), n)
-            for part in (True, False):
-                own = np.nonzero(learnt == part)[0]
-                keys, first, count = np.unique(key[own], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(before[own][first]), pa.array(count * part, pa.int64()), pa.array(count, pa.int64())], names=["key", "u", "c", "n"])
+def unpack(data: bytes, kinds: str) -> list[np.ndarray]:
+    raw, out = zstandard.ZstdDecompressor().decompress(data), []
+    sizes, at = np.frombuffer(raw, np.uint32, len(kinds.split())), 4 * len(kinds.split())
+    for kind, n in zip(kinds.split(), sizes.tolist(), strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
 
-    counted = docs.select("text", learn.alias("learn")).mapInArrow(made, "key long, u long, c long, n long")
-    return counted.groupBy("key").agg(F.first("u").alias("u"), F.sum("c").alias("c"), F.sum("n").alias("n"))
 
+def packed_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "shard", "source", "payload"])
 
-def _word_parts(rows: DataFrame, c: Column, t: Column) -> DataFrame:
-    return rows.select(_word().alias("word"), _bucket().alias("context"), c.alias("c"), t.alias("t")).groupBy("word", "context").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
 
+@dataclass
+class Shards:
+    """Where pairs and words are kept: 2**bits shards by context, frequent contexts over the next few, by word."""
 
-def _word_rows(parts: DataFrame) -> DataFrame:
-    """word, c, contexts, counts (customers in each bucket) from the parts."""
-    each = parts.groupBy("word", "context").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).groupBy("word")
-    each = each.agg(F.sum("c").alias("c"), F.array_sort(F.collect_list(F.struct(F.col("context").cast("tinyint").alias("context"), "t"))).alias("x"))
-    return each.select("word", "c", F.col("x.context").alias("contexts"), F.col("x.t").alias("counts"))
+    bits: int
+    hot: np.ndarray
+    spread: np.ndarray
 
+    @property
+    def count(self) -> int:
+        return 1 << self.bits
 
-def count(docs: DataFrame) -> DataFrame:
-    """word, c, contexts, counts: one row for each distinct token of docs, with one table for each pair."""
-    return _word_rows(_word_parts(pairs(docs, F.lit(True)), F.col("c"), F.lit(1)))
+    def of_words(self, word: np.ndarray) -> np.ndarray:
+        return (mixed(word ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.count)).astype(np.int32)
 
+    def of_pairs(self, before: np.ndarray, key: np.ndarray) -> np.ndarray:
+        home = mixed(before) % np.uint64(self.count)
+        if len(self.hot):
+            slot = np.minimum(np.searchsorted(self.hot, before), len(self.hot) - 1)
+            own = self.hot[slot] == before
+            home[own] = (home[own] + (key[own] >> np.uint64(20)) % self.spread[slot[own]]) % np.uint64(self.count)
+        return home.astype(np.int32)
 
-@dataclass
-class Totals:
-    """What sweeps know of the whole: by sweep, tables of each context and the root's customers and tables."""
 
-    n: int
-    v: int
-    customers: np.ndarray
-    discount: float
-    root_discount: float
-    tables: list[np.ndarray] = field(default_factory=list)
-    root_customers: list[float] = field(default_factory=list)
-    root_tables: list[float] = field(default_factory=list)
+def plan(docs: DataFrame) -> Shards:
+    """The shards for docs (text)."""
+    rows, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    bits = min(MOST_BITS, max(0, int(np.ceil(np.log2(max(1.0, chars / TOKEN_CHARS / SHARD_TOKENS))))))
+    none = np.empty(0, np.uint64)
+    if not bits:
+        return Shards(0, none, none)
 
-    def gamma(self, sweep: int) -> np.ndarray:
-        """The weight of the root in each context's predictive probability."""
-        return (STRENGTH + self.discount * self.tables[sweep]) / (STRENGTH + self.customers)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            u, c = np.unique(tokens(b.column(0))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["u", "c"])
+
+    some = docs.select("text").sample(fraction=min(1.0, HOT_SAMPLE / max(1, rows)), seed=SEED)
+    found = materialize(some.mapInArrow(made, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")))
+    total = found.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    hot = found.filter(F.col("c") * 4 * (1 << bits) > total).orderBy("u").collect()  # at most four for each shard
+    discard(found)
+    u = np.array([r["u"] for r in hot], np.int64).view(np.uint64)
+    spread = np.array([min(1 << bits, -(-4 * r["c"] * (1 << bits) // total)) for r in hot], np.uint64)
+    order = np.argsort(u)
+    return Shards(bits, u[order], spread[order])
+
+
+def seat(n: np.ndarray, new: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of n customers of each dish: after k customers the next one opens a table with probability
+    new / (new + k - discount * tables)."""
+    t = np.minimum(n, 1).astype(np.float64)
+    at, k = np.nonzero(n > 1)[0], 1
+    while len(at):
+        p = new[at] / (new[at] + k - discount * t[at])
+        block = 1 if k < EXACT else k // 16
+        t[at] += rng.random(len(at)) < p if block == 1 else rng.binomial(np.minimum(block, n[at] - k), p)
+        k += block
+        at = at[n[at] > k]
+    return t
 
-    def unknown(self, sweep: int) -> float:
-        """The root probability of a word that training lacks."""
-        return (STRENGTH + self.root_discount * self.root_tables[sweep]) / (self.v + 1) / (STRENGTH + self.root_customers[sweep])
 
+def share(one: int, two: int) -> float:
+    """A discount from the numbers of dishes with one and two customers."""
+    return float(np.clip(one / max(1.0, one + 2 * two), 0.05, 0.95))
 
-def _uniform(words: np.ndarray, salt: int) -> np.ndarray:
-    return (mixed(words ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
+def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys, sorted, and the sums of values by key."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.empty(0, np.int64)
+    return [keys[starts], *[np.add.reduceat(v[order], starts) if len(keys) else v for v in values]]
 
-def seat(n: np.ndarray, new: np.ndarray, discount: float, names: np.ndarray, salt: int) -> np.ndarray:
-    """Tables of n customers of each dish: customer k + 1 opens one with probability new / (new + k - discount * t)."""
-    t = np.ones(len(n))
-    at, k, step = np.nonzero(n > 1)[0], 1, 0
-    while len(at):
-        block = np.minimum(max(1, k // 8), n[at] - k)
-        p = new[at] / (new[at] + k - discount * t[at])
-        t[at] += np.floor(block * p + _uniform(names[at], (salt << 10) + step))
-        k, step = k + max(1, k // 8), step + 1
-        at = at[n[at] > k]
-    return np.minimum(t, n)
-
-
-def _replay(b: pa.RecordBatch, totals: Totals, sweeps: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(tables, root customers, root tables) of the batch's words after each sweep from 0 on; sweep 0 has one table for
-    each word and context."""
-    lists = b.column("counts")
-    n, cuts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    starts, sizes = cuts[:-1] - cuts[0], np.diff(cuts)
-    word = b.column("word").to_numpy().view(np.uint64)
-    context = b.column("contexts").flatten().to_numpy().astype(np.int64)
-    names = mixed(np.repeat(word, sizes) * np.uint64(CONTEXTS) + context.astype(np.uint64))
-    t, root = np.ones(len(n)), np.ones(len(word))
-    add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.empty(0)
-    customers = add(t)
-    yield t, customers, root
-    for s in range(1, sweeps + 1):
-        p_root = _root(customers, root, totals, s - 1)
-        new = ((STRENGTH + totals.discount * totals.tables[s - 1])[context]) * np.repeat(p_root, sizes)
-        t = seat(n, new, totals.discount, names, SEED * 64 + 2 * s)
-        customers = add(t)
-        base = (STRENGTH + totals.root_discount * totals.root_tables[s - 1]) / (totals.v + 1)
-        root = seat(customers, np.full(len(word), base), totals.root_discount, word, SEED * 64 + 2 * s + 1)
-        yield t, customers, root
-
-
-def _root(customers: np.ndarray, tables: np.ndarray, totals: Totals, sweep: int) -> np.ndarray:
-    known = (customers - totals.root_discount * tables) / (STRENGTH + totals.root_customers[sweep])
-    return known + totals.unknown(sweep)
-
-
-def _summed(counts: DataFrame, of, size: int) -> np.ndarray:
-    """The sum over all word rows of of(batch), an array of `size` numbers: summed in each task, then in Spark."""
+
+def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of wanted among sorted keys, whether they are there)."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def by_shard(rows: DataFrame, n: int, make: Callable[[int, Iterator[tuple[int, int, bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """make(shard, its (kind, source, payload) in order) for each shard that has rows. A task streams its shards."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat() -> Iterator[tuple[int, int, int, bytes]]:
+            for b in small_batches(batches, 64):
+                yield from zip(*(b.column(c).to_pylist() for c in ("shard", "kind", "source", "payload")), strict=True)
+
+        rest = flat()
+        row = next(rest, None)
+        while row is not None:
+            shard = row[0]
+
+            def own(shard=shard) -> Iterator[tuple[int, int, bytes]]:
+                nonlocal row
+                while row is not None and row[0] == shard:
+                    yield row[1:]
+                    row = next(rest, None)
+
+            mine = own()
+            yield from make(shard, mine)
+            for _ in mine:  # what make left
+                pass
+
+    dealt = rows.repartition(min(n, 20_000), "shard").sortWithinPartitions("shard", "kind", "source", "payload")
+    return dealt.mapInArrow(made, schema)
+
+
+# counting
+
+
+def _batch_pairs(text: pa.Array, shards: Shards) -> tuple:
+    """Tokens of a batch and its distinct pairs, sorted by shard and context: (pair of each token, tokens of each text,
+    shard, context and word of each pair)."""
+    word, before, n = tokens(text)
+    key = pair_keys(before, word)
+    order = np.argsort(key)
+    sorted_key = key[order]
+    new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) if len(key) else np.empty(0, bool)
+    first = order[new]
+    pair = np.empty(len(key), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    u, w, own = before[first], word[first], shards.of_pairs(before[first], key[first])
+    place = np.lexsort((u, own))
+    back = np.empty(len(place), np.int64)
+    back[place] = np.arange(len(place))
+    return back[pair], n, own[place], u[place], w[place]
+
+
+def _runs(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal neighbours as (value, number)."""
+    starts = np.nonzero(np.concatenate([[True], u[1:] != u[:-1]]))[0] if len(u) else np.empty(0, np.int64)
+    return u[starts], np.diff(np.append(starts, len(u))).astype(np.uint32)
+
+
+def _parts(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of the runs of a sorted array."""
+    value, n = _runs(of)
+    ends = np.cumsum(n)
+    yield from zip(value.tolist(), (ends - n).tolist(), ends.tolist(), strict=True)
+
+
+def batch_counts(docs: DataFrame, shards: Shards) -> DataFrame:
+    """The pairs of docs (text, learn) by batch and shard: context, word, how often in training texts, and whether in
+    others."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 16_384, 8_000_000):
+            pair, n, own, u, w = _batch_pairs(b.column("text"), shards)
+            learnt = np.repeat(b.column("learn").to_numpy(zero_copy_only=False), n)
+            c = np.bincount(pair[learnt], minlength=len(u)).astype(np.uint32)
+            held = (np.bincount(pair[~learnt], minlength=len(u)) > 0).astype(np.uint8)
+            yield packed_rows([(PAIRS, s, 0, pack(*_runs(u[i:j]), w[i:j], c[i:j], held[i:j])) for s, i, j in _parts(own)])
+
+    return docs.select("text", "learn").mapInArrow(made, PACKED)
+
+
+class _Merge:
+    """Distinct pairs of a shard; what came is merged when it is as much as what is held."""
+
+    def __init__(self) -> None:
+        self.done = [np.empty(0, k) for k in ("u8", "u8", "u8", "i8", "i8")]  # key, context, word, count, held
+        self.new: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, payload: bytes) -> None:
+        u, n, w, c, held = unpack(payload, "u8 u4 u8 u4 u1")
+        u = np.repeat(u, n)
+        self.new.append([pair_keys(u, w), u, w, c.astype(np.int64), held.astype(np.int64)])
+        self.size += len(w)
+        if self.size > max(500_000, len(self.done[0])):
+            self.merge()
+
+    def merge(self) -> list[np.ndarray]:
+        key, u, w, c, held = (np.concatenate(x) for x in zip(self.done, *self.new, strict=True))
+        self.done, self.new, self.size = [], [], 0
+        order = np.argsort(key)
+        starts = np.nonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))[0] if len(key) else np.empty(0, np.int64)
+        first = order[starts]
+        add = lambda x: np.add.reduceat(x[order], starts) if len(starts) else x
+        self.done = [key[first], u[first], w[first], add(c), add(held)]
+        return self.done
+
+
+def merged(batches: DataFrame, shards: Shards) -> DataFrame:
+    """Packed rows: CONTEXTS (context, customers, pairs), PAIRS that are stored (context, word, count) and, for the
+    shards of words, WORDS (word, count, contexts)."""
+    def make(shard: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        whole = _Merge()
+        for _, _, payload in rows:
+            whole.add(payload)
+        _, u, w, c, held = whole.merge()
+        del whole
+        learnt = c > 0
+        words = summed(w, c, learnt.astype(np.int64))
+        place = np.argsort(shards.of_words(words[0]), kind="stable")
+        words = [x[place] for x in words]
+        out = [(WORDS, s, shard, pack(words[0][i:j], words[1][i:j], words[2][i:j])) for s, i, j in _parts(shards.of_words(words[0]))]
+        del words, place
+        out.append((CONTEXTS, shard, 0, pack(*summed(u[learnt], c[learnt], learnt[learnt].astype(np.int64)))))
+        yield packed_rows(out)
+        ones, twos = int((c == 1).sum()), int((c == 2).sum())
+        keep = np.nonzero((c > 1) | (held > 0))[0]
+        keep = keep[np.lexsort((w[keep], u[keep]))]
+        u, w, c = u[keep], w[keep], c[keep]
+        for i in range(0, max(1, len(u)), CHUNK):
+            part = slice(i, i + CHUNK)
+            stat = np.array([ones, twos] if not i else [0, 0], np.int64)
+            yield packed_rows([(PAIRS, shard, i // CHUNK, pack(stat, *_runs(u[part]), w[part], c[part]))])
+
+    return by_shard(batches, shards.count, make, PACKED)
+
+
+_PAIR_KINDS = "i8 u8 u4 u8 i8"
+
+
+def _sums(rows: DataFrame, of: Callable[[int, bytes], np.ndarray], size: int) -> np.ndarray:
+    """The sum of of(kind, payload), arrays of `size` numbers, over packed rows: in each task, then in Spark."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
-        for b in batches:
-            total += of(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["k", "x"])
+        for b in small_batches(batches, 64):
+            for kind, payload in zip(b.column("kind").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                total += of(kind, payload)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "x"])
 
     out = np.zeros(size)
-    for r in counts.mapInArrow(made, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+    for r in rows.select("kind", "payload").mapInArrow(made, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
         out[r["k"]] = r["x"]
     return out
 
 
-def fit(counts: DataFrame, sweeps: int = SWEEPS) -> Totals:
-    def basics(b: pa.RecordBatch) -> np.ndarray:
-        n, context = b.column("counts").flatten().to_numpy(), b.column("contexts").flatten().to_numpy()
-        width = np.diff(b.column("counts").offsets.to_numpy())
-        head = [n.sum(), b.num_rows, (n == 1).sum(), (n == 2).sum(), (width == 1).sum(), (width == 2).sum()]
-        return np.concatenate([head, np.bincount(context, n, CONTEXTS)])
+# the root restaurant
+
+
+@dataclass
+class Root:
+    """Totals of words: n (training tokens), v (distinct), customers and tables of the root, and the least count of
+    words that are broadcast."""
+
+    n: int
+    v: int
+    customers: float
+    discount: float
+    least: int
+    tables: float = 0.0
+    round: int = 0
 
-    x = _summed(counts, basics, 6 + CONTEXTS)
-    share = lambda one, two: float(np.clip(one / max(1.0, one + 2 * two), 0.05, 0.95))
-    totals = Totals(int(x[0]), int(x[1]), x[6:], share(x[2], x[3]), share(x[4], x[5]))
-    for s in range(sweeps + 1):
-        def after(b: pa.RecordBatch, s=s) -> np.ndarray:
-            *_, (t, customers, root) = _replay(b, totals, s)
-            context = b.column("contexts").flatten().to_numpy()
-            return np.concatenate([np.bincount(context, t, CONTEXTS), [customers.sum(), root.sum()]])
+    @property
+    def new(self) -> float:
+        """The weight of a new table with one of the words, or with the unknown one."""
+        return (ROOT_STRENGTH + self.discount * self.tables) / (self.v + 1)
 
-        x = _summed(counts, after, CONTEXTS + 2)
-        totals.tables.append(x[:CONTEXTS])
-        totals.root_customers.append(float(x[-2]))
-        totals.root_tables.append(float(x[-1]))
-    return totals
+    def p(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return (customers - self.discount * tables + self.new) / (ROOT_STRENGTH + self.customers)
 
+    def seated(self, shard: int, customers: np.ndarray, tables: float) -> np.ndarray:
+        before = Root(self.n, self.v, self.customers, self.discount, self.least, tables)
+        return seat(customers, np.full(len(customers), before.new), self.discount, np.random.default_rng([SEED, 1, self.round, shard]))
 
-def predictive(counts: DataFrame, totals: Totals, burn_in: int = BURN_IN) -> DataFrame:
-    """word, c, contexts, seen (a context's own part of the averaged probability), root (root probability by sample)."""
-    sweeps = len(totals.tables) - 1
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            context = b.column("contexts").flatten().to_numpy().astype(np.int64)
-            n = b.column("counts").flatten().to_numpy()
-            seen, roots = np.zeros(len(n)), []
-            for s, (t, customers, root) in enumerate(_replay(b, totals, sweeps)):
-                if s > burn_in:
-                    seen += (n - totals.discount * t) / (STRENGTH + totals.customers[context]) / (sweeps - burn_in)
-                    roots.append(_root(customers, root, totals, s))
-            cuts = b.column("counts").offsets.to_numpy()
-            root = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(roots), pa.int32()), pa.array(np.column_stack(roots).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), b.column("contexts"), pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), pa.array(seen)), root], names=["word", "c", "contexts", "seen", "root"])
+_LEVELS = 96
 
-    return counts.mapInArrow(made, "word long, c long, contexts array<tinyint>, seen array<double>, root array<double>")
 
+def _level(c: np.ndarray) -> np.ndarray:
+    """Counts by size, in halves of powers of two."""
+    return np.minimum(np.floor(2 * np.log2(np.maximum(c, 1))), _LEVELS - 1).astype(np.int64)
 
-def _parent(totals: Totals, burn_in: int) -> Column:
-    """The averaged probability of `word` in the bucket of `u`, given the word's predictive row (null: unknown)."""
-    samples, context = range(burn_in + 1, len(totals.tables)), _bucket()
-    seen = F.coalesce(F.get("seen", F.array_position("contexts", context.cast("tinyint")).cast("int") - 1), F.lit(0.0))
-    root = [F.coalesce(F.get("root", F.lit(i)), F.lit(totals.unknown(s))) for i, s in enumerate(samples)]
-    gamma = [F.get(F.lit([float(x) for x in totals.gamma(s)]), context) for s in samples]
-    return seen + sum((g * r for g, r in zip(gamma, root, strict=True)), F.lit(0.0)) / len(root)
 
+def words_of(parts: DataFrame, shards: Shards) -> DataFrame:
+    """The words of each word shard (word, count, customers), from parts WORDS (word, count, contexts) and MORE (word, 0,
+    tables beyond the first)."""
+    def make(shard: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(x) for x in zip(*(unpack(p, "u8 i8 i8") for _, _, p in rows), strict=True)]
+        yield packed_rows([(WORDS, shard, -1, pack(*summed(*cols)))])
 
-def _placed(rows: DataFrame, contexts: DataFrame, model: DataFrame) -> DataFrame:
-    """rows (key, u, ...) with customers and tables of the context and the word's predictive row."""
-    rows = rows.withColumn("own", _word()).join(contexts, "u", "left")
-    return rows.join(model.withColumnRenamed("c", "total"), F.col("own") == F.col("word"), "left")
+    return materialize(by_shard(parts, shards.count, make, PACKED))
 
 
-def _reseated(multi: DataFrame, contexts: DataFrame, model: DataFrame, totals: Totals, discount: float, sweep: int) -> DataFrame:
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, c, new = (b.column(x).to_numpy() for x in ("key", "c", "new"))
-            t = seat(c, new, discount, mixed(key.view(np.uint64)), SEED * 64 + 32 + sweep)
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("u"), b.column("c"), b.column("n"), pa.array(t.astype(np.int64))], names=["key", "u", "c", "n", "t"])
+def fit_root(words: DataFrame, heavy: int, round_no: int) -> Root:
+    def basics(_: int, payload: bytes) -> np.ndarray:
+        _, c, k = unpack(payload, "u8 i8 i8")
+        head = [c.sum(), (c > 0).sum(), k.sum(), (k == 1).sum(), (k == 2).sum()]
+        return np.concatenate([head, np.bincount(_level(c[c > 0]), minlength=_LEVELS)])
+
+    x = _sums(words, basics, 5 + _LEVELS)
+    above = np.cumsum(x[5:][::-1])[::-1]  # words of a level or a higher one
+    level = int((above > heavy).sum())
+    least = int(np.ceil(2 ** (level / 2))) if level else 1
+    root = Root(int(x[0]), int(x[1]), float(x[2]), share(x[3], x[4]), least, round=round_no)
 
-    new = (F.lit(PAIR_STRENGTH) + F.lit(discount) * F.col("tables")) * _parent(totals, 0)
-    return _placed(multi.drop("t"), contexts, model).select("key", "u", "c", "n", new.alias("new")).mapInArrow(made, multi.schema)
+    def after(_: int, payload: bytes) -> np.ndarray:
+        w, _, k = unpack(payload, "u8 i8 i8")
+        return np.array([root.seated(int(w[0] >> np.uint64(33)) if len(w) else 0, k, float(root.v)).sum()])
+
+    root.tables = float(_sums(words, after, 1)[0])
+    return root
+
+
+def answered(words: DataFrame, parts: DataFrame, root: Root, shards: Shards) -> DataFrame:
+    """Packed rows (word, count, probability): ANSWERS to each context shard that has a word that is not broadcast, and
+    WORDS, those that are."""
+    def make(shard: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        w = c = k = p = None
+        for _, source, payload in rows:
+            if source < 0:
+                w, c, k = unpack(payload, "u8 i8 i8")
+                p = root.p(k, root.seated(int(w[0] >> np.uint64(33)) if len(w) else 0, k, float(root.v)))
+                big = c >= root.least
+                yield packed_rows([(WORDS, -1, 0, pack(w[big], c[big], p[big]))])
+            else:
+                own, *_ = unpack(payload, "u8 i8 i8")
+                at, _ = looked_up(w, own)
+                at = at[c[at] < root.least]
+                yield packed_rows([(ANSWERS, source, shard, pack(w[at], c[at], p[at]))])
+
+    return materialize(by_shard(words.unionByName(parts.filter(F.col("kind") == WORDS)), shards.count, make, PACKED))
+
+
+@dataclass
+class Frequent:
+    """The words that are broadcast: hashes, counts, probabilities."""
+
+    word: np.ndarray
+    c: np.ndarray
+    p: np.ndarray
+
+    @classmethod
+    def collected(cls, answers: DataFrame) -> Frequent:
+        """At most HEAVY_WORDS words come to the driver."""
+        cols = [unpack(bytes(r["payload"]), "u8 i8 f8") for r in answers.filter(F.col("kind") == WORDS).collect()]
+        w, c, p = (np.concatenate(x) for x in zip([np.empty(0, k) for k in ("u8", "i8", "f8")], *cols, strict=True))
+        order = np.argsort(w)
+        return cls(w[order], c[order], p[order])
+
+
+class Answers:
+    """What a context shard knows of words."""
+
+    def __init__(self, frequent: Frequent):
+        self.frequent, self.parts = frequent, [[np.empty(0, k)] for k in ("u8", "i8", "f8")]
+        self.word = self.c = self.p = np.empty(0)
+
+    def add(self, payload: bytes) -> None:
+        for part, x in zip(self.parts, unpack(payload, "u8 i8 f8"), strict=True):
+            part.append(x)
+
+    def sort(self) -> None:
+        w, c, p = (np.concatenate(x) for x in self.parts)
+        order = np.argsort(w)
+        self.word, self.c, self.p, self.parts = w[order], c[order], p[order], []
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and probabilities of words that the shard has."""
+        c, p = np.zeros(len(words), np.int64), np.zeros(len(words))
+        for w, wc, wp in ((self.frequent.word, self.frequent.c, self.frequent.p), (self.word, self.c, self.p)):
+            at, there = looked_up(w, words)
+            c[there], p[there] = wc[at[there]], wp[at[there]]
+        return c, p
+
+
+# the restaurants of contexts
+
+
+@dataclass
+class Hot:
+    """Totals of contexts that are spread over shards, summed by Spark: context, customers, tables."""
+
+    u: np.ndarray
+    customers: np.ndarray
+    tables: np.ndarray
+
+    @classmethod
+    def collected(cls, contexts: DataFrame, shards: Shards) -> Hot:
+        hot = shards.hot
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small_batches(batches, 64):
+                for payload in b.column("payload").to_pylist():
+                    u, c, t = unpack(payload, "u8 i8 f8")
+                    own = np.nonzero(np.isin(u, hot))[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(u[own].view(np.int64)), pa.array(c[own]), pa.array(t[own])], names=["u", "c", "t"])
+
+        if not len(hot):
+            return cls(hot, np.empty(0, np.int64), np.empty(0))
+        rows = contexts.filter(F.col("kind") == CONTEXTS).select("payload").mapInArrow(made, "u long, c long, t double")
+        rows = rows.groupBy("u").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()  # at most four for each shard
+        u = np.array([r["u"] for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(u)
+        return cls(u[order], np.array([r["c"] for r in rows], np.int64)[order], np.array([r["t"] for r in rows], np.float64)[order])
+
+    def over(self, u: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Customers and tables of contexts u, with the totals where they are spread, and where they are."""
+        at, there = looked_up(self.u, u)
+        c, t = c.astype(np.int64), t.astype(np.float64)
+        c[there], t[there] = self.customers[at[there]], self.tables[at[there]]
+        return c, t, there
+
+
+def sampled(found: DataFrame, answers: DataFrame, frequent: Frequent, hot: Hot, discount: float, shards: Shards, sweeps: int, burn_in: int) -> DataFrame:
+    """Packed rows after the sweeps: CONTEXTS (context, customers, mean tables), PAIRS (key, count, mean tables) and, for
+    the shards of words, MORE (word, 0, tables beyond the first). Contexts that are spread take their tables of the
+    sweep before as they were at the start."""
+    shared = found.sparkSession.sparkContext.broadcast(frequent)
+
+    def make(shard: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        known, chunks, u, customers, d = Answers(shared.value), [], *[np.empty(0, np.int64)] * 3
+        for kind, _, payload in rows:
+            if kind == CONTEXTS:
+                u, customers, d = unpack(payload, "u8 i8 i8")
+            elif kind == PAIRS:
+                chunks.append(payload)
+            elif kind == ANSWERS:
+                known.add(payload)
+        known.sort()
+        _, tables, spread = hot.over(u, customers, d)
+        mean, n_mean = np.zeros(len(u)), sweeps - burn_in
+        context, w, c, p = [], [], [], []
+        for payload in chunks:
+            _, uu, n, ww, cc = unpack(payload, _PAIR_KINDS)
+            multi = cc > 1
+            context.append(np.repeat(looked_up(u, uu)[0], n)[multi])
+            w.append(ww[multi])
+            c.append(cc[multi])
+            p.append(known.of(w[-1])[1])
+        context, w, c, p = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (context, w, c, p))
+        rng, t_mean, t = np.random.default_rng([SEED, 2, shard]), np.zeros(len(c)), np.ones(len(c))
+        for sweep in range(sweeps):
+            t = seat(c, (STRENGTH + discount * tables[context]) * p, discount, rng)
+            now = d + np.bincount(context, t - 1, len(u))
+            tables = np.where(spread, tables, now)
+            if sweep >= burn_in:
+                t_mean += t / n_mean
+                mean += now / n_mean
+        yield packed_rows([(CONTEXTS, shard, 0, pack(u, customers, mean))])
+        done = 0
+        for i, payload in enumerate(chunks):
+            _, uu, n, ww, cc = unpack(payload, _PAIR_KINDS)
+            tt = np.minimum(cc, 1).astype(np.float64)
+            multi = np.nonzero(cc > 1)[0]
+            tt[multi] = t_mean[done : done + len(multi)]
+            done += len(multi)
+            key = pair_keys(np.repeat(uu, n), ww)
+            order = np.argsort(key)
+            yield packed_rows([(PAIRS, shard, i, pack(key[order], cc[order], tt[order].astype(np.float32)))])
+        more = np.nonzero(t > 1)[0]
+        words, extra = summed(w[more], (t[more] - 1).astype(np.int64))
+        place = np.argsort(shards.of_words(words), kind="stable")
+        words, extra = words[place], extra[place]
+        yield packed_rows([(MORE, s, shard, pack(words[i:j], np.zeros(j - i, np.int64), extra[i:j])) for s, i, j in _parts(shards.of_words(words))])
+
+    parts = found.filter(F.col("kind").isin(CONTEXTS, PAIRS)).unionByName(answers.filter(F.col("kind") == ANSWERS))
+    return materialize(by_shard(parts, shards.count, make, PACKED))
 
 
 @dataclass
 class Model:
-    """pairs: key, u, c, n, t; contexts: u, customers, tables; words: as predictive gives them."""
+    """What scoring needs: CONTEXTS and PAIRS of `seats`, ANSWERS of `answers`, words that are broadcast, totals."""
 
-    pairs: DataFrame
-    contexts: DataFrame
-    words: DataFrame
-    totals: Totals
+    seats: DataFrame
+    answers: DataFrame
+    frequent: Frequent
+    hot: Hot
+    root: Root
     discount: float
-    burn_in: int
-    n: int
-    v: int
+    shards: Shards
+
+
+def learn(texts: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, heavy: int = HEAVY_WORDS, shards: Shards | None = None) -> Model:
+    """texts: text, learn. The model of the texts that are learnt, with room for the pairs of the others."""
+    shards = shards or plan(texts)
+    found = materialize(merged(batch_counts(texts, shards), shards))
+
+    def singles(kind: int, payload: bytes) -> np.ndarray:
+        return unpack(payload, _PAIR_KINDS)[0] if kind == PAIRS else np.zeros(2)
+
+    discount = share(*_sums(found.filter(F.col("kind") == PAIRS), singles, 2))
+    parts = found.filter(F.col("kind") == WORDS)
+    words = words_of(parts, shards)
+    root = fit_root(words, heavy, 0)
+    answers = answered(words, parts, root, shards)
+    start = Hot.collected(_as_tables(found), shards)
+    seats = sampled(found, answers, Frequent.collected(answers), start, discount, shards, sweeps, burn_in)
+    discard(words, answers)
+    words = words_of(parts.unionByName(seats.filter(F.col("kind") == MORE)), shards)
+    root = fit_root(words, heavy, 1)
+    answers = answered(words, parts, root, shards)
+    discard(words, found)
+    return Model(seats, answers, Frequent.collected(answers), Hot.collected(seats, shards), root, discount, shards)
+
+
+def _as_tables(found: DataFrame) -> DataFrame:
+    """CONTEXTS rows with their pairs as tables."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 64):
+            cols = (b.column(c).to_pylist() for c in ("kind", "shard", "source", "payload"))
+            rows = []
+            for kind, shard, source, payload in zip(*cols, strict=True):
+                u, c, d = unpack(payload, "u8 i8 i8")
+                rows.append((kind, shard, source, pack(u, c, d.astype(np.float64))))
+            yield packed_rows(rows)
 
-    def scored(self, rows: DataFrame) -> DataFrame:
-        """key, log_p, base, known of pairs."""
-        customers, tables = F.coalesce("customers", F.lit(0)), F.coalesce("tables", F.lit(0))
-        own = F.col("c") - self.discount * F.col("t") + (PAIR_STRENGTH + self.discount * tables) * _parent(self.totals, self.burn_in)
-        base = F.log10((F.coalesce("total", F.lit(0)) + 1) / F.lit(float(self.n + self.v + 1)))
-        return _placed(rows, self.contexts, self.words).select("key", F.log10(own / (PAIR_STRENGTH + customers)).alias("log_p"), base.alias("base"), F.col("total").isNotNull().cast("long").alias("known"))
-
-
-def learn(found: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, pair_sweeps: int = PAIR_SWEEPS) -> Model:
-    """The model of pairs that `pairs` gave, written."""
-    trained, one = found.filter("c > 0"), F.lit(1)
-    of_words = materialize(_word_parts(trained, F.col("c"), one))
-    of_contexts = materialize(trained.groupBy("u").agg(F.sum("c").alias("customers"), F.count(one).alias("tables")))
-    ones, twos = found.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    discount = float(np.clip(ones / max(1.0, ones + 2 * twos), 0.05, 0.95))
-    multi = materialize(found.filter("c > 1").withColumn("t", F.lit(1).cast("long")))
-    contexts, counts = of_contexts, materialize(_word_rows(of_words))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(one)).first()
-    for sweep in range(pair_sweeps):
-        totals = fit(counts, 1)
-        model = materialize(predictive(counts, totals, 0))
-        seated = materialize(_reseated(multi, contexts, model, totals, discount, sweep))
-        discard(multi, model, counts, *([contexts] if sweep else []))
-        multi, more = seated, F.col("t") - 1
-        counts = materialize(_word_rows(of_words.unionByName(_word_parts(multi, F.lit(0), more))))
-        both = of_contexts.unionByName(multi.select("u", F.lit(0).alias("customers"), more.alias("tables")))
-        contexts = materialize(both.groupBy("u").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")))
-    totals = fit(counts, sweeps)
-    words = materialize(predictive(counts, totals, burn_in))
-    discard(counts, of_words, of_contexts)
-    every = found.filter("c <= 1").withColumn("t", F.col("c")).unionByName(multi)
-    return Model(every, contexts, words, totals, discount, burn_in, n, v)
-
-
-def score(docs: DataFrame, train: DataFrame | None = None, heavy: int = HEAVY, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
+    return found.filter(F.col("kind") == CONTEXTS).mapInArrow(made, PACKED)
+
+
+# scoring
+
+
+def queries(docs: DataFrame, shards: Shards) -> DataFrame:
+    """For each batch of docs (doc_id, row, text) and shard: the documents with tokens there and how many, the distinct
+    pairs, and the pair of each token."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 16_384, 8_000_000):
+            pair, n, own, u, w = _batch_pairs(b.column("text"), shards)
+            null = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            ids, rows = b.column("doc_id").fill_null(0).to_numpy(), b.column("row").to_numpy()
+            doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+            of = own[pair]
+            order = np.argsort(of.astype(np.uint16) if shards.bits <= 16 else of, kind="stable")
+            size, out, at = np.bincount(of), [], 0
+            for s, i, j in _parts(own):
+                end = at + int(size[s])
+                docs_here, per = _runs(doc[order[at:end]])
+                kind = np.uint16 if j - i <= 65_536 else np.uint32
+                local = (pair[order[at:end]] - i).astype(kind)
+                out.append((QUERIES, s, 0, pack(ids[docs_here], rows[docs_here], null[docs_here].astype(np.uint8), per, *_runs(u[i:j]), w[i:j], local.view(np.uint8))))
+                at = end
+            yield packed_rows(out)
+
+    return docs.mapInArrow(made, PACKED)
+
+
+PARTIAL = "doc_id long, row long, n_tokens long, n_known long, copies long, base double, score double"
+
+
+def scored(model: Model, asked: DataFrame) -> DataFrame:
+    """Sums of each document's tokens in each shard."""
+    session, root, hot, discount = asked.sparkSession, model.root, model.hot, model.discount
+    shared = session.sparkContext.broadcast(model.frequent)
+
+    def make(shard: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        known, parts, ready = Answers(shared.value), [[np.empty(0, k)] for k in ("u8", "i8", "f4")], False
+        u, customers, tables = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
+        key = c = t = None
+        for kind, _, payload in rows:
+            if kind == CONTEXTS:
+                u, customers, tables = unpack(payload, "u8 i8 f8")
+                customers, tables, _ = hot.over(u, customers, tables)
+            elif kind == PAIRS:
+                for part, x in zip(parts, unpack(payload, "u8 i8 f4"), strict=True):
+                    part.append(x)
+            elif kind == ANSWERS:
+                known.add(payload)
+            elif kind == QUERIES:
+                if not ready:
+                    known.sort()
+                    key, c, t = (np.concatenate(x) for x in parts)
+                    order = np.argsort(key)
+                    key, c, t, ready = key[order], c[order], t[order].astype(np.float64), True
+                    parts.clear()
+                yield answer(payload, known, u, customers, tables, key, c, t)
+
+    def answer(payload: bytes, known: Answers, u, customers, tables, key, c, t) -> pa.RecordBatch:
+        ids, row, null, per, qu, n, qw, local = unpack(payload, "i8 i8 u1 u4 u8 u4 u8 u1")
+        local = local.view(np.uint16 if len(qw) <= 65_536 else np.uint32)
+        per = per.astype(np.int64)
+        wc, wp = known.of(qw)
+        at, there = looked_up(key, pair_keys(np.repeat(qu, n), qw))
+        if len(key):
+            own_c, own_t = np.where(there, c[at], 1), np.where(there, t[at], 1.0)
+        else:
+            own_c, own_t = np.ones(len(qw), np.int64), np.ones(len(qw))
+        cat, chere = looked_up(u, qu)
+        cu, tu = (np.repeat(np.where(chere, x[cat], 0) if len(x) else np.zeros(len(qu)), n) for x in (customers, tables))
+        log_p = np.log10((own_c - discount * own_t + (STRENGTH + discount * tu) * wp) / (STRENGTH + cu))
+        base = np.log10((wc + 1) / (root.n + root.v + 1))
+        starts = np.cumsum(per) - per
+        add = lambda x: np.add.reduceat(x[local], starts)
+        cols = [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(row), pa.array(per), pa.array(add((wc > 0).astype(np.int64))), pa.array(add((qw == END).astype(np.int64))), pa.array(add(base)), pa.array(add(log_p))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_tokens", "n_known", "copies", "base", "score"])
+
+    parts = model.seats.filter(F.col("kind").isin(CONTEXTS, PAIRS)), model.answers.filter(F.col("kind") == ANSWERS), asked
+    return by_shard(reduce(DataFrame.unionByName, parts), model.shards.count, make, PARTIAL)
+
+
+def score(docs: DataFrame, train: DataFrame | None = None, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row for each row of docs.
     The model learns from the texts of `train`, or from those of docs that aren't held out."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.select("text", (~held_out(F.col("doc_id")) if train is None else F.lit(False)).alias("learn"))
     if train is not None:
         texts = texts.unionByName(train.select("text", F.lit(True).alias("learn")))
-    model = learn(materialize(pairs(texts, F.col("learn"))), sweeps, burn_in)
-    top = model.pairs.orderBy(F.desc("n"), "key").limit(heavy)
-    top = materialize(top)
-    held = model.scored(top).toArrow().combine_chunks()  # at most `heavy` rows
-    order = np.argsort(held.column("key").to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(held.column(c).to_numpy()[order] for c in ("key", "log_p", "base", "known")))
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, log_p, base, known = shared.value
-        for b in small_batches(batches):
-            key, _, n = tokens(b.column("text"))
-            slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            found = keys[slot] == key if len(keys) else np.zeros(len(key), bool)
-            rows = b.column("row").to_numpy()
-            doc = np.repeat(np.arange(len(n)), n)
-            own, rest, slot = doc[found], np.nonzero(~found)[0], slot[found]
-            sums = lambda x: pa.array(np.bincount(own, x[slot], len(n)))
-            whole = pa.StructArray.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), sums(known), sums(base), sums(log_p)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rows, rows[doc[rest]]])), pa.array(np.concatenate([mixed(rows.view(np.uint64)).view(np.int64), key[rest]])), pa.concat_arrays([whole, pa.nulls(len(rest), whole.type)])], names=["row", "key", "whole"])
-
-    hashed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    parts = hashed.mapInArrow(made, "row long, key long, whole struct<doc_id: long, n_tokens: long, n_known: double, base: double, score: double>")
-    last = top.agg(F.count(F.lit(1)), F.min_by(F.struct("n", "key"), F.struct("n", F.bitwise_not("key")))).first()
-    rest = F.lit(False)
-    if last[0] == heavy:  # the others come after the last of the heavy ones
-        rest = (F.col("n") < last[1][0]) | ((F.col("n") == last[1][0]) & (F.col("key") > last[1][1]))
-    return _joined(parts, model.scored(model.pairs.filter(rest)), model.n)
-
-
-def _joined(parts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    both = parts.join(pairs, "key", "left")
-    rare = F.col("whole").isNull()
-    add = lambda x, y: F.sum(F.when(rare, F.col(x)).otherwise(F.col(f"whole.{y}")))
-    rows = both.groupBy("row").agg(F.max("whole.doc_id").alias("doc_id"), F.sum("whole.n_tokens").alias("n_tokens"), add("known", "n_known").alias("n_known"), add("base", "base").alias("base"), add("log_p", "score").alias("score"), F.count("whole").alias("copies"))
+    model = learn(texts, **options)
+    asked = queries(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), model.shards)
+    rows = scored(model, asked).groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "copies", "base", "score")])
     rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    each = lambda c: (F.col(c) / F.col("copies"))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    each = lambda c: F.col(c) / F.col("copies")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"), F.lit(model.root.n).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score"), perplexity.alias("perplexity"))
