@@ -17,7 +17,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ ORACLES: dict[str, str] = {}
 ORACLES["op1_mixing"] = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null'), '17')) AS shuffle_key
+         md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, ''))), '17')) AS shuffle_key
   FROM documents),
 each AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS weight,
@@ -82,7 +82,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{said}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat_format.digests(chat_format.format_chats(chat_format.from_turns(turns)))
+    return chat_format.digests(chat_format.format_chats(chat_format.as_streamed(turns)))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+ORACLES["op2_chat_format"] = r"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM t),
+e AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '<|turn|>', '<' || chr(92) || ':|turn|>'), '<|end|>', '<' || chr(92) || ':|end|>'),
+    '<s>', '<' || chr(92) || ':s>'), '</s>', '<' || chr(92) || ':/s>'), '[INST]', '[' || chr(92) || ':INST]'), '[/INST]', '[' || chr(92) || ':/INST]') AS escaped FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|turn|>') + length(role) + 1 + length(escaped) + length('<|end|>')) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 QUERIES |= {"op2_chat_format": op2_chat_format, "op3_token_output": op3_token_output, "op8_decontamination": op8_decontamination}
 
 ORACLES["op8_decontamination"] = r"""
@@ -120,6 +133,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_substring_dedup"] = op5_substring_dedup
 
+ORACLES["op5_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM d, unnest(range(1, len(w) - 11)) AS r(i) WHERE len(w) >= 13),
+owner AS (SELECT win, min(doc_id) AS lo FROM win GROUP BY win),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN owner USING (win), range(0, 13) AS t(k) WHERE lo < doc_id),
+each AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS r(p)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
@@ -127,6 +151,19 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_ngram_join"] = op4_ngram_join
 
+ORACLES["op4_ngram_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n, sha256(string_agg(gram, chr(10) ORDER BY gram)) AS whole FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = d.doc_id), d.doc_id) AS class_id,
+  coalesce((SELECT min(o.doc_id) FROM n o JOIN n own USING (whole) WHERE own.doc_id = d.doc_id), d.doc_id) AS copy_id,
+  (SELECT count(*) FROM links WHERE links.a = d.doc_id) AS n_links
+FROM d
+"""
+
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

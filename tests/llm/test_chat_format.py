@@ -48,3 +48,17 @@ def test_whole_table_against_brute_force(spark, sf_dir):
         assert got[k]["n_turns"] == len(t) and got[k]["loss_chars"] == len(loss)
         assert got[k]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in t).encode()).hexdigest()
         assert got[k]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_streamed_events_fold_back(spark):
+    rows = [(1, 1, "assistant", "b</s>é"), (1, 0, "user", None), (None, 0, None, "x"), (2, None, "assistant", ""), (2, 0, "user", "u"), (2, 0, "user", "u"), (2, 0, "assistant", "four")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    read = lambda events: sorted(map(str, chat.digests(chat.format_chats(events)).collect()))
+    assert read(chat.as_streamed(turns)) == read(chat.from_turns(turns))
+    assert {r["kind"] for r in chat.as_streamed(turns).collect()} == {"message", "edit", "regenerate", "delta"}
+
+
+def test_long_edited_conversation(spark):
+    n = 20_000
+    events = [(1, i, "message", i, "user", "a") for i in range(n)] + [(1, n + i, "edit", i, None, f"b{i}") for i in range(n)] + [(1, 2 * n + i, "delete", 2 * i, None, None) for i in range(n // 2)]
+    assert chat.fold(*map(list, zip(*[e[2:] for e in events], strict=True))) == [("user", f"b{i}") for i in range(1, n, 2)]

@@ -79,7 +79,7 @@ URLS = ["http://Example.COM/en/x?q#f", "https://www.example.com/en/", "https://a
 
 def test_urls_against_brute_force(spark, sf_dir):
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(URLS)] + [(3, URLS[3], 1)], "page_id long, url string, host int")
-    got = url_filters.judge(pages).collect()
+    got = url_filters.judge(pages, url_filters.labelled_urls(spark)).collect()
     assert len(got) == len(URLS) + 1
     verdicts = dict(url_filters.RULES)
     for r in got + QUERIES["op7_url_filters"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "page_id").collect():
@@ -87,7 +87,7 @@ def test_urls_against_brute_force(spark, sf_dir):
         assert (r["host"], r["path"]) == parts(url)
         assert r["rule"] == best_rule(r["host"], r["path"])
         assert r["verdict"] == verdicts[r["rule"]] if r["rule"] else r["verdict"] in ("allow", "block")
-    assert url_filters.judge(pages.limit(0)).count() == 0
+    assert url_filters.judge(pages.limit(0), url_filters.labelled_urls(spark)).count() == 0
 
 
 def test_url_regression_learns(spark):
@@ -110,11 +110,11 @@ def test_decontamination_odd_rows_and_blocks(spark):
     assert len(got) == len(rows)
     assert (len(by[50]["hits"]), by[50]["items"]) == (25, ["i1"]) and by[51]["hits"] == []
     assert by[52]["hits"] == [1, 2, 3, 4] and by[52]["items"] == ["i2"] and by[53]["items"] == ["null"]
-    blocks = {r["doc_id"]: r for r in decontamination.find(documents(spark, rows), bench, block_words=13).collect()}
+    blocks = {r["doc_id"]: r for r in decontamination.find(documents(spark, rows), bench, block_windows=13).collect()}
     assert all(blocks[i][c] == by[i][c] for i in by for c in ("n_words", "hits", "items"))
     kept = sorted(r["doc_id"] or -1 for r in decontamination.clean(plain_documents(spark, rows), bench).collect())
     assert kept == sorted((r[0] or -1) for r in rows if r[0] not in (50, 52, 53))
-    assert decontamination.clean(plain_documents(spark, rows), bench, block_words=13).count() == len(kept)
+    assert decontamination.clean(plain_documents(spark, rows), bench, block_windows=13).count() == len(kept)
     assert decontamination.find(documents(spark, rows), bench.limit(0)).filter("size(hits) > 0").count() == 0
     assert decontamination.find(documents(spark, []), bench).count() == 0
 
@@ -191,23 +191,80 @@ def test_base_scores_against_brute_force(spark):
     assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=repr) == want
 
 
-def test_rare_words_score_as_heavy_ones(spark):
+def test_rare_words_score_as_frequent_ones(spark):
     docs = documents(spark, lm_rows())
-    few, all_heavy = (sorted((str(r["doc_id"]), round(r["score"], 6), r["n_known"]) for r in lm_scoring.score(docs, heavy=h).collect()) for h in (20, 100_000))
-    assert few == all_heavy
+    few, all_of_them = (sorted((str(r["doc_id"]), round(r["score"], 6), r["n_known"]) for r in lm_scoring.score(docs, heavy=h).collect()) for h in (5, 100_000))
+    assert few == all_of_them
+
+
+def seatings(model):
+    """customers and tables by context, tables by pair key, probability by word."""
+    contexts, pairs, p = Counter(), {}, {}
+    for r in model.seats.collect():
+        if r["kind"] == lm_scoring.CONTEXTS:
+            for u, _, t in zip(*lm_scoring.unpack(bytes(r["payload"]), "u8 i8 f8"), strict=True):
+                contexts[int(u)] += float(t)
+        elif r["kind"] == lm_scoring.PAIRS:
+            for k, c, t in zip(*lm_scoring.unpack(bytes(r["payload"]), "u8 i8 f4"), strict=True):
+                pairs[int(k)] = (int(c), float(t))
+    for r in model.answers.collect():
+        for w, _, x in zip(*lm_scoring.unpack(bytes(r["payload"]), "u8 i8 f8"), strict=True):
+            p[int(w)] = float(x)
+    return contexts, pairs, p
+
+
+@pytest.mark.parametrize(("bits", "hot"), [(0, False), (2, True)])
+def test_scores_against_brute_force_given_seats(spark, bits, hot):
+    import numpy as np
+    import xxhash
 
-
-def test_probabilities_of_a_context_sum_to_one(spark):
-    docs = plain_documents(spark, lm_rows())
-    counts = lm_scoring.count(docs)
-    totals = lm_scoring.fit(counts)
-    rows = lm_scoring.predictive(counts, totals).collect()
-    sweeps = range(lm_scoring.BURN_IN + 1, lm_scoring.SWEEPS + 1)
-    for ctx in range(0, lm_scoring.CONTEXTS, 5):
-        gammas = [totals.gamma(s)[ctx] for s in sweeps]
-        p = sum(sum(s for c, s in zip(r["contexts"], r["seen"], strict=True) if c == ctx) + sum(g * x for g, x in zip(gammas, r["root"], strict=True)) / len(gammas) for r in rows)
-        p += sum(g * totals.unknown(s) for g, s in zip(gammas, sweeps, strict=True)) / len(gammas)
-        assert p == pytest.approx(1.0, abs=1e-6)
+    rows = lm_rows()
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    low = lambda t: [xxhash.xxh64_intdigest(re.sub("[A-Z]", lambda m: m[0].lower(), w)) for w in words(t)] + [int(lm_scoring.END)]
+    none = np.empty(0, np.uint64)
+    frequent = np.sort(np.array([lm_scoring.END, xxhash.xxh64_intdigest(sentence(3, 9).split()[0])], np.uint64))
+    shards = lm_scoring.Shards(bits, frequent if hot else none, np.array([4, 3], np.uint64) if hot else none)
+    docs = documents(spark, rows)
+    model = lm_scoring.learn(docs.select("text", (~lm_scoring.held_out(lm_scoring.F.col("doc_id"))).alias("learn")), shards=shards)
+    tables, pairs, p = seatings(model)
+    c, of, by = Counter(), Counter(), {}
+    for i, t, _ in rows:
+        if not held(i):
+            for u, w in zip([int(lm_scoring.END), *low(t)], low(t), strict=False):
+                c[u, w] += 1
+                of[u] += 1
+    key = lambda u, w: int(lm_scoring.pair_keys(np.array([u], np.uint64), np.array([w], np.uint64))[0])
+    d, total = model.discount, Counter()
+    for (u, w), n in c.items():
+        stored = pairs.get(key(u, w), (1, 1.0))
+        assert stored[0] == n and 1 <= stored[1] <= n
+        total[u] += stored[1]
+        by[u, w] = stored
+    assert all(tables[u] == pytest.approx(total[u], abs=1e-3) for u in of)
+    vocabulary = {w for _, w in c}
+    unknown = float(model.root.p(np.zeros(1), np.zeros(1))[0])
+    assert sum(p[w] for w in vocabulary) + unknown == pytest.approx(1.0, abs=1e-9)
+
+    def log_p(u, w):
+        n, t = by.get((u, w), (0, 0.0))
+        return math.log10((n - d * t + (lm_scoring.STRENGTH + d * tables[u]) * p.get(w, unknown)) / (lm_scoring.STRENGTH + of[u]))
+
+    want = sorted((str(i), sum(log_p(u, w) for u, w in zip([int(lm_scoring.END), *low(t)], low(t), strict=False))) for i, t, _ in rows)
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lm_scoring.score(docs, shards=shards).collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
+
+
+def test_seats_are_those_of_the_restaurant():
+    import numpy as np
+
+    new, d, n, rng = 3.0, 0.6, 300, np.random.default_rng(1)
+    got = lm_scoring.seat(np.full(20_000, n), np.full(20_000, new), d, rng)
+    one = np.ones(20_000)
+    for k in range(1, n):  # one customer at a time
+        one += rng.random(20_000) < new / (new + k - d * one)
+    assert got.mean() == pytest.approx(one.mean(), rel=0.02) and got.std() == pytest.approx(one.std(), rel=0.04)
+    assert (lm_scoring.seat(np.array([0, 1]), np.ones(2), d, rng) == [0, 1]).all()
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
@@ -216,8 +273,8 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert lm_scoring.score(documents(spark, [])).count() == 0
 
 
-def test_contexts_of_one_bucket_are_told_apart(spark):
-    # more contexts than buckets, each followed by a word of its own
+def test_contexts_are_told_apart(spark):
+    # many contexts, each followed by a word of its own
     rows = [(i, " ".join(f"c{k} w{k}" for k in range(i % 9, 200, 3)), "s") for i in range(60)]
     held = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2)
     right, wrong = " ".join(f"c{k} w{k}" for k in range(0, 200, 3)), " ".join(f"c{k} w{(k + 3) % 198}" for k in range(0, 198, 3))
@@ -226,23 +283,10 @@ def test_contexts_of_one_bucket_are_told_apart(spark):
     assert got[held]["perplexity"] < 10 and got[held + 7000]["perplexity"] > 5 * got[held]["perplexity"]
 
 
-def test_probabilities_of_a_real_context_sum_to_one(spark):
-    texts = plain_documents(spark, lm_rows()).select("text")
-    found = lm_scoring.materialize(lm_scoring.pairs(texts, lm_scoring.F.lit(True)))
-    model = lm_scoring.learn(found)
-    vocabulary = model.words.select("word")
-    some = model.contexts.orderBy("u").limit(3).select("u")
-    key = lm_scoring.F.col("u").bitwiseXOR(lm_scoring.F.shiftleft("word", lm_scoring.WORD_SHIFT))
-    every = some.crossJoin(vocabulary).select(key.alias("key"), "u").join(model.pairs.select("key", "c", "n", "t"), "key", "left").fillna(0)
-    parts = model.scored(every.unionByName(some.selectExpr("u as key", "u", "0L as c", "0L as n", "0L as t"))).join(every.select("key", "u"), "key", "left")
-    p = lm_scoring.F.sum(lm_scoring.F.pow(lm_scoring.F.lit(10.0), "log_p"))
-    assert parts.agg(p).first()[0] == pytest.approx(3.0, abs=1e-6)
-
-
 def test_blocks_keep_repeated_rows(spark):
     bench = spark.createDataFrame([(f"i{i}", sentence(i, 25)) for i in range(6)], "item_id string, text string")
     rows = ODD + [(50, "x " + sentence(1, 25) + " y", "s"), (50, "x " + sentence(1, 25) + " y", "s"), (None, sentence(2, 12), "s"), (None, sentence(2, 12), "s")]
-    one, many = (sorted(map(str, decontamination.find(documents(spark, rows), bench, block_words=n).collect())) for n in (1000, 40))
+    one, many = (sorted(map(str, decontamination.find(documents(spark, rows), bench, block_windows=n).collect())) for n in (1000, 40))
     assert len(many) == len(rows) and one == many
 
 
@@ -254,6 +298,90 @@ def test_one_long_item_is_dealt_into_blocks(spark):
 
 def test_a_nul_does_not_end_the_host(spark):
     urls = ["http://net\0.evil.org/es/x", "http://\0/es/x", "http://A\0.net/es/x\0y"]
-    got = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    got = url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filters.labelled_urls(spark)).collect()
     for r in got:
         assert (r["host"], r["path"]) == parts(urls[r["page_id"]]) and r["rule"] == best_rule(r["host"], r["path"])
+
+
+def test_mix_gives_the_words_that_take_says(spark):
+    rows = ODD + [(None, sentence(1, 20), "a") for _ in range(100)] + [(None, sentence(i, 20), "a") for i in range(50)]
+    rows += [(7, sentence(7, 9), "b") for _ in range(9)] + [(7, sentence(8, 9), "b") for _ in range(4)] + [(i, sentence(i, 9), None) for i in range(30)]
+    docs = documents(spark, rows)
+    took = mixing.take(docs).collect()
+    for ordered in (True, False):
+        out = mixing.mix(docs, ordered=ordered).collect()
+        size, want = Counter(), Counter()
+        for r in out:
+            size[r["doc_id"], r["source"]] += len(words(r["text"]))
+        for r in took:
+            want[r["doc_id"], r["mix_source"]] += r["taken"]
+        assert size == +want
+        assert sorted(map(str, out)) == sorted(map(str, mixing.mix(docs, ordered=ordered).collect()))
+
+
+def test_url_regression_against_brute_force(spark):
+    from pyspark.ml.feature import HashingTF
+
+    labelled, hashing = url_filters.labelled_urls(spark), HashingTF(numFeatures=url_filters.FEATURES)
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    model = url_filters.train(labelled)
+    rows = labelled.collect()
+    got = {(r["host"], r["path"]): r["p_block"] for r in model.p_block(labelled).collect()}
+    assert sum((got[r["host"], r["path"]] >= 0.5) == (r["label"] == 1) for r in rows) >= 0.98 * len(rows)
+    w, b = model.model.coefficients.toArray(), model.model.intercept
+    for r in model.p_block(url_filters.parts(pages)).collect():
+        grams = [m + full[i : i + 3] for m, full in (("h", f"^{r['host']}$"), ("p", f"^{r['path']}$")) for i in range(max(1, len(full) - 2))]
+        assert r["p_block"] == pytest.approx(1 / (1 + math.exp(-b - sum(w[hashing.indexOf(x)] for x in grams))), abs=1e-9)
+
+
+def test_classifier_takes_every_feature_and_bounds_the_sample(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20_000)) if i == 0 else f"{'good' if i % 2 else 'bad'} word{i} text", "s") for i in range(40)]
+    docs = documents(spark, rows)
+    rated = spark.createDataFrame([(i, 2 if i % 2 else 0) for i in range(40)], "doc_id long, grade int")
+    assert len(quality_classifier.features(rows[0][1].encode())) > 19_000
+    assert quality_classifier.train(docs, rated).seen == 40
+    assert quality_classifier.train(docs, rated, cells=10_000).seen < 40
+    kept = {r["doc_id"]: r["kept"] for r in quality_classifier.score(docs, quality_classifier.train(docs, rated)).collect()}
+    assert all(kept[i] == (i % 2 == 1) for i in range(1, 40))
+
+
+def test_fit_against_a_dense_fit():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    x = (r.random((300, 12)) < 0.3).astype(float)
+    true = x @ r.normal(0, 2, 12) + r.logistic(size=300)
+    grades = np.digitize(true, np.quantile(true, [0.3, 0.7]))
+    l1 = 1e-3
+
+    def loss(w, cuts):
+        below = np.column_stack([np.zeros(300), *[1 / (1 + np.exp(x @ w - c)) for c in cuts], np.ones(300)])
+        return -np.log(np.maximum(below[np.arange(300), grades + 1] - below[np.arange(300), grades], 1e-12)).mean() + l1 * np.abs(w).sum()
+
+    at, step = np.concatenate([np.zeros(12), [-0.8, 0.8]]), 0.5
+    for _ in range(4000):  # coordinate-wise pattern search: plain, dense, no gradient
+        best = min((loss(t[:12], t[12:]), k) for k, t in enumerate(at + s * step * np.eye(14)[j] for j in range(14) for s in (1, -1)))
+        if best[0] >= loss(at[:12], at[12:]):
+            step /= 2
+            if step < 1e-5:
+                break
+        else:
+            at = at + (1 if best[1] % 2 == 0 else -1) * step * np.eye(14)[best[1] // 2]
+    model = quality_classifier.fit([np.nonzero(row)[0].astype(np.int32) for row in x], grades, rounds=3000, l1=l1, least_docs=1)
+    assert loss(model.weights[:12].astype(float), model.thresholds) == pytest.approx(loss(at[:12], at[12:]), abs=2e-3)
+
+
+def test_texts_of_some_megabytes(spark):
+    from pagewright.llm import ngram_join, substring_dedup
+
+    long = " ".join(sentence(i, 2_000) for i in range(250))
+    assert len(long) > 2_000_000
+    docs = plain_documents(spark, [(1, long, "a"), (2, long + " more", "a"), (3, "", "b"), (4, "y" * 3_000_000, "b"), (5, None, None)])
+    bench = spark.createDataFrame([("i", sentence(7, 12))], "item_id string, text string")
+    assert sum(len(words(r["text"])) for r in mixing.mix(docs).collect()) == sum(r["taken"] for r in mixing.take(docs).collect())
+    assert {r["doc_id"]: len(r["hits"]) > 0 for r in decontamination.find(docs, bench).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert {r["doc_id"]: r["class_id"] for r in ngram_join.join(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r["doc_id"]: r["n_words"] - r["n_removed"] for r in substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed").collect()} == {1: 500_000, 2: 1, 3: 0, 4: 1, 5: 0}
+    assert quality_rules.ledger(docs).filter("measured.n_words >= 500000").count() == 2
+    assert lm_scoring.score(docs).filter("n_tokens > 500000").count() == 2
+    assert quality_classifier.score(docs, quality_classifier.train(docs, spark.createDataFrame([(1, 0), (4, 2)], "doc_id long, grade int"))).count() == 5
