@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..plans.lineage import checkpointed
 from . import pixels
-from .graph import connected
 from .layout import reading_order
 
 
@@ -26,14 +25,43 @@ def runs(fg: DataFrame) -> DataFrame:
     return fg.withColumn("_i", island).groupBy("image_id", "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_i")
 
 
+def _labelled(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """The first run (in order of y, x0) of each run's component: runs of neighbouring rows that overlap are joined."""
+    root = list(range(len(y)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    ys, left, right = y.tolist(), x0.tolist(), x1.tolist()
+    above = 0
+    for i in range(len(ys)):
+        while ys[above] < ys[i] - 1 or (ys[above] == ys[i] - 1 and right[above] < left[i]):
+            above += 1
+        k = above
+        while ys[k] == ys[i] - 1 and left[k] <= right[i]:
+            a, b = top(k), top(i)
+            root[max(a, b)] = min(a, b)
+            k += 1
+    return np.array([top(i) for i in range(len(ys))], np.int64)
+
+
 def label_runs(fg: DataFrame) -> DataFrame:
     """image_id, y, x0, x1, label: runs with the component they belong to (4-neighbourhood). The label is the place of
-    the component's first run, STRUCT<image_id,y,x0>."""
-    r = runs(fg).withColumn("node", F.struct("image_id", "y", "x0"))
-    a, b = r.alias("a"), r.alias("b")
-    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1"))
-    roots = connected(a.join(b, touch).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    return r.join(roots, "node", "left").select("image_id", "y", "x0", "x1", F.coalesce("root", "node").alias("label"))
+    the component's first run, STRUCT<image_id,y,x0>.
+
+    A component never leaves its image, so one exchange of the runs by image is enough; an image's runs are joined by
+    union-find in one pass over its rows."""
+    def label(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("x0", "ascending")])
+        y, x0, x1 = (table.column(c).to_numpy() for c in ("y", "x0", "x1"))
+        first = _labelled(y, x0, x1)
+        return table.append_column("label_y", pa.array(y[first])).append_column("label_x", pa.array(x0[first]))
+
+    labelled = runs(fg).select("image_id", "y", "x0", "x1").groupBy("image_id").applyInArrow(label, "image_id long, y int, x0 int, x1 int, label_y int, label_x int")
+    return labelled.select("image_id", "y", "x0", "x1", F.struct("image_id", F.col("label_y").alias("y"), F.col("label_x").alias("x0")).alias("label"))
 
 
 def components(fg: DataFrame) -> DataFrame:
@@ -109,12 +137,13 @@ def min_area_rect(labelled_runs: DataFrame) -> DataFrame:
 def detect_regions(prob: DataFrame, meta: DataFrame, threshold: float = 0.3, box_threshold: float = 0.6, unclip_ratio: float = 1.5, min_area: float = 6.0, max_candidates: int = 1000, rotated: bool = False) -> DataFrame:
     """page_id, seq, quad, det_conf: boxes on the source pages, in reading order. meta has a resize plan's fields."""
     fg = binarize(prob, threshold)
-    r = label_runs(fg).alias("r")
+    found = checkpointed(label_runs(fg)) if rotated else label_runs(fg)
+    r = found.alias("r")
     inside = (F.col("f.image_id") == F.col("r.image_id")) & (F.col("f.y") == F.col("r.y")) & F.col("f.x").between(F.col("r.x0"), F.col("r.x1"))
     stats = component_stats(fg.alias("f").join(r, inside).select("f.*", "r.label"))
     kept = cap_candidates(filter_components(stats, box_threshold, min_area), max_candidates)
     if rotated:
-        ends = label_runs(fg).join(kept.select("image_id", "label"), ["image_id", "label"], "left_semi")
+        ends = found.join(kept.select("image_id", "label"), ["image_id", "label"], "left_semi")
         boxes = kept.join(min_area_rect(ends), ["image_id", "label"])
     else:
         boxes = kept.withColumn("quad", g.quad_from_rect(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))

@@ -2,17 +2,58 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.text import strip
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance by code points: common ends go, the rest is compared by bit vectors (Myers, 1999; Hyyro,
+    2003), a step for each character of the shorter one."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi and a[lo] == b[lo]:
+        lo += 1
+    a, b = a[lo:], b[lo:]
+    end, most = 0, min(len(a), len(b))
+    while end < most and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = sorted((a[: len(a) - end], b[: len(b) - end]), key=len)
+    if not a:
+        return len(b)
+    places: dict[str, bytearray] = {}
+    size = (len(b) + 7) // 8
+    for i, c in enumerate(b):
+        places.setdefault(c, bytearray(size))[i >> 3] |= 1 << (i & 7)
+    equal = {c: int.from_bytes(x, "little") for c, x in places.items()}
+    full, top, distance = (1 << len(b)) - 1, 1 << (len(b) - 1), len(b)
+    up, down = full, 0
+    for c in a:
+        same = equal.get(c, 0)
+        vertical = same | down
+        diagonal = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(diagonal | up)), up & diagonal
+        distance += bool(more & top) - bool(less & top)
+        more, less = (more << 1) | 1, less << 1
+        up, down = (less | ~(vertical | more)) & full, more & vertical & full
+    return distance
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
 def eval_report(preds: DataFrame) -> DataFrame:
     """preds (sample_id, prediction, target, confidence) with exact and distance (edits between trimmed texts)."""
     p, t = strip(F.col("prediction")), strip(F.col("target"))
-    return preds.withColumns({"exact": p == t, "distance": F.levenshtein(p, t), "target_chars": F.char_length(t)})
+    d = preds.withColumns({"_p": p, "_t": t})
+    return d.withColumns({"exact": F.col("_p") == F.col("_t"), "distance": F.pandas_udf(_distances, IntegerType())("_p", "_t"), "target_chars": F.char_length("_t")}).drop("_p", "_t")
 
 
 def line_accuracy(preds: DataFrame) -> DataFrame:
@@ -62,34 +103,51 @@ def running_metrics(batches: DataFrame) -> DataFrame:
     return batches.withColumns({"running_loss": F.avg("loss").over(w), "running_accuracy": F.sum("correct").over(w) / F.greatest(F.sum("processed").over(w), F.lit(1))})
 
 
-def best_checkpoint(metrics: DataFrame) -> DataFrame:
+def best_checkpoint(metrics: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Of (run, epoch, loss, accuracy) the row of each run with the best accuracy, then the least loss, then the latest
-    epoch."""
+    epoch. Runs of `runs` (run) without epochs keep what they start from: epoch 0, infinite loss, accuracy 0."""
     key = F.struct("accuracy", -F.col("loss"), "epoch")
-    return metrics.groupBy("run").agg(F.max_by(F.struct("epoch", "loss", "accuracy"), key).alias("b")).select("run", "b.*")
+    best = metrics.groupBy("run").agg(F.max_by(F.struct("epoch", "loss", "accuracy"), key).alias("b")).select("run", "b.*")
+    if runs is None:
+        return best
+    start = {"epoch": F.lit(0), "loss": F.lit(float("inf")), "accuracy": F.lit(0.0)}
+    return runs.select("run").distinct().join(best, "run", "left").select("run", *[F.coalesce(c, v).alias(c) for c, v in start.items()])
 
 
-def split_every_fifth(samples: DataFrame) -> DataFrame:
-    """samples with in_train and in_validation: every fifth row by seq validates; a single row does both.
+#: Ranges of seq that rows are numbered in.
+RANGES = 512
+
 
-    Row numbers are exact over any number of rows: counts by range of seq come first, then places within ranges."""
-    total = samples.agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
-    width = F.greatest(F.floor((F.col("_hi") - F.col("_lo")) / 1024) + 1, F.lit(1))
-    d = samples.join(F.broadcast(total), F.lit(True)).withColumn("_r", F.floor((F.col("seq") - F.col("_lo")) / width))
-    before = d.groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    place = F.col("_before") + F.row_number().over(W.partitionBy("_r").orderBy("seq")) - 1
-    d = d.join(before, "_r").withColumn("_place", place)
-    one = F.col("_n") <= 1
-    return d.select(*samples.columns, (one | (F.col("_place") % 5 != 0)).alias("in_train"), (one | (F.col("_place") % 5 == 0)).alias("in_validation"))
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with _place: each row's number from 0 in order of seq within keys, exact over any number of rows.
+
+    Ranges are quantiles of seq, so neither a hot key nor far-off values of seq put many rows into one: rows are counted
+    by key and range, and only numbered within them. Null keys are a key."""
+    cuts = df.agg(F.percentile_approx(F.col("seq").cast("double"), [i / RANGES for i in range(1, RANGES)], 8 * RANGES)).first()[0]
+    splits = [-math.inf, *sorted(set(cuts or [0.0])), math.inf]
+    d = Bucketizer(splits=splits, inputCol="_seq", outputCol="_range", handleInvalid="keep").transform(df.withColumn("_seq", F.col("seq").cast("double"))).drop("_seq")
+    parts = d.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = (W.partitionBy(*keys) if keys else W).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    place = F.col("_before") + F.row_number().over(W.partitionBy(*keys, "_range").orderBy("seq")) - 1
+    return d.join(parts, same).withColumn("_place", place).select(*df.columns, "_place")
+
+
+def split_every_fifth(samples: DataFrame) -> DataFrame:
+    """samples with in_train and in_validation: every fifth row by seq validates; a single row does both."""
+    one = F.lit(samples.limit(2).count() <= 1)
+    fifth = F.col("_place") % 5 == 0
+    return numbered(samples, []).select(*samples.columns, (one | ~fifth).alias("in_train"), (one | fifth).alias("in_validation"))
 
 
 def assign_batches(samples: DataFrame, size: int = 32, by: str = "width", parts: list[str] | None = None) -> DataFrame:
     """samples (seq, width) with batch_no: for inference (`width`) batches within one width; for training (`chunk`)
     chunks in order, each parted by width. parts name columns that batches never cross."""
     keys = [*(parts or []), *(["width"] if by == "width" else [])]
-    w = W.partitionBy(*keys).orderBy("seq") if keys else W.orderBy("seq")
-    return samples.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    return numbered(samples, keys).select(*samples.columns, F.floor(F.col("_place") / size).cast("int").alias("batch_no"))
 
 
 def pad_batches(samples: DataFrame, keys: list[str]) -> DataFrame:

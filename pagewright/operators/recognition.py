@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 #: Fixed value: below this similarity a template match has no text.
 TEMPLATE_THRESHOLD = 0.40
 EPSILON = 1.1920929e-7
+#: Bytes of template features that are broadcast at a time.
+BLOCK_BYTES = 16_000_000
 
 
 def argmax_steps(logits: DataFrame, mode: str = "softmax") -> DataFrame:
@@ -77,21 +81,26 @@ def train_templates(features: DataFrame) -> DataFrame:
     return rows.withColumn("_ok", checked).filter(F.col("_ok").isNull()).select("label", "sample_count", unit(mean).alias("feature"))
 
 
-def match_templates(features: DataFrame, templates: DataFrame, threshold: float = TEMPLATE_THRESHOLD, block: int = 512) -> DataFrame:
+def match_templates(features: DataFrame, templates: DataFrame, threshold: float = TEMPLATE_THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """sample_id, text, confidence: the nearest template by cosine, the greatest label of equally near ones; empty text
     below the threshold. Features of another length have similarity 0.
 
-    Templates are one model, dealt into blocks by label; features meet each block (a stated query set against all
-    features) and only the best of each block goes on, so no pairs are shuffled."""
-    blocks = templates.withColumn("_b", F.floor((F.row_number().over(W.orderBy("label")) - 1) / block))
-    blocks = blocks.groupBy("_b").agg(F.collect_list(F.struct("label", "feature")).alias("_t"))
+    Templates are a stated query set against all features: they are dealt by label into blocks of about block_bytes,
+    each block is one broadcast row, and only the best of each block goes on, so no pairs are shuffled."""
+    n, longest = templates.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("feature")), F.lit(1))).first()
+    blocks = max(1, -(-n * longest * 8 // block_bytes))
+
     def similarity(t: Column) -> Column:
         dot = F.aggregate(F.zip_with("feature", t["feature"], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         return F.when(F.size("feature") == F.size(t["feature"]), F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
     best = F.array_max(F.transform("_t", lambda t: F.struct(similarity(t).alias("s"), t["label"].alias("label"))))
-    per = features.select("sample_id", "feature").join(F.broadcast(blocks), F.lit(True)).select("sample_id", best.alias("_m"))
-    found = per.groupBy("sample_id").agg(F.max("_m").alias("_m"))
+
+    def within(i: int) -> DataFrame:
+        own = templates.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("label", "feature")).alias("_t"))
+        return features.select("sample_id", "feature").join(F.broadcast(own.filter(F.size("_t") > 0)), F.lit(True)).select("sample_id", best.alias("_m"))
+
+    found = reduce(DataFrame.unionByName, [within(i) for i in range(blocks)]).groupBy("sample_id").agg(F.max("_m").alias("_m"))
     return found.select("sample_id", F.when(F.col("_m.s") < threshold, "").otherwise(F.col("_m.label")).alias("text"), F.col("_m.s").alias("confidence"))
 
 

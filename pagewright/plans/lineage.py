@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     gc.collect()
     return df.checkpoint()
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a path on whatever store it is; without error where it, or the session, is gone."""
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session may have gone before the interpreter ends
+        pass
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the interpreter ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    atexit.register(forget, spark, path)
+    return path

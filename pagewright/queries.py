@@ -13,7 +13,7 @@ from .functions import geometry as g
 from .functions import text as t
 from .operators import detection, evaluation, layout, pixels, recognition
 from .plans import pipelines
-from .plans.lineage import checkpointed
+from .plans.lineage import checkpointed, scratch
 from .sources import tables
 from .streaming import streams
 
@@ -328,31 +328,27 @@ query("r7_argmax_probability", f"{_LG} SELECT crop_id, t, CAST(list_position(v,
 query("j5_r8_ctc_decode", f"{_LG}, s AS (SELECT crop_id, t, list_position(v, list_max(v)) - 1 AS idx, greatest(list_max(v), 0.0) AS conf FROM lg), k AS (SELECT *, idx <> 0 AND idx <> lag(idx, 1, 0) OVER (PARTITION BY crop_id ORDER BY t) AS keep FROM s) SELECT crop_id, coalesce(string_agg(substr('abc', idx, 1), '' ORDER BY t) FILTER (WHERE keep), '') AS text, coalesce(avg(conf) FILTER (WHERE keep), 0.0) AS confidence FROM k GROUP BY crop_id")(lambda spark, sf_dir: recognition.ctc_decode(recognition.argmax_steps(fx.logits(spark, sf_dir), "probability"), fx.small_dict(spark)))
 
 
-@query("r9_time_major", "WITH e AS (SELECT vec_id AS crop_id, CAST(embedding AS DOUBLE[]) AS f, vec_id % 2 = 0 AS by_rows FROM embeddings) SELECT crop_id, CAST(t AS INT) AS t, CASE WHEN by_rows THEN f[t * 4 + 1:t * 4 + 4] ELSE [f[t + 1], f[16 + t + 1], f[32 + t + 1], f[48 + t + 1]] END AS v FROM e, range(16) AS s(t)")
+@query("r9_time_major", "WITH e AS (SELECT vec_id AS crop_id, CAST(embedding AS DOUBLE[]) AS f, vec_id % 3 AS kind FROM embeddings) SELECT crop_id, CAST(t AS INT) AS t, CASE kind WHEN 0 THEN f[t * 4 + 1:t * 4 + 4] WHEN 1 THEN f[t * 16 + 1:t * 16 + 16] ELSE list_transform(range(0, 16), lambda c: f[c * 4 + t + 1]) END AS v FROM e, range(16) AS s(t) WHERE kind = 0 OR t < 4")
 def r9(spark, sf_dir):
-    d = fx.embeddings(spark, sf_dir)
-    even = F.col("vec_id") % 2 == 0
-    # four classes either way: sixteen rows of four, or, as the dictionary has four, four rows of sixteen
-    out = d.select(F.col("vec_id").alias("crop_id"), F.when(even, 16).otherwise(4).alias("n_rows"), F.when(even, 4).otherwise(16).alias("n_cols"), F.col("feature").alias("flat"))
-    by_rows = recognition.to_time_major(out.filter("n_cols = 4"), 4)
-    turned = out.filter("n_cols = 16").withColumn("flat", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("flat", F.floor(i / 16).cast("int") * 16 + i % 16)))
-    columns = turned.select("crop_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("t"), "flat").select("crop_id", "t", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.get("flat", c * 16 + F.col("t"))).alias("v"))
-    return by_rows.unionByName(columns)
+    # sixteen rows of the dictionary's four classes; four rows of sixteen; sixteen rows of four steps, where the dictionary has more
+    d = fx.embeddings(spark, sf_dir).select(F.col("vec_id").alias("crop_id"), (F.col("vec_id") % 3).alias("kind"), F.col("feature").alias("flat"))
+    d = d.withColumns({"n_rows": F.when(F.col("kind") == 1, 4).otherwise(16), "n_cols": F.when(F.col("kind") == 1, 16).otherwise(4)})
+    return recognition.to_time_major(d.filter("kind < 2"), 4).unionByName(recognition.to_time_major(d.filter("kind = 2"), 5))
 
 
 _SAM = f"WITH {fx.CHARS}, {fx.SAMPLES}"
-query("s6_char_dict", f"WITH {fx.CHARS} SELECT * FROM chars")(lambda spark, sf_dir: fx.char_dict(spark, sf_dir))
+query("s6_char_dict", f"WITH {fx.CHARS} SELECT * FROM chars")(lambda spark, sf_dir: tables.read_char_dict(spark, fx.dict_files(spark, sf_dir)).filter("idx > 0").select("ch", "idx"))
 query("j4_encode_labels", f"{_SAM}, sp AS (SELECT seq, unnest(string_split(label_text, '')) AS ch, generate_subscripts(string_split(label_text, ''), 1) AS k FROM samples), en AS (SELECT seq, list(idx ORDER BY k) AS label_indices FROM sp JOIN chars USING (ch) WHERE idx % 9 <> 4 GROUP BY seq) SELECT samples.seq, CAST(len(coalesce(label_indices, [])) AS INT) AS n, CAST(coalesce(list_sum(label_indices), 0) AS BIGINT) AS total, label_indices[1] AS first, label_indices[-1] AS last FROM samples LEFT JOIN en USING (seq)")(lambda spark, sf_dir: recognition.encode_labels(fx.samples(spark, sf_dir), fx.char_dict(spark, sf_dir).filter("idx % 9 <> 4")).select("seq", F.size("label_indices").alias("n"), F.aggregate("label_indices", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.get("label_indices", F.lit(0)).alias("first"), F.get("label_indices", F.size("label_indices") - 1).alias("last")))
 query("t15_keep_known", f"{_SAM}, sp AS (SELECT seq, unnest(string_split(label_text, '')) AS ch, generate_subscripts(string_split(label_text, ''), 1) AS k FROM samples) SELECT seq AS key, string_agg(ch, '' ORDER BY k) AS label FROM sp JOIN chars USING (ch) WHERE idx % 9 <> 4 GROUP BY seq HAVING count(*) >= 5")(lambda spark, sf_dir: recognition.keep_known(fx.samples(spark, sf_dir).select(F.col("seq").alias("key"), F.col("label_text").alias("label")), fx.char_dict(spark, sf_dir).filter("idx % 9 <> 4"), 5))
-_TM = "fe AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings), tn AS (SELECT label, k, avg(f[k]) AS m, count(*) AS n FROM fe, range(1, 65) AS t(k) WHERE vec_id % 5 <> 0 GROUP BY label, k), nr AS (SELECT label, greatest(sqrt(sum(m * m)), 1.1920929e-7) AS norm, any_value(n) AS n FROM tn GROUP BY label), tp AS (SELECT tn.label, nr.n AS sample_count, list(m / norm ORDER BY k) AS feature FROM tn JOIN nr USING (label) GROUP BY tn.label, nr.n)"
+_TM = "fe AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings), tn AS (SELECT label, k, avg(f[k]) AS m, count(*) AS n FROM fe, range(1, 65) AS t(k) GROUP BY label, k), nr AS (SELECT label, greatest(sqrt(sum(m * m)), 1.1920929e-7) AS norm, any_value(n) AS n FROM tn GROUP BY label), tp AS (SELECT tn.label, nr.n AS sample_count, list(m / norm ORDER BY k) AS feature FROM tn JOIN nr USING (label) GROUP BY tn.label, nr.n)"
 
 
 def _templates(spark, sf_dir):
-    return recognition.train_templates(fx.embeddings(spark, sf_dir).filter("vec_id % 5 <> 0").withColumnRenamed("vec_id", "sample_id"))
+    return recognition.train_templates(fx.embeddings(spark, sf_dir).withColumnRenamed("vec_id", "sample_id"))
 
 
 query("a1_train_templates", f"WITH {_TM} SELECT label, sample_count, list_transform(feature, lambda x: round(x, 9)) AS feature FROM tp")(lambda spark, sf_dir: _templates(spark, sf_dir).select("label", "sample_count", F.transform("feature", lambda x: F.round(x, 9)).alias("feature")))
-query("j6_j7_match_templates", f"WITH {_TM}, sc AS (SELECT vec_id, tp.label, least(greatest(list_dot_product(f, feature), 0.0), 1.0) AS s FROM fe, tp WHERE vec_id % 5 = 0), bs AS (SELECT vec_id, arg_max(label, (s, label)) AS label, max(s) AS s FROM sc GROUP BY vec_id) SELECT vec_id AS sample_id, CASE WHEN s < 0.4 THEN '' ELSE label END AS text, round(s, 9) AS confidence FROM bs")(lambda spark, sf_dir: recognition.match_templates(fx.embeddings(spark, sf_dir).filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "sample_id"), _templates(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9)))
+query("j6_j7_match_templates", f"WITH {_TM}, sc AS (SELECT vec_id, tp.label, least(greatest(list_dot_product(f, feature), 0.0), 1.0) AS s FROM fe, tp), bs AS (SELECT vec_id, arg_max(label, (s, label)) AS label, max(s) AS s FROM sc GROUP BY vec_id) SELECT vec_id AS sample_id, CASE WHEN s < 0.4 THEN '' ELSE label END AS text, round(s, 9) AS confidence FROM bs")(lambda spark, sf_dir: recognition.match_templates(fx.embeddings(spark, sf_dir).withColumnRenamed("vec_id", "sample_id"), _templates(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9)))
 
 
 @query("j9_assemble_regions", f"WITH {fx.REGIONS} SELECT page_id, seq, CASE WHEN seq % 3 = 0 THEN direction ELSE 'Horizontal' END AS direction, CASE WHEN seq % 3 = 0 THEN page_id % 2 = 0 ELSE false END AS rotate, text, det_conf * rec_conf AS confidence FROM r WHERE seq % 4 <> 0")
@@ -431,11 +427,11 @@ query("r13_latest_models", "SELECT o_orderpriority || '-' || o_orderkey AS name,
 def _label_lines(spark, sf_dir):
     d = fx.samples(spark, sf_dir)
     value = F.when(F.col("seq") % 11 == 0, F.concat(F.lit(" \t"), "label_text")).otherwise(F.concat_ws("\t", "image_path", "label_text"))
-    return d.select(F.lit("labels.txt").alias("file"), F.col("seq").alias("line"), value.alias("value"))
+    return d.select(F.lit("labels.txt").alias("file"), F.col("seq").alias("line"), "seq", value.alias("value"))
 
 
 _TSV = f"{_SAM}, tv AS (SELECT seq, trim(CASE WHEN seq % 11 = 0 THEN ' ' || chr(9) || label_text ELSE image_path || chr(9) || label_text END, chr(9) || ' ') AS value FROM samples)"
-query("s3_s4_parse_labels", f"{_TSV} SELECT seq, substr(value, 1, strpos(value, chr(9)) - 1) AS image_path, substr(value, strpos(value, chr(9)) + 1) AS label_text FROM tv WHERE strpos(value, chr(9)) > 0")(lambda spark, sf_dir: tables.parse_labels(_label_lines(spark, sf_dir))[0].select(F.col("_seq.line").alias("seq"), "image_path", "label_text"))
+query("s3_s4_parse_labels", f"{_TSV} SELECT seq, substr(value, 1, strpos(value, chr(9)) - 1) AS image_path, substr(value, strpos(value, chr(9)) + 1) AS label_text FROM tv WHERE strpos(value, chr(9)) > 0")(lambda spark, sf_dir: tables.parse_labels(_label_lines(spark, sf_dir))[0])
 query("s3_rejects", f"{_TSV} SELECT seq AS line, value FROM tv WHERE strpos(value, chr(9)) = 0 AND value <> ''")(lambda spark, sf_dir: tables.parse_labels(_label_lines(spark, sf_dir))[1].select("line", "value"))
 
 
@@ -503,3 +499,77 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("u1_apply_recognizer", f"WITH {fx.REGIONS} SELECT page_id, seq, CASE WHEN page_id % 1301 <> 5 THEN upper(text) END AS text, CASE WHEN page_id % 1301 <> 5 THEN rec_conf END AS confidence, CASE WHEN page_id % 1301 = 5 THEN 'ValueError: unreadable' END AS error FROM r")(u1)
 query("u2_apply_detector", "SELECT s_suppkey AS page_id, CAST(k AS INT) AS seq, CAST(s_suppkey % 10 + k AS DOUBLE) AS x0, CAST(k + 4 AS DOUBLE) AS y1, 0.5::DOUBLE AS det_conf FROM supplier, unnest(range(0, s_suppkey % 3)) AS t(k)")(lambda spark, sf_dir: pipelines.apply_detector(fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")), lambda r: [(r["image_id"] % 10 + k, k, 5, 4, 0.5) for k in range(r["image_id"] % 3)]).select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.bottom(F.col("quad")).alias("y1"), "det_conf"))
+
+
+# files of the given tables' rows, written to the shared folder and read back
+
+
+def _files(spark, sf_dir):
+    path = scratch(spark, "images")
+    fx.image_files(spark, sf_dir, path, "true")
+    return tables.read_images(spark, path)
+
+
+def _name():
+    return F.regexp_extract("origin", r"/(i[0-9]+\.bmp)$", 1).alias("name")
+
+
+query("s1_read_images", "SELECT 'i' || s_suppkey || '.bmp' AS name, 24 AS width, 16 AS height, 3 AS n_channels FROM supplier WHERE s_suppkey % 10 <> 7")(lambda spark, sf_dir: _files(spark, sf_dir)[0].select(_name(), "width", "height", "n_channels"))
+query("s1_rejects", "SELECT 'i' || s_suppkey || '.bmp' AS name, 'undecodable' AS reason FROM supplier WHERE s_suppkey % 10 = 7")(lambda spark, sf_dir: _files(spark, sf_dir)[1].select(_name(), "reason"))
+
+
+@query("s2_to_pixels", f"{_PX} SELECT image_id, y, x, r, g, b FROM px WHERE image_id % 10 <> 7")
+def s2(spark, sf_dir):
+    images = _files(spark, sf_dir)[0]
+    named = images.withColumn("image_id", F.regexp_extract("origin", r"/i([0-9]+)\.bmp$", 1).cast("long"))
+    return pixels.to_pixels(named)
+
+
+@query("s12_templates_as_json", f"WITH {_TM} SELECT 'model ' || label AS model_id, label, sample_count, list_transform(feature, lambda x: round(x, 9)) AS feature FROM tp")
+def s12(spark, sf_dir):
+    path = scratch(spark, "templates")
+    tables.save_templates(_templates(spark, sf_dir).withColumn("model_id", F.concat(F.lit("model "), "label")), path)
+    return tables.load_templates(spark, path).withColumn("feature", F.transform("feature", lambda x: F.round(x, 9)))
+
+
+def _registry(spark, sf_dir) -> str:
+    """A manifest for each supplier, and one that can't be read."""
+    root, key = scratch(spark, "models"), F.col("s_suppkey")
+    metrics = F.struct((key % 7).cast("long").alias("train_samples"), (key % 5).cast("long").alias("validation_samples"), (key % 100 / 100.0).alias("accuracy"), (key % 9 / 10.0).alias("avg_loss"))
+    models = fx.table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit("!")).alias("name"), (key * 10).cast("long").alias("created_at"), F.lit("base").alias("base_model_name"), F.lit("w").alias("weights_file"), F.lit("d").alias("dict_file"), metrics.alias("metrics"))
+    tables.register_model(models, root)
+    spark.range(1).select(F.lit("{no json").alias("value")).write.text(f"{root}/model_dir=bad")
+    return root
+
+
+_DIR = "'model_dir=' || (s_suppkey * 10) || '-' || regexp_replace(s_name, '[^A-Za-z0-9_-]', '-', 'g')"
+query("s13_list_models", f"SELECT {_DIR} AS model_dir, s_name || '!' AS name, CAST(s_suppkey * 10 AS BIGINT) AS created_at, 'base' AS base_model_name, CAST(s_suppkey % 7 AS BIGINT) AS train_samples, CAST(s_suppkey % 5 AS BIGINT) AS validation_samples, s_suppkey % 100 / 100.0::DOUBLE AS accuracy, s_suppkey % 9 / 10.0::DOUBLE AS avg_loss FROM supplier")(lambda spark, sf_dir: tables.list_models(spark, _registry(spark, sf_dir)))
+
+
+@query("s14_register_model", f"SELECT {_DIR} AS model_dir, 1 AS manifests FROM supplier")
+def s14(spark, sf_dir):
+    files = spark.read.option("recursiveFileLookup", True).text(_registry(spark, sf_dir)).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("model_dir"))
+    return files.filter("model_dir <> 'model_dir=bad'").groupBy("model_dir").agg(F.count(F.lit(1)).cast("int").alias("manifests"))
+
+
+@query("x1_stream_pages", f"{_PX} SELECT count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM px WHERE image_id % 10 <> 7 GROUP BY image_id")
+def x1(spark, sf_dir):
+    """Half of the files are there when the stream starts; the others come before it is started again."""
+    path, out, state = (scratch(spark, kind) for kind in ("arriving", "read", "state"))
+    for keep in ("id % 2 = 0", "id % 2 = 1"):
+        fx.image_files(spark, sf_dir, path, keep)
+        sums = lambda px: px.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "rgb"])
+        streams.stream_pages(spark, path, out, state, sums, availableNow=True).awaitTermination()
+    return spark.read.parquet(out).select("n", "r", "g", "b")
+
+
+@query("x2_stream_progress", f"{_PG} SELECT run, epoch, round(sum(loss), 4) AS total_loss, avg(CAST(correct AS DOUBLE)) AS accuracy, count(*) AS batches FROM progress GROUP BY run, epoch")
+def x2(spark, sf_dir):
+    """The same metrics from a stream of files, one at a time."""
+    path, out, state = (scratch(spark, kind) for kind in ("progress", "metrics", "state"))
+    d = fx.progress(spark, sf_dir).select("run", "epoch", "batch", F.lit(1).alias("total_batches"), "loss", F.col("correct").cast("double").alias("accuracy"))
+    d.repartition(3).write.parquet(path)
+    source = spark.readStream.schema(streams.PROGRESS).option("maxFilesPerTrigger", 1).parquet(path)
+    for q in streams.stream_progress(source, out, state, availableNow=True):
+        q.awaitTermination()
+    return streams.latest(spark, f"{out}/epochs", ["run", "epoch"]).select("run", "epoch", F.round(F.col("loss") * F.col("batches"), 4).alias("total_loss"), "accuracy", "batches")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import csv_escape, sanitize_name, strip
+from ..functions.text import sanitize_name, strip
 
 IMAGE_TYPES = ("png", "jpg", "jpeg", "bmp")
 #: Fixed value: the characters used where no dictionary file is there; the space is the last.
@@ -24,27 +24,33 @@ def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files in order: file, line, value. Lines end at \\n; one \\r before it goes.
+    """Lines of text files: file, line (from 1, within its file), seq (from 1, over all files in order of name), value.
+    Lines end at \\n; one \\r before it goes.
 
-    A file's lines are numbered within it, so files, not the whole input, are the unit of order."""
-    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("value"))
-    return text.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("_id"))).drop("_id")
+    Files may be of any size: a line's place in the split that Spark reads is known without a sort, and the lines of
+    earlier splits are one small sum over splits."""
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    text = spark.read.option("lineSep", "\n").text(path).select(block.alias("b"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    text = text.select("b.file", "b.start", "_id", "value")
+    blocks = text.groupBy("file", "start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumns({"_of_file": upto(W.partitionBy("file").orderBy("start")), "_of_all": upto(W.orderBy("file", "start"))}).drop("_n")
+    place = F.col("_id") - F.col("_first") + 1
+    return text.join(blocks, ["file", "start"]).select("file", (F.col("_of_file") + place).alias("line"), (F.col("_of_all") + place).alias("seq"), "value")
 
 
 def parse_labels(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(file, line, value) -> (samples, rejects): the trimmed line is split at its first tab; blank lines are skipped,
-    lines without both parts are rejects."""
+    """(file, line, seq, value) -> (samples, rejects): the trimmed line is split at its first tab; blank lines are
+    skipped, lines without both parts are rejects."""
     d = lines.withColumn("value", strip(F.col("value"))).filter("value <> ''").withColumn("_p", F.split("value", "\t", 2))
-    seq = F.struct("file", "line")
-    good = d.filter(F.size("_p") == 2).select(seq.alias("_seq"), F.col("_p")[0].alias("image_path"), F.col("_p")[1].alias("label_text"))
+    good = d.filter(F.size("_p") == 2).select(F.col("seq").cast("long").alias("seq"), F.col("_p")[0].alias("image_path"), F.col("_p")[1].alias("label_text"))
     return good, d.filter(F.size("_p") < 2).select("file", "line", "value", F.lit("not two parts").alias("reason"))
 
 
 def read_labels(spark: SparkSession, path: str, mode: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(samples, rejects) of `name<TAB>label` files: seq, image_path, label_text. mode raw drops blank labels; mode
-    encoded leaves them to the encoder."""
+    """(samples, rejects) of `name<TAB>label` files: seq, image_path, label_text. seq counts the lines of all files, in
+    order of file name. mode raw drops blank labels; mode encoded leaves them to the encoder."""
     samples, rejects = parse_labels(_lines(spark, path))
-    samples = samples.select(F.col("_seq.line").cast("long").alias("seq"), "image_path", "label_text")
     return (samples.filter(F.length(strip(F.col("label_text"))) > 0) if mode == "raw" else samples), rejects
 
 
@@ -60,9 +66,9 @@ def join_images(samples: DataFrame, images: DataFrame) -> tuple[DataFrame, DataF
 
 
 def number_chars(lines: DataFrame) -> DataFrame:
-    """(line, value) -> char_dict (idx, ch): entries count from 1, 0 is the blank; without an entry of one space, an
+    """(seq, value) -> char_dict (idx, ch): entries count from 1, 0 is the blank; without an entry of one space, an
     ideographic space stands for it. A dictionary is one small file."""
-    d = lines.filter("value <> ''").withColumn("idx", F.row_number().over(W.orderBy("line")))
+    d = lines.filter("value <> ''").withColumn("idx", F.row_number().over(W.orderBy("seq")))
     has_space = F.max((F.col("value") == " ").cast("int")).over(W.partitionBy()) == 1
     ch = F.when(~has_space & (F.col("value") == "　"), " ").otherwise(F.col("value"))
     blank = d.sparkSession.sql("SELECT 0 AS idx, '<blank>' AS ch")
@@ -141,9 +147,3 @@ def list_models(spark: SparkSession, root: str) -> DataFrame:
     d = raw.withColumn("path", F.col("_metadata.file_path")).filter("_corrupt is null and name is not null and created_at is not null")
     d = d.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("model_dir"), "name", "created_at", "base_model_name", "metrics.*")
     return d.orderBy(F.desc("created_at"), F.desc("name"))
-
-
-def table_csv_rows(cells: DataFrame) -> DataFrame:
-    """page_id, row_no, line of (page_id, row_no, col_no, text): CSV that quotes a value only where it must."""
-    rows = cells.groupBy("page_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", csv_escape(F.col("text")).alias("s")))).alias("_c"))
-    return rows.select("page_id", "row_no", F.array_join(F.transform("_c", lambda x: x["s"]), ",").alias("line"))

@@ -10,19 +10,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import pixels
 
+EVERY = {"processingTime": "10 seconds"}
 PROGRESS = "run string, epoch int, batch int, total_batches int, loss double, accuracy double"
 
 
-def stream_pages(spark: SparkSession, path: str, out: str, checkpoint: str, recognise: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Image files of a folder, each recognised once: every micro-batch goes through `recognise` (page pixels to text
-    rows) and is written below out by batch, so a batch that is run again replaces its own rows."""
+def stream_pages(spark: SparkSession, path: str, out: str, checkpoint: str, recognise: Callable[[DataFrame], DataFrame], **trigger) -> StreamingQuery:
+    """Image files of a folder, each recognised once, as they come: every micro-batch goes through `recognise` (page
+    pixels to text rows) and is written below out by batch, so a batch that is run again replaces its own rows. The query
+    stays up, looking for files every ten seconds; `trigger` may say otherwise (availableNow=True: what is there)."""
     images = spark.readStream.format("image").schema("image STRUCT<origin STRING, height INT, width INT, nChannels INT, mode INT, data BINARY>").load(path)
     flat = images.select("image.*").select(F.xxhash64("origin").alias("image_id"), "origin", "width", "height", F.col("nChannels").alias("n_channels"), "data")
 
     def each(batch: DataFrame, n: int) -> None:
         recognise(pixels.to_pixels(batch)).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    return flat.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return flat.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or EVERY)).start()
 
 
 def epoch_metrics(progress: DataFrame) -> DataFrame:
@@ -34,13 +36,24 @@ def best_so_far(progress: DataFrame) -> DataFrame:
     """run and its best event: greatest accuracy, then least loss, then latest epoch. One aggregate, so it also runs in
     update mode with one row of state for each run."""
     key = F.struct("accuracy", -F.col("loss"), "epoch", "batch")
-    return progress.groupBy("run").agg(F.max_by(F.struct("epoch", "batch", "loss", "accuracy"), key).alias("b")).select("run", "b.*")
+    return progress.groupBy("run").agg(F.max_by(F.struct("epoch", F.col("batch").alias("at_batch"), "loss", "accuracy"), key).alias("b")).select("run", "b.*")
 
 
-def stream_progress(progress: DataFrame, name: str, checkpoint: str) -> tuple[StreamingQuery, StreamingQuery]:
-    """Two queries over a stream of progress events into memory tables <name>_epochs and <name>_best."""
+def stream_progress(progress: DataFrame, out: str, checkpoint: str, **trigger) -> tuple[StreamingQuery, StreamingQuery]:
+    """Two queries over a stream of progress events, in update mode: below <out>/epochs and <out>/best each micro-batch
+    writes the rows that it changed. `latest` gives the rows as they stand."""
     def start(df: DataFrame, part: str) -> StreamingQuery:
-        writer = df.writeStream.outputMode("complete").format("memory").queryName(f"{name}_{part}")
-        return writer.option("checkpointLocation", f"{checkpoint}/{part}").trigger(availableNow=True).start()
+        def each(batch: DataFrame, n: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/{part}/batch={n}")
+
+        writer = df.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{checkpoint}/{part}")
+        return writer.trigger(**(trigger or EVERY)).start()
 
     return start(epoch_metrics(progress), "epochs"), start(best_so_far(progress), "best")
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of the rows that micro-batches wrote below path, the last of each key."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")

@@ -1,6 +1,7 @@
 """Literal cases: small inputs with known results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,7 +146,7 @@ def test_ctc(spark):
 
 
 def test_dictionaries(spark):
-    lines = lambda *x: spark.createDataFrame([(i + 1, v) for i, v in enumerate(x)], "line int, value string")
+    lines = lambda *x: spark.createDataFrame([(i + 1, v) for i, v in enumerate(x)], "seq int, value string")
     as_dict = lambda df: dict(map(tuple, df.collect()))
     assert as_dict(tables.number_chars(lines("a", " ", "", "b"))) == {0: "<blank>", 1: "a", 2: " ", 3: "b"}
     assert as_dict(tables.number_chars(lines("　", "a", "b")))[1] == " "
@@ -209,7 +210,7 @@ def test_images_and_continuous_intake(spark, tmp_path):
     assert (images.count(), rejects.count()) == (1, 1)
     px = pixels.to_pixels(images)
     assert px.count() == 15 and px.select("r", "g", "b").distinct().first()[:] == (10, 20, 30)
-    q = streams.stream_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), pixels.sizes_of)
+    q = streams.stream_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), pixels.sizes_of, availableNow=True)
     q.awaitTermination(120)
     assert [(r["src_w"], r["src_h"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(5, 3)]
 
@@ -217,10 +218,10 @@ def test_images_and_continuous_intake(spark, tmp_path):
 def test_progress_stream(spark, tmp_path):
     spark.createDataFrame([("r", 1, 1, 2, 0.9, 0.1), ("r", 1, 2, 2, 0.7, 0.3), ("r", 2, 1, 2, 0.5, 0.3)], streams.PROGRESS).write.json(str(tmp_path / "in"))
     source = spark.readStream.schema(streams.PROGRESS).json(str(tmp_path / "in"))
-    for q in streams.stream_progress(source, "p", str(tmp_path / "cp")):
+    for q in streams.stream_progress(source, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True):
         q.awaitTermination(120)
-    assert {r["epoch"]: r["batches"] for r in spark.table("p_epochs").collect()} == {1: 2, 2: 1}
-    assert spark.table("p_best").first()["epoch"] == 2
+    assert {r["epoch"]: r["batches"] for r in streams.latest(spark, str(tmp_path / "out" / "epochs"), ["run", "epoch"]).collect()} == {1: 2, 2: 1}
+    assert streams.latest(spark, str(tmp_path / "out" / "best"), ["run"]).first()["epoch"] == 2
 
 
 def test_registry_round_trip(spark, tmp_path):
@@ -244,3 +245,85 @@ def test_failed_rows_keep_their_error(spark):
     d = spark.range(8).select(F.lit(1).cast("long").alias("page_id"), F.col("id").cast("int").alias("seq"))
     got = pipelines.apply_recognizer(d, fn).collect()
     assert len(got) == 8 and [r["seq"] for r in got if r["error"]] == [3]
+
+
+def test_labels_of_several_files(spark, tmp_path):
+    for name, text in (("a.txt", "x.png\tab\ny.png\tb\n"), ("b.txt", "z.png\tcd\n")):
+        (tmp_path / name).write_text(text)
+    samples, _ = tables.read_labels(spark, str(tmp_path))
+    assert [(r["seq"], r["label_text"]) for r in samples.orderBy("seq").collect()] == [(1, "ab"), (2, "b"), (3, "cd")]
+    chars = spark.createDataFrame([(i + 1, c) for i, c in enumerate("abcd")], "idx int, ch string")
+    coded = recognition.encode_labels(samples, chars).orderBy("seq").collect()
+    assert [r["label_indices"] for r in coded] == [[1, 2], [2], [3, 4]]
+
+
+def test_lines_of_a_split_file_are_in_order(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("".join(f"n{i}\tv{i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = tables._lines(spark, str(tmp_path)).orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["line"], r["seq"], r["value"]) for r in lines] == [(i + 1, i + 1, f"n{i}\tv{i}") for i in range(5000)]
+
+
+def test_numbers_with_far_off_values_and_hot_keys(spark):
+    rows = [(i * 3, "hot" if i % 3 else None) for i in range(3000)] + [(1 << 60, "hot"), (-(1 << 60), "one")]
+    d = spark.createDataFrame(rows, "seq long, key string")
+    for keys in ([], ["key"]):
+        of = {}
+        for seq, key in sorted(rows):
+            of.setdefault(key if keys else 0, []).append(seq)
+        want = {seq: k for seqs in of.values() for k, seq in enumerate(seqs)}
+        got = evaluation.numbered(d, keys)
+        assert {r["seq"]: r["_place"] for r in got.collect()} == want
+        ranged = evaluation.split_every_fifth(d)
+        assert ranged.filter("in_validation").count() == 601
+
+
+def test_edits_against_a_plain_table(spark):
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(r.choices("abé中 ", k=r.randrange(0, 90))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+            row = new
+        assert evaluation.edits(a, b) == row[-1]
+    assert evaluation.edits("x" * 20_000, "y" + "x" * 19_990) == 11 - 1
+
+
+def test_templates_in_blocks(spark):
+    f = spark.createDataFrame([(i, f"l{i:03}", [math.cos(i), math.sin(i), i / 50.0]) for i in range(60)], "sample_id long, label string, feature array<double>")
+    model = recognition.train_templates(f)
+    one, many = (sorted(map(str, recognition.match_templates(f, model, block_bytes=n).collect())) for n in (1 << 20, 200))
+    assert one == many and len(one) == 60
+
+
+def test_components_of_random_images(spark):
+    r = random.Random(9)
+    grid = {(i, y, x) for i in range(4) for y in range(20) for x in range(30) if r.random() < 0.55}
+    fg = spark.createDataFrame([(i, y, x, 0.9) for i, y, x in grid], "image_id long, y int, x int, p double")
+    want = {}
+    for start in sorted(grid):
+        if start in want:
+            continue
+        todo = [start]
+        while todo:
+            i, y, x = todo.pop()
+            if (i, y, x) in grid and (i, y, x) not in want:
+                want[i, y, x] = start[1:]
+                todo += [(i, y + 1, x), (i, y - 1, x), (i, y, x + 1), (i, y, x - 1)]
+    got = {(q["image_id"], q["y"], q["x"]): q["label"] for q in detection.components(fg).collect()}
+    assert got.keys() == want.keys()
+    groups = lambda d, name: {frozenset(k for k in d if name(d[k]) == n and k[0] == i) for i in range(4) for n in {name(v) for v in d.values()}} - {frozenset()}
+    assert groups(got, lambda v: (v["image_id"], v["y"], v["x0"])) == groups(want, lambda v: v)
+
+
+def test_runs_without_epochs_keep_their_start(spark):
+    none = spark.createDataFrame([("r", 1, 0.5, 0.8)], "run string, epoch int, loss double, accuracy double")
+    got = {r["run"]: tuple(r)[1:] for r in evaluation.best_checkpoint(none, spark.createDataFrame([("r",), ("s",)], "run string")).collect()}
+    assert got == {"r": (1, 0.5, 0.8), "s": (0, float("inf"), 0.0)}
