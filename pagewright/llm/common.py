@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpoint_dir
+from ..plans.lineage import forget, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,15 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have gone before the interpreter ends
-        pass
-
-
 @contextlib.contextmanager
 def _conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in values}
@@ -58,10 +47,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it again, so it is computed once
     and survives lost executors. The shuffles that made it are dropped."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = scratch(spark, "tables")
     with _conf(spark, _WRITING):
         df.write.option("compression", "zstd").parquet(path)
-    atexit.register(forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -16,12 +16,10 @@ Null texts are empty and have the end id only. Repeated rows are written as ofte
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import json
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import forget, checkpoint_dir, held, small_batches
+from ..plans.lineage import scratch
+from .common import held, small_batches
 
 END_ID = 1
 MAX_SHARDS = 65_536
@@ -43,7 +42,7 @@ CHUNK_BYTES = 2_000_000
 #: have so many characters in all. It is a bound on the training only; all ids are written.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 512, 8_000_000, 65_536
 #: A worker's caches of encoded words as they stand, and of their cores; bounds on memory. Cores are what costs.
-CACHE_WORDS, CACHE_CORES, CACHE_CHARS = 150_000, 400_000, 32
+CACHE_WORDS, CACHE_CORES, CACHE_CHARS = 250_000, 450_000, 32
 #: What a tokenizer must be made of to be given words apart: fixed values of its file.
 _WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _NORMALIZERS, _PRETOKENIZERS, _WORD_END = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "</w>"
@@ -182,9 +181,7 @@ def dict_hash(data: bytes) -> str:
 def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, whole: bool = False, level: int = 1) -> str:
     """Writes the ids of all texts, each with end_id behind, and returns the path."""
     spark = docs.sparkSession
-    if path is None:  # a folder of the session's own
-        path = f"{checkpoint_dir(spark)}/tokens/{uuid.uuid4().hex}"
-        atexit.register(forget, spark, path)
+    path = path or scratch(spark, "tokens")
     width = encoder(tokenizer, whole).kind.itemsize
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     data = train_dictionary(docs, tokenizer, whole)
@@ -197,7 +194,7 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer, whole)
         end, compress = np.array([end_id], e.kind).tobytes(), zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=True, **_dictionary(data)).compress
-        for b in small_batches(batches, 2048):
+        for b in small_batches(batches, 4096, 8_000_000):
             ids = [x.tobytes() + end for x in e.encode(b.column("text"))]
             at = b.column("doc_id")
             shard = np.where(at.is_null(), 0, np.searchsorted(borders, at.fill_null(0).to_numpy(zero_copy_only=False), side="left"))
