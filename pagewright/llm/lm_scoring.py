@@ -39,10 +39,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded_words, discard, materialize, mixed, small_batches
+from .common import coded_words, discard, materialize, mixed, small_batches, trim
 
 #: Tokens of a shard, about; characters of a token, for the number of shards; most bits of that number.
-SHARD_TOKENS, TOKEN_CHARS, MOST_BITS = 5_000_000, 6, 22
+SHARD_TOKENS, TOKEN_CHARS, MOST_BITS = 3_000_000, 6, 22
 #: Texts that are sampled to find frequent contexts. They decide where pairs are kept, not what is counted.
 HOT_SAMPLE = 4_000
 HEAVY_WORDS = 500_000
@@ -201,6 +201,7 @@ def by_shard(rows: DataFrame, n: int, make: Callable[[int, Iterator[tuple[int, i
             yield from make(shard, mine)
             for _ in mine:  # what make left
                 pass
+        trim()
 
     dealt = rows.repartition(min(n, 20_000), "shard").sortWithinPartitions("shard", "kind", "source", "payload")
     return dealt.mapInArrow(made, schema)
@@ -244,7 +245,7 @@ def batch_counts(docs: DataFrame, shards: Shards) -> DataFrame:
     """The pairs of docs (text, learn) by batch and shard: context, word, how often in training texts, and whether in
     others."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 16_384, 8_000_000):
+        for b in small_batches(batches, 8_192):
             pair, n, own, u, w = _batch_pairs(b.column("text"), shards)
             learnt = np.repeat(b.column("learn").to_numpy(zero_copy_only=False), n)
             c = np.bincount(pair[learnt], minlength=len(u)).astype(np.uint32)
@@ -258,14 +259,14 @@ class _Merge:
     """Distinct pairs of a shard; what came is merged when it is as much as what is held."""
 
     def __init__(self) -> None:
-        self.done = [np.empty(0, k) for k in ("u8", "u8", "u8", "i8", "i8")]  # key, context, word, count, held
+        self.done = [np.empty(0, k) for k in ("u8", "u8", "u8", "i8", "?")]  # key, context, word, count, held
         self.new: list[list[np.ndarray]] = []
         self.size = 0
 
     def add(self, payload: bytes) -> None:
         u, n, w, c, held = unpack(payload, "u8 u4 u8 u4 u1")
         u = np.repeat(u, n)
-        self.new.append([pair_keys(u, w), u, w, c.astype(np.int64), held.astype(np.int64)])
+        self.new.append([pair_keys(u, w), u, w, c, held.view(bool)])
         self.size += len(w)
         if self.size > max(500_000, len(self.done[0])):
             self.merge()
@@ -276,8 +277,9 @@ class _Merge:
         order = np.argsort(key)
         starts = np.nonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))[0] if len(key) else np.empty(0, np.int64)
         first = order[starts]
-        add = lambda x: np.add.reduceat(x[order], starts) if len(starts) else x
-        self.done = [key[first], u[first], w[first], add(c), add(held)]
+        total = np.add.reduceat(c[order].astype(np.int64), starts) if len(starts) else c.astype(np.int64)
+        any_held = np.logical_or.reduceat(held[order], starts) if len(starts) else held
+        self.done = [key[first], u[first], w[first], total, any_held]
         return self.done
 
 
@@ -299,7 +301,7 @@ def merged(batches: DataFrame, shards: Shards) -> DataFrame:
         out.append((CONTEXTS, shard, 0, pack(*summed(u[learnt], c[learnt], learnt[learnt].astype(np.int64)))))
         yield packed_rows(out)
         ones, twos = int((c == 1).sum()), int((c == 2).sum())
-        keep = np.nonzero((c > 1) | (held > 0))[0]
+        keep = np.nonzero((c > 1) | held)[0]
         keep = keep[np.lexsort((w[keep], u[keep]))]
         u, w, c = u[keep], w[keep], c[keep]
         for i in range(0, max(1, len(u)), CHUNK):
@@ -609,7 +611,7 @@ def queries(docs: DataFrame, shards: Shards) -> DataFrame:
     """For each batch of docs (doc_id, row, text) and shard: the documents with tokens there and how many, the distinct
     pairs, and the pair of each token."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 16_384, 8_000_000):
+        for b in small_batches(batches, 8_192):
             pair, n, own, u, w = _batch_pairs(b.column("text"), shards)
             null = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             ids, rows = b.column("doc_id").fill_null(0).to_numpy(), b.column("row").to_numpy()
