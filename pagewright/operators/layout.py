@@ -156,15 +156,86 @@ def numbering_start(slots: DataFrame) -> DataFrame:
     return pages.select("page_id", best["start"].alias("start")).filter("start is not null")
 
 
+def _lines_in(boxes: Column) -> Column:
+    """The lines, as arrays, of an array of boxes in order: a box starts one unless it shares it with the box before."""
+    def cut(b: Column) -> Column:
+        new = lambda i: (i == 0) | ~g.shares_line(F.get(b, i - 1)["quad"], F.get(b, i)["quad"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(b) - 1), new)
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.slice(b, at + 1, F.coalesce(F.get(s, k + 1), F.size(b)) - at)))
+
+    return let(boxes, cut)
+
+
+def _mean(a: Column, of) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda total, x: total + of(x)) / F.size(a)
+
+
+def _line(boxes: Column) -> Column:
+    """center_y, height and text of one line, as join_line has them."""
+    def piece(x: Column, i: Column) -> Column:
+        last = F.get(boxes, i - 1)
+        wide = g.left(x["quad"]) - g.right(last["quad"]) > (g.quad_height(x["quad"]) + g.quad_height(last["quad"])) * 0.5 * 0.7
+        space = wide & last["text"].rlike(r"[A-Za-z0-9]\z") & x["text"].rlike(r"\A[A-Za-z0-9]")
+        return F.concat(F.when(space, " ").otherwise(""), t.strip(x["text"]))
+
+    text = F.array_join(F.transform(boxes, piece), "")
+    return F.struct(_mean(boxes, lambda x: g.center_y(x["quad"])).alias("center_y"), _mean(boxes, lambda x: g.quad_height(x["quad"])).alias("height"), text.alias("text"))
+
+
+def _gap_list(lines: Column) -> Column:
+    """The positive distances of neighbouring lines, sorted."""
+    return F.array_sort(F.filter(F.transform(lines, lambda x, i: x["center_y"] - F.get(lines, i - 1)["center_y"]), lambda v: v > 0))
+
+
+def _lower_half(gaps: Column) -> Column:
+    return F.slice(gaps, F.lit(1), F.greatest(F.ceil(F.size(gaps) / 2).cast("int"), F.lit(1)))
+
+
+def _blanks(lines: Column, pitch: Column, most: float, least: float) -> Column:
+    """Empty lines behind (least 1) each line, by the distance to the next."""
+    far = lambda x, i: F.greatest(F.get(lines, i + 1)["center_y"] - x["center_y"], F.lit(0.0)) / pitch
+    return F.transform(lines, lambda x, i: F.coalesce(F.least(F.greatest(F.round(far(x, i)), F.lit(least)) - 1, F.lit(most)), F.lit(0.0)).cast("int"))
+
+
+def _slots(lines: Column) -> Column:
+    """Lines (line true) with the empty slots behind them."""
+    middle = lambda a: F.when(F.size(a) % 2 == 0, (_nth(a, F.floor(F.size(a) / 2) - 1) + _nth(a, F.floor(F.size(a) / 2))) * 0.5).otherwise(_nth(a, F.floor(F.size(a) / 2)))
+    pitch = lambda gaps: F.greatest(F.when(F.size(gaps) > 0, let(_lower_half(gaps), middle)).otherwise(_mean(lines, lambda x: x["height"])), F.lit(1.0))
+    slot = lambda line, text: F.struct(F.lit(line).alias("line"), text.alias("text"))
+    with_blanks = lambda blanks: F.flatten(F.transform(lines, lambda x, i: F.concat(F.array(slot(True, x["text"])), F.array_repeat(slot(False, F.lit("")), F.get(blanks, i)))))
+    return let(let(_gap_list(lines), pitch), lambda p: let(_blanks(lines, p, 32.0, 1.0), with_blanks))
+
+
+def _start(slots: Column) -> Column:
+    """The first line number, as numbering_start has it; null without one."""
+    numbers = F.transform(slots, lambda s, i: F.struct(i.alias("slot"), F.when(s["line"], t.leading_number(s["text"])).alias("n")))
+
+    def of(c: Column) -> Column:
+        def rated(x: Column) -> Column:
+            off = F.transform(c, lambda y: F.abs(x["n"] - x["slot"] + y["slot"] - y["n"]))
+            return F.struct(F.size(F.filter(off, lambda v: v == 0)).alias("exact"), F.size(F.filter(off, lambda v: v <= 1)).alias("near"), (-x["slot"]).alias("first"), (x["n"] - x["slot"]).alias("start"))
+
+        lines = F.size(F.filter(slots, lambda s: s["line"]))
+        numbered = (F.size(c) >= 3) & ((F.size(slots) > lines) | (F.array_max(F.transform(c, lambda x: x["n"])) > lines + 2))
+        return F.when(numbered, F.array_max(F.filter(F.transform(c, rated), lambda x: (x["start"] >= 0) & (x["exact"] >= 3)))["start"])
+
+    return let(F.filter(numbers, lambda x: x["n"].isNotNull()), of)
+
+
 def page_text(regions: DataFrame) -> DataFrame:
-    """page_id, text: lines in order, blank lines where the page has gaps, line numbers in a column of their own."""
-    slots = expand_slots(join_line(group_lines(regions)))
-    d = slots.join(numbering_start(slots), "page_id", "left").withColumn("_n", F.count(F.lit(1)).over(of_page()))
-    number = F.col("start") + F.col("slot")
-    rest = t.strip_line_number(F.col("text"), number)
-    numbered = F.concat(t.lpad_number(number, F.length((F.col("start") + F.col("_n") - 1).cast("string"))), F.when(F.length(t.strip(rest)) > 0, F.concat(F.lit("  "), t.rstrip(rest))).otherwise(""))
-    line = F.when(F.col("start").isNull(), t.rstrip(F.col("text"))).otherwise(numbered)
-    return _lines_to_text(d.withColumn("_line", line), "slot")
+    """page_id, text: lines in order, blank lines where the page has gaps, line numbers in a column of their own. One
+    exchange by page; all else happens in the page's row."""
+    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "quad", "text"))).alias("_b"))
+    pages = pages.select("page_id", let(F.transform(_lines_in(F.col("_b")), _line), _slots).alias("_s"))
+    pages = pages.withColumn("_at", _start(F.col("_s")))
+    start, last = F.col("_at"), F.col("_at") + F.size("_s") - 1
+
+    def line(s: Column, i: Column) -> Column:
+        rest = t.strip_line_number(s["text"], start + i)
+        with_number = F.concat(t.lpad_number(start + i, F.length(last.cast("string"))), F.when(F.length(t.strip(rest)) > 0, F.concat(F.lit("  "), t.rstrip(rest))).otherwise(""))
+        return F.when(start.isNull(), t.rstrip(s["text"])).otherwise(with_number)
+
+    return pages.select("page_id", F.array_join(F.transform("_s", line), "\n").alias("text"))
 
 
 def _lines_to_text(d: DataFrame, order: str) -> DataFrame:
@@ -198,28 +269,32 @@ def vertical_dominant(regions: DataFrame) -> DataFrame:
 
 
 def spatial_text(regions: DataFrame) -> DataFrame:
-    """page_id, text with indents and vertical gaps kept. Needs page_w and page_h."""
+    """page_id, text with indents and vertical gaps kept. Needs page_w and page_h. One exchange by page; all else happens
+    in the page's row."""
     q = F.col("quad")
-    order = [g.top(q), g.left(q), "seq"]
-    d = group_lines(regions, order)
-    about = char_width(regions).join(regions.groupBy("page_id").agg(F.greatest(F.min(g.left(q)), F.lit(0.0)).alias("min_left")), "page_id")
-    d = d.join(about, "page_id")
-    column = F.least(F.greatest(F.round((g.left(q) - F.col("min_left")) / F.col("char_width")), F.lit(0.0)), F.lit(240.0)).cast("int")
-    d = d.withColumn("_f", F.struct(g.left(q).alias("x"), g.top(q).alias("y"), "seq", column.alias("col"), t.strip(F.col("text")).alias("s")))
-    lines = d.groupBy("page_id", "line_no").agg(F.avg(g.center_y(q)).alias("center_y"), F.avg(g.quad_height(q)).alias("height"), F.max("page_h").alias("page_h"), F.array_sort(F.collect_list("_f")).alias("_f"), F.sum(g.quad_height(q)).alias("_hs"), F.count(F.lit(1)).alias("_hn"))
+    wide = g.quad_width(q) / F.greatest(F.char_length("text"), F.lit(1))
+    box = F.struct(g.top(q).alias("y"), g.left(q).alias("x"), "seq", q.alias("quad"), t.strip(F.col("text")).alias("s"), wide.alias("wide"))
+    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("_b"), F.max("page_w").alias("_w"), F.max("page_h").alias("_h"))
+    widths = F.filter(F.transform("_b", lambda x: x["wide"]), lambda v: v > 0)
+    limit = F.when(F.col("_w") > 0, F.col("_w") / 160.0).otherwise(1.0)
+    left = F.greatest(F.array_min(F.transform("_b", lambda x: x["x"])), F.lit(0.0))
+    pages = pages.withColumns({"_c": F.greatest(upper_median(widths, 10.0), limit, F.lit(1.0)), "_l": left, "_m": _mean(F.col("_b"), lambda x: g.quad_height(x["quad"]))})
 
     def add(out: Column, x: Column) -> Column:
-        pad = F.repeat(F.lit(" "), F.greatest(x["col"] - F.char_length(out), F.lit(0)))
-        gap = F.when(x["col"] > F.char_length(out), pad).when((F.length(out) > 0) & ~out.endswith(" "), " ").otherwise("")
+        column = F.least(F.greatest(F.round((x["x"] - F.col("_l")) / F.col("_c")), F.lit(0.0)), F.lit(240.0)).cast("int")
+        gap = F.when(column > F.char_length(out), F.repeat(F.lit(" "), column - F.char_length(out))).when((F.length(out) > 0) & ~out.endswith(" "), " ").otherwise("")
         return F.concat(out, gap, x["s"])
 
-    lines = lines.withColumn("_line", t.rstrip(F.aggregate("_f", F.lit(""), add)))
-    mean = lines.groupBy("page_id").agg((F.sum("_hs") / F.sum("_hn")).alias("_mean"))
-    pitched = lines.join(mean, "page_id").withColumn("height", F.col("_mean"))
-    lines = pitched.join(line_pitch(pitched, "spatial"), "page_id")
-    gap = F.greatest(F.col("center_y") - F.lag("center_y").over(of_page().orderBy("line_no")), F.lit(0.0))
-    blank = F.coalesce(F.least(F.greatest(F.round(gap / F.col("pitch")) - 1, F.lit(0.0)), F.lit(16.0)), F.lit(0.0)).cast("int")
-    return _lines_to_text(lines.withColumn("_line", F.concat(F.repeat(F.lit("\n"), blank), F.col("_line"))), "line_no")
+    def line(boxes: Column) -> Column:
+        across = F.array_sort(F.transform(boxes, lambda x: F.struct(x["x"].alias("x"), x["y"].alias("y"), x["seq"].alias("seq"), x["s"].alias("s"))))
+        return F.struct(_mean(boxes, lambda x: g.center_y(x["quad"])).alias("center_y"), t.rstrip(F.aggregate(across, F.lit(""), add)).alias("text"))
+
+    pages = pages.withColumn("_t", F.transform(_lines_in(F.col("_b")), line))
+    upper = lambda gaps: F.when(F.size(gaps) > 0, F.greatest(let(_lower_half(gaps), lambda a: _nth(a, F.floor(F.size(a) / 2))), F.lit(1.0))).otherwise(F.greatest(F.col("_m"), F.col("_h") / 80, F.lit(1.0)))
+    blanks = let(let(_gap_list(F.col("_t")), upper), lambda p: _blanks(F.col("_t"), p, 16.0, 1.0))
+    pages = pages.withColumn("_n", blanks)
+    text = F.transform("_t", lambda x, i: F.concat(F.repeat(F.lit("\n"), F.coalesce(F.get("_n", i - 1), F.lit(0))), x["text"]))
+    return pages.select("page_id", F.array_join(text, "\n").alias("text"))
 
 
 # rows, columns, tables
@@ -287,56 +362,72 @@ def assign_columns(regions: DataFrame, columns: DataFrame) -> DataFrame:
     return regions.join(edges, "page_id").withColumn("col_no", nearest).drop("_edges")
 
 
-def _placed(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(regions with row and column, pages with is_table, n_rows, n_cols). The first is used more than once and stored."""
-    columns = checkpointed(column_edges(regions))
-    placed = checkpointed(assign_columns(cluster_rows(regions), columns))
-    rows = placed.groupBy("page_id", "row_no").agg(F.count_distinct("col_no").alias("used"), F.count(F.lit(1)).alias("n"))
-    pages = rows.groupBy("page_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("used") >= 2).alias("wide"))
-    pages = pages.join(columns.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_cols")), "page_id")
-    ok = (F.col("n") >= 4) & (F.col("n_rows") >= 2) & (F.col("n_cols") >= 2) & (F.col("wide") >= 2)
-    return placed, pages.select("page_id", ok.alias("is_table"), F.col("n_rows").cast("int").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"))
+def _grid(regions: DataFrame) -> DataFrame:
+    """page_id, is_table, n_rows, n_cols, grid (texts by row and column): rows by cluster_rows, columns by column_edges
+    and assign_columns, within the page's row after one exchange."""
+    q = F.col("quad")
+    box = F.struct(g.center_y(q).alias("k"), F.col("seq").cast("int").alias("seq"), g.center_y(q).alias("c"), g.quad_height(q).alias("e"), g.left(q).alias("x"), t.strip(F.col("text")).alias("s"))
+    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("_boxes"), F.max("page_w").alias("_w"))
+    height = upper_median(F.filter(F.transform("_boxes", lambda x: x["e"]), lambda v: v > 0), 1.0)
+    pages = pages.withColumn("_far", F.greatest(height * 1.2, F.col("_w") * 0.01, F.lit(4.0)))
+
+    def edges(xs: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) - F.get(xs, i - 1) > F.col("_far")))
+        return let(starts, lambda s: F.transform(s, lambda at, k: let(F.slice(xs, at + 1, F.coalesce(F.get(s, k + 1), F.size(xs)) - at), lambda part: _mean(part, lambda v: v))))
+
+    pages = pages.withColumn("_edges", let(F.array_sort(F.transform("_boxes", lambda x: x["x"])), edges))
+    column = lambda x: F.array_min(F.transform("_edges", lambda e, k: F.struct(F.abs(x["x"] - e).alias("d"), k.alias("k"))))["k"]
+    placed = F.transform("_boxes", lambda x: F.struct(x["x"].alias("x"), x["c"].alias("c"), x["seq"].alias("seq"), column(x).alias("col"), x["s"].alias("s")))
+    pages = pages.withColumns({"_placed": placed, "_groups": _clusters()})
+    row = lambda group: F.array_sort(F.filter("_placed", lambda x: F.array_contains(group["seqs"], x["seq"])))
+    pages = pages.withColumn("_r", F.transform("_groups", row))
+    wide = F.size(F.filter("_r", lambda r: F.size(F.array_distinct(F.transform(r, lambda x: x["col"]))) >= 2))
+    n_rows, n_cols = F.size("_r"), F.size("_edges")
+    join = lambda r, k: F.array_join(F.transform(F.filter(r, lambda x: x["col"] == k), lambda x: F.nullif(x["s"], F.lit(""))), " ")
+    grid = F.transform("_r", lambda r: F.transform("_edges", lambda _, k: join(r, k)))
+    table = (F.size("_boxes") >= 4) & (n_rows >= 2) & (n_cols >= 2) & (wide >= 2)
+    return pages.select("page_id", table.alias("is_table"), n_rows.alias("n_rows"), n_cols.alias("n_cols"), grid.alias("grid"))
 
 
 def is_table(regions: DataFrame) -> DataFrame:
     """page_id, is_table, n_rows, n_cols: four regions, two rows, two columns, and two rows that use two columns."""
-    return _placed(regions)[1]
+    return _grid(regions).select("page_id", "is_table", "n_rows", "n_cols")
 
 
 def table_cells(regions: DataFrame) -> DataFrame:
     """page_id, row_no, col_no, text: all cells of pages that are tables; texts of one cell are joined by a space."""
-    placed, pages = _placed(regions)
-    texts = placed.groupBy("page_id", "row_no", "col_no").agg(F.array_sort(F.collect_list(F.struct("row_pos", t.strip(F.col("text")).alias("s")))).alias("_p"))
-    join = F.aggregate("_p", F.lit(""), lambda a, x: F.when(a == "", x["s"]).otherwise(F.concat(a, F.lit(" "), x["s"])))
-    texts = texts.select("page_id", "row_no", "col_no", join.alias("text"))
-    grid = pages.filter("is_table").select("page_id", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row_no"), "n_cols")
-    grid = grid.select("page_id", "row_no", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col_no"))
-    return grid.join(texts, ["page_id", "row_no", "col_no"], "left").select("page_id", "row_no", "col_no", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _grid(regions).filter("is_table").select("page_id", F.posexplode("grid").alias("row_no", "_row"))
+    return rows.select("page_id", "row_no", F.posexplode("_row").alias("col_no", "text"))
 
 
-def _rows(cells: DataFrame, line) -> DataFrame:
-    rows = cells.groupBy("page_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", *[c for c in ("start", "width", "text") if c in cells.columns]))).alias("_c"))
-    return _lines_to_text(rows.withColumn("_line", line), "row_no")
+def _rows(cells: DataFrame, *more: Column) -> DataFrame:
+    """page_id, _rows: the cells of each page by row and column. Cells of table_cells are dealt by page already."""
+    cell = F.struct("row_no", "col_no", "text", *more)
+    pages = cells.groupBy("page_id").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
+    return pages.select("page_id", "_c", F.transform(F.array_sort(F.array_distinct(F.transform("_c", lambda x: x["row_no"]))), lambda r: F.filter("_c", lambda x: x["row_no"] == r)).alias("_rows"))
 
 
 def table_text(cells: DataFrame) -> DataFrame:
     """page_id, text: columns aligned by display width, two spaces apart."""
-    c = cells.withColumn("width", t.display_width(F.col("text")))
-    wide = c.groupBy("page_id", "col_no").agg(F.max("width").alias("_w"))
-    start = F.coalesce(F.sum(F.col("_w") + 2).over(of_page().orderBy("col_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    c = c.join(wide.select("page_id", "col_no", start.alias("start")), ["page_id", "col_no"])
+    pages = _rows(cells, t.display_width(F.col("text")).alias("width"))
+    columns = F.array_sort(F.array_distinct(F.transform("_c", lambda x: x["col_no"])))
+    pages = pages.withColumn("_w", F.transform(columns, lambda k: F.struct(k.alias("k"), F.array_max(F.transform(F.filter("_c", lambda x: x["col_no"] == k), lambda x: x["width"])).alias("w"))))
+    start = lambda x: F.aggregate(F.filter("_w", lambda c: c["k"] < x["col_no"]), F.lit(0), lambda total, c: total + c["w"] + 2)
     state = lambda s, at: F.struct(s.alias("s"), at.cast("int").alias("at"))
 
     def add(a: Column, x: Column) -> Column:
-        pad = F.greatest(x["start"] - a["at"], F.lit(0))
+        pad = F.greatest(start(x) - a["at"], F.lit(0))
         return F.when(x["text"] == "", a).otherwise(state(F.concat(a["s"], F.repeat(F.lit(" "), pad), x["text"]), a["at"] + pad + x["width"]))
 
-    return _rows(c, F.rtrim(F.aggregate("_c", state(F.lit(""), F.lit(0)), add, lambda a: a["s"])))
+    line = lambda row: F.rtrim(F.aggregate(row, state(F.lit(""), F.lit(0)), add, lambda a: a["s"]))
+    return pages.select("page_id", F.array_join(F.transform("_rows", line), "\n").alias("text"))
 
 
 def table_csv(cells: DataFrame) -> DataFrame:
     """page_id, text: CSV with quotes only where a value needs them."""
-    return _rows(cells.withColumn("text", t.csv_escape(F.col("text"))), F.array_join(F.transform("_c", lambda x: x["text"]), ","))
+    pages = _rows(cells.withColumn("text", t.csv_escape(F.col("text"))))
+    line = lambda row: F.array_join(F.transform(row, lambda x: x["text"]), ",")
+    return pages.select("page_id", F.array_join(F.transform("_rows", line), "\n").alias("text"))
 
 
 def layout_text(regions: DataFrame) -> DataFrame:

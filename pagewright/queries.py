@@ -205,8 +205,24 @@ mc AS (SELECT ce2.*, CASE WHEN text = '' THEN '' ELSE repeat(' ', CAST(start - c
 ml AS (SELECT page_id, row_no, rtrim(string_agg(piece, '' ORDER BY col_no)) AS line FROM mc GROUP BY page_id, row_no), mt AS (SELECT page_id, string_agg(line, chr(10) ORDER BY row_no) AS text FROM ml GROUP BY page_id)"""
 query("t8_table_text", f"{_REC}, {_TABLE}, {_MONO} SELECT * FROM mt")(lambda spark, sf_dir: layout.table_text(layout.table_cells(fx.regions(spark, sf_dir))))
 query("s15_table_csv", f"{_REC}, {_TABLE}, cl2 AS (SELECT page_id, row_no, string_agg(text, ',' ORDER BY col_no) AS line FROM ce2 GROUP BY page_id, row_no) SELECT page_id, string_agg(line, chr(10) ORDER BY row_no) AS text FROM cl2 GROUP BY page_id")(lambda spark, sf_dir: layout.table_csv(layout.table_cells(fx.regions(spark, sf_dir))))
-QUERIES["t6_spatial_text"] = lambda spark, sf_dir: layout.spatial_text(fx.regions(spark, sf_dir))
-QUERIES["t11_layout_text"] = lambda spark, sf_dir: layout.layout_text(fx.regions(spark, sf_dir))
+_SPACE = f"""{fx.REGIONS}, so AS (SELECT *, row_number() OVER w1 AS k, NOT coalesce(abs(y + h / 2 - lag(y) OVER w1 - lag(h) OVER w1 / 2) <= (h + lag(h) OVER w1) * 0.5 * 0.7
+    OR least(y + h, lag(y) OVER w1 + lag(h) OVER w1) - greatest(y, lag(y) OVER w1) >= (h + lag(h) OVER w1) * 0.5 * 0.5, true) AS fresh FROM r WINDOW w1 AS (PARTITION BY page_id ORDER BY y, x, seq)),
+sg AS (SELECT page_id, greatest(list_sort(list(w / greatest(length(text), 1)))[count(*) // 2 + 1], 2.5::DOUBLE, 1.0) AS cw, greatest(min(x), 0.0) AS lft, avg(h) AS mh FROM r GROUP BY page_id),
+sl2 AS (SELECT so.*, sum(fresh::INT) OVER (PARTITION BY page_id ORDER BY k) AS line_no, CAST(least(greatest(round((x - lft) / cw), 0), 240) AS INT) AS col FROM so JOIN sg USING (page_id)),
+sk AS (SELECT *, row_number() OVER (PARTITION BY page_id, line_no ORDER BY x, y, seq) AS pos FROM sl2),
+sf AS (SELECT page_id, line_no, pos, repeat(' ', col) || trim(text) AS line FROM sk WHERE pos = 1
+  UNION ALL SELECT sk.page_id, sk.line_no, sk.pos, sf.line || CASE WHEN col > length(sf.line) THEN repeat(' ', CAST(col - length(sf.line) AS INT)) WHEN length(sf.line) > 0 AND NOT ends_with(sf.line, ' ') THEN ' ' ELSE '' END || trim(text)
+  FROM sf JOIN sk ON sk.page_id = sf.page_id AND sk.line_no = sf.line_no AND sk.pos = sf.pos + 1),
+sn AS (SELECT page_id, line_no, arg_max(line, pos) AS line FROM sf GROUP BY page_id, line_no),
+sc AS (SELECT page_id, line_no, avg(y + h / 2) AS cy FROM sk GROUP BY page_id, line_no),
+sd AS (SELECT *, cy - lag(cy) OVER (PARTITION BY page_id ORDER BY line_no) AS gap FROM sc),
+se AS (SELECT page_id, list_sort(list(gap) FILTER (WHERE gap > 0)) AS gaps FROM sd GROUP BY page_id),
+sp AS (SELECT page_id, CASE WHEN gaps IS NULL THEN greatest(mh, 300 / 80.0::DOUBLE, 1.0) ELSE greatest(gaps[(len(gaps) + 1) // 2 // 2 + 1], 1.0) END AS pitch FROM se JOIN sg USING (page_id)),
+sb AS (SELECT page_id, line_no, CAST(coalesce(least(greatest(round(greatest(gap, 0) / pitch) - 1, 0), 16), 0) AS INT) AS blank FROM sd JOIN sp USING (page_id)),
+st6 AS (SELECT page_id, string_agg(repeat(chr(10), blank) || rtrim(line), chr(10) ORDER BY line_no) AS text FROM sn JOIN sb USING (page_id, line_no) GROUP BY page_id)"""
+query("t6_spatial_text", f"WITH RECURSIVE {_SPACE} SELECT * FROM st6")(lambda spark, sf_dir: layout.spatial_text(fx.regions(spark, sf_dir)))
+_KIND = "vd AS (SELECT page_id, count(*) >= 2 AND 2 * count(*) FILTER (WHERE direction = 'Vertical') > count(*) AS vertical FROM r GROUP BY page_id), kd AS (SELECT page_id, CASE WHEN vertical THEN 'vertical' WHEN is_table THEN 'table' ELSE 'spatial' END AS layout FROM vd JOIN it USING (page_id))"
+query("t11_layout_text", f"WITH RECURSIVE {_SPACE}, {_VERT}, {_TABLE.replace('ord AS', 'ord2 AS').replace('JOIN ord o', 'JOIN ord2 o').replace('FROM ord ', 'FROM ord2 ').replace('fold ', 'fold2 ').replace('JOIN fold2 USING', 'JOIN fold2 USING')}, {_MONO}, {_KIND} SELECT page_id, layout, CASE layout WHEN 'vertical' THEN vt.text WHEN 'table' THEN mt.text ELSE st6.text END AS text FROM kd LEFT JOIN vt USING (page_id) LEFT JOIN mt USING (page_id) LEFT JOIN st6 USING (page_id)")(lambda spark, sf_dir: layout.layout_text(fx.regions(spark, sf_dir)))
 
 # pixels
 
