@@ -607,35 +607,42 @@ def _as_tables(found: DataFrame) -> DataFrame:
 # scoring
 
 
-def queries(docs: DataFrame, shards: Shards) -> DataFrame:
+RARE = np.uint32(0xFFFFFFFF)
+
+
+def queries(docs: DataFrame, shards: Shards, frequent: Frequent) -> DataFrame:
     """For each batch of docs (doc_id, row, text) and shard: the documents with tokens there and how many, the distinct
-    pairs, and the pair of each token."""
+    pairs, and the pair of each token. Words that are broadcast are their places among these. source says where the
+    answers go: to one place for a batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent.word)
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 8_192):
             pair, n, own, u, w = _batch_pairs(b.column("text"), shards)
             null = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             ids, rows = b.column("doc_id").fill_null(0).to_numpy(), b.column("row").to_numpy()
+            at, there = looked_up(shared.value, w)
+            code = np.where(there, at, RARE).astype(np.uint32)
             doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
             of = own[pair]
             order = np.argsort(of.astype(np.uint16) if shards.bits <= 16 else of, kind="stable")
+            home = int(mixed(rows[:1].view(np.uint64))[0] % np.uint64(shards.count))
             size, out, at = np.bincount(of), [], 0
             for s, i, j in _parts(own):
                 end = at + int(size[s])
                 docs_here, per = _runs(doc[order[at:end]])
                 kind = np.uint16 if j - i <= 65_536 else np.uint32
                 local = (pair[order[at:end]] - i).astype(kind)
-                out.append((QUERIES, s, 0, pack(ids[docs_here], rows[docs_here], null[docs_here].astype(np.uint8), per, *_runs(u[i:j]), w[i:j], local.view(np.uint8))))
+                rare = w[i:j][~there[i:j]]
+                out.append((QUERIES, s, home, pack(ids[docs_here], rows[docs_here], null[docs_here].astype(np.uint8), per, *_runs(u[i:j]), code[i:j], rare, local.view(np.uint8))))
                 at = end
             yield packed_rows(out)
 
     return docs.mapInArrow(made, PACKED)
 
 
-PARTIAL = "doc_id long, row long, n_tokens long, n_known long, copies long, base double, score double"
-
-
 def scored(model: Model, asked: DataFrame) -> DataFrame:
-    """Sums of each document's tokens in each shard."""
+    """For each query, at its home: the sums of the documents' tokens in the shard, packed."""
     session, root, hot, discount = asked.sparkSession, model.root, model.hot, model.discount
     shared = session.sparkContext.broadcast(model.frequent)
 
@@ -643,7 +650,7 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
         known, parts, ready = Answers(shared.value), [[np.empty(0, k)] for k in ("u8", "i8", "f4")], False
         u, customers, tables = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
         key = c = t = None
-        for kind, _, payload in rows:
+        for kind, source, payload in rows:
             if kind == CONTEXTS:
                 u, customers, tables = unpack(payload, "u8 i8 f8")
                 customers, tables, _ = hot.over(u, customers, tables)
@@ -659,13 +666,17 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
                     order = np.argsort(key)
                     key, c, t, ready = key[order], c[order], t[order].astype(np.float64), True
                     parts.clear()
-                yield answer(payload, known, u, customers, tables, key, c, t)
-
-    def answer(payload: bytes, known: Answers, u, customers, tables, key, c, t) -> pa.RecordBatch:
-        ids, row, null, per, qu, n, qw, local = unpack(payload, "i8 i8 u1 u4 u8 u4 u8 u1")
-        local = local.view(np.uint16 if len(qw) <= 65_536 else np.uint32)
-        per = per.astype(np.int64)
-        wc, wp = known.of(qw)
+                yield packed_rows([(QUERIES, source, shard, answer(payload, known, u, customers, tables, key, c, t))])
+
+    def answer(payload: bytes, known: Answers, u, customers, tables, key, c, t) -> bytes:
+        ids, row, null, per, qu, n, code, rare, local = unpack(payload, "i8 i8 u1 u4 u8 u4 u4 u8 u1")
+        local = local.view(np.uint16 if len(code) <= 65_536 else np.uint32)
+        per, often = per.astype(np.int64), code != RARE
+        qw, wc, wp = np.empty(len(code), np.uint64), np.empty(len(code), np.int64), np.empty(len(code))
+        for out, x in ((qw, known.frequent.word), (wc, known.frequent.c), (wp, known.frequent.p)):
+            out[often] = x[code[often]]
+        qw[~often] = rare
+        wc[~often], wp[~often] = known.of(rare)
         at, there = looked_up(key, pair_keys(np.repeat(qu, n), qw))
         if len(key):
             own_c, own_t = np.where(there, c[at], 1), np.where(there, t[at], 1.0)
@@ -676,12 +687,28 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
         log_p = np.log10((own_c - discount * own_t + (STRENGTH + discount * tu) * wp) / (STRENGTH + cu))
         base = np.log10((wc + 1) / (root.n + root.v + 1))
         starts = np.cumsum(per) - per
-        add = lambda x: np.add.reduceat(x[local], starts)
-        cols = [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(row), pa.array(per), pa.array(add((wc > 0).astype(np.int64))), pa.array(add((qw == END).astype(np.int64))), pa.array(add(base)), pa.array(add(log_p))]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_tokens", "n_known", "copies", "base", "score"])
+        add = lambda x: np.add.reduceat(x[local], starts, dtype=np.int64 if x.dtype == bool else None)
+        return pack(ids, row, null, per.astype(np.uint32), add(wc > 0).astype(np.uint32), add(qw == END).astype(np.uint32), add(base), add(log_p))
 
     parts = model.seats.filter(F.col("kind").isin(CONTEXTS, PAIRS)), model.answers.filter(F.col("kind") == ANSWERS), asked
-    return by_shard(reduce(DataFrame.unionByName, parts), model.shards.count, make, PARTIAL)
+    return by_shard(reduce(DataFrame.unionByName, parts), model.shards.count, make, PACKED)
+
+
+SUMS = "doc_id long, row long, n_tokens long, n_known long, copies long, base double, score double"
+
+
+def document_sums(answers: DataFrame, shards: Shards) -> DataFrame:
+    """SUMS of each document, over all shards. Documents of one batch, and so of one home, are one row each."""
+    def make(_: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(x) for x in zip(*(unpack(p, "i8 i8 u1 u4 u4 u4 f8 f8") for _, _, p in rows), strict=True)]
+        order = np.lexsort((cols[0], cols[2], cols[1]))
+        ids, row, null = (cols[i][order] for i in range(3))
+        starts = np.nonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]) | (null[1:] != null[:-1])]))[0]
+        add = lambda x, kind: pa.array(np.add.reduceat(x[order].astype(kind), starts))
+        whole = [pa.array(ids[starts], pa.int64(), mask=null[starts].astype(bool)), pa.array(row[starts]), *[add(x, np.int64) for x in cols[3:6]], *[add(x, np.float64) for x in cols[6:]]]
+        yield pa.RecordBatch.from_arrays(whole, names=["doc_id", "row", "n_tokens", "n_known", "copies", "base", "score"])
+
+    return by_shard(answers, shards.count, make, SUMS)
 
 
 def score(docs: DataFrame, train: DataFrame | None = None, **options) -> DataFrame:
@@ -692,8 +719,8 @@ def score(docs: DataFrame, train: DataFrame | None = None, **options) -> DataFra
     if train is not None:
         texts = texts.unionByName(train.select("text", F.lit(True).alias("learn")))
     model = learn(texts, **options)
-    asked = queries(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), model.shards)
-    rows = scored(model, asked).groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "copies", "base", "score")])
+    asked = queries(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), model.shards, model.frequent)
+    rows = document_sums(scored(model, asked), model.shards).groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "copies", "base", "score")])
     rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     each = lambda c: F.col(c) / F.col("copies")
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
