@@ -327,3 +327,9 @@ def test_runs_without_epochs_keep_their_start(spark):
     none = spark.createDataFrame([("r", 1, 0.5, 0.8)], "run string, epoch int, loss double, accuracy double")
     got = {r["run"]: tuple(r)[1:] for r in evaluation.best_checkpoint(none, spark.createDataFrame([("r",), ("s",)], "run string")).collect()}
     assert got == {"r": (1, 0.5, 0.8), "s": (0, float("inf"), 0.0)}
+
+
+def test_components_of_long_chains_and_hubs(spark):
+    edges = [(i + 1, i) for i in range(200)] + [(1000 + i, 999) for i in range(1, 300)] + [(999, 500)]
+    got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 500 for i in range(1, 300)) and got[999] == 500
