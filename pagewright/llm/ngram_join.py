@@ -8,8 +8,10 @@
    prior). All that stay are verified exactly over the whole sets.
 4. Links are counted by document and connected by union-find in the task; only counts and roots leave it.
 
-Scale: large groups are dealt into blocks of BLOCK representatives and verified block against block, so no task holds
-a whole group, and no pairs are written as rows. Texts are shuffled once, and only those of candidates go on from it.
+Scale: groups of more than BLOCK representatives are dealt by size of their sets into classes, each of which can have
+links to itself and the next one only, and classes into blocks that are verified block against block. So no task holds
+a whole group, texts of other lengths are not compared, and no pairs are written as rows. Texts are shuffled once, and
+only those of candidates go on from it. Joins by component split the rows of large ones.
 
 Documents with fewer than five words have one shingle, all their words. Null texts and texts without words link to
 nothing. A row with null doc_id belongs to its class of equal sets, if that has other rows, and links to nothing.
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected, join_split
 from .common import grouped, gram_hashes, hashed_words, materialize, mixed, small_batches
-from .components import components
 
 K = 5
 THRESHOLD = 0.8
@@ -36,6 +38,7 @@ HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
+CLASS = 1 << 32
 _R = np.random.default_rng(20240501)
 _A = _R.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 1 << 63, HASHES, np.uint64)
@@ -140,15 +143,26 @@ def _candidate_groups(classes: DataFrame) -> DataFrame:
     buckets = classes.select("rep", F.explode("bands").alias("band"))
     least = buckets.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("band", "first")
     edges = buckets.join(least, "band").filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    return components(edges)
-
-
-def _members(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, block: int) -> DataFrame:
-    """Shingle sets and signatures of candidates, dealt to each pair of blocks that they are compared in."""
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = groups.join(sizes, "root").join(classes.select(F.col("rep").alias("node"), "copies", "set_a", "set_b"), "node")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    placed = placed.select(F.col("node").alias("rep"), "root", "copies", "set_a", "set_b", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    return materialize(connected(edges, store=materialize))
+
+
+def _members(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, threshold: float, block: int) -> DataFrame:
+    """Shingle sets and signatures of candidates, dealt to each pair of blocks that they are compared in. A block is a
+    number: its class of sizes, times CLASS, and its place in it; 0 is a whole group."""
+    sizes = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.0001 / threshold))).cast("long")
+    placed = groups.join(classes.select(F.col("rep").alias("node"), "copies", "set_a", "set_b", sizes.alias("class")), "node")
+    known = placed.groupBy("root", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("class", "c"))).alias("sizes"), F.sum("c").alias("_n"))
+    placed = join_split(placed, known, "root", groups.count(), F.col("node"))
+    blocks = lambda c: F.ceil(F.coalesce(F.try_element_at("sizes", c), F.lit(0)) / F.lit(block)).cast("int")
+    code = lambda c, j: c * CLASS + j
+    many = F.col("_n") > block
+    own = F.when(many, code(F.col("class"), F.pmod(F.xxhash64("node"), F.greatest(blocks(F.col("class")), F.lit(1))))).otherwise(F.lit(0).cast("long"))
+    pair = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    each = lambda c, of: F.when(blocks(c) > 0, F.transform(F.sequence(F.lit(0), blocks(c) - 1), lambda j: of(code(c, j)))).otherwise(F.array().cast("array<struct<x:bigint,y:bigint>>"))
+    c = F.col("class")
+    meets = F.concat(each(c, lambda j: pair(F.least("own", j), F.greatest("own", j))), each(c + 1, lambda j: pair(F.col("own"), j)), each(c - 1, lambda j: pair(j, F.col("own"))))
+    placed = placed.withColumn("own", own).withColumn("meets", F.when(many, meets).otherwise(F.array(pair(F.lit(0), F.lit(0)))))
+    placed = placed.select(F.col("node").alias("rep"), "root", "copies", "set_a", many.alias("part"), "own", "meets")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 256):
@@ -156,13 +170,12 @@ def _members(docs: DataFrame, classes: DataFrame, groups: DataFrame, k: int, blo
             keep = [i for i, (s, x) in enumerate(zip(sets, b.column("set_a").to_pylist(), strict=True)) if len(s) and int(s.sum(dtype=np.uint64).view(np.int64)) == x]
             if keep:
                 own = [sets[i] for i in keep]
-                rest = b.take(pa.array(keep)).select(["rep", "root", "copies", "blocks", "own"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([s.tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in signatures(own)], pa.binary())], names=["rep", "root", "copies", "blocks", "own", "shingles", "sig"])
+                rest = b.take(pa.array(keep)).select(["rep", "root", "copies", "part", "own", "meets"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([s.tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in signatures(own)], pa.binary())], names=["rep", "root", "copies", "part", "own", "meets", "shingles", "sig"])
 
-    joined = docs.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "root", "copies", "blocks", "own", "set_a", "text")
-    out = joined.mapInArrow(made, "rep long, root long, copies long, blocks int, own int, shingles binary, sig binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return out.select("rep", "root", "copies", "blocks", "own", "shingles", "sig", other).select("rep", "root", "copies", "blocks", "own", "shingles", "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    joined = docs.join(placed, F.col("doc_id") == F.col("rep")).select("rep", "root", "copies", "part", "own", "meets", "set_a", "text")
+    out = joined.mapInArrow(made, "rep long, root long, copies long, part boolean, own long, meets array<struct<x:bigint,y:bigint>>, shingles binary, sig binary")
+    return out.select("rep", "root", "copies", "part", "own", "shingles", "sig", F.explode("meets").alias("m")).select("rep", "root", "copies", "part", "own", "shingles", "sig", "m.x", "m.y")
 
 
 def _linked(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -212,7 +225,7 @@ def _linked(members: DataFrame, threshold: float, tolerance: float) -> DataFrame
                 cols[0].append(reps[i])
                 cols[1].append(int(links[i]))
                 cols[2].append(reps[top])
-                cols[3].append(g["blocks"][0] > 1)
+                cols[3].append(g["part"][0])
             if len(cols[0]) > 4096:
                 yield batch()
         yield batch()
@@ -231,9 +244,9 @@ def join(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, tolerance: f
     classes = sketches.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes)
     groups = _candidate_groups(classes.filter("rep is not null"))
-    linked = materialize(_linked(_members(docs, classes, groups, k, block), threshold, tolerance))
+    linked = materialize(_linked(_members(docs, classes, groups, k, threshold, block), threshold, tolerance))
     whole = linked.filter("not part").select("rep", "root")
-    parts = components(linked.filter("part and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
+    parts = connected(linked.filter("part and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), store=materialize)
     roots = whole.unionByName(parts.select(F.col("node").alias("rep"), "root"))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     about = classes.select(*same, "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")

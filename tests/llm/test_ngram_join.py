@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from pagewright.llm import ngram_join
-from pagewright.llm.components import components
 
 from .helpers import ODD, documents, plain_documents, sentence, words
 
@@ -84,7 +83,25 @@ def test_posterior_bound():
     assert not (p[m < least[n] - 1] >= 0.8).any()
 
 
-def test_components_of_long_chains(spark):
-    edges = [(i + 1, i) for i in range(200)] + [(1000 + i, 999) for i in range(1, 50)] + [(999, 500)]
-    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
-    assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 500 for i in range(1, 50)) and got[999] == 500
+def test_pairs_just_above_the_threshold(spark):
+    # pairs of 200 to 400 words of which some are replaced at the end, so that their similarity is 0.80 to 0.85
+    r, rows, near = random.Random(11), [], set()
+    for i in range(300):
+        w = [f"w{i}x{k}" for k in range(r.randrange(200, 400))]
+        n = len(w) - 4
+        common = next(c for c in range(n, 0, -1) if c / (2 * n - c) <= r.uniform(0.801, 0.85))
+        rows += [(2 * i, " ".join(w), "s"), (2 * i + 1, " ".join(w[: common + 4] + [f"v{i}x{k}" for k in range(n - common)]), "s")]
+        if 10 * common >= 8 * (2 * n - common):
+            near.add(2 * i)
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.join(documents(spark, rows)).collect()}
+    found = {i for i in near if got[i + 1] == i}
+    assert len(near) >= 290 and len(found) >= 0.99 * len(near)
+    assert all(got[i] in (i, i - i % 2) for i in got)
+
+
+def test_one_large_group_of_all_lengths(spark):
+    # a chain in which every text is a little longer than the one before: many classes, all in one component
+    w = sentence(4, 900).split()
+    rows = [(i, " ".join(w[: 100 + 6 * i]), "s") for i in range(130)]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(documents(spark, rows), block=16).collect())
+    assert got == brute(rows)
