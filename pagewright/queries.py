@@ -289,9 +289,20 @@ query("p14_contrast", _PX + " SELECT image_id, y, x, " + ", ".join(f"{_byte(f'({
 _NO = "floor(CAST(('0x' || substr(md5(image_id || ':' || x || ':' || y || ':9'), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0 * 31) - 15"
 query("p15_noise", _PX + " SELECT image_id, y, x, " + ", ".join(f"{_byte(f'{c} + {_NO}')} AS {c}" for c in "rgb") + " FROM px")(lambda spark, sf_dir: pixels.aug_noise(fx.pixels(spark, sf_dir), 0.02))
 query("p16_blur", _PX + ", s AS (SELECT a.image_id, a.y, a.x, sum(b.r) AS r, sum(b.g) AS g, sum(b.b) AS b, count(*) AS n FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.image_id, a.y, a.x) SELECT image_id, y, x, CAST(r // n AS INT) AS r, CAST(g // n AS INT) AS g, CAST(b // n AS INT) AS b FROM s")(lambda spark, sf_dir: pixels.aug_blur(fx.pixels(spark, sf_dir)))
-QUERIES["p18_augment"] = lambda spark, sf_dir: pixels.augment(fx.pixels(spark, sf_dir))
+_U = [f"CAST(('0x' || substr(md5(image_id || ':{k}'), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0" for k in range(4)]
+_each = lambda e: ", ".join(f"{_byte(e.format(c=c))} AS {c}" for c in "rgb")
+_AUG = f"""u AS (SELECT *, {_U[0]} AS u0, {_U[1]} AS u1, {_U[2]} AS u2, {_U[3]} AS u3 FROM px),
+a1 AS (SELECT image_id, y, x, u1, u2, u3, {_each('{c} + (u0 * 2.0 * 0.15::DOUBLE - 0.15::DOUBLE) * 255.0')} FROM u),
+a2 AS (SELECT image_id, y, x, u2, u3, {_each('({c} - 128.0) * (1.0 + (u1 * 2.0 * 0.2::DOUBLE - 0.2::DOUBLE)) + 128.0')} FROM a1),
+a3 AS (SELECT image_id, y, x, u3, {_each('{c} + CASE WHEN u2 > 0.4 THEN ' + _NO + ' ELSE 0 END')} FROM a2),
+bl AS (SELECT a.image_id, a.y, a.x, sum(b.r) // count(*) AS r, sum(b.g) // count(*) AS g, sum(b.b) // count(*) AS b FROM a3 a JOIN a3 b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE a.u3 > 0.7 GROUP BY a.image_id, a.y, a.x)"""
+query("p18_augment", f"{_PX}, {_AUG} SELECT a3.image_id, a3.y, a3.x, CAST(coalesce(bl.r, a3.r) AS INT) AS r, CAST(coalesce(bl.g, a3.g) AS INT) AS g, CAST(coalesce(bl.b, a3.b) AS INT) AS b FROM a3 LEFT JOIN bl ON bl.image_id = a3.image_id AND bl.y = a3.y AND bl.x = a3.x")(lambda spark, sf_dir: pixels.augment(fx.pixels(spark, sf_dir)))
 QUERIES["p19_template_feature"] = lambda spark, sf_dir: pixels.template_feature(fx.pixels(spark, sf_dir), 12, 12)
-QUERIES["p20_model_input"] = lambda spark, sf_dir: pixels.model_input(fx.pixels(spark, sf_dir), _plan(spark, sf_dir), kernel="bilinear")
+_CH = fx.PIXELS + ", " + _AXIS.format(n="ax", src=24, dst=12) + ", " + _AXIS.format(n="ay", src=16, dst="(4 + s_suppkey % 9)") + """, c3 AS (SELECT image_id, y, x, unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS v FROM px),
+rx3 AS (SELECT g.image_id, c, y, d AS x, sum(v * k) AS v FROM c3 g JOIN axw w ON w.image_id = g.image_id AND w.s = g.x GROUP BY g.image_id, c, y, d),
+rs3 AS (SELECT g.image_id, c, d AS y, x, sum(v * k) AS v FROM rx3 g JOIN ayw w ON w.image_id = g.image_id AND w.s = g.y GROUP BY g.image_id, c, d, x),
+gr3 AS (SELECT s_suppkey AS image_id, c, a AS y, b AS x FROM supplier, range(3) AS s(c), range(16) AS t(a), range(14) AS u(b))"""
+query("p20_model_input", f"WITH {_CH} SELECT gr3.image_id, list(round((coalesce(v, 255.0) / 255.0 - 0.5) / 0.5, 9) ORDER BY gr3.c, gr3.y, gr3.x) AS values FROM gr3 LEFT JOIN rs3 ON rs3.image_id = gr3.image_id AND rs3.c = gr3.c AND rs3.y + 2 = gr3.y AND rs3.x + 1 = gr3.x GROUP BY gr3.image_id")(lambda spark, sf_dir: pixels.model_input(fx.pixels(spark, sf_dir), _plan(spark, sf_dir), kernel="bilinear").withColumn("values", F.transform("values", lambda v: F.round(v, 9))))
 
 # detection
 
@@ -465,12 +476,14 @@ def s7(spark, sf_dir):
 
 
 def _annotations(spark, sf_dir):
-    """Pages of orders as JSON text, and parsed again; every seventh text is missing at the end."""
+    """Pages of orders as JSON files, read again; every seventh text is missing at the end."""
     r = fx.regions(spark, sf_dir).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "x", "y", "w", "h"))).alias("r"))
     texts = F.slice(F.transform("r", lambda v: v["text"]), F.lit(1), F.when(F.col("page_id") % 7 == 0, F.size("r") - 1).otherwise(F.size("r")))
     row = F.struct(F.struct(F.concat(F.lit("p"), "page_id").alias("src")).alias("image"), texts.alias("texts"), F.transform("r", lambda v: F.array(v["x"], v["y"], v["x"] + v["w"], v["y"] + v["h"])).alias("bboxes"))
-    raw = r.select(F.to_json(F.struct(F.array(F.struct(F.col("page_id").alias("row_idx"), row.alias("row"))).alias("rows"))).alias("json"))
-    return tables.parse_annotations(raw.select(F.from_json("json", tables.ANNOTATIONS).alias("d")).select("d.rows"))
+    rows = r.select((F.col("page_id") % 32).alias("part"), F.struct(F.col("page_id").alias("row_idx"), row.alias("row")).alias("row")).groupBy("part").agg(F.collect_list("row").alias("rows"))
+    path = scratch(spark, "annotations")
+    rows.select("part", F.to_json(F.struct("rows")).alias("json")).write.partitionBy("part").text(path)
+    return tables.read_dataset_json(spark, path)
 
 
 query("s8_s9_annotations", f"WITH {fx.REGIONS}, m AS (SELECT *, max(seq) OVER (PARTITION BY page_id) AS n FROM r) SELECT page_id AS row_idx, seq - 1 AS region, 'p' || page_id AS src, text AS label, x AS x0, y + h AS y1 FROM m WHERE page_id % 7 <> 0 OR seq < n")(lambda spark, sf_dir: tables.explode_annotations(_annotations(spark, sf_dir))[0].select("row_idx", "region", "src", "label", F.get("bbox", F.lit(0)).alias("x0"), F.get("bbox", F.lit(3)).alias("y1")))
@@ -489,7 +502,16 @@ def _prepared(spark, sf_dir):
 _Q3 = f"WITH {fx.REGIONS}, {fx.CHARS}, m AS (SELECT *, max(seq) OVER (PARTITION BY page_id) AS n FROM r), s AS (SELECT page_id AS row_idx, seq - 1 AS region, text, x, y, w, h FROM m WHERE page_id % 7 <> 0 OR seq < n), ch AS (SELECT row_idx, region, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS k FROM s), lb AS (SELECT row_idx, region, string_agg(ch, '' ORDER BY k) AS label FROM ch JOIN chars USING (ch) GROUP BY ALL HAVING count(*) >= 3), o AS (SELECT s.row_idx, s.region, label, CASE WHEN label IS NULL THEN 'label' WHEN round(least(greatest(x + w, least(x, 399) + 1), 400) - least(x, 399)) < 2 OR round(least(greatest(y + h, least(y, 99) + 1), 100) - least(y, 99)) < 2 THEN 'box' END AS reason FROM s LEFT JOIN lb USING (row_idx, region))"
 query("q3_prepare_dataset", f"{_Q3} SELECT row_idx, region, 'train_' || row_idx || '_' || region || '.jpg' AS name, label, reason FROM o")(lambda spark, sf_dir: _prepared(spark, sf_dir).select("row_idx", "region", "name", "label", "reason"))
 query("s11_ingest_report", f"{_Q3} SELECT count(*) FILTER (WHERE reason IS NULL) AS written, count(*) FILTER (WHERE reason IS NOT NULL) AS skipped FROM o")(lambda spark, sf_dir: tables.ingest_report(_prepared(spark, sf_dir)))
-QUERIES["q2_prepare_training"] = lambda spark, sf_dir: pipelines.prepare_training(fx.samples(spark, sf_dir), fx.samples(spark, sf_dir).select("image_path", (F.length("label_text") * 10 + 1).alias("w"), F.lit(48).alias("h")), fx.char_dict(spark, sf_dir)).select("seq", "side", "width", "batch_no", "label_length", F.size("padded").alias("padded_length"))
+_Q2 = f"""{_SAM}, cd AS (SELECT seq, length(label_text) AS n, row_number() OVER (ORDER BY seq) - 1 AS k FROM samples WHERE length(label_text) > 0),
+wd AS (SELECT *, CASE WHEN c <= 48 OR c >= 2048 THEN c ELSE least((c + 31) // 32 * 32, 2048) END AS width, CASE WHEN k % 5 = 0 THEN 'validation' ELSE 'train' END AS side FROM (SELECT *, least(greatest(n * 10 + 1, 48), 2048) AS c FROM cd)),
+bt AS (SELECT *, (row_number() OVER (PARTITION BY side ORDER BY seq) - 1) // 32 AS batch_no FROM wd)"""
+
+
+@query("q2_prepare_training", f"{_Q2} SELECT seq, side, CAST(width AS INT) AS width, CAST(batch_no AS INT) AS batch_no, CAST(n AS INT) AS label_length, CAST(max(n) OVER (PARTITION BY side, batch_no, width) AS INT) AS padded_length FROM bt")
+def q2(spark, sf_dir):
+    samples = fx.samples(spark, sf_dir)
+    sizes = samples.select("image_path", (F.length("label_text") * 10 + 1).alias("w"), F.lit(48).alias("h"))
+    return pipelines.prepare_training(samples, sizes, fx.char_dict(spark, sf_dir)).select("seq", "side", "width", "batch_no", "label_length", F.size("padded").alias("padded_length"))
 
 
 def q1(spark: SparkSession, sf_dir: str) -> DataFrame:

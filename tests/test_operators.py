@@ -333,3 +333,115 @@ def test_components_of_long_chains_and_hubs(spark):
     edges = [(i + 1, i) for i in range(200)] + [(1000 + i, 999) for i in range(1, 300)] + [(999, 500)]
     got = dict(map(tuple, connected(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 500 for i in range(1, 300)) and got[999] == 500
+
+
+def grid_of(image, w, h):
+    """The pixels that fixtures.pixels gives an image, by row and column."""
+    return [[((x * 7 + y * 13 + image * 17) % 256, (x * 11 + y * 3 + image * 5) % 256, (x * 2 + y * 29 + image * 31) % 256) for x in range(w)] for y in range(h)]
+
+
+def pixel_table(spark, images, w, h):
+    rows = [(i, y, x, *px) for i in images for y, row in enumerate(grid_of(i, w, h)) for x, px in enumerate(row)]
+    return spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")
+
+
+def weights(src, dst, kernel):
+    out = []
+    for d in range(dst):
+        at = (d + 0.5) * src / dst - 0.5
+        if kernel == "bilinear":
+            s0 = min(max(math.floor(at), 0), src - 1)
+            w1 = min(max(at - s0, 0.0), 1.0)
+            taps = {}
+            for s, w in ((s0, 1 - w1), (min(s0 + 1, src - 1), w1)):
+                taps[s] = taps.get(s, 0) + w
+        else:
+            wide = max(src / dst, 1.0)
+            taps = {s: max(1 - abs((s - at) / wide), 0.0) for s in range(src)}
+        total = sum(taps.values())
+        out.append({s: w / total for s, w in taps.items() if w})
+    return out
+
+
+def scaled(grid, w, h, kernel):
+    """grid of tuples of numbers, scaled along x, then along y."""
+    n = len(grid[0][0])
+    rows = [[tuple(sum(w * row[s][c] for s, w in taps.items()) for c in range(n)) for taps in weights(len(row), w, kernel)] for row in grid]
+    return [[tuple(sum(w * rows[s][x][c] for s, w in taps.items()) for c in range(n)) for x in range(w)] for taps in weights(len(rows), h, kernel)]
+
+
+def light(r, g_, b):
+    return min(max(r / 255 * 0.299 + g_ / 255 * 0.587 + b / 255 * 0.114, 0.0), 1.0)
+
+
+@pytest.mark.parametrize("size", [(24, 16), (13, 29)])
+def test_template_features_against_brute_force(spark, size):
+    w, h = size
+    got = {r["image_id"]: r["feature"] for r in pixels.template_feature(pixel_table(spark, range(3), w, h), 12, 10).collect()}
+    for i in range(3):
+        gray = [[(light(*px),) for px in row] for row in grid_of(i, w, h)]
+        luma = sum(math.floor(v[0] * 255 + 0.5) for row in gray for v in row) // (w * h)
+        scale = min(12 / w, 10 / h)
+        dw, dh = (int(min(max(math.floor(v * scale + 0.5), 1), most)) for v, most in ((w, 12), (h, 10)))
+        small, canvas = scaled(gray, dw, dh, "triangle"), [[luma / 255] * 12 for _ in range(10)]
+        for y in range(dh):
+            for x in range(dw):
+                canvas[y + (10 - dh) // 2][x + (12 - dw) // 2] = small[y][x][0]
+        flat = [v for row in canvas for v in row]
+        flat = [min(max(1 - v if sum(flat) / len(flat) > 0.5 else v, 0.0), 1.0) for v in flat]
+        norm = math.sqrt(sum(v * v for v in flat))
+        assert got[i] == pytest.approx([v / norm for v in flat], abs=1e-9)
+
+
+def test_model_free_detection_against_brute_force(spark):
+    size, ratio = 40, 1.5
+    got = detection.detect_model_free(pixel_table(spark, range(4), 24, 16), size, "bilinear", box_threshold=0.3, min_area=1.0).collect()
+    for i in range(4):
+        dw, dh = 40, math.floor(16 * 40 / 24 + 0.5)
+        pad = (size - dh) // 2
+        canvas = [[(255.0,) * 3 for _ in range(size)] for _ in range(size)]
+        for y, row in enumerate(scaled(grid_of(i, 24, 16), dw, dh, "bilinear")):
+            canvas[y + pad] = list(row)
+        v = [[light(*px) for px in row] for row in canvas]
+        inverted = sum(map(sum, v)) / size**2 > 0.5
+        p = {}
+        for y in range(size):
+            for x in range(size):
+                near = [v[b][a] for b, a in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)) if 0 <= a < size and 0 <= b < size]
+                p[y, x] = min(max((1 - v[y][x] if inverted else v[y][x]) * 0.75 + sum(abs(v[y][x] - n) for n in near) / len(near) * 0.25, 0), 1)
+        left, boxes = {k for k, q in p.items() if q > 0.3}, []
+        while left:
+            todo, own = [min(left)], []
+            while todo:
+                k = todo.pop()
+                if k in left:
+                    left.remove(k)
+                    own.append(k)
+                    todo += [(k[0] + 1, k[1]), (k[0] - 1, k[1]), (k[0], k[1] + 1), (k[0], k[1] - 1)]
+            ys, xs = [k[0] for k in own], [k[1] for k in own]
+            bw, bh, score = max(xs) - min(xs), max(ys) - min(ys), sum(p[k] for k in own) / len(own)
+            if score >= 0.3 and bw * bh >= 1:
+                d = bw * bh * ratio / (2 * (bw + bh))
+                back = lambda q, off, most, scale, end: min(max(min(max(q - off, 0), most) * scale, 0), end)
+                boxes.append((back(min(xs) - d, 0, dw, 24 / dw, 24), back(min(ys) - d, pad, dh, 16 / dh, 16), score))
+        mine = [(q["quad"][0]["x"], q["quad"][0]["y"], q["det_conf"]) for q in got if q["page_id"] == i]
+        assert boxes and sorted(mine) == pytest.approx(sorted(boxes), abs=1e-6) if len(boxes) == 1 else all(a == pytest.approx(b, abs=1e-6) for a, b in zip(sorted(mine), sorted(boxes), strict=True))
+
+
+def test_least_rectangles_against_brute_force(spark):
+    r = random.Random(4)
+    grid = {(i, y, x) for i in range(3) for y in range(14) for x in range(14) if r.random() < 0.5}
+    runs = detection.label_runs(spark.createDataFrame([(i, y, x, 0.9) for i, y, x in grid], "image_id long, y int, x int, p double"))
+    points = {}
+    for q in runs.collect():
+        points.setdefault(q["label"], set()).update((float(x), float(q["y"])) for x in range(q["x0"], q["x1"] + 1))
+    for q in detection.min_area_rect(runs).withColumn("area", g.quad_area(F.col("quad"))).collect():
+        own = points[q["label"]]
+        least = math.inf
+        for ax, ay in own:
+            for bx, by in own:
+                if (n := math.hypot(bx - ax, by - ay)) > 0:
+                    ux, uy = (bx - ax) / n, (by - ay) / n
+                    along, across = [x * ux + y * uy for x, y in own], [y * ux - x * uy for x, y in own]
+                    least = min(least, (max(along) - min(along)) * (max(across) - min(across)))
+        assert q["area"] == pytest.approx(0 if least == math.inf else least, abs=1e-6)
