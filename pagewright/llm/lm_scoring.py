@@ -203,7 +203,7 @@ def by_shard(rows: DataFrame, n: int, make: Callable[[int, Iterator[tuple[int, i
                 pass
         trim()
 
-    dealt = rows.repartition(min(n, 20_000), "shard").sortWithinPartitions("shard", "kind", "source", "payload")
+    dealt = rows.repartitionById(min(n, 20_000), "shard").sortWithinPartitions("shard", "kind", "source", "payload")
     return dealt.mapInArrow(made, schema)
 
 
