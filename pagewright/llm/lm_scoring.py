@@ -633,8 +633,10 @@ def queries(docs: DataFrame, shards: Shards, frequent: Frequent) -> DataFrame:
                 docs_here, per = _runs(doc[order[at:end]])
                 kind = np.uint16 if j - i <= 65_536 else np.uint32
                 local = (pair[order[at:end]] - i).astype(kind)
-                rare = w[i:j][~there[i:j]]
-                out.append((QUERIES, s, home, pack(ids[docs_here], rows[docs_here], null[docs_here].astype(np.uint8), per, *_runs(u[i:j]), code[i:j], rare, local.view(np.uint8))))
+                before, times = _runs(u[i:j])
+                place, common = looked_up(shared.value, before)
+                words = (np.where(common, place, RARE).astype(np.uint32), before[~common], times, code[i:j], w[i:j][~there[i:j]])
+                out.append((QUERIES, s, home, pack(ids[docs_here], rows[docs_here], null[docs_here].astype(np.uint8), per, *words, local.view(np.uint8))))
                 at = end
             yield packed_rows(out)
 
@@ -669,9 +671,11 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
                 yield packed_rows([(QUERIES, source, shard, answer(payload, known, u, customers, tables, key, c, t))])
 
     def answer(payload: bytes, known: Answers, u, customers, tables, key, c, t) -> bytes:
-        ids, row, null, per, qu, n, code, rare, local = unpack(payload, "i8 i8 u1 u4 u8 u4 u4 u8 u1")
+        ids, row, null, per, before, rare_before, n, code, rare, local = unpack(payload, "i8 i8 u1 u4 u4 u8 u4 u4 u8 u1")
         local = local.view(np.uint16 if len(code) <= 65_536 else np.uint32)
         per, often = per.astype(np.int64), code != RARE
+        qu = np.empty(len(before), np.uint64)
+        qu[before != RARE], qu[before == RARE] = known.frequent.word[before[before != RARE]], rare_before
         qw, wc, wp = np.empty(len(code), np.uint64), np.empty(len(code), np.int64), np.empty(len(code))
         for out, x in ((qw, known.frequent.word), (wc, known.frequent.c), (wp, known.frequent.p)):
             out[often] = x[code[often]]
@@ -688,7 +692,7 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
         base = np.log10((wc + 1) / (root.n + root.v + 1))
         starts = np.cumsum(per) - per
         add = lambda x: np.add.reduceat(x[local], starts, dtype=np.int64 if x.dtype == bool else None)
-        return pack(ids, row, null, per.astype(np.uint32), add(wc > 0).astype(np.uint32), add(qw == END).astype(np.uint32), add(base), add(log_p))
+        return pack(ids, row, null, per.astype(np.uint32), add(wc > 0).astype(np.uint32), add(qw == END).astype(np.uint32), add(base), add(log_p).astype(np.float32))
 
     parts = model.seats.filter(F.col("kind").isin(CONTEXTS, PAIRS)), model.answers.filter(F.col("kind") == ANSWERS), asked
     return by_shard(reduce(DataFrame.unionByName, parts), model.shards.count, make, PACKED)
@@ -700,7 +704,7 @@ SUMS = "doc_id long, row long, n_tokens long, n_known long, copies long, base do
 def document_sums(answers: DataFrame, shards: Shards) -> DataFrame:
     """SUMS of each document, over all shards. Documents of one batch, and so of one home, are one row each."""
     def make(_: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(x) for x in zip(*(unpack(p, "i8 i8 u1 u4 u4 u4 f8 f8") for _, _, p in rows), strict=True)]
+        cols = [np.concatenate(x) for x in zip(*(unpack(p, "i8 i8 u1 u4 u4 u4 f8 f4") for _, _, p in rows), strict=True)]
         order = np.lexsort((cols[0], cols[2], cols[1]))
         ids, row, null = (cols[i][order] for i in range(3))
         starts = np.nonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]) | (null[1:] != null[:-1])]))[0]
