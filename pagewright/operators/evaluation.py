@@ -122,7 +122,8 @@ def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with _place: each row's number from 0 in order of seq within keys, exact over any number of rows.
 
     Ranges are quantiles of seq, so neither a hot key nor far-off values of seq put many rows into one: rows are counted
-    by key and range, and only numbered within them. Null keys are a key."""
+    by key and range, and only numbered within them. Null keys are a key. df is read three times; store it first if it is
+    costly."""
     cuts = df.agg(F.percentile_approx(F.col("seq").cast("double"), [i / RANGES for i in range(1, RANGES)], 8 * RANGES)).first()[0]
     splits = [-math.inf, *sorted(set(cuts or [0.0])), math.inf]
     d = Bucketizer(splits=splits, inputCol="_seq", outputCol="_range", handleInvalid="keep").transform(df.withColumn("_seq", F.col("seq").cast("double"))).drop("_seq")

@@ -222,20 +222,22 @@ def _start(slots: Column) -> Column:
     return let(F.filter(numbers, lambda x: x["n"].isNotNull()), of)
 
 
-def page_text(regions: DataFrame) -> DataFrame:
-    """page_id, text: lines in order, blank lines where the page has gaps, line numbers in a column of their own. One
-    exchange by page; all else happens in the page's row."""
-    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "quad", "text"))).alias("_b"))
-    pages = pages.select("page_id", let(F.transform(_lines_in(F.col("_b")), _line), _slots).alias("_s"))
-    pages = pages.withColumn("_at", _start(F.col("_s")))
-    start, last = F.col("_at"), F.col("_at") + F.size("_s") - 1
-
+def _numbered_text(slots: Column, start: Column) -> Column:
     def line(s: Column, i: Column) -> Column:
         rest = t.strip_line_number(s["text"], start + i)
-        with_number = F.concat(t.lpad_number(start + i, F.length(last.cast("string"))), F.when(F.length(t.strip(rest)) > 0, F.concat(F.lit("  "), t.rstrip(rest))).otherwise(""))
+        width = F.length((start + F.size(slots) - 1).cast("string"))
+        with_number = F.concat(t.lpad_number(start + i, width), F.when(F.length(t.strip(rest)) > 0, F.concat(F.lit("  "), t.rstrip(rest))).otherwise(""))
         return F.when(start.isNull(), t.rstrip(s["text"])).otherwise(with_number)
 
-    return pages.select("page_id", F.array_join(F.transform("_s", line), "\n").alias("text"))
+    return F.array_join(F.transform(slots, line), "\n")
+
+
+def page_text(regions: DataFrame) -> DataFrame:
+    """page_id, text: lines in order, blank lines where the page has gaps, line numbers in a column of their own. One
+    exchange by page; all else happens in the page's row."""
+    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "quad", "text"))).alias("_b"))
+    text = let(F.transform(_lines_in(F.col("_b")), _line), lambda lines: let(_slots(lines), lambda slots: let(_start(slots), lambda start: _numbered_text(slots, start))))
+    return pages.select("page_id", text.alias("text"))
 
 
 def _lines_to_text(d: DataFrame, order: str) -> DataFrame:
@@ -275,26 +277,28 @@ def spatial_text(regions: DataFrame) -> DataFrame:
     wide = g.quad_width(q) / F.greatest(F.char_length("text"), F.lit(1))
     box = F.struct(g.top(q).alias("y"), g.left(q).alias("x"), "seq", q.alias("quad"), t.strip(F.col("text")).alias("s"), wide.alias("wide"))
     pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("_b"), F.max("page_w").alias("_w"), F.max("page_h").alias("_h"))
-    widths = F.filter(F.transform("_b", lambda x: x["wide"]), lambda v: v > 0)
-    limit = F.when(F.col("_w") > 0, F.col("_w") / 160.0).otherwise(1.0)
-    left = F.greatest(F.array_min(F.transform("_b", lambda x: x["x"])), F.lit(0.0))
-    pages = pages.withColumns({"_c": F.greatest(upper_median(widths, 10.0), limit, F.lit(1.0)), "_l": left, "_m": _mean(F.col("_b"), lambda x: g.quad_height(x["quad"]))})
-
-    def add(out: Column, x: Column) -> Column:
-        column = F.least(F.greatest(F.round((x["x"] - F.col("_l")) / F.col("_c")), F.lit(0.0)), F.lit(240.0)).cast("int")
-        gap = F.when(column > F.char_length(out), F.repeat(F.lit(" "), column - F.char_length(out))).when((F.length(out) > 0) & ~out.endswith(" "), " ").otherwise("")
-        return F.concat(out, gap, x["s"])
+    def whole(b: Column) -> Column:
+        widths = F.filter(F.transform(b, lambda x: x["wide"]), lambda v: v > 0)
+        limit = F.when(F.col("_w") > 0, F.col("_w") / 160.0).otherwise(1.0)
+        left = F.greatest(F.array_min(F.transform(b, lambda x: x["x"])), F.lit(0.0))
+        about = F.struct(F.greatest(upper_median(widths, 10.0), limit, F.lit(1.0)).alias("wide"), left.alias("left"), _mean(b, lambda x: g.quad_height(x["quad"])).alias("high"))
+        return let(about, lambda a: let(F.transform(_lines_in(b), lambda line: _indented(line, a)), lambda lines: _spaced(lines, a)))
+
+    def _indented(boxes: Column, a: Column) -> Column:
+        def add(out: Column, x: Column) -> Column:
+            column = F.least(F.greatest(F.round((x["x"] - a["left"]) / a["wide"]), F.lit(0.0)), F.lit(240.0)).cast("int")
+            gap = F.when(column > F.char_length(out), F.repeat(F.lit(" "), column - F.char_length(out))).when((F.length(out) > 0) & ~out.endswith(" "), " ").otherwise("")
+            return F.concat(out, gap, x["s"])
 
-    def line(boxes: Column) -> Column:
         across = F.array_sort(F.transform(boxes, lambda x: F.struct(x["x"].alias("x"), x["y"].alias("y"), x["seq"].alias("seq"), x["s"].alias("s"))))
         return F.struct(_mean(boxes, lambda x: g.center_y(x["quad"])).alias("center_y"), t.rstrip(F.aggregate(across, F.lit(""), add)).alias("text"))
 
-    pages = pages.withColumn("_t", F.transform(_lines_in(F.col("_b")), line))
-    upper = lambda gaps: F.when(F.size(gaps) > 0, F.greatest(let(_lower_half(gaps), lambda a: _nth(a, F.floor(F.size(a) / 2))), F.lit(1.0))).otherwise(F.greatest(F.col("_m"), F.col("_h") / 80, F.lit(1.0)))
-    blanks = let(let(_gap_list(F.col("_t")), upper), lambda p: _blanks(F.col("_t"), p, 16.0, 1.0))
-    pages = pages.withColumn("_n", blanks)
-    text = F.transform("_t", lambda x, i: F.concat(F.repeat(F.lit("\n"), F.coalesce(F.get("_n", i - 1), F.lit(0))), x["text"]))
-    return pages.select("page_id", F.array_join(text, "\n").alias("text"))
+    def _spaced(lines: Column, a: Column) -> Column:
+        upper = lambda gaps: F.when(F.size(gaps) > 0, F.greatest(let(_lower_half(gaps), lambda low: _nth(low, F.floor(F.size(low) / 2))), F.lit(1.0))).otherwise(F.greatest(a["high"], F.col("_h") / 80, F.lit(1.0)))
+        text = lambda n: F.array_join(F.transform(lines, lambda x, i: F.concat(F.repeat(F.lit("\n"), F.coalesce(F.get(n, i - 1), F.lit(0))), x["text"])), "\n")
+        return let(let(_gap_list(lines), upper), lambda p: let(_blanks(lines, p, 16.0, 1.0), text))
+
+    return pages.select("page_id", let(F.col("_b"), whole).alias("text"))
 
 
 # rows, columns, tables
@@ -369,24 +373,29 @@ def _grid(regions: DataFrame) -> DataFrame:
     box = F.struct(g.center_y(q).alias("k"), F.col("seq").cast("int").alias("seq"), g.center_y(q).alias("c"), g.quad_height(q).alias("e"), g.left(q).alias("x"), t.strip(F.col("text")).alias("s"))
     pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("_boxes"), F.max("page_w").alias("_w"))
     height = upper_median(F.filter(F.transform("_boxes", lambda x: x["e"]), lambda v: v > 0), 1.0)
-    pages = pages.withColumn("_far", F.greatest(height * 1.2, F.col("_w") * 0.01, F.lit(4.0)))
+    far = F.greatest(height * 1.2, F.col("_w") * 0.01, F.lit(4.0))
 
-    def edges(xs: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) - F.get(xs, i - 1) > F.col("_far")))
+    def edges(xs: Column, far: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) - F.get(xs, i - 1) > far))
         return let(starts, lambda s: F.transform(s, lambda at, k: let(F.slice(xs, at + 1, F.coalesce(F.get(s, k + 1), F.size(xs)) - at), lambda part: _mean(part, lambda v: v))))
 
-    pages = pages.withColumn("_edges", let(F.array_sort(F.transform("_boxes", lambda x: x["x"])), edges))
-    column = lambda x: F.array_min(F.transform("_edges", lambda e, k: F.struct(F.abs(x["x"] - e).alias("d"), k.alias("k"))))["k"]
-    placed = F.transform("_boxes", lambda x: F.struct(x["x"].alias("x"), x["c"].alias("c"), x["seq"].alias("seq"), column(x).alias("col"), x["s"].alias("s")))
-    pages = pages.withColumns({"_placed": placed, "_groups": _clusters()})
-    row = lambda group: F.array_sort(F.filter("_placed", lambda x: F.array_contains(group["seqs"], x["seq"])))
-    pages = pages.withColumn("_r", F.transform("_groups", row))
-    wide = F.size(F.filter("_r", lambda r: F.size(F.array_distinct(F.transform(r, lambda x: x["col"]))) >= 2))
-    n_rows, n_cols = F.size("_r"), F.size("_edges")
-    join = lambda r, k: F.array_join(F.transform(F.filter(r, lambda x: x["col"] == k), lambda x: F.nullif(x["s"], F.lit(""))), " ")
-    grid = F.transform("_r", lambda r: F.transform("_edges", lambda _, k: join(r, k)))
-    table = (F.size("_boxes") >= 4) & (n_rows >= 2) & (n_cols >= 2) & (wide >= 2)
-    return pages.select("page_id", table.alias("is_table"), n_rows.alias("n_rows"), n_cols.alias("n_cols"), grid.alias("grid"))
+    def placed(e: Column) -> Column:
+        column = lambda x: F.array_min(F.transform(e, lambda v, k: F.struct(F.abs(x["x"] - v).alias("d"), k.alias("k"))))["k"]
+        return F.transform("_boxes", lambda x: F.struct(x["x"].alias("x"), x["c"].alias("c"), x["seq"].alias("seq"), column(x).alias("col"), x["s"].alias("s")))
+
+    def table(e: Column, rows: Column) -> Column:
+        wide = F.size(F.filter(rows, lambda r: F.size(F.array_distinct(F.transform(r, lambda x: x["col"]))) >= 2))
+        join = lambda r, k: F.array_join(F.transform(F.filter(r, lambda x: x["col"] == k), lambda x: F.nullif(x["s"], F.lit(""))), " ")
+        grid = F.transform(rows, lambda r: F.transform(e, lambda _, k: join(r, k)))
+        is_one = (F.size("_boxes") >= 4) & (F.size(rows) >= 2) & (F.size(e) >= 2) & (wide >= 2)
+        return F.struct(is_one.alias("is_table"), F.size(rows).alias("n_rows"), F.size(e).alias("n_cols"), grid.alias("grid"))
+
+    def rows(p: Column) -> Column:
+        return F.transform(_clusters(), lambda group: F.array_sort(F.filter(p, lambda x: F.array_contains(group["seqs"], x["seq"]))))
+
+    xs = F.array_sort(F.transform("_boxes", lambda x: x["x"]))
+    whole = let(let(F.struct(xs.alias("xs"), far.alias("far")), lambda v: edges(v["xs"], v["far"])), lambda e: let(let(placed(e), rows), lambda r: table(e, r)))
+    return pages.select("page_id", whole.alias("_t")).select("page_id", "_t.*")
 
 
 def is_table(regions: DataFrame) -> DataFrame:
@@ -411,16 +420,20 @@ def table_text(cells: DataFrame) -> DataFrame:
     """page_id, text: columns aligned by display width, two spaces apart."""
     pages = _rows(cells, t.display_width(F.col("text")).alias("width"))
     columns = F.array_sort(F.array_distinct(F.transform("_c", lambda x: x["col_no"])))
-    pages = pages.withColumn("_w", F.transform(columns, lambda k: F.struct(k.alias("k"), F.array_max(F.transform(F.filter("_c", lambda x: x["col_no"] == k), lambda x: x["width"])).alias("w"))))
-    start = lambda x: F.aggregate(F.filter("_w", lambda c: c["k"] < x["col_no"]), F.lit(0), lambda total, c: total + c["w"] + 2)
+    widths = F.transform(columns, lambda k: F.struct(k.alias("k"), F.array_max(F.transform(F.filter("_c", lambda x: x["col_no"] == k), lambda x: x["width"])).alias("w")))
     state = lambda s, at: F.struct(s.alias("s"), at.cast("int").alias("at"))
 
-    def add(a: Column, x: Column) -> Column:
-        pad = F.greatest(start(x) - a["at"], F.lit(0))
-        return F.when(x["text"] == "", a).otherwise(state(F.concat(a["s"], F.repeat(F.lit(" "), pad), x["text"]), a["at"] + pad + x["width"]))
+    def whole(w: Column) -> Column:
+        start = lambda x: F.aggregate(F.filter(w, lambda c: c["k"] < x["col_no"]), F.lit(0), lambda total, c: total + c["w"] + 2)
 
-    line = lambda row: F.rtrim(F.aggregate(row, state(F.lit(""), F.lit(0)), add, lambda a: a["s"]))
-    return pages.select("page_id", F.array_join(F.transform("_rows", line), "\n").alias("text"))
+        def add(a: Column, x: Column) -> Column:
+            with_pad = lambda pad: state(F.concat(a["s"], F.repeat(F.lit(" "), pad), x["text"]), a["at"] + pad + x["width"])
+            return F.when(x["text"] == "", a).otherwise(let(F.greatest(start(x) - a["at"], F.lit(0)), with_pad))
+
+        line = lambda row: F.rtrim(F.aggregate(row, state(F.lit(""), F.lit(0)), add, lambda a: a["s"]))
+        return F.array_join(F.transform("_rows", line), "\n")
+
+    return pages.select("page_id", let(widths, whole).alias("text"))
 
 
 def table_csv(cells: DataFrame) -> DataFrame:

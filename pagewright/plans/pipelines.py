@@ -98,11 +98,11 @@ def template_recognizer(templates: DataFrame, w: int = 32, h: int = 32, threshol
 def prepare_training(samples: DataFrame, sizes: DataFrame, char_dict: DataFrame, batch: int = 32) -> DataFrame:
     """Samples ready for training: encoded, split, with width, chunk, batch and padded labels. sizes: image_path, w, h.
     Both sides are batched by chunks in order, each parted by width."""
-    coded = tables.encoded_only(recognition.encode_labels(samples, char_dict))
+    coded = checkpointed(tables.encoded_only(recognition.encode_labels(samples, char_dict)))
     split = evaluation.split_every_fifth(coded)
     side = F.explode(F.array_compact(F.array(F.when(F.col("in_train"), "train"), F.when(F.col("in_validation"), "validation"))))
     sided = split.withColumn("side", side).join(sizes, "image_path").withColumn("width", g.rec_width(F.col("w"), F.col("h")))
-    return evaluation.pad_batches(evaluation.assign_batches(sided, batch, "chunk", ["side"]), ["side", "batch_no", "width"])
+    return evaluation.pad_batches(evaluation.assign_batches(checkpointed(sided), batch, "chunk", ["side"]), ["side", "batch_no", "width"])
 
 
 def prepare_dataset(annotations: DataFrame, sizes: DataFrame, char_dict: DataFrame, split: str = "train", least: int = 1) -> DataFrame:
