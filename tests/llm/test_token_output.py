@@ -47,7 +47,7 @@ def test_empty_table(spark):
 
 def test_another_dictionary_is_refused(spark):
     path = token_output.write(documents(spark, [(1, "a b", "s")]), PATH)
-    bad = spark.createDataFrame([("0" * 16, bytearray(b"x"))], "dict_hash string, dictionary binary")
+    bad = spark.createDataFrame([("0" * 16, bytearray(b"x"), 2)], "dict_hash string, dictionary binary, id_bytes int")
     bad.write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(ValueError, match="has not the hash"):
         token_output.read(spark, path)
