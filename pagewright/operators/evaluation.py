@@ -45,6 +45,10 @@ def edits(a: str, b: str) -> int:
     return distance
 
 
+#: Above this product of lengths, bit vectors are faster than Spark's own table of distances.
+LONG_PAIR = 10_000
+
+
 def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
@@ -53,7 +57,9 @@ def eval_report(preds: DataFrame) -> DataFrame:
     """preds (sample_id, prediction, target, confidence) with exact and distance (edits between trimmed texts)."""
     p, t = strip(F.col("prediction")), strip(F.col("target"))
     d = preds.withColumns({"_p": p, "_t": t})
-    return d.withColumns({"exact": F.col("_p") == F.col("_t"), "distance": F.pandas_udf(_distances, IntegerType())("_p", "_t"), "target_chars": F.char_length("_t")}).drop("_p", "_t")
+    long = F.char_length("_p").cast("long") * F.char_length("_t") > LONG_PAIR
+    far = F.pandas_udf(_distances, IntegerType())(F.when(long, F.col("_p")), F.when(long, F.col("_t")))
+    return d.withColumns({"exact": F.col("_p") == F.col("_t"), "distance": F.coalesce(far, F.levenshtein("_p", "_t")), "target_chars": F.char_length("_t")}).drop("_p", "_t")
 
 
 def line_accuracy(preds: DataFrame) -> DataFrame:
