@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, cells: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), b.column("grade"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "place", "grade", "features"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    joined = texts.join(chosen.select("doc_id", "place", F.col("grade").cast("int").alias("grade")), "doc_id").dropDuplicates(["doc_id"])
+    small = F.broadcast(chosen.select("doc_id", "place", F.col("grade").cast("int").alias("grade")))  # at most `rows` rows
+    joined = texts.join(small, "doc_id").dropDuplicates(["doc_id"])
     found = materialize(joined.mapInArrow(made, "doc_id long, place string, grade int, features array<int>"))
     sizes = found.select("place", "doc_id", F.size("features").alias("n")).toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])  # at most `rows` rows
     fitting, fits = found, np.cumsum(sizes.column("n").to_numpy()) <= cells
