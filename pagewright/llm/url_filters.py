@@ -104,13 +104,15 @@ def by_rule(col: Column, rules: list[tuple[str, str]] = RULES) -> Column:
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """host, path, label: the small labelled table that the query trains on. Urls without a host are labelled block, as
     nothing can be fetched from them."""
-    rows = [("", "", 1), ("", "/", 1), ("", "/en/1", 1)]
-    ends, starts, paths = ("com", "org", "net"), ("", "www.", "m.", "blog."), ("/", "/en/{}.html", "/de/{}", "/fr/{}", "/es/{}.html", "/en/{}")
-    for label, names in ((1, BLOCKED), (0, ALLOWED)):
-        for i, name in enumerate(names):
-            for k in range(6):
-                rows.append((f"{starts[(i + k) % 4]}{name}.example.{ends[(i + k) % 3]}", paths[k].format(100 + 37 * i + 11 * k), label))
-    return spark.createDataFrame(rows, "host string, path string, label int")
+    text = lambda *xs: F.array(*map(F.lit, xs))
+    one, at = spark.range(1), lambda xs, i: F.get(xs, i.cast("int"))
+    named = [one.select(F.posexplode(text(*names)).alias("i", "name"), F.lit(label).alias("label")) for label, names in ((1, BLOCKED), (0, ALLOWED))]
+    each = named[0].unionByName(named[1]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    turn, number = F.col("i") + F.col("k"), (100 + 37 * F.col("i") + 11 * F.col("k")).cast("string")
+    host = F.concat(at(text("", "www.", "m.", "blog."), turn % 4), "name", F.lit(".example."), at(text("com", "org", "net"), turn % 3))
+    path = F.when(F.col("k") == 0, "/").otherwise(F.concat(at(text("", "/en/", "/de/", "/fr/", "/es/", "/en/"), F.col("k")), number, at(text("", ".html", "", "", ".html", ""), F.col("k"))))
+    empty = one.select(F.lit("").alias("host"), F.explode(text("", "/", "/en/1")).alias("path"), F.lit(1).alias("label"))
+    return each.select(host.alias("host"), path.alias("path"), "label").unionByName(empty)
 
 
 def judge(pages: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
