@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_output, url_filters
+from . import bpe_automaton, chat_format, decontamination, lm_scoring, merkle, mixing, ngram_join, prefix_trie, quality_classifier, quality_rules, substring_dedup, token_output, url_filters
 from .common import table
 
 
@@ -176,3 +176,68 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_quality_classifier": op6_quality_classifier, "op10_lm_scoring": op10_lm_scoring}
+
+
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    d = bpe_automaton.decode(bpe_automaton.encode(table(spark, sf_dir, "documents"), path), path)
+    return d.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op11_bpe_automaton": op11_bpe_automaton, "op12_prefix_trie": op12_prefix_trie, "op13_merkle": op13_merkle}
+
+#: CRC-32 of the ASCII text of {0}, as SQL has no such function: by a table of 256 that `crc` makes.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab)"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INT) + 1])), 4294967295)"
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT *, sha256(strlen(role) || ':' || role || text) AS id FROM t),
+c AS (SELECT conv_id, list({{'id': id, 'n': length(text)}} ORDER BY turn NULLS FIRST, id) AS own FROM h GROUP BY conv_id),
+n AS (SELECT conv_id, own, CAST({_CRC.format("conv_id")} % 6 AS INT) AS h FROM c, crc),
+r AS (SELECT n.conv_id, list_concat(CASE WHEN n.h = 0 THEN [] ELSE coalesce(b.own[1:n.h], []) END, n.own[n.h + 1:]) AS turns FROM n LEFT JOIN n b ON b.conv_id = n.conv_id - n.conv_id % 100),
+m AS (SELECT conv_id, d, md5(array_to_string(list_transform(turns[1:d], lambda x: x.id), ',')) AS k, md5(array_to_string(list_transform(turns[1:d - 1], lambda x: x.id), ',')) AS up,
+  CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS chars, len(turns) = d AS ending FROM r, unnest(range(0, len(turns) + 1)) AS u(d)),
+node AS (SELECT d, k, any_value(CASE WHEN d > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ending), '')) AS ends_sha256 FROM m GROUP BY d, k),
+kids AS (SELECT up, count(*) AS n FROM node WHERE d > 0 GROUP BY up),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.up = node.k),
+pairs AS (SELECT DISTINCT a.k AS top, b.k AS k FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sums AS (SELECT top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM pairs JOIN full_node USING (k) GROUP BY top)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM full_node x JOIN sums ON sums.top = x.k LEFT JOIN full_node p ON p.k = x.up
+"""
+
+ORACLES["op13_merkle"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT *, row_number() OVER () AS rid, CASE WHEN coalesce({_CRC.format("coalesce(doc_id, 0)")} % 5 = 0 AND doc_id IS NOT NULL, false)
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed FROM documents, crc),
+e AS (SELECT *, {" || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars"))} AS head FROM d),
+leaves AS (SELECT rid, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS now FROM e),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree AS (SELECT 0 AS lv, source, i, n, leaf AS h FROM placed
+  UNION ALL SELECT lv + 1, source, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lv, source, i // 16),
+subs AS (SELECT source, h, lv, CAST(row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS BIGINT) AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+over_tree AS (SELECT 0 AS lv, i, n, h FROM subs
+  UNION ALL SELECT lv + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM over_tree WHERE n > 1 GROUP BY lv, i // 16),
+kin AS (SELECT lv, source, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM tree WHERE n > 1 WINDOW w AS (PARTITION BY lv, source, i // 16 ORDER BY i)),
+over_kin AS (SELECT lv, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM over_tree WHERE n > 1 WINDOW w AS (PARTITION BY lv, i // 16 ORDER BY i)),
+steps AS (SELECT p.rid, k.lv, k.l, k.r FROM placed p JOIN kin k ON k.source IS NOT DISTINCT FROM p.source AND k.i = p.i // CAST(pow(16, k.lv) AS BIGINT)
+  UNION ALL SELECT p.rid, s.lv + k.lv, k.l, k.r FROM placed p JOIN subs s ON s.source IS NOT DISTINCT FROM p.source JOIN over_kin k ON k.i = s.i // CAST(pow(16, k.lv) AS BIGINT)),
+paths AS (SELECT rid, list({{'l': l, 'r': r}} ORDER BY lv) AS path FROM steps GROUP BY rid),
+done AS (SELECT p.doc_id, p.leaf, s.h AS subroot, (SELECT h FROM over_tree WHERE n = 1) AS root, coalesce(path, []) AS path,
+  list_reduce(list_concat([{{'l': p.now, 'r': ''}}], coalesce(path, [])), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l AS folded_root
+  FROM placed p JOIN subs s ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN paths USING (rid))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM done
+"""
