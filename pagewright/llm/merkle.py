@@ -11,7 +11,7 @@ each node, and nodes of slot zero emit parents. The same joined rows give the pr
 its siblings followed by its parent's path.
 
 Scale: keys of the joins are (source number, place), so a source with most rows is dealt as evenly as any other. Texts
-are hashed where they are read; only digests (32 bytes) travel. Rows get their places from a range sort by source, key
+are hashed where they are read; only digests (32 bytes) and the columns asked for travel, with their leaf. Rows get their places from a range sort by source, key
 and leaf, with counts of partitions as offsets. A level has an arity-th of the rows of the one below, so all of it is a
 few passes over digests; paths of a leaf are put together while it is joined, and are never stored for leaves.
 
@@ -94,18 +94,18 @@ def siblings(place: Column, arity: int = ARITY) -> Column:
 
 
 def _families(nodes: DataFrame, arity: int) -> DataFrame:
-    """nodes (tree, place, nodes, digest) with left and right: the siblings' digests, joined, on either side."""
+    """nodes (tree, place, nodes, digest, row) with left and right: the siblings' digests, joined, on either side."""
     sent = nodes.select(F.col("tree").alias("_tree"), F.col("place").alias("_from"), F.col("digest").alias("_digest"), F.explode(siblings(F.col("place"), arity)).alias("_to"))
     met = nodes.join(sent, (F.col("tree") == F.col("_tree")) & (F.col("place") == F.col("_to")), "left")
     kin = F.array_sort(F.collect_list(F.when(F.col("_from").isNotNull(), F.struct("_from", "_digest"))))
-    met = met.groupBy("tree", "place").agg(F.first("nodes").alias("nodes"), F.first("digest").alias("digest"), kin.alias("_kin"))
+    met = met.groupBy("tree", "place").agg(*[F.first(c).alias(c) for c in nodes.columns if c not in ("tree", "place")], kin.alias("_kin"))
     side = lambda of: _joined(F.transform(F.filter("_kin", of), lambda k: k["_digest"]))
-    return met.select("tree", "place", "nodes", "digest", side(lambda k: k["_from"] < F.col("place")).alias("left"), side(lambda k: k["_from"] > F.col("place")).alias("right"))
+    return met.select(*nodes.columns, side(lambda k: k["_from"] < F.col("place")).alias("left"), side(lambda k: k["_from"] > F.col("place")).alias("right"))
 
 
 def _trees(leaves: DataFrame, most: int, arity: int) -> tuple[list[DataFrame], DataFrame]:
-    """The levels of trees over leaves (tree, place, nodes, digest) with at most `most` leaves each, siblings beside each
-    node, without the top nodes; and the top nodes (tree, digest, level)."""
+    """The levels of trees over leaves (tree, place, nodes, digest, row) with at most `most` leaves each, siblings beside
+    each node, without the top nodes; and the top nodes (tree, digest, level). `row` stays with the leaves."""
     levels, tops, at = [], None, leaves
     while True:
         top = at.filter("nodes = 1").select("tree", "digest", F.lit(len(levels)).alias("level"))
@@ -119,25 +119,32 @@ def _trees(leaves: DataFrame, most: int, arity: int) -> tuple[list[DataFrame], D
         most = -(-most // arity)
 
 
-def _paths(levels: list[DataFrame], tops: DataFrame, arity: int, to: int = 0) -> DataFrame:
-    """(tree, place, path, subroot, root) of all nodes of level `to`; tops (tree, level, path, subroot, root)."""
+def _paths(levels: list[DataFrame], tops: DataFrame, arity: int, leaves: DataFrame) -> DataFrame:
+    """row, path, subroot, root of all leaves; tops (tree, level, path, subroot, root), leaves (tree, nodes, row). A node's
+    path travels once to the run below it."""
     found = None
-    for k in range(len(levels), to - 1, -1):
-        here = tops.filter(F.col("level") == k).select("tree", F.lit(0).cast("long").alias("place"), "path", "subroot", "root")
+    for k in range(len(levels), -1, -1):
+        at = tops.filter(F.col("level") == k)
+        if k == 0:
+            single = leaves.filter("nodes = 1").select(F.col("tree").alias("_tree"), "row")
+            here = at.join(single, F.col("tree") == F.col("_tree")).select("row", "path", "subroot", "root")
+        else:
+            here = at.select("tree", F.lit(0).cast("long").alias("place"), "path", "subroot", "root")
         if k < len(levels):
             up = found.select(F.col("tree").alias("_tree"), F.col("place").alias("_up"), F.col("path").alias("_path"), "subroot", "root")
             down = levels[k].join(up, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("place") / arity) == F.col("_up")))
-            here = here.unionByName(down.select("tree", "place", F.concat(F.array(F.struct("left", "right")), F.col("_path")).alias("path"), "subroot", "root"))
+            path = F.concat(F.array(F.struct("left", "right")), F.col("_path")).alias("path")
+            here = here.unionByName(down.select(*(["row"] if k == 0 else ["tree", "place"]), path, "subroot", "root"))
         found = here
     return found
 
 
 @dataclass
 class Manifest:
-    """rows: what was given, with leaf (hex), tree, place, nodes. levels, tops: of the sources' trees. sources (source,
-    tree, nodes). over, root: levels of the tree over subroots, and its top (no row if there are no rows)."""
+    """leaves: tree, place, nodes, digest and row (what was given, as a struct). levels, tops: of the sources' trees.
+    sources (source, tree, nodes). over, root: levels of the tree over subroots, and its top (no row if there are no rows)."""
 
-    rows: DataFrame
+    leaves: DataFrame
     sources: DataFrame
     levels: list[DataFrame]
     tops: DataFrame
@@ -148,25 +155,29 @@ class Manifest:
 
 def build(rows: DataFrame, group: str = "source", key: str = "doc_id", arity: int = ARITY) -> Manifest:
     """The manifest of rows that have `leaf` (hex) beside group and key."""
-    placed, groups = _placed(rows, group, [F.asc_nulls_first(key), F.asc("leaf")])
-    placed = materialize(placed)
+    slim = rows.select(F.col(group).alias("group"), F.col(key).alias("key"), F.unhex("leaf").alias("digest"), F.struct(*[c for c in rows.columns if c != "leaf"]).alias("row"))
+    placed, groups = _placed(slim, "group", [F.asc_nulls_first("key"), F.asc("digest")])
+    leaves = materialize(placed.select("tree", "place", "nodes", "digest", "row"))
     most, count = groups.agg(F.max("nodes"), F.count(F.lit(1))).first()
-    levels, tops = _trees(placed.select("tree", "place", "nodes", F.unhex("leaf").alias("digest")), most or 0, arity)
+    levels, tops = _trees(leaves, most or 0, arity)
     tops = materialize(tops)
-    over, root = _trees(tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(count).cast("long").alias("nodes"), "digest"), count, arity)
-    return Manifest(placed, groups, levels, tops, over, root, arity)
+    none = F.lit(None).cast("string").alias("row")
+    over, root = _trees(tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(count).cast("long").alias("nodes"), "digest", none), count, arity)
+    return Manifest(leaves, groups.withColumnRenamed("group", group), levels, tops, over, root, arity)
 
 
 def proofs(m: Manifest) -> DataFrame:
-    """The manifest's rows with path (the siblings' digests left and right of the node, in bytes, of each level from the
-    leaf up through the subroot to the root), subroot and root (hex)."""
+    """row, leaf, path (the siblings' digests left and right of the node, in bytes, of each level from the leaf up through
+    the subroot to the root), subroot and root (hex) of each leaf."""
     none = F.array().cast("array<struct<left:binary,right:binary>>")
     hex_ = lambda c: F.lower(F.hex(c))
     top = m.root.select("tree", "level", none.alias("path"), F.lit("").alias("subroot"), hex_("digest").alias("root"))
-    over = _paths(m.over, top, m.arity).select(F.col("place").alias("_tree"), "path", "root")
+    of_tree = lambda d: d.withColumn("row", F.col("place"))
+    subs = m.tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("row"), F.lit(m.tops.count()).cast("long").alias("nodes"))
+    over = _paths([of_tree(d) for d in m.over], top, m.arity, subs).select(F.col("row").alias("_tree"), "path", "root")
     subroots = m.tops.join(over, F.col("tree") == F.col("_tree")).select("tree", "level", "path", hex_("digest").alias("subroot"), "root")
-    found = _paths(m.levels, subroots, m.arity).select(F.col("tree").alias("_tree"), F.col("place").alias("_place"), "path", "subroot", "root")
-    return m.rows.join(found, (F.col("tree") == F.col("_tree")) & (F.col("place") == F.col("_place"))).drop("_tree", "_place")
+    keep = lambda d: d.withColumn("row", F.struct("row", hex_("digest").alias("leaf")))
+    return _paths([keep(d) if k == 0 else d for k, d in enumerate(m.levels)], subroots, m.arity, keep(m.leaves)).select("row.row", "row.leaf", "path", "subroot", "root")
 
 
 def proof_digest(path: Column) -> Column:
@@ -181,7 +192,9 @@ def fold(leaf: Column, path: Column) -> Column:
 
 def verified(docs: DataFrame, arity: int = ARITY) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every row, after tampering with some."""
-    rows = docs.select("doc_id", "source", leaf({c: F.col(c) for c in COLUMNS}).alias("leaf"), leaf(tampered()).alias("now"))
-    folded = fold(F.col("now"), F.col("path"))
-    d = proofs(build(rows, arity=arity)).select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    now = tampered()
+    changed = F.when(~now["text"].eqNullSafe(F.col("text")), F.unhex(leaf(now)))
+    rows = docs.select("doc_id", "source", leaf({c: F.col(c) for c in COLUMNS}).alias("leaf"), changed.alias("now"))
+    folded = fold(F.coalesce(F.lower(F.hex("row.now")), F.col("leaf")), F.col("path"))
+    d = proofs(build(rows, arity=arity)).select("row.doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
     return d.withColumn("verified", F.col("folded_root") == F.col("root"))
