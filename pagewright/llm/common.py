@@ -61,6 +61,16 @@ def discard(*tables: DataFrame) -> None:
         forget(df.sparkSession, df.written_to)
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with columns of these names set aside under others, and what selects all its columns as they were."""
+    taken, moved = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in names:
+            moved[c] = next(n for n in (f"{c}_{k}" for k in range(len(taken) + 1)) if n.lower() not in taken)
+            taken.add(moved[c].lower())
+    return df.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, also where body's lambdas use it for each element."""
     return F.transform(F.array(value), body).getItem(0)

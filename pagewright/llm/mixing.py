@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, aside, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, partitions: int | None = None, ordered: bool = True, **
 
     Rows are found again by doc_id and a hash of doc_id, source and text. Rows that agree in both are alike to the mix;
     such rows are numbered on either side, so that together they give just the words that `take` says."""
-    docs = docs.drop("mix_finish", "mix_copy")
+    docs, columns = aside(docs.drop("mix_finish", "mix_copy"), "_key", "_mix", "_mix_key", "_mix_id", "_mix_copies", "_mix_no", "_more_key", "_more_id", "_no")
     taken = take(docs, **options).filter("size > 0")
     taken = materialize(taken.select(F.col("mix_key").alias("_mix_key"), F.col("doc_id").alias("_mix_id"), F.slice("copies", F.lit(1), F.col("times")).alias("_mix_copies")))
     more = materialize(taken.groupBy("_mix_key", "_mix_id").agg(F.count(F.lit(1)).alias("_mix_rows")).filter("_mix_rows > 1").select(F.col("_mix_key").alias("_more_key"), F.col("_mix_id").alias("_more_id")))
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, partitions: int | None = None, ordered: bool = True, **
         numbered = keyed.join(more, left, "left_semi").withColumn("_no", F.row_number().over(W.partitionBy("_key", "doc_id").orderBy("_key")))
         places = chosen.join(more, right, "left_semi").withColumn("_mix_no", F.row_number().over(W.partitionBy("_mix_key", "_mix_id").orderBy("_mix_copies")))
         out = out.unionByName(numbered.join(places, same & (F.col("_no") == F.col("_mix_no"))).drop("_no", "_mix_no"))
-    out = out.withColumn("_mix", F.explode("_mix_copies")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_mix.finish").alias("mix_finish"), F.col("_mix.copy").alias("mix_copy"))
+    out = out.withColumn("_mix", F.explode("_mix_copies")).select(*columns, F.col("_mix.finish").alias("mix_finish"), F.col("_mix.copy").alias("mix_copy"))
     if not ordered:
         return out
     order = ["mix_finish", "mix_copy", "doc_id"]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected, join_split
-from .common import grouped, gram_hashes, hashed_words, materialize, mixed, small_batches
+from .common import aside, gram_hashes, grouped, hashed_words, materialize, mixed, small_batches
 
 K = 5
 THRESHOLD = 0.8
@@ -261,8 +261,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     without doc_id can't be told apart and stay."""
     kept = join(docs, **options).filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
     kept = materialize(kept.select(F.col("doc_id").alias("_kept"), (F.col("rows") > 1).alias("_more")))
-    chosen = docs.join(kept, docs["doc_id"] == kept["_kept"])
-    out = chosen.filter("not _more").select(*docs.columns)
+    own, columns = aside(docs, "_kept", "_more")
+    chosen = own.join(kept, F.col("doc_id") == F.col("_kept"))
+    out = chosen.filter("not _more").select(*columns)
     if kept.filter("_more").limit(1).count():
-        out = out.unionByName(chosen.filter("_more").dropDuplicates(["doc_id"]).select(*docs.columns))
+        out = out.unionByName(chosen.filter("_more").dropDuplicates(["doc_id"]).select(*columns))
     return out.unionByName(docs.filter("doc_id is null"))

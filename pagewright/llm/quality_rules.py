@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from .common import WORD, aside, let
 
 WINDOW = 8
 
@@ -103,8 +103,9 @@ def passes(policy: str | list[str] = "v1") -> Column:
 
 
 def apply_policy(docs: DataFrame, policy: str | list[str] = "v1") -> DataFrame:
-    """The documents that the policy keeps, with the columns of docs."""
-    return ledger(docs).filter(passes(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the policy keeps, with the columns of docs, whatever their names."""
+    docs, columns = aside(docs, "measured", "fail_bits")
+    return ledger(docs).filter(passes(policy)).select(*columns)
 
 
 def ablation(with_bits: DataFrame, policy: str | list[str] = "v1") -> DataFrame:

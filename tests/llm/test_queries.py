@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from pagewright.llm import decontamination, lm_scoring, mixing, quality_classifier, quality_rules, url_filters
+from pagewright.llm import decontamination, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, url_filters
 from pagewright.llm.queries import ORACLES, QUERIES
 
 from ..compare import same
@@ -385,3 +385,16 @@ def test_texts_of_some_megabytes(spark):
     assert quality_rules.ledger(docs).filter("measured.n_words >= 500000").count() == 2
     assert lm_scoring.score(docs).filter("n_tokens > 500000").count() == 2
     assert quality_classifier.score(docs, quality_classifier.train(docs, spark.createDataFrame([(1, 0), (4, 2)], "doc_id long, grade int"))).count() == 5
+
+
+INTERNAL = ["_key", "_mix", "_mix_key", "_mix_id", "_mix_copies", "_mix_no", "_more_key", "_more_id", "_no", "Measured", "fail_bits", "_kept", "_more", "size", "finish", "row", "_key_0"]
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    """Operators that hand rows on: a column of an internal name comes out as it went in."""
+    rows = [(i, sentence(i % 4, 60), "en", "ab"[i % 2], 9, *[f"{i} {c}" for c in INTERNAL]) for i in range(8)]
+    d = spark.createDataFrame(rows + [rows[3]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in INTERNAL))
+    for out in (mixing.mix(d), quality_rules.apply_policy(d), ngram_join.keep_one(d)):
+        got = out.collect()
+        assert got and all(r[c] == f"{r['doc_id']} {c}" for r in got for c in INTERNAL)
+        assert out.columns[: len(d.columns)] == d.columns
