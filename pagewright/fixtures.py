@@ -85,7 +85,23 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"r": v(7, 13, 17), "g": v(11, 3, 5), "b": v(2, 29, 31)})
 
 
-def image_files(spark: SparkSession, sf_dir: str, path: str, keep: str) -> None:
+def _bgr(i: int, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.stack([(x * 2 + y * 29 + i * 31) % 256, (x * 11 + y * 3 + i * 5) % 256, (x * 7 + y * 13 + i * 17) % 256], axis=2).astype(np.uint8)
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images as they are read from files: image_id, width, height, n_channels, data (BGR)."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = np.mgrid[0:IMAGE_H, 0:IMAGE_W]
+        for b in batches:
+            data = pa.array([_bgr(i, y, x).tobytes() for i in b.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), data], names=["image_id", "data"])
+
+    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id"))
+    return ids.mapInArrow(made, "image_id long, data binary").select("image_id", F.lit(IMAGE_W).alias("width"), F.lit(IMAGE_H).alias("height"), F.lit(3).alias("n_channels"), "data")
+
+
+def image_files(spark: SparkSession, sf_dir: str, path: str, keep: str, prefix: str = "i") -> None:
     """Bitmap files of the same images, those of suppliers that `keep` says; every tenth (7, 17, ...) is no image."""
     head = b"BM" + (54 + 3 * IMAGE_W * IMAGE_H).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little")
     head += IMAGE_W.to_bytes(4, "little") + IMAGE_H.to_bytes(4, "little") + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24)
@@ -96,9 +112,8 @@ def image_files(spark: SparkSession, sf_dir: str, path: str, keep: str) -> None:
         y, x = np.mgrid[IMAGE_H - 1 : -1 : -1, 0:IMAGE_W]  # bottom row first
         for b in batches:
             for i in b.column(0).to_pylist():
-                bgr = np.stack([(x * 2 + y * 29 + i * 31) % 256, (x * 11 + y * 3 + i * 5) % 256, (x * 7 + y * 13 + i * 17) % 256], axis=2)
-                with fs.open_output_stream(f"{root}/i{i}.bmp") as f:
-                    f.write(b"no image" if i % 10 == 7 else head + bgr.astype(np.uint8).tobytes())
+                with fs.open_output_stream(f"{root}/{prefix}{i}.bmp") as f:
+                    f.write(b"no image" if i % 10 == 7 else head + _bgr(i, y, x).tobytes())
             yield b
 
     table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id")).filter(keep).mapInArrow(write, "id long").count()

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..plans.lineage import checkpointed
-from . import pixels
+from . import pixels, rasters
 from .layout import reading_order
 
 
@@ -99,65 +100,155 @@ def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return both
 
 
-def min_area_rect(labelled_runs: DataFrame) -> DataFrame:
-    """image_id, label, quad: the least rectangle of any angle around a component, its longer edge first; components
-    without area get their upright box. Only run ends are gathered, and hulls stay small."""
-    ends = labelled_runs.select("image_id", "label", F.explode(F.array("x0", "x1")).alias("x"), "y").distinct()
-
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(zip(pdf["x"].astype(float), pdf["y"].astype(float), strict=True))
-        found = _hull(pts) if len(pts) > 2 else pts
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "label_y": pdf["label_y"].iloc[0], "label_x": pdf["label_x"].iloc[0], "i": range(len(found)), "x": [p[0] for p in found], "y": [p[1] for p in found]})
-
-    flat = ends.select("image_id", F.col("label.y").alias("label_y"), F.col("label.x0").alias("label_x"), "x", "y")
-    key = ["image_id", "label_y", "label_x"]
-    corners = flat.groupBy(*key).applyInPandas(hull, "image_id long, label_y int, label_x int, i int, x double, y double")
-    whole = corners.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("h"))
-
-    def rect(i: Column) -> Column:
-        """STRUCT<area, i, quad> of the rectangle along edge i."""
-        h, n = F.col("h"), F.size("h")
-        a, b = F.get(h, i), F.get(h, F.pmod(i + 1, n))
-        length = F.sqrt(F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2))
-        ux, uy = (b["x"] - a["x"]) / length, (b["y"] - a["y"]) / length
-        along, across = F.transform(h, lambda p: p["x"] * ux + p["y"] * uy), F.transform(h, lambda p: p["y"] * ux - p["x"] * uy)
-        x0, x1, y0, y1 = F.array_min(along), F.array_max(along), F.array_min(across), F.array_max(across)
-        corner = lambda s, t: g.point(s * ux - t * uy, s * uy + t * ux)
-        wide = F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))
-        tall = F.array(corner(x0, y1), corner(x0, y0), corner(x1, y0), corner(x1, y1))
-        return F.struct(((x1 - x0) * (y1 - y0)).alias("area"), i.alias("i"), F.when(x1 - x0 >= y1 - y0, wide).otherwise(tall).alias("quad"))
-
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.size("h") - 1), rect))["quad"]
-    x, y = F.transform("h", lambda p: p["x"]), F.transform("h", lambda p: p["y"])
-    upright = g.quad_from_rect(F.array_min(x), F.array_min(y), F.array_max(x) - F.array_min(x), F.array_max(y) - F.array_min(y))
-    label = F.struct("image_id", F.col("label_y").alias("y"), F.col("label_x").alias("x0"))
-    return whole.select("image_id", label.alias("label"), F.when(F.size("h") > 2, best).otherwise(upright).alias("quad"))
+def least_rect(points: list[tuple[float, float]]) -> tuple:
+    """The corners (x, y each) of the least rectangle of any angle around points, its longer edge first; of fewer than
+    three hull points the upright box."""
+    hull = _hull(sorted(points)) if len(points) > 2 else points
+    h = np.array(hull, float)
+    if len(h) < 3:
+        (x0, y0), (x1, y1) = h.min(axis=0), h.max(axis=0)
+        return x0, y0, x1, y0, x1, y1, x0, y1
+    edge = np.roll(h, -1, axis=0) - h
+    ux, uy = (edge / np.hypot(*edge.T)[:, None]).T
+    along, across = np.outer(ux, h[:, 0]) + np.outer(uy, h[:, 1]), np.outer(ux, h[:, 1]) - np.outer(uy, h[:, 0])
+    s0, s1, t0, t1 = along.min(axis=1), along.max(axis=1), across.min(axis=1), across.max(axis=1)
+    i = int(np.argmin((s1 - s0) * (t1 - t0)))
+    corner = lambda s, t: (float(s[i] * ux[i] - t[i] * uy[i]), float(s[i] * uy[i] + t[i] * ux[i]))
+    wide = [corner(s0, t0), corner(s1, t0), corner(s1, t1), corner(s0, t1)]
+    return tuple(v for p in (wide if s1[i] - s0[i] >= t1[i] - t0[i] else [wide[3], *wide[:3]]) for v in p)
 
 
-def detect_regions(prob: DataFrame, meta: DataFrame, threshold: float = 0.3, box_threshold: float = 0.6, unclip_ratio: float = 1.5, min_area: float = 6.0, max_candidates: int = 1000, rotated: bool = False) -> DataFrame:
-    """page_id, seq, quad, det_conf: boxes on the source pages, in reading order. meta has a resize plan's fields."""
-    fg = binarize(prob, threshold)
-    found = checkpointed(label_runs(fg)) if rotated else label_runs(fg)
-    r = found.alias("r")
-    inside = (F.col("f.image_id") == F.col("r.image_id")) & (F.col("f.y") == F.col("r.y")) & F.col("f.x").between(F.col("r.x0"), F.col("r.x1"))
-    stats = component_stats(fg.alias("f").join(r, inside).select("f.*", "r.label"))
-    kept = cap_candidates(filter_components(stats, box_threshold, min_area), max_candidates)
-    if rotated:
-        ends = found.join(kept.select("image_id", "label"), ["image_id", "label"], "left_semi")
-        boxes = kept.join(min_area_rect(ends), ["image_id", "label"])
-    else:
-        boxes = kept.withColumn("quad", g.quad_from_rect(F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+_CORNERS = ", ".join(f"{c}{i} double" for i in range(4) for c in "xy")
+
+
+def _quad() -> Column:
+    return F.array(*[g.point(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)])
+
+
+def min_area_rect(labelled_runs: DataFrame) -> DataFrame:
+    """image_id, label, quad: the least rectangle of any angle around a component, its longer edge first; components
+    without area get their upright box. One exchange of runs by image; only run ends count."""
+    def rects(table: pa.Table) -> pa.Table:
+        points: dict = {}
+        for y, x0, x1, *label in zip(*(table.column(c).to_pylist() for c in ("y", "x0", "x1", "label_y", "label_x")), strict=True):
+            points.setdefault(tuple(label), set()).update(((float(x0), float(y)), (float(x1), float(y))))
+        rows = [(*label, *least_rect(list(p))) for label, p in sorted(points.items())]
+        out = pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["label_y", "label_x", *(c.split()[0] for c in _CORNERS.split(", "))])
+        return out.add_column(0, "image_id", pa.array([table.column("image_id")[0].as_py()] * len(rows), pa.int64()))
+
+    flat = labelled_runs.select("image_id", "y", "x0", "x1", F.col("label.y").alias("label_y"), F.col("label.x0").alias("label_x"))
+    found = flat.groupBy("image_id").applyInArrow(rects, f"image_id long, label_y long, label_x long, {_CORNERS}")
+    label = F.struct("image_id", F.col("label_y").cast("int").alias("y"), F.col("label_x").cast("int").alias("x0"))
+    return found.select("image_id", label.alias("label"), _quad().alias("quad"))
+
+
+# one image at a time: from runs of foreground to boxes
+
+_BOXES = f"image_id long, label int, score double, {_CORNERS}"
+
+
+def _boxes(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, total: np.ndarray, box_threshold: float, min_area: float, most: int, rotated: bool) -> list[tuple]:
+    """(label, score, corners) of an image's components, in order of their first run: sure ones whose box (upright, or
+    the least of any angle) is large enough, `most` of these."""
+    first = _labelled(y, x0, x1)
+    order = np.argsort(first, kind="stable")
+    out: list[tuple] = []
+    for rows in np.split(order, np.nonzero(np.diff(first[order]))[0] + 1):
+        if len(out) == most or not len(rows):
+            break
+        score = total[rows].sum() / (x1[rows] - x0[rows] + 1).sum()
+        if score < box_threshold:
+            continue
+        a, b, t, e = (float(v) for v in (x0[rows].min(), x1[rows].max(), y[rows].min(), y[rows].max()))
+        corners = (a, t, b, t, b, e, a, e)
+        if rotated:
+            corners = least_rect(list({(float(x), float(v)) for side in (x0, x1) for x, v in zip(side[rows].tolist(), y[rows].tolist(), strict=True)}))
+        if math.dist(corners[0:2], corners[2:4]) * math.dist(corners[0:2], corners[6:8]) >= min_area:
+            out.append((int(first[rows[0]]), float(score), *corners))
+    return out
+
+
+def _box_table(image: int, found: list[tuple]) -> pa.Table:
+    schema = pa.schema([("image_id", pa.int64()), ("label", pa.int32()), *((n, pa.float64()) for n in ["score", *(c.split()[0] for c in _CORNERS.split(", "))])])
+    columns = list(zip(*((image, *row) for row in found), strict=True)) or [[]] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _placed(boxes: DataFrame, meta: DataFrame, unclip_ratio: float) -> DataFrame:
+    """page_id, seq, quad, det_conf of boxes on resized pages: grown, set back on the source pages, in reading order."""
     fields = ("pad_x", "pad_y", "content_w", "content_h", "scale_x", "scale_y", "orig_w", "orig_h")
-    placed = boxes.join(meta.select("image_id", *fields), "image_id")
+    placed = boxes.withColumn("quad", _quad()).select("image_id", "label", "score", "quad").join(meta.select("image_id", *fields), "image_id")
     quad = g.quad_to_original(g.quad_unclip(F.col("quad"), F.lit(unclip_ratio)), {c: F.col(c) for c in fields})
-    first = F.row_number().over(W.partitionBy("image_id").orderBy("label"))
-    out = reading_order(placed.select(F.col("image_id").alias("page_id"), first.alias("seq"), quad.alias("quad"), F.col("score").alias("det_conf")))
+    out = reading_order(placed.select(F.col("image_id").alias("page_id"), F.col("label").alias("seq"), quad.alias("quad"), F.col("score").alias("det_conf")))
     return out.select("page_id", F.col("order_no").cast("int").alias("seq"), "quad", "det_conf")
 
 
-def detect_model_free(px: DataFrame, size: int = 512, kernel: str = "triangle", **params) -> DataFrame:
-    """Boxes by ink and contrast alone: square plan, scaling, white padding, text probability, post-processing."""
-    plan = pixels.sizes_of(px).withColumn("p", g.resize_plan_square(F.col("src_w"), F.col("src_h"), size)).select("image_id", "src_w", "src_h", "p.*")
-    plan = plan.withColumns({"dst_w": F.col("content_w"), "dst_h": F.col("content_h"), "canvas_w": F.lit(size), "canvas_h": F.lit(size)})
-    gray = pixels.to_gray(pixels.pad_canvas(pixels.resample(px, plan, kernel, pixels.CHANNELS), plan, 255.0, pixels.CHANNELS))
-    return detect_regions(checkpointed(pixels.text_probability(gray)), checkpointed(plan), **params)
+def detect_regions(prob: DataFrame, meta: DataFrame, threshold: float = 0.3, box_threshold: float = 0.6, unclip_ratio: float = 1.5, min_area: float = 6.0, max_candidates: int = 1000, rotated: bool = False) -> DataFrame:
+    """page_id, seq, quad, det_conf: boxes on the source pages, in reading order. meta has a resize plan's fields. With
+    `rotated` boxes are the least of any angle, and it is their area that counts.
+
+    Runs of foreground, not pixels, meet by image, and an image's boxes are found in one pass over its runs."""
+    island = F.col("x") - F.row_number().over(W.partitionBy("image_id", "y").orderBy("x"))
+    scored = binarize(prob, threshold).withColumn("_i", island).groupBy("image_id", "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.sum("p").alias("total"))
+
+    def found(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("x0", "ascending")])
+        columns = (table.column(c).to_numpy() for c in ("y", "x0", "x1", "total"))
+        return _box_table(table.column("image_id")[0].as_py(), _boxes(*columns, box_threshold, min_area, max_candidates, rotated))
+
+    boxes = scored.select(F.col("image_id").cast("long").alias("image_id"), "y", "x0", "x1", "total").groupBy("image_id").applyInArrow(found, _BOXES)
+    return _placed(boxes, meta, unclip_ratio)
+
+
+def _runs_of(p: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(y, x0, x1, total) of the runs of an array of probabilities."""
+    on = np.pad(p > threshold, ((0, 0), (1, 1)))
+    step = np.diff(on.astype(np.int8), axis=1)
+    (y, x0), (_, end) = np.nonzero(step == 1), np.nonzero(step == -1)
+    sums = np.pad(np.cumsum(p, axis=1), ((0, 0), (1, 0)))
+    return y, x0, end - 1, sums[y, end] - sums[y, x0]
+
+
+def _square(w: int, h: int, size: int) -> tuple[int, int, int, int]:
+    """Width, height and padding of a page in a square, as resize_plan_square has them."""
+    scale = min(size / max(w, 1), size / max(h, 1))
+    cw, ch = (int(min(max(math.floor(v * scale + 0.5), 1), size)) for v in (w, h))
+    return cw, ch, (size - cw) // 2, (size - ch) // 2
+
+
+def model_free_probability(px: np.ndarray, size: int = 512, kernel: str = "triangle") -> np.ndarray:
+    """The text probability of an image in a square, by ink and contrast alone."""
+    w, h, x, y = _square(px.shape[1], px.shape[0], size)
+    canvas = np.full((size, size, 3), 255.0)
+    canvas[y : y + h, x : x + w] = rasters.scaled(px, w, h, kernel)
+    v = rasters.luma(canvas)
+    return rasters.text_probability(v, np.ones(v.shape, bool), v.mean())
+
+
+def _plan_of(sizes: DataFrame, size: int) -> DataFrame:
+    return sizes.withColumn("p", g.resize_plan_square(F.col("src_w"), F.col("src_h"), size)).select("image_id", "p.*")
+
+
+def detect_in_rasters(images: DataFrame, size: int = 512, kernel: str = "triangle", threshold: float = 0.3, box_threshold: float = 0.6, unclip_ratio: float = 1.5, min_area: float = 6.0, max_candidates: int = 1000, rotated: bool = False) -> DataFrame:
+    """Boxes by ink and contrast alone, of rasters: an image's boxes are found where it lies; only boxes travel."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in rasters.rows_of(b):
+                runs = _runs_of(model_free_probability(rasters.array_of(r), size, kernel), threshold)
+                yield from _box_table(r["image_id"], _boxes(*runs, box_threshold, min_area, max_candidates, rotated)).to_batches()
+
+    boxes = images.select("image_id", "width", "height", "rgb").mapInArrow(found, _BOXES)
+    return _placed(boxes, _plan_of(images.select("image_id", F.col("width").alias("src_w"), F.col("height").alias("src_h")), size), unclip_ratio)
+
+
+def detect_model_free(px: DataFrame, size: int = 512, kernel: str = "triangle", threshold: float = 0.3, box_threshold: float = 0.6, unclip_ratio: float = 1.5, min_area: float = 6.0, max_candidates: int = 1000, rotated: bool = False) -> DataFrame:
+    """The same of a pixel table: one exchange by image."""
+    def found(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        image = np.full((int(y.max()) + 1, int(x.max()) + 1, 3), 255)
+        image[y, x] = np.stack([table.column(c).to_numpy() for c in pixels.CHANNELS], axis=1)
+        runs = _runs_of(model_free_probability(image, size, kernel), threshold)
+        return _box_table(table.column("image_id")[0].as_py(), _boxes(*runs, box_threshold, min_area, max_candidates, rotated))
+
+    boxes = px.select(F.col("image_id").cast("long").alias("image_id"), "y", "x", *pixels.CHANNELS).groupBy("image_id").applyInArrow(found, _BOXES)
+    return _placed(boxes, _plan_of(pixels.sizes_of(px), size), unclip_ratio)

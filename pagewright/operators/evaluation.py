@@ -54,12 +54,17 @@ def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def eval_report(preds: DataFrame) -> DataFrame:
-    """preds (sample_id, prediction, target, confidence) with exact and distance (edits between trimmed texts)."""
+    """preds (sample_id, prediction, target, confidence) with exact and distance (edits between trimmed texts).
+
+    The work of a pair grows with the product of its lengths and says nothing of where its row lies, so pairs that
+    take long are dealt anew, as many to each task; all others are compared where they are."""
     p, t = strip(F.col("prediction")), strip(F.col("target"))
     d = preds.withColumns({"_p": p, "_t": t})
-    long = F.char_length("_p").cast("long") * F.char_length("_t") > LONG_PAIR
-    far = F.pandas_udf(_distances, IntegerType())(F.when(long, F.col("_p")), F.when(long, F.col("_t")))
-    return d.withColumns({"exact": F.col("_p") == F.col("_t"), "distance": F.coalesce(far, F.levenshtein("_p", "_t")), "target_chars": F.char_length("_t")}).drop("_p", "_t")
+    product = F.char_length("_p").cast("long") * F.char_length("_t")
+    long = F.coalesce((F.col("_p") != F.col("_t")) & (product > LONG_PAIR), F.lit(False))
+    short = d.filter(~long).withColumn("distance", F.when(F.col("_p") == F.col("_t"), 0).otherwise(F.levenshtein("_p", "_t")))
+    far = d.filter(long).repartition(2 * d.sparkSession.sparkContext.defaultParallelism).withColumn("distance", F.pandas_udf(_distances, IntegerType())("_p", "_t"))
+    return short.unionByName(far).withColumns({"exact": F.col("_p") == F.col("_t"), "target_chars": F.char_length("_t")}).drop("_p", "_t")
 
 
 def line_accuracy(preds: DataFrame) -> DataFrame:
@@ -111,13 +116,14 @@ def running_metrics(batches: DataFrame) -> DataFrame:
 
 def best_checkpoint(metrics: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Of (run, epoch, loss, accuracy) the row of each run with the best accuracy, then the least loss, then the latest
-    epoch. Runs of `runs` (run) without epochs keep what they start from: epoch 0, infinite loss, accuracy 0."""
+    epoch. runs (run, accuracy: measured before training) gives what each run starts from: epoch 0 with that accuracy
+    and infinite loss, which stays the best until an epoch is as accurate. Without `accuracy` it is 0."""
+    rows = metrics.select("run", F.col("epoch").cast("int").alias("epoch"), F.col("loss").cast("double").alias("loss"), F.col("accuracy").cast("double").alias("accuracy"))
+    if runs is not None:
+        measured = F.col("accuracy").cast("double") if "accuracy" in runs.columns else F.lit(0.0)
+        rows = rows.unionByName(runs.select("run", F.lit(0).alias("epoch"), F.lit(math.inf).alias("loss"), measured.alias("accuracy")).distinct())
     key = F.struct("accuracy", -F.col("loss"), "epoch")
-    best = metrics.groupBy("run").agg(F.max_by(F.struct("epoch", "loss", "accuracy"), key).alias("b")).select("run", "b.*")
-    if runs is None:
-        return best
-    start = {"epoch": F.lit(0), "loss": F.lit(float("inf")), "accuracy": F.lit(0.0)}
-    return runs.select("run").distinct().join(best, "run", "left").select("run", *[F.coalesce(c, v).alias(c) for c, v in start.items()])
+    return rows.groupBy("run").agg(F.max_by(F.struct("epoch", "loss", "accuracy"), key).alias("b")).select("run", "b.*")
 
 
 #: Ranges of seq that rows are numbered in.

@@ -6,9 +6,12 @@ whose steps depend on what was gathered so far run over one page's sorted region
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions import geometry as g
 from ..functions import text as t
@@ -143,17 +146,9 @@ def expand_slots(lines: DataFrame) -> DataFrame:
 def numbering_start(slots: DataFrame) -> DataFrame:
     """page_id, start: the first line number of pages whose lines carry their numbers. At least three lines must
     agree with it exactly; of several starts the one with most exact, then most near matches, then the first line."""
-    number = F.when(F.col("k") == 0, t.leading_number(F.col("text")))
-    pages = slots.withColumn("_n", number).groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("slot", F.col("_n").alias("n"))))).alias("c"), F.count(F.lit(1)).alias("slots"), F.count_if(F.col("k") == 0).alias("lines"))
-    pages = pages.filter((F.size("c") >= 3) & ((F.col("slots") > F.col("lines")) | (F.array_max(F.transform("c", lambda x: x["n"])) > F.col("lines") + 2)))
-
-    def rated(x: Column) -> Column:
-        start = x["n"] - x["slot"]
-        off = F.transform("c", lambda y: F.abs(start + y["slot"] - y["n"]))
-        return F.struct(F.size(F.filter(off, lambda v: v == 0)).alias("exact"), F.size(F.filter(off, lambda v: v <= 1)).alias("near"), (-x["slot"]).alias("first"), start.alias("start"))
-
-    best = F.array_max(F.filter(F.transform("c", rated), lambda x: (x["start"] >= 0) & (x["exact"] >= 3)))
-    return pages.select("page_id", best["start"].alias("start")).filter("start is not null")
+    slot = F.struct("slot", (F.col("k") == 0).alias("line"), "text")
+    pages = slots.groupBy("page_id").agg(F.array_sort(F.collect_list(slot)).alias("_s"))
+    return pages.select("page_id", _start(F.col("_s")).alias("start")).filter("start is not null")
 
 
 def _lines_in(boxes: Column) -> Column:
@@ -206,20 +201,31 @@ def _slots(lines: Column) -> Column:
     return let(let(_gap_list(lines), pitch), lambda p: let(_blanks(lines, p, 32.0, 1.0), with_blanks))
 
 
-def _start(slots: Column) -> Column:
-    """The first line number, as numbering_start has it; null without one."""
-    numbers = F.transform(slots, lambda s, i: F.struct(i.alias("slot"), F.when(s["line"], t.leading_number(s["text"])).alias("n")))
+@F.arrow_udf(LongType())
+def _voted(numbers: pa.Array, lines: pa.Array) -> pa.Array:
+    """The start that most numbers vote for. numbers: that of each slot or null; a number's vote is itself less its
+    slot, exact matches of a start are its votes, near ones also those beside it: three look-ups in one histogram."""
+    out: list[int | None] = []
+    for n, n_lines in zip(numbers, lines, strict=True):
+        found = n.values.to_numpy(zero_copy_only=False).astype(float)
+        slot = np.nonzero(~np.isnan(found))[0]
+        vote = found[slot].astype(np.int64) - slot
+        start, first, exact = np.unique(vote, return_index=True, return_counts=True)
+        at = lambda v: np.where((k := np.searchsorted(start, v)) < len(start), (start[np.minimum(k, len(start) - 1)] == v) * exact[np.minimum(k, len(start) - 1)], 0)  # noqa: B023, E731
+        if len(slot) < 3 or not (len(found) > n_lines.as_py() or found[slot].max() > n_lines.as_py() + 2):
+            out.append(None)
+            continue
+        near = exact + at(start - 1) + at(start + 1)
+        fits = np.nonzero((start >= 0) & (exact >= 3))[0]
+        best = max(fits.tolist(), key=lambda i: (exact[i], near[i], -slot[first[i]]), default=None)  # noqa: B023
+        out.append(None if best is None else int(start[best]))
+    return pa.array(out, pa.int64())
 
-    def of(c: Column) -> Column:
-        def rated(x: Column) -> Column:
-            off = F.transform(c, lambda y: F.abs(x["n"] - x["slot"] + y["slot"] - y["n"]))
-            return F.struct(F.size(F.filter(off, lambda v: v == 0)).alias("exact"), F.size(F.filter(off, lambda v: v <= 1)).alias("near"), (-x["slot"]).alias("first"), (x["n"] - x["slot"]).alias("start"))
 
-        lines = F.size(F.filter(slots, lambda s: s["line"]))
-        numbered = (F.size(c) >= 3) & ((F.size(slots) > lines) | (F.array_max(F.transform(c, lambda x: x["n"])) > lines + 2))
-        return F.when(numbered, F.array_max(F.filter(F.transform(c, rated), lambda x: (x["start"] >= 0) & (x["exact"] >= 3)))["start"])
-
-    return let(F.filter(numbers, lambda x: x["n"].isNotNull()), of)
+def _start(slots: Column) -> Column:
+    """The first line number of slots (line, text), as numbering_start has it; null without one."""
+    numbers = F.transform(slots, lambda s: F.when(s["line"], t.leading_number(s["text"])))
+    return _voted(numbers, F.size(F.filter(slots, lambda s: s["line"])))
 
 
 def _numbered_text(slots: Column, start: Column) -> Column:
@@ -236,8 +242,9 @@ def page_text(regions: DataFrame) -> DataFrame:
     """page_id, text: lines in order, blank lines where the page has gaps, line numbers in a column of their own. One
     exchange by page; all else happens in the page's row."""
     pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "quad", "text"))).alias("_b"))
-    text = let(F.transform(_lines_in(F.col("_b")), _line), lambda lines: let(_slots(lines), lambda slots: let(_start(slots), lambda start: _numbered_text(slots, start))))
-    return pages.select("page_id", text.alias("text"))
+    slots = let(F.transform(_lines_in(F.col("_b")), _line), _slots)
+    pages = pages.select("page_id", slots.alias("_s")).select("page_id", "_s", _start(F.col("_s")).alias("_start"))
+    return pages.select("page_id", let(F.col("_s"), lambda s: _numbered_text(s, F.col("_start"))).alias("text"))
 
 
 def _lines_to_text(d: DataFrame, order: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import rasters
+
 CHANNELS = ("r", "g", "b")
 #: Channel means and deviations of the detection input; all other inputs have 0.5 and 0.5.
 DETECTION_MEAN, DETECTION_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -176,13 +178,10 @@ def needs_rotation_scores(df: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def text_probability(gray: DataFrame) -> DataFrame:
-    """image_id, y, x, p: ink, and a quarter of the mean contrast with the four neighbours that exist."""
-    rows, cols = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
-    near = F.array_compact(F.array(F.lag("v").over(rows), F.lead("v").over(rows), F.lag("v").over(cols), F.lead("v").over(cols)))
-    d = gray.withColumn("_near", near).withColumn("_light", F.avg("v").over(of_image()) > 0.5)
-    contrast = F.aggregate("_near", F.lit(0.0), lambda a, n: a + F.abs(F.col("v") - n)) / F.greatest(F.size("_near"), F.lit(1))
-    value = F.when(F.col("_light"), 1.0 - F.col("v")).otherwise(F.col("v")) * 0.75 + contrast * 0.25
-    return d.select("image_id", "y", "x", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("p"))
+    """image_id, y, x, p: ink, and a quarter of the mean contrast with the four neighbours that exist. One exchange by
+    image; rasters.tile_pixels does without."""
+    kernel = lambda px, have: [rasters.text_probability(px[:, :, 0], have, px[have].mean())]
+    return rasters.by_image(gray, ("v",), kernel, "p double")
 
 
 # augmentation
@@ -205,35 +204,45 @@ def aug_contrast(px: DataFrame, factor: Column) -> DataFrame:
     return px.withColumns({c: _byte((F.col(c) - 128.0) * factor + 128.0) for c in CHANNELS})
 
 
-def aug_noise(px: DataFrame, std: float, on: Column | None = None) -> DataFrame:
-    """The same whole number from [-a, a], a = round(std * 765), for all channels of a pixel."""
+def aug_noise(px: DataFrame, std: float, on: Column | None = None, seed: Column | None = None) -> DataFrame:
+    """The same whole number from [-a, a], a = round(std * 765), for all channels of a pixel; by seed (a whole number,
+    image_id unless given) and place."""
     a = int(std * 255.0 * 3.0 + 0.5)
-    key = F.concat_ws(":", "image_id", "x", "y")
-    noise = F.floor(image_uniform(key, 9) * (2 * a + 1)) - a
+    prime = rasters.PRIME
+    t = (F.pmod(F.col("image_id") if seed is None else seed, F.lit(prime)) + F.col("x").cast("long") * rasters.CONTENT_X + F.col("y").cast("long") * rasters.CONTENT_Y + 1) % prime
+    t = (t * rasters.NOISE_FACTOR + 11) % prime
+    noise = (t * t + t) % prime % (2 * a + 1) - a
     noise = noise if on is None else F.when(on, noise).otherwise(0)
     return px.withColumns({c: _byte(F.col(c) + noise) for c in CHANNELS})
 
 
 def aug_blur(px: DataFrame, on: Column | None = None) -> DataFrame:
-    """A 3 by 3 box blur of whole numbers over the pixels that exist; images of 4 pixels or fewer a side stay."""
-    x, y = W.partitionBy("image_id", "y").orderBy("x").rowsBetween(-1, 1), W.partitionBy("image_id", "x").orderBy("y").rowsBetween(-1, 1)
-    sums = px.withColumns({f"_{c}": F.sum(c).over(x) for c in CHANNELS} | {"_n": F.count(F.lit(1)).over(x)})
-    sums = sums.withColumns({f"_{c}": F.sum(f"_{c}").over(y) for c in CHANNELS} | {"_n": F.sum("_n").over(y), "_w": F.max("x").over(of_image()), "_h": F.max("y").over(of_image())})
-    big = (F.col("_w") >= 4) & (F.col("_h") >= 4)
-    big = big if on is None else big & on
-    return sums.select("image_id", "y", "x", *[F.when(big, F.floor(F.col(f"_{c}") / F.col("_n")).cast("int")).otherwise(F.col(c)).alias(c) for c in CHANNELS])
+    """A 3 by 3 box blur of whole numbers over the pixels that exist; images of 4 pixels or fewer a side stay, and those
+    where `on` is false. One exchange by image; rasters.tile_pixels does without."""
+    def kernel(v, have):
+        px = v[:, :, :3]
+        blurred = rasters.box_blur(px, have, px.shape[1], px.shape[0]) if v[:, :, 3].max() else px
+        return [blurred[:, :, k] for k in range(3)]
+
+    return rasters.by_image(px.withColumn("_on", F.lit(1) if on is None else on.cast("int")), (*CHANNELS, "_on"), kernel, "r int, g int, b int")
+
+
+def content_hash(px: DataFrame) -> DataFrame:
+    """image_id, content: a whole number that depends on an image's pixels and their places alone, so the same image
+    under two ids has it twice. One sum by image."""
+    weight = (F.col("x").cast("long") * rasters.CONTENT_X + F.col("y").cast("long") * rasters.CONTENT_Y + rasters.CONTENT_ADD) % rasters.CONTENT_MOD
+    rgb = F.col("r").cast("long") * 65_536 + F.col("g") * 256 + F.col("b") + 1
+    return px.groupBy("image_id").agg(F.sum(rgb * weight % rasters.PRIME).alias("content"))
 
 
 def augment(px: DataFrame, brightness: float = 0.15, contrast: float = 0.20, noise: float = 0.02, blur: bool = True) -> DataFrame:
-    """Brightness, contrast, noise (three images in five), blur (three in ten), by numbers that depend on image_id."""
-    u = lambda salt: image_uniform(F.col("image_id"), salt)
-    if brightness > 0:
-        px = aug_brightness(px, u(0) * 2.0 * brightness - brightness)
-    if contrast > 0:
-        px = aug_contrast(px, 1.0 + (u(1) * 2.0 * contrast - contrast))
-    if noise > 0:
-        px = aug_noise(px, noise, u(2) > 0.4)
-    return aug_blur(px, u(3) > 0.7) if blur else px
+    """Brightness, contrast, noise (three images in five), blur (three in ten), by numbers that depend on what an image
+    shows, not on its id. One exchange by image."""
+    def kernel(v, have):
+        out = rasters.augment(v, have, brightness, contrast, noise, blur)
+        return [out[:, :, k] for k in range(3)]
+
+    return rasters.by_image(px, CHANNELS, kernel, "r int, g int, b int")
 
 
 # features and model inputs

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import checkpointed
+
 #: Fixed value: below this similarity a template match has no text.
 TEMPLATE_THRESHOLD = 0.40
 EPSILON = 1.1920929e-7
 #: Bytes of template features that are broadcast at a time.
 BLOCK_BYTES = 16_000_000
+#: Blocks that are held at a time, features that are compared at a time, and what rounding may be off by.
+BLOCKS_AT_ONCE, FEATURES_AT_ONCE, SLACK = 8, 512, 1e-7
 
 
 def argmax_steps(logits: DataFrame, mode: str = "softmax") -> DataFrame:
@@ -44,22 +54,50 @@ def to_time_major(outputs: DataFrame, dict_size: int) -> DataFrame:
     return d.select("crop_id", "t", F.when(F.col("_rows"), F.slice("flat", F.col("t") * F.col("n_cols") + 1, F.col("n_cols"))).otherwise(column).alias("v"))
 
 
+def _lookup(char_dict: DataFrame) -> Broadcast:
+    """The index of each code point, 0 where the dictionary lacks it; Unicode bounds it. Of a character's entries the
+    last counts, and only the first character of an entry."""
+    known = char_dict.filter("idx > 0 and ch <> ''").groupBy(F.substring("ch", 1, 1).alias("c")).agg(F.max("idx").alias("i")).collect()
+    found = np.zeros(max((ord(r["c"]) for r in known), default=0) + 2, np.int32)
+    for r in known:
+        found[ord(r["c"])] = r["i"]
+    return char_dict.sparkSession.sparkContext.broadcast(found)
+
+
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, one after another, and where each text's end (from 0 on)."""
+    each = pc.fill_null(texts, "")
+    points = np.frombuffer("".join(each.to_pylist()).encode("utf-32-le"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum(pc.utf8_length(each).to_numpy(zero_copy_only=False))])
+
+
 def encode_labels(samples: DataFrame, char_dict: DataFrame) -> DataFrame:
-    """samples with label_indices: unknown characters are dropped; of a character's entries the last counts, and only
-    the first character of an entry."""
-    known = char_dict.filter("idx > 0").groupBy(F.substring("ch", 1, 1).alias("_ch")).agg(F.max("idx").alias("_idx"))
-    chars = samples.select("seq", F.posexplode(F.split("label_text", "")).alias("_pos", "_ch")).filter("_ch <> ''")
-    coded = chars.join(F.broadcast(known), "_ch").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("_pos", "_idx"))).alias("_c"))
-    coded = coded.select("seq", F.transform("_c", lambda c: c["_idx"]).alias("label_indices"))
-    return samples.drop("label_indices").join(coded, "seq", "left").withColumn("label_indices", F.coalesce("label_indices", F.array().cast("array<int>")))
+    """samples with label_indices: unknown characters are dropped. Labels are looked up where they lie."""
+    sent = _lookup(char_dict)
+
+    @F.arrow_udf("array<int>")
+    def coded(labels: pa.Array) -> pa.Array:
+        points, ends = _codes(labels)
+        idx = sent.value[np.minimum(points, len(sent.value) - 1)]
+        kept = np.concatenate([[0], np.cumsum(idx > 0)])[ends]
+        return pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(idx[idx > 0]))
+
+    return samples.drop("label_indices").withColumn("label_indices", coded("label_text"))
 
 
 def keep_known(labels: DataFrame, char_dict: DataFrame, least: int = 1) -> DataFrame:
-    """(key, label) -> (key, label) with dictionary characters only, of `least` or more."""
-    known = char_dict.filter("idx > 0").select(F.substring("ch", 1, 1).alias("_ch")).distinct()
-    chars = labels.select("key", F.posexplode(F.split("label", "")).alias("_pos", "_ch")).filter("_ch <> ''")
-    kept = chars.join(F.broadcast(known), "_ch", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_ch"))).alias("_c"))
-    return kept.filter(F.size("_c") >= least).select("key", F.array_join(F.transform("_c", lambda c: c["_ch"]), "").alias("label"))
+    """(key, label) -> (key, label) with dictionary characters only, of `least` or more. Labels are filtered where they
+    lie."""
+    sent = _lookup(char_dict)
+
+    @F.arrow_udf("string")
+    def kept(texts: pa.Array) -> pa.Array:
+        points, ends = _codes(texts)
+        known = sent.value[np.minimum(points, len(sent.value) - 1)] > 0
+        text, cuts = points[known].tobytes().decode("utf-32-le"), np.concatenate([[0], np.cumsum(known)])[ends].tolist()
+        return pa.array([text[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
+
+    return labels.select("key", kept("label").alias("label")).filter(F.char_length("label") >= least)
 
 
 # templates
@@ -81,27 +119,91 @@ def train_templates(features: DataFrame) -> DataFrame:
     return rows.withColumn("_ok", checked).filter(F.col("_ok").isNull()).select("label", "sample_count", unit(mean).alias("feature"))
 
 
+class _Clusters:
+    """Templates of one length in clusters about some of them. A template's angle to its cluster's centre is at most the
+    cluster's radius, so by the triangle inequality a feature's angle to it is at least its angle to the centre less the
+    radius: clusters that cannot hold a nearer template than the nearest so far are passed over."""
+
+    def __init__(self, labels: list[str], rows: np.ndarray):
+        self.labels, self.rows = labels, rows
+        norm = np.maximum(np.linalg.norm(rows, axis=1), EPSILON)
+        flat = rows / norm[:, None]
+        self.centres = flat[:: max(1, math.isqrt(len(rows)))]
+        cosine = flat @ self.centres.T
+        own = cosine.argmax(axis=1)
+        angle = np.arccos(np.clip(cosine[np.arange(len(own)), own], -1, 1))
+        self.members = [np.nonzero(own == k)[0] for k in range(len(self.centres))]
+        self.radius = np.array([angle[m].max(initial=0.0) for m in self.members])
+        self.norm = np.array([norm[m].max(initial=0.0) for m in self.members])
+
+    def best(self, features: np.ndarray) -> list[tuple[float, str] | None]:
+        """(similarity, label) of each feature's nearest template, the greatest label of equally near ones; None where
+        none has a similarity above 0."""
+        norm = np.linalg.norm(features, axis=1)
+        angle = np.arccos(np.clip(features @ self.centres.T / np.maximum(norm, EPSILON)[:, None], -1, 1))
+        bound = np.minimum(np.cos(np.clip(angle - self.radius, 0, np.pi)) * self.norm * norm[:, None], 1.0) + SLACK
+        top, near = np.zeros(len(features)), [[] for _ in features]
+        for k in np.argsort(-bound.sum(axis=0)).tolist():
+            at = np.nonzero((bound[:, k] >= top) & (bound[:, k] > 0))[0]
+            if not len(at) or not len(self.members[k]):
+                continue
+            found = np.clip(features[at] @ self.rows[self.members[k]].T, 0.0, 1.0)
+            top[at] = np.maximum(top[at], found.max(axis=1))
+            for i, j in zip(*np.nonzero((found > 0) & (found >= top[at][:, None] - SLACK)), strict=True):
+                near[at[i]].append(int(self.members[k][j]))
+        # products of matrices may differ in the last digits from place to place, so what is close is compared anew
+        exact = lambda f, j: (min(float((f * self.rows[j]).sum()), 1.0), self.labels[j])
+        return [max((exact(f, j) for j in js), default=None) for f, js in zip(features, near, strict=True)]
+
+
 def match_templates(features: DataFrame, templates: DataFrame, threshold: float = TEMPLATE_THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """sample_id, text, confidence: the nearest template by cosine, the greatest label of equally near ones; empty text
-    below the threshold. Features of another length have similarity 0.
+    below the threshold. Features of another length have similarity 0; no templates give no rows.
 
     Templates are a stated query set against all features: they are dealt by label into blocks of about block_bytes,
-    each block is one broadcast row, and only the best of each block goes on, so no pairs are shuffled."""
+    which are sent out one by one and compared by products of matrices, a cluster of templates with a batch of features
+    at a time. Only the best of each block goes on, so no pairs are shuffled; features are read once for each block, and
+    at most BLOCKS_AT_ONCE blocks are held at a time."""
     n, longest = templates.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("feature")), F.lit(1))).first()
     blocks = max(1, -(-n * longest * 8 // block_bytes))
-
-    def similarity(t: Column) -> Column:
-        dot = F.aggregate(F.zip_with("feature", t["feature"], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.when(F.size("feature") == F.size(t["feature"]), F.least(F.greatest(dot, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-
-    best = F.array_max(F.transform("_t", lambda t: F.struct(similarity(t).alias("s"), t["label"].alias("label"))))
-
-    def within(i: int) -> DataFrame:
-        own = templates.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == i).agg(F.collect_list(F.struct("label", "feature")).alias("_t"))
-        return features.select("sample_id", "feature").join(F.broadcast(own.filter(F.size("_t") > 0)), F.lit(True)).select("sample_id", best.alias("_m"))
-
-    found = reduce(DataFrame.unionByName, [within(i) for i in range(blocks)]).groupBy("sample_id").agg(F.max("_m").alias("_m"))
-    return found.select("sample_id", F.when(F.col("_m.s") < threshold, "").otherwise(F.col("_m.label")).alias("text"), F.col("_m.s").alias("confidence"))
+    kind = features.schema["sample_id"].dataType.simpleString()
+    slim = features.select("sample_id", "feature")
+
+    def within(i: int) -> tuple[DataFrame, Broadcast]:
+        own: dict[int, list] = {}
+        for r in templates.filter(F.pmod(F.xxhash64("label"), F.lit(blocks)) == i).select("label", "feature").collect():
+            own.setdefault(len(r["feature"]), []).append((r["label"], r["feature"]))
+        last = max((x[0] for rows in own.values() for x in rows), default=None)
+        sent = features.sparkSession.sparkContext.broadcast((last, {k: _Clusters([x[0] for x in rows], np.array([x[1] for x in rows], float)) for k, rows in own.items()}))
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, by_length = sent.value
+            for b in batches if last is not None else ():
+                for at in range(0, b.num_rows, FEATURES_AT_ONCE):
+                    part = b.slice(at, FEATURES_AT_ONCE)
+                    rows = [np.array(x, float) for x in part.column(1).to_pylist()]
+                    best: list = [None] * len(rows)
+                    for length, clusters in by_length.items():
+                        if same := [k for k, x in enumerate(rows) if len(x) == length]:
+                            for k, found in zip(same, clusters.best(np.stack([rows[k] for k in same])), strict=True):
+                                best[k] = found
+                    s, label = zip(*(x or (0.0, last) for x in best), strict=True) if best else ((), ())
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array(label, pa.string())], names=["sample_id", "s", "label"])
+
+        return slim.mapInArrow(match, f"sample_id {kind}, s double, label string"), sent
+
+    best = F.max(F.struct("s", "label")).alias("_m")
+    done: list[DataFrame] = []
+    for at in range(0, blocks, BLOCKS_AT_ONCE):
+        parts = [within(i) for i in range(at, min(at + BLOCKS_AT_ONCE, blocks))]
+        found = reduce(DataFrame.unionByName, [d for d, _ in parts]).groupBy("sample_id").agg(best)
+        if blocks > BLOCKS_AT_ONCE:
+            found = checkpointed(found)
+            for _, sent in parts:
+                sent.destroy()
+        done.append(found.select("sample_id", "_m.*"))
+    whole = done[0] if len(done) == 1 else reduce(DataFrame.unionByName, done).groupBy("sample_id").agg(best).select("sample_id", "_m.*")
+    return whole.select("sample_id", F.when(F.col("s") < threshold, "").otherwise(F.col("label")).alias("text"), F.col("s").alias("confidence"))
 
 
 def assemble_regions(detections: DataFrame, orientation: DataFrame, recognition: DataFrame) -> DataFrame:

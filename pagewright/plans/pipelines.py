@@ -4,52 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.text import repair_mojibake
-from ..operators import detection, evaluation, layout, pixels, recognition
+from ..operators import detection, evaluation, layout, pixels, rasters, recognition
 from ..sources import tables
 from .lineage import checkpointed
+from .models import Model, Slot, in_use, ready
 
 RECOGNISED = "text string, confidence double, error string"
 
 
-def apply_recognizer(crops: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], keys: str = "page_id long, seq int", batch: int = 32) -> DataFrame:
+def apply_recognizer(crops: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | Model | Slot, keys: str = "page_id long, seq int", batch: int = 32) -> DataFrame:
     """keys, text, confidence, error of crops. fn takes a batch of rows and returns text and confidence for each; if it
-    fails on a batch its rows are tried alone, and a row that fails keeps its error. Any function with this shape may be
-    given, so models are swapped by passing another."""
-    names = [k.split()[0] for k in keys.split(",")]
+    fails on a batch its rows are tried alone, and a row that fails keeps its error. fn may be a Model, which workers set
+    up once, or a Slot, whose model of the moment is used."""
+    names, fn = [k.split()[0] for k in keys.split(",")], in_use(fn)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(call: Callable, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            out = fn(pdf)[["text", "confidence"]].reset_index(drop=True)
+            out = call(pdf)[["text", "confidence"]].reset_index(drop=True)
             return out.assign(error=None)
         except Exception as failed:
             if len(pdf) > 1:
-                return pd.concat([one(pdf.iloc[[i]]) for i in range(len(pdf))], ignore_index=True)
+                return pd.concat([one(call, pdf.iloc[[i]]) for i in range(len(pdf))], ignore_index=True)
             return pd.DataFrame({"text": [None], "confidence": [None], "error": [f"{type(failed).__name__}: {failed}"]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = ready(fn)
         for pdf in frames:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch].reset_index(drop=True)
-                yield pd.concat([part[names], one(part)], axis=1)
+                yield pd.concat([part[names], one(call, part)], axis=1)
 
     return crops.mapInPandas(run, f"{keys}, {RECOGNISED}")
 
 
-def apply_detector(images: DataFrame, fn: Callable[[pd.Series], list[tuple]]) -> DataFrame:
-    """page_id, seq, quad, det_conf: fn takes an image row and returns (x, y, w, h, confidence) for each box."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(r["image_id"], k, *map(float, box)) for _, r in pdf.iterrows() for k, box in enumerate(fn(r))]
-            yield pd.DataFrame(rows, columns=["page_id", "seq", "x", "y", "w", "h", "det_conf"])
+_DETECTED = "page_id long, seq int, x double, y double, w double, h double, det_conf double, error string"
+
+
+def apply_detector(images: DataFrame, fn: Callable[[np.ndarray], list[tuple]] | Model | Slot) -> tuple[DataFrame, DataFrame]:
+    """(boxes, failed) of rasters: page_id, seq, quad, det_conf, and page_id, error. fn takes an image's (height, width, 3)
+    array and returns (x, y, w, h, confidence) for each box; it may be a Model or a Slot."""
+    fn = in_use(fn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = ready(fn)
+        for b in batches:
+            rows: list[tuple] = []
+            for r in rasters.rows_of(b):
+                try:
+                    rows += [(r["image_id"], k, *map(float, box), None) for k, box in enumerate(call(rasters.array_of(r)))]
+                except Exception as failed:
+                    rows.append((r["image_id"], *[None] * 6, f"{type(failed).__name__}: {failed}"))
+            yield rasters.batch_of(_DETECTED, rows)
 
-    boxes = images.mapInPandas(run, "page_id long, seq int, x double, y double, w double, h double, det_conf double")
-    return boxes.select("page_id", "seq", g.quad_from_rect(*[F.col(c) for c in "xywh"]).alias("quad"), "det_conf")
+    found = images.select("image_id", "width", "height", "rgb").mapInArrow(run, _DETECTED)
+    boxes = found.filter("error is null").select("page_id", "seq", g.quad_from_rect(*[F.col(c) for c in "xywh"]).alias("quad"), "det_conf")
+    return boxes, found.filter("error is not null").select("page_id", "error")
 
 
 def crop_table(px: DataFrame, regions: DataFrame) -> DataFrame:
@@ -96,13 +113,60 @@ def template_recognizer(templates: DataFrame, w: int = 32, h: int = 32, threshol
 
 
 def prepare_training(samples: DataFrame, sizes: DataFrame, char_dict: DataFrame, batch: int = 32) -> DataFrame:
-    """Samples ready for training: encoded, split, with width, chunk, batch and padded labels. sizes: image_path, w, h.
-    Both sides are batched by chunks in order, each parted by width."""
+    """Samples ready for training: encoded, split, with width, batch and padded labels. sizes: image_path, w, h. The
+    training side is batched by chunks in order, each parted by width; the validation side by width, then in chunks."""
     coded = checkpointed(tables.encoded_only(recognition.encode_labels(samples, char_dict)))
     split = evaluation.split_every_fifth(coded)
     side = F.explode(F.array_compact(F.array(F.when(F.col("in_train"), "train"), F.when(F.col("in_validation"), "validation"))))
-    sided = split.withColumn("side", side).join(sizes, "image_path").withColumn("width", g.rec_width(F.col("w"), F.col("h")))
-    return evaluation.pad_batches(evaluation.assign_batches(checkpointed(sided), batch, "chunk", ["side"]), ["side", "batch_no", "width"])
+    sided = checkpointed(split.withColumn("side", side).join(sizes, "image_path").withColumn("width", g.rec_width(F.col("w"), F.col("h"))))
+    of = lambda name: sided.filter(F.col("side") == name)
+    batched = evaluation.assign_batches(of("train"), batch, "chunk").unionByName(evaluation.assign_batches(of("validation"), batch, "width"))
+    return evaluation.pad_batches(batched, ["side", "batch_no", "width"])
+
+
+#: Bytes of images that a packed row holds unless one alone has more.
+PACK_BYTES = 8_000_000
+TENSORS = "side string, batch_no int, width int, part int, shape array<int>, tensor binary, seqs array<long>, label_lengths array<int>, padded array<int>"
+
+
+def training_tensors(samples: DataFrame, images: DataFrame, char_dict: DataFrame, batch: int = 32, augmented: bool = True, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """What a trainer reads: for each side, batch and width one tensor of shape (samples, 3, 48, width), 32-bit floats,
+    with the samples' numbers, label lengths and labels padded to the batch's longest. Images of the training side are
+    augmented by their content. images: image_path, width, height, rgb.
+
+    Samples are numbered and batched without their images; then images travel once, as bytes, to the task that packs
+    their batch, where they are augmented, scaled and normalised. A tensor above pack_bytes comes in parts, each a
+    tensor of consecutive samples, so rows are bounded however large a batch is."""
+    sizes = images.select("image_path", F.col("width").alias("w"), F.col("height").alias("h"))
+    ready_ = prepare_training(samples, sizes, char_dict, batch).select("side", "batch_no", "width", "seq", "image_path", "label_length", "padded")
+    raw = images.select("image_path", F.col("width").alias("w"), F.col("height").alias("h"), "rgb")
+    dealt = ready_.join(raw, "image_path").drop("image_path").repartition("side", "batch_no", "width").sortWithinPartitions("side", "batch_no", "width", "seq")
+    schema = pa.schema([("side", pa.string()), ("batch_no", pa.int32()), ("width", pa.int32()), ("part", pa.int32()), ("shape", pa.list_(pa.int32())), ("tensor", pa.binary()), ("seqs", pa.list_(pa.int64())), ("label_lengths", pa.list_(pa.int32())), ("padded", pa.list_(pa.int32()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, held, labels = None, 0, [], []
+
+        def row() -> pa.RecordBatch:
+            tensor = np.stack(held)
+            values = (*key, part, list(tensor.shape), tensor.tobytes(), [x[0] for x in labels], [x[1] for x in labels], [i for x in labels for i in x[2]])
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+        for b in batches:
+            for r in rasters.rows_of(b):
+                own = (r["side"], r["batch_no"], r["width"])
+                if held and (own != key or (len(held) + 1) * held[0].nbytes > pack_bytes):
+                    yield row()
+                    part, held, labels = (part + 1 if own == key else 0), [], []
+                key = own
+                px = rasters.array_of({"rgb": r["rgb"], "width": r["w"], "height": r["h"]})
+                if augmented and r["side"] == "train":
+                    px = rasters.augment(px, np.ones(px.shape[:2], bool))
+                held.append(rasters.recognition_input(px, r["width"]).astype("<f4"))
+                labels.append((r["seq"], r["label_length"], r["padded"]))
+        if held:
+            yield row()
+
+    return dealt.mapInArrow(pack, TENSORS)
 
 
 def prepare_dataset(annotations: DataFrame, sizes: DataFrame, char_dict: DataFrame, split: str = "train", least: int = 1) -> DataFrame:

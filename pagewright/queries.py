@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import geometry as g
 from .functions import text as t
-from .operators import detection, evaluation, layout, pixels, recognition
+from .operators import detection, evaluation, layout, pixels, rasters, recognition
 from .plans import pipelines
 from .plans.lineage import checkpointed, scratch
+from .plans.models import Model
 from .sources import tables
 from .streaming import streams
 
@@ -234,7 +236,9 @@ query("p1_denormalize", _PX + " SELECT image_id, y, x, r / 255.0::DOUBLE AS r, g
 ORACLES["p1_denormalize"] = _PX + " SELECT image_id, y, x, round(r / 255.0::DOUBLE, 12) AS r, round(g / 255.0::DOUBLE, 12) AS g, round(b / 255.0::DOUBLE, 12) AS b FROM px"
 query("p2_gray", f"{_PX} SELECT * FROM gray")(_gray)
 query("p3_background", f"{_PX} SELECT image_id, avg(v) > 0.5 AS is_light, CAST(floor(sum(round(v * 255)) / count(*)) AS INT) AS luma FROM gray GROUP BY image_id")(lambda spark, sf_dir: pixels.background(_gray(spark, sf_dir)))
-query("p4_ink", f"{_PX} SELECT image_id, y, x, least(greatest(CASE WHEN avg(v) OVER (PARTITION BY image_id) > 0.5 THEN 1 - v ELSE v END, 0.0), 1.0) AS v FROM gray")(lambda spark, sf_dir: pixels.ink(_gray(spark, sf_dir)))
+_rasters = lambda spark, sf_dir: rasters.of_images(fx.images(spark, sf_dir))
+_tiles = lambda spark, sf_dir: rasters.tiles(_rasters(spark, sf_dir), 7)
+query("p4_ink", f"{_PX} SELECT image_id, y, x, least(greatest(CASE WHEN avg(v) OVER (PARTITION BY image_id) > 0.5 THEN 1 - v ELSE v END, 0.0), 1.0) AS v FROM gray")(lambda spark, sf_dir: rasters.tile_pixels(_tiles(spark, sf_dir), lambda px, r: [rasters.ink(rasters.luma(px), r["mean"])], "v double"))
 
 
 def _plan(spark, sf_dir):
@@ -244,7 +248,7 @@ def _plan(spark, sf_dir):
 
 _AXIS = "{n} AS (SELECT s_suppkey AS image_id, d, ({src}.0::DOUBLE / {dst} * (d + 0.5) - 0.5) AS pos FROM supplier, unnest(range(0, {dst})) AS t(d)), {n}t AS (SELECT image_id, d, CAST(least(greatest(floor(pos), 0), {src} - 1) AS INT) AS s0, least(greatest(pos - least(greatest(floor(pos), 0), {src} - 1), 0.0), 1.0) AS f FROM {n}), {n}w AS (SELECT image_id, d, s0 AS s, 1 - f AS k FROM {n}t UNION ALL SELECT image_id, d, least(s0 + 1, {src} - 1), f FROM {n}t)"
 _RES = fx.PIXELS + ", " + _AXIS.format(n="ax", src=24, dst=12) + ", " + _AXIS.format(n="ay", src=16, dst="(4 + s_suppkey % 9)") + ", rx AS (SELECT g.image_id, y, d AS x, sum(v * k) AS v FROM gray g JOIN axw w ON w.image_id = g.image_id AND w.s = g.x GROUP BY g.image_id, y, d), rs AS (SELECT g.image_id, CAST(d AS INT) AS y, CAST(x AS INT) AS x, sum(v * k) AS v FROM rx g JOIN ayw w ON w.image_id = g.image_id AND w.s = g.y GROUP BY g.image_id, d, x)"
-query("p5_resample", f"WITH {_RES} SELECT * FROM rs")(lambda spark, sf_dir: pixels.resample(_gray(spark, sf_dir), _plan(spark, sf_dir)))
+query("p5_resample", f"WITH {_RES} SELECT * FROM rs")(lambda spark, sf_dir: rasters.resample(_tiles(spark, sf_dir).withColumns({"dst_w": F.lit(12), "dst_h": (4 + F.col("image_id") % 9).cast("int")})))
 query("p6_pad_canvas", f"WITH {_RES}, gr AS (SELECT s_suppkey AS image_id, CAST(a AS INT) AS y, CAST(b AS INT) AS x FROM supplier, range(16) AS t(a), range(14) AS u(b)) SELECT gr.image_id, gr.y, gr.x, coalesce(v, 1.0) AS v FROM gr LEFT JOIN rs ON rs.image_id = gr.image_id AND rs.y + 2 = gr.y AND rs.x + 1 = gr.x")(lambda spark, sf_dir: pixels.pad_canvas(pixels.resample(_gray(spark, sf_dir), _plan(spark, sf_dir)), _plan(spark, sf_dir)))
 
 
@@ -282,19 +286,27 @@ def p11(spark, sf_dir):
 
 
 _NB = "nb AS (SELECT *, lag(v) OVER a AS l1, lead(v) OVER a AS l2, lag(v) OVER b AS l3, lead(v) OVER b AS l4, avg(v) OVER (PARTITION BY image_id) > 0.5 AS light FROM gray WINDOW a AS (PARTITION BY image_id, y ORDER BY x), b AS (PARTITION BY image_id, x ORDER BY y))"
-query("p12_text_probability", f"{_PX}, {_NB} SELECT image_id, y, x, least(greatest(CASE WHEN light THEN 1 - v ELSE v END * 0.75 + (coalesce(abs(v - l1), 0) + coalesce(abs(v - l2), 0) + coalesce(abs(v - l3), 0) + coalesce(abs(v - l4), 0)) / ((l1 IS NOT NULL)::INT + (l2 IS NOT NULL)::INT + (l3 IS NOT NULL)::INT + (l4 IS NOT NULL)::INT) * 0.25, 0.0), 1.0) AS p FROM nb")(lambda spark, sf_dir: pixels.text_probability(_gray(spark, sf_dir)))
+query("p12_text_probability", f"{_PX}, {_NB} SELECT image_id, y, x, least(greatest(CASE WHEN light THEN 1 - v ELSE v END * 0.75 + (coalesce(abs(v - l1), 0) + coalesce(abs(v - l2), 0) + coalesce(abs(v - l3), 0) + coalesce(abs(v - l4), 0)) / ((l1 IS NOT NULL)::INT + (l2 IS NOT NULL)::INT + (l3 IS NOT NULL)::INT + (l4 IS NOT NULL)::INT) * 0.25, 0.0), 1.0) AS p FROM nb")(lambda spark, sf_dir: rasters.tile_pixels(_tiles(spark, sf_dir), lambda px, r: [rasters.text_probability(rasters.luma(px), np.ones(px.shape[:2], bool), r["mean"])], "p double"))
 _byte = lambda e: f"CAST(least(greatest(round({e}), 0), 255) AS INT)"
 query("p13_brightness", _PX + " SELECT image_id, y, x, " + ", ".join(f"{_byte(f'{c} + (image_id % 7 - 3) / 20.0::DOUBLE * 255.0')} AS {c}" for c in "rgb") + " FROM px")(lambda spark, sf_dir: pixels.aug_brightness(fx.pixels(spark, sf_dir), (F.col("image_id") % 7 - 3) / 20.0))
 query("p14_contrast", _PX + " SELECT image_id, y, x, " + ", ".join(f"{_byte(f'({c} - 128.0) * (1 + (image_id % 5 - 2) / 10.0::DOUBLE) + 128.0')} AS {c}" for c in "rgb") + " FROM px")(lambda spark, sf_dir: pixels.aug_contrast(fx.pixels(spark, sf_dir), 1 + (F.col("image_id") % 5 - 2) / 10.0))
-_NO = "floor(CAST(('0x' || substr(md5(image_id || ':' || x || ':' || y || ':9'), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0 * 31) - 15"
+def _noise(seed: str) -> str:
+    """The noise of a pixel in SQL, by its image's seed and its place."""
+    t = f"((({seed}) % 2147483647 + CAST(x AS BIGINT) * 7919 + CAST(y AS BIGINT) * 104729 + 1) % 2147483647 * 48271 + 11) % 2147483647"
+    return f"((({t}) * ({t}) + ({t})) % 2147483647 % 31 - 15)"
+
+
+_NO = _noise("image_id")
 query("p15_noise", _PX + " SELECT image_id, y, x, " + ", ".join(f"{_byte(f'{c} + {_NO}')} AS {c}" for c in "rgb") + " FROM px")(lambda spark, sf_dir: pixels.aug_noise(fx.pixels(spark, sf_dir), 0.02))
-query("p16_blur", _PX + ", s AS (SELECT a.image_id, a.y, a.x, sum(b.r) AS r, sum(b.g) AS g, sum(b.b) AS b, count(*) AS n FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.image_id, a.y, a.x) SELECT image_id, y, x, CAST(r // n AS INT) AS r, CAST(g // n AS INT) AS g, CAST(b // n AS INT) AS b FROM s")(lambda spark, sf_dir: pixels.aug_blur(fx.pixels(spark, sf_dir)))
-_U = [f"CAST(('0x' || substr(md5(image_id || ':{k}'), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0" for k in range(4)]
+query("p16_blur", _PX + ", s AS (SELECT a.image_id, a.y, a.x, sum(b.r) AS r, sum(b.g) AS g, sum(b.b) AS b, count(*) AS n FROM px a JOIN px b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.image_id, a.y, a.x) SELECT image_id, y, x, CAST(r // n AS INT) AS r, CAST(g // n AS INT) AS g, CAST(b // n AS INT) AS b FROM s")(lambda spark, sf_dir: rasters.tile_pixels(_tiles(spark, sf_dir), lambda px, r: list(np.moveaxis(rasters.box_blur(px.astype(np.int32), np.ones(px.shape[:2], bool), r["width"], r["height"]), 2, 0)), "r int, g int, b int"))
+_CONTENT = "ct AS (SELECT image_id, CAST(sum((CAST(r AS BIGINT) * 65536 + g * 256 + b + 1) * ((CAST(x AS BIGINT) * 7919 + CAST(y AS BIGINT) * 104729 + 12345) % 1000003) % 2147483647) AS BIGINT) AS seed FROM px GROUP BY image_id)"
+_U = [f"CAST(('0x' || substr(md5(seed || ':{k}'), 1, 12))::BIGINT AS DOUBLE) / 281474976710656.0" for k in range(4)]
+query("p17_content_uniform", f"{_PX}, {_CONTENT} SELECT image_id, seed AS content, {_U[3]} AS u FROM ct")(lambda spark, sf_dir: pixels.content_hash(fx.pixels(spark, sf_dir)).withColumn("u", pixels.image_uniform(F.col("content"), 3)))
 _each = lambda e: ", ".join(f"{_byte(e.format(c=c))} AS {c}" for c in "rgb")
-_AUG = f"""u AS (SELECT *, {_U[0]} AS u0, {_U[1]} AS u1, {_U[2]} AS u2, {_U[3]} AS u3 FROM px),
-a1 AS (SELECT image_id, y, x, u1, u2, u3, {_each('{c} + (u0 * 2.0 * 0.15::DOUBLE - 0.15::DOUBLE) * 255.0')} FROM u),
-a2 AS (SELECT image_id, y, x, u2, u3, {_each('({c} - 128.0) * (1.0 + (u1 * 2.0 * 0.2::DOUBLE - 0.2::DOUBLE)) + 128.0')} FROM a1),
-a3 AS (SELECT image_id, y, x, u3, {_each('{c} + CASE WHEN u2 > 0.4 THEN ' + _NO + ' ELSE 0 END')} FROM a2),
+_AUG = f"""{_CONTENT}, u AS (SELECT px.*, seed, {_U[0]} AS u0, {_U[1]} AS u1, {_U[2]} AS u2, {_U[3]} AS u3 FROM px JOIN ct USING (image_id)),
+a1 AS (SELECT image_id, y, x, seed, u1, u2, u3, {_each('{c} + (u0 * 2.0 * 0.15::DOUBLE - 0.15::DOUBLE) * 255.0')} FROM u),
+a2 AS (SELECT image_id, y, x, seed, u2, u3, {_each('({c} - 128.0) * (1.0 + (u1 * 2.0 * 0.2::DOUBLE - 0.2::DOUBLE)) + 128.0')} FROM a1),
+a3 AS (SELECT image_id, y, x, u3, {_each('{c} + CASE WHEN u2 > 0.4 THEN ' + _noise("seed") + ' ELSE 0 END')} FROM a2),
 bl AS (SELECT a.image_id, a.y, a.x, sum(b.r) // count(*) AS r, sum(b.g) // count(*) AS g, sum(b.b) // count(*) AS b FROM a3 a JOIN a3 b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE a.u3 > 0.7 GROUP BY a.image_id, a.y, a.x)"""
 query("p18_augment", f"{_PX}, {_AUG} SELECT a3.image_id, a3.y, a3.x, CAST(coalesce(bl.r, a3.r) AS INT) AS r, CAST(coalesce(bl.g, a3.g) AS INT) AS g, CAST(coalesce(bl.b, a3.b) AS INT) AS b FROM a3 LEFT JOIN bl ON bl.image_id = a3.image_id AND bl.y = a3.y AND bl.x = a3.x")(lambda spark, sf_dir: pixels.augment(fx.pixels(spark, sf_dir)))
 QUERIES["p19_template_feature"] = lambda spark, sf_dir: pixels.template_feature(fx.pixels(spark, sf_dir), 12, 12)
@@ -345,7 +357,13 @@ def d7(spark, sf_dir):
     return d.select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.top(F.col("quad")).alias("y0"), g.right(F.col("quad")).alias("x1"), g.bottom(F.col("quad")).alias("y1"), "det_conf")
 
 
-QUERIES["d8_detect_model_free"] = lambda spark, sf_dir: detection.detect_model_free(fx.pixels(spark, sf_dir), 32, "bilinear", box_threshold=0.3, min_area=1.0).select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.top(F.col("quad")).alias("y0"), "det_conf")
+def d7_rotated(spark, sf_dir):
+    d = detection.detect_regions(_prob(spark, sf_dir), _meta(spark, sf_dir), 0.5, 0.5, 1.7, 4.0, rotated=True)
+    return d.select("page_id", "seq", *flat(F.col("quad")), "det_conf")
+
+
+QUERIES["d7_detect_rotated"] = d7_rotated
+QUERIES["d8_detect_model_free"] = lambda spark, sf_dir: detection.detect_in_rasters(_rasters(spark, sf_dir), box_threshold=0.3, min_area=1.0).select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.top(F.col("quad")).alias("y0"), "det_conf")
 
 # recognition
 
@@ -428,7 +446,22 @@ def _epochs(spark, sf_dir):
 
 
 query("x2_epoch_metrics", f"{_PG}, {_EP} SELECT * FROM ep")(_epochs)
-query("a9_best_checkpoint", f"{_PG}, {_EP} SELECT run, epoch, loss, accuracy FROM ep ORDER BY accuracy DESC, loss, epoch DESC LIMIT 1")(lambda spark, sf_dir: evaluation.best_checkpoint(_epochs(spark, sf_dir)))
+def _measured(spark, sf_dir):
+    """Runs and what their initial models were measured at: one that no epoch reaches, one that every epoch does."""
+    return fx.table(spark, sf_dir, "region").select(F.concat(F.lit("run"), F.when(F.col("r_regionkey") == 0, "").otherwise(F.col("r_regionkey").cast("string"))).alias("run"), (F.col("r_regionkey") * 0.25).alias("accuracy"))
+
+
+_RUNS = "ms AS (SELECT 'run' || CASE WHEN r_regionkey = 0 THEN '' ELSE CAST(r_regionkey AS VARCHAR) END AS run, r_regionkey * 0.25::DOUBLE AS accuracy FROM region), ex AS (SELECT ms.run, epoch, loss, ep.accuracy FROM ep, ms), cand AS (SELECT run, epoch, loss, accuracy FROM ex UNION ALL SELECT run, 0, CAST('inf' AS DOUBLE), accuracy FROM ms)"
+
+
+@query("a9_best_checkpoint", f"{_PG}, {_EP}, {_RUNS} SELECT run, epoch, loss, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY accuracy DESC, loss, epoch DESC) AS k FROM cand) WHERE k = 1")
+def a9(spark, sf_dir):
+    """The same epochs under several runs, whose initial models differ."""
+    runs = _measured(spark, sf_dir)
+    epochs = _epochs(spark, sf_dir).drop("run").join(F.broadcast(runs.select("run")), F.lit(True))
+    return evaluation.best_checkpoint(epochs, runs)
+
+
 query("r10_split_every_fifth", f"{_SAM}, k AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS k FROM samples) SELECT seq, k % 5 <> 0 AS in_train, k % 5 = 0 AS in_validation FROM k")(lambda spark, sf_dir: evaluation.split_every_fifth(fx.samples(spark, sf_dir)).select("seq", "in_train", "in_validation"))
 
 
@@ -480,10 +513,10 @@ def _annotations(spark, sf_dir):
     r = fx.regions(spark, sf_dir).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "x", "y", "w", "h"))).alias("r"))
     texts = F.slice(F.transform("r", lambda v: v["text"]), F.lit(1), F.when(F.col("page_id") % 7 == 0, F.size("r") - 1).otherwise(F.size("r")))
     row = F.struct(F.struct(F.concat(F.lit("p"), "page_id").alias("src")).alias("image"), texts.alias("texts"), F.transform("r", lambda v: F.array(v["x"], v["y"], v["x"] + v["w"], v["y"] + v["h"])).alias("bboxes"))
-    rows = r.select((F.col("page_id") % 32).alias("part"), F.struct(F.col("page_id").alias("row_idx"), row.alias("row")).alias("row")).groupBy("part").agg(F.collect_list("row").alias("rows"))
+    rows = r.select(F.floor(F.col("page_id") / 100).alias("part"), F.struct(F.col("page_id").alias("row_idx"), row.alias("row")).alias("row")).groupBy("part").agg(F.collect_list("row").alias("rows"))
     path = scratch(spark, "annotations")
-    rows.select("part", F.to_json(F.struct("rows")).alias("json")).write.partitionBy("part").text(path)
-    return tables.read_dataset_json(spark, path)
+    rows.select(F.to_json(F.struct("rows")).alias("json")).write.text(path)
+    return tables.read_dataset_json(spark, path, multi_line=False)
 
 
 query("s8_s9_annotations", f"WITH {fx.REGIONS}, m AS (SELECT *, max(seq) OVER (PARTITION BY page_id) AS n FROM r) SELECT page_id AS row_idx, seq - 1 AS region, 'p' || page_id AS src, text AS label, x AS x0, y + h AS y1 FROM m WHERE page_id % 7 <> 0 OR seq < n")(lambda spark, sf_dir: tables.explode_annotations(_annotations(spark, sf_dir))[0].select("row_idx", "region", "src", "label", F.get("bbox", F.lit(0)).alias("x0"), F.get("bbox", F.lit(3)).alias("y1")))
@@ -504,7 +537,7 @@ query("q3_prepare_dataset", f"{_Q3} SELECT row_idx, region, 'train_' || row_idx
 query("s11_ingest_report", f"{_Q3} SELECT count(*) FILTER (WHERE reason IS NULL) AS written, count(*) FILTER (WHERE reason IS NOT NULL) AS skipped FROM o")(lambda spark, sf_dir: tables.ingest_report(_prepared(spark, sf_dir)))
 _Q2 = f"""{_SAM}, cd AS (SELECT seq, length(label_text) AS n, row_number() OVER (ORDER BY seq) - 1 AS k FROM samples WHERE length(label_text) > 0),
 wd AS (SELECT *, CASE WHEN c <= 48 OR c >= 2048 THEN c ELSE least((c + 31) // 32 * 32, 2048) END AS width, CASE WHEN k % 5 = 0 THEN 'validation' ELSE 'train' END AS side FROM (SELECT *, least(greatest(n * 10 + 1, 48), 2048) AS c FROM cd)),
-bt AS (SELECT *, (row_number() OVER (PARTITION BY side ORDER BY seq) - 1) // 32 AS batch_no FROM wd)"""
+bt AS (SELECT *, (row_number() OVER (PARTITION BY side, CASE WHEN side = 'validation' THEN width END ORDER BY seq) - 1) // 32 AS batch_no FROM wd)"""
 
 
 @query("q2_prepare_training", f"{_Q2} SELECT seq, side, CAST(width AS INT) AS width, CAST(batch_no AS INT) AS batch_no, CAST(n AS INT) AS label_length, CAST(max(n) OVER (PARTITION BY side, batch_no, width) AS INT) AS padded_length FROM bt")
@@ -514,6 +547,38 @@ def q2(spark, sf_dir):
     return pipelines.prepare_training(samples, sizes, fx.char_dict(spark, sf_dir)).select("seq", "side", "width", "batch_no", "label_length", F.size("padded").alias("padded_length"))
 
 
+_TAPS = "SELECT d, s, w / sum(w) OVER (PARTITION BY d) AS k FROM (SELECT d, s, greatest(1 - abs(s - ((d + 0.5::DOUBLE) * ({src} / {dst}.0::DOUBLE) - 0.5)), 0.0) AS w FROM range({dst}) AS t(d), range({src}) AS u(s)) WHERE w > 0"
+_Q2_PX = f"""{fx.PIXELS}, {_AUG}, aug AS (SELECT a3.image_id, a3.y, a3.x, CAST(coalesce(bl.r, a3.r) AS INT) AS r, CAST(coalesce(bl.g, a3.g) AS INT) AS g, CAST(coalesce(bl.b, a3.b) AS INT) AS b FROM a3 LEFT JOIN bl ON bl.image_id = a3.image_id AND bl.y = a3.y AND bl.x = a3.x),
+sm AS (SELECT s_suppkey AS image_id, length(s_name) AS n, row_number() OVER (ORDER BY s_suppkey) - 1 AS k FROM supplier),
+sd AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'validation' ELSE 'train' END AS side FROM sm), bn AS (SELECT *, CAST((row_number() OVER (PARTITION BY side ORDER BY image_id) - 1) // 32 AS INT) AS batch_no FROM sd),
+src AS (SELECT image_id, y, x, unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS v FROM (SELECT px.* FROM px JOIN bn USING (image_id) WHERE side = 'validation' UNION ALL BY NAME SELECT aug.* FROM aug JOIN bn USING (image_id) WHERE side = 'train')),
+tx AS ({_TAPS.format(src=24, dst=72)}), ty AS ({_TAPS.format(src=16, dst=48)}),
+r1 AS (SELECT image_id, c, y, d AS x, sum(v * k) AS v FROM src JOIN tx ON tx.s = src.x GROUP BY image_id, c, y, d),
+r2 AS (SELECT image_id, c, d AS y, x, sum(v * k) AS v FROM r1 JOIN ty ON ty.s = r1.y GROUP BY image_id, c, d, x),
+te AS (SELECT image_id, c, y, x, CAST((v / 255.0 - 0.5) / 0.5 AS FLOAT)::DOUBLE AS v FROM r2 UNION ALL SELECT s_suppkey, c, y, x, 1.0 FROM supplier, range(3) AS a(c), range(48) AS b(y), range(72, 96) AS e(x)),
+su AS (SELECT image_id, sum(v) AS total, sum(v * (c * 7 + y * 3 + x)) AS placed FROM te GROUP BY image_id)"""
+
+
+@query("q2_training_tensors", f"WITH {_Q2_PX} SELECT side, batch_no, 96 AS width, CAST(count(*) AS INT) AS n, CAST(sum(n) AS BIGINT) AS label_chars, CAST(max(n) * count(*) AS BIGINT) AS padded_chars, round(sum(total), 3) AS total, round(sum(placed), 1) AS placed FROM bn JOIN su USING (image_id) GROUP BY side, batch_no")
+def q2_tensors(spark, sf_dir):
+    """Images of suppliers with their names as labels: sums over the tensors of each batch, plain and by place."""
+    samples = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("seq"), F.concat("s_suppkey", F.lit(".bmp")).alias("image_path"), F.col("s_name").alias("label_text"))
+    chars = samples.select(F.explode(F.array_distinct(F.split("label_text", ""))).alias("ch")).filter("ch <> ''").distinct().withColumn("idx", F.row_number().over(W.orderBy("ch")))
+    images = _rasters(spark, sf_dir).withColumn("image_path", F.concat("image_id", F.lit(".bmp")))
+    packed = pipelines.training_tensors(samples, images, chars, pack_bytes=200_000)
+
+    def sums(batches):
+        for b in batches:
+            for r in rasters.rows_of(b):
+                v = np.frombuffer(r["tensor"], "<f4").reshape(r["shape"]).astype(float)
+                c, y, x = np.mgrid[0 : v.shape[1], 0 : v.shape[2], 0 : v.shape[3]]
+                yield rasters.batch_of(kinds, [(r["side"], r["batch_no"], r["width"], len(r["seqs"]), sum(r["label_lengths"]), len(r["padded"]), float(v.sum()), float((v * (c * 7 + y * 3 + x)).sum()))])
+
+    kinds = "side string, batch_no int, width int, n long, label_chars long, padded_chars long, total double, placed double"
+    parts = packed.mapInArrow(sums, kinds).groupBy("side", "batch_no", "width")
+    return parts.agg(F.sum("n").cast("int").alias("n"), F.sum("label_chars").alias("label_chars"), F.sum("padded_chars").alias("padded_chars"), F.round(F.sum("total"), 3).alias("total"), F.round(F.sum("placed"), 1).alias("placed"))
+
+
 def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of suppliers: found without a model, read by the nearest of templates that part of the pages gives."""
     px = fx.pixels(spark, sf_dir)
@@ -526,17 +591,36 @@ QUERIES["q1_recognize_pages"] = q1
 
 
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fn(pdf):
-        if (pdf["page_id"] % 1301 == 5).any():
-            raise ValueError("unreadable")
-        return pdf.assign(text=pdf["text"].str.upper(), confidence=pdf["rec_conf"])
+    """A model that workers set up once: it reads upper case, and not every page."""
+    def load():
+        def fn(pdf):
+            if (pdf["page_id"] % 1301 == 5).any():
+                raise ValueError("unreadable")
+            return pdf.assign(text=pdf["text"].str.upper(), confidence=pdf["rec_conf"])
+
+        return fn
 
     d = fx.regions(spark, sf_dir).select("page_id", "seq", "text", "rec_conf")
-    return pipelines.apply_recognizer(d, fn)
+    return pipelines.apply_recognizer(d, Model("upper", "1", load))
 
 
 query("u1_apply_recognizer", f"WITH {fx.REGIONS} SELECT page_id, seq, CASE WHEN page_id % 1301 <> 5 THEN upper(text) END AS text, CASE WHEN page_id % 1301 <> 5 THEN rec_conf END AS confidence, CASE WHEN page_id % 1301 = 5 THEN 'ValueError: unreadable' END AS error FROM r")(u1)
-query("u2_apply_detector", "SELECT s_suppkey AS page_id, CAST(k AS INT) AS seq, CAST(s_suppkey % 10 + k AS DOUBLE) AS x0, CAST(k + 4 AS DOUBLE) AS y1, 0.5::DOUBLE AS det_conf FROM supplier, unnest(range(0, s_suppkey % 3)) AS t(k)")(lambda spark, sf_dir: pipelines.apply_detector(fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")), lambda r: [(r["image_id"] % 10 + k, k, 5, 4, 0.5) for k in range(r["image_id"] % 3)]).select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.bottom(F.col("quad")).alias("y1"), "det_conf"))
+@query("u2_apply_detector", f"{_PX}, m AS (SELECT image_id, arg_max({{'x': x, 'y': y}}, r * 100000 - y * 100 - x) AS pos, max(r) AS r FROM px GROUP BY image_id) SELECT image_id AS page_id, 0 AS seq, CAST(pos.x AS DOUBLE) AS x0, CAST(pos.y + 4 AS DOUBLE) AS y1, r / 255.0::DOUBLE AS det_conf FROM m WHERE image_id % 13 <> 6")
+def u2(spark, sf_dir):
+    """A box at the pixel with the most red, the first of such; some images have none."""
+    def load():
+        def fn(px):
+            if (int(px[0, 0, 0]) - int(px[0, 1, 0])) % 256 != 249:
+                raise ValueError("not as drawn")
+            y, x = np.unravel_index(int(px[:, :, 0].argmax()), px.shape[:2])
+            return [(x, y, 5, 4, px[y, x, 0] / 255.0)]
+
+        return fn
+
+    images = _rasters(spark, sf_dir).filter("image_id % 13 <> 6")
+    d = pipelines.apply_detector(images, Model("reddest", "1", load))[0]
+    return d.select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.bottom(F.col("quad")).alias("y1"), "det_conf")
+
 
 
 # files of the given tables' rows, written to the shared folder and read back
@@ -584,30 +668,61 @@ _DIR = "'model_dir=' || (s_suppkey * 10) || '-' || regexp_replace(s_name, '[^A-Z
 query("s13_list_models", f"SELECT {_DIR} AS model_dir, s_name || '!' AS name, CAST(s_suppkey * 10 AS BIGINT) AS created_at, 'base' AS base_model_name, CAST(s_suppkey % 7 AS BIGINT) AS train_samples, CAST(s_suppkey % 5 AS BIGINT) AS validation_samples, s_suppkey % 100 / 100.0::DOUBLE AS accuracy, s_suppkey % 9 / 10.0::DOUBLE AS avg_loss FROM supplier")(lambda spark, sf_dir: tables.list_models(spark, _registry(spark, sf_dir)))
 
 
+@query("s13_template_registry", f"WITH {_TM} SELECT m.r_regionkey || '-model-' || m.r_name AS model_dir, 'model ' || m.r_name AS name, CAST(m.r_regionkey AS BIGINT) AS created_at, CAST((SELECT count(*) FROM tp) - m.r_regionkey AS INT) AS template_count, 32 AS input_width, 24 AS input_height, m.r_regionkey / 8.0::DOUBLE AS accuracy, 0.5::DOUBLE AS avg_loss FROM (SELECT r_regionkey, replace(r_name, ' ', '-') AS r_name FROM region) m")
+def s13_templates(spark, sf_dir):
+    """Template models of several sizes, beside recognizer manifests and a file that can't be read."""
+    root = _registry(spark, sf_dir)
+    ranked = _templates(spark, sf_dir).withColumn("k", F.row_number().over(W.orderBy("label")))
+    models = fx.table(spark, sf_dir, "region").join(ranked, F.col("k") > F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(F.collect_list(F.struct("label", "sample_count", "feature")).alias("templates"))
+    metrics = F.struct(F.lit(1).cast("long").alias("train_samples"), F.lit(1).cast("long").alias("validation_samples"), (F.col("r_regionkey") / 8.0).alias("accuracy"), F.lit(0.5).alias("avg_loss"))
+    tables.save_template_models(models.select(F.concat(F.lit("model "), F.translate("r_name", " ", "-")).alias("name"), F.col("r_regionkey").cast("long").alias("created_at"), F.lit(32).alias("input_width"), F.lit(24).alias("input_height"), F.lit(0.4).alias("similarity_threshold"), "templates", metrics.alias("metrics")), root)
+    return tables.list_template_models(spark, root)
+
+
 @query("s14_register_model", f"SELECT {_DIR} AS model_dir, 1 AS manifests FROM supplier")
 def s14(spark, sf_dir):
     files = spark.read.option("recursiveFileLookup", True).text(_registry(spark, sf_dir)).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("model_dir"))
     return files.filter("model_dir <> 'model_dir=bad'").groupBy("model_dir").agg(F.count(F.lit(1)).cast("int").alias("manifests"))
 
 
-@query("x1_stream_pages", f"{_PX} SELECT count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM px WHERE image_id % 10 <> 7 GROUP BY image_id")
-def x1(spark, sf_dir):
-    """Half of the files are there when the stream starts; the others come before it is started again."""
+def _intake(spark, sf_dir) -> str:
+    """Half of the files are there when the stream starts; the others, and some of the first again under another name,
+    come before it is started again."""
     path, out, state = (scratch(spark, kind) for kind in ("arriving", "read", "state"))
-    for keep in ("id % 2 = 0", "id % 2 = 1"):
-        fx.image_files(spark, sf_dir, path, keep)
-        sums = lambda px: px.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "rgb"])
+    sums = lambda px: px.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in "rgb"])
+    for wave in ([("id % 2 = 0", "i")], [("id % 2 = 1", "i"), ("id % 4 = 0", "again")]):
+        for keep, prefix in wave:
+            fx.image_files(spark, sf_dir, path, keep, prefix)
         streams.stream_pages(spark, path, out, state, sums, availableNow=True).awaitTermination()
-    return spark.read.parquet(out).select("n", "r", "g", "b")
+    return out
 
 
-@query("x2_stream_progress", f"{_PG} SELECT run, epoch, round(sum(loss), 4) AS total_loss, avg(CAST(correct AS DOUBLE)) AS accuracy, count(*) AS batches FROM progress GROUP BY run, epoch")
-def x2(spark, sf_dir):
-    """The same metrics from a stream of files, one at a time."""
+# images are alike whose numbers differ by 256
+query("x1_stream_pages", f"{_PX} SELECT count(*) AS n, CAST(sum(r) AS BIGINT) AS r, CAST(sum(g) AS BIGINT) AS g, CAST(sum(b) AS BIGINT) AS b FROM px WHERE image_id IN (SELECT min(s_suppkey) FROM supplier WHERE s_suppkey % 10 <> 7 GROUP BY s_suppkey % 256) GROUP BY image_id")(lambda spark, sf_dir: spark.read.parquet(f"{_intake(spark, sf_dir)}/pages").select("n", "r", "g", "b"))
+query("x1_quarantine", "SELECT 'i' || s_suppkey || '.bmp' AS name, 'undecodable' AS reason FROM supplier WHERE s_suppkey % 10 = 7")(lambda spark, sf_dir: spark.read.parquet(f"{_intake(spark, sf_dir)}/quarantine").select(F.element_at(F.split("origin", "/"), -1).alias("name"), "reason"))
+
+
+def _progress_stream(spark, sf_dir) -> str:
     path, out, state = (scratch(spark, kind) for kind in ("progress", "metrics", "state"))
     d = fx.progress(spark, sf_dir).select("run", "epoch", "batch", F.lit(1).alias("total_batches"), "loss", F.col("correct").cast("double").alias("accuracy"))
-    d.repartition(3).write.parquet(path)
+    both = d.unionByName(d.withColumn("run", F.lit("run4")))
+    both.repartition(3).write.parquet(path)
     source = spark.readStream.schema(streams.PROGRESS).option("maxFilesPerTrigger", 1).parquet(path)
-    for q in streams.stream_progress(source, out, state, availableNow=True):
+    measured = _measured(spark, sf_dir).withColumn("accuracy", F.when(F.col("run") == "run4", 2.0).otherwise(F.col("accuracy")))
+    for q in streams.stream_progress(source, out, state, measured, availableNow=True):
         q.awaitTermination()
-    return streams.latest(spark, f"{out}/epochs", ["run", "epoch"]).select("run", "epoch", F.round(F.col("loss") * F.col("batches"), 4).alias("total_loss"), "accuracy", "batches")
+    return out
+
+
+@query("x2_stream_best", f"{_PG} SELECT * FROM (SELECT run, epoch, batch AS at_batch, loss, CAST(correct AS DOUBLE) AS accuracy FROM progress ORDER BY accuracy DESC, loss, epoch DESC, batch DESC LIMIT 1) UNION ALL SELECT 'run4', 0, 0, CAST('inf' AS DOUBLE), 2.0")
+def x2_best(spark, sf_dir):
+    """The best event of two runs; one begins with more than any event has, and stays there."""
+    d = streams.latest(spark, f"{_progress_stream(spark, sf_dir)}/best", ["run"])
+    return d.select("run", "epoch", "at_batch", "loss", "accuracy")
+
+
+@query("x2_stream_progress", f"{_PG} SELECT run, epoch, round(sum(loss), 4) AS total_loss, avg(CAST(correct AS DOUBLE)) AS accuracy, count(*) AS batches FROM progress GROUP BY run, epoch")
+def x2(spark, sf_dir):
+    """The same metrics from a stream of files, one at a time."""
+    out = _progress_stream(spark, sf_dir)
+    return streams.latest(spark, f"{out}/epochs", ["run", "epoch"]).filter("run = 'run'").select("run", "epoch", F.round(F.col("loss") * F.col("batches"), 4).alias("total_loss"), "accuracy", "batches")

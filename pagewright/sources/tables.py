@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,8 +94,9 @@ def parse_annotations(pages: DataFrame) -> DataFrame:
     return each.select("row_idx", F.col("image.src").alias("src"), F.coalesce("text", "label").alias("text"), F.coalesce("texts", F.array().cast("array<string>")).alias("texts"), F.coalesce("bboxes", F.array().cast("array<array<double>>")).alias("bboxes"))
 
 
-def read_dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    return parse_annotations(spark.read.schema(ANNOTATIONS).option("multiLine", True).json(path))
+def read_dataset_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Annotated pages of JSON files; with multi_line=False, of files that hold a page object a line."""
+    return parse_annotations(spark.read.schema(ANNOTATIONS).option("multiLine", multi_line).json(path))
 
 
 def explode_annotations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,9 +146,55 @@ def register_model(models: DataFrame, root: str) -> None:
     models.withColumn("model_dir", model_dir(F.col("created_at"), F.col("name"))).write.mode("append").partitionBy("model_dir").json(root)
 
 
-def list_models(spark: SparkSession, root: str) -> DataFrame:
-    """Readable manifests below root, newest first."""
-    raw = spark.read.schema(MANIFEST + ", _corrupt STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).json(root)
-    d = raw.withColumn("path", F.col("_metadata.file_path")).filter("_corrupt is null and name is not null and created_at is not null")
-    d = d.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("model_dir"), "name", "created_at", "base_model_name", "metrics.*")
+def _manifests(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
+    """Readable manifests of that file name in folders below root, with model_dir; others are left out. Fields that the
+    schema lacks are not parsed."""
+    reader = spark.read.schema(schema + ", _corrupt STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+    raw = reader.option("recursiveFileLookup", True).option("pathGlobFilter", file).option("multiLine", True).json(root)
+    d = raw.withColumn("model_dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    return d.filter("_corrupt is null and name is not null and created_at is not null").drop("_corrupt")
+
+
+def list_models(spark: SparkSession, root: str, file: str = "*.json") -> DataFrame:
+    """Readable manifests below root, newest first. file: their name, where other JSON lies beside them."""
+    d = _manifests(spark, root, file, MANIFEST).select("model_dir", "name", "created_at", "base_model_name", "metrics.*")
+    return d.orderBy(F.desc("created_at"), F.desc("name"))
+
+
+#: Fixed value: the name of a template model's file. It holds the templates themselves, and what describes them.
+TEMPLATE_FILE = "template-model.json"
+_TEMPLATE_METRICS = "metrics STRUCT<train_samples BIGINT, validation_samples BIGINT, accuracy DOUBLE, avg_loss DOUBLE>"
+TEMPLATE_MODEL = f"name STRING, created_at BIGINT, input_width INT, input_height INT, similarity_threshold DOUBLE, templates ARRAY<STRUCT<label STRING, sample_count BIGINT, feature ARRAY<DOUBLE>>>, {_TEMPLATE_METRICS}"
+
+
+def save_template_models(models: DataFrame, root: str) -> None:
+    """One folder `<created_at>-<name>` with a template model's file for each row of TEMPLATE_MODEL. Files are written by
+    the tasks, each under its final name, whole: a task that runs again writes the same."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root)
+        for b in batches:
+            for folder, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                fs.create_dir(f"{base}/{folder}", recursive=True)
+                with fs.open_output_stream(f"{base}/{folder}/{TEMPLATE_FILE}") as f:
+                    f.write(text.encode())
+            yield b.select(["model_dir"])
+
+    names = [x.split()[0] for x in ("name", "created_at", "input_width", "input_height", "similarity_threshold", "templates", "metrics")]
+    rows = models.select(F.concat_ws("-", F.col("created_at").cast("string"), sanitize_name(F.col("name"), "template-model")).alias("model_dir"), F.to_json(F.struct(*names)).alias("text"))
+    rows.mapInArrow(write, "model_dir string").count()
+
+
+def list_template_models(spark: SparkSession, root: str) -> DataFrame:
+    """The template models below root, newest first: model_dir, name, created_at, template_count, input_width,
+    input_height, accuracy, avg_loss. Of the templates only labels are parsed, to be counted; unreadable files are left
+    out."""
+    slim = f"name STRING, created_at BIGINT, input_width INT, input_height INT, templates ARRAY<STRUCT<label STRING>>, {_TEMPLATE_METRICS}"
+    d = _manifests(spark, root, TEMPLATE_FILE, slim).filter("templates is not null")
+    d = d.select("model_dir", "name", "created_at", F.size("templates").alias("template_count"), "input_width", "input_height", "metrics.accuracy", "metrics.avg_loss")
     return d.orderBy(F.desc("created_at"), F.desc("name"))
+
+
+def load_template_models(spark: SparkSession, root: str) -> DataFrame:
+    """model_dir, label, sample_count, feature of all readable template models below root."""
+    d = _manifests(spark, root, TEMPLATE_FILE, TEMPLATE_MODEL).filter("templates is not null")
+    return d.select("model_dir", F.explode("templates").alias("t")).select("model_dir", "t.*")

@@ -3,14 +3,16 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import geometry as g
 from pagewright.functions import text as t
-from pagewright.operators import detection, evaluation, layout, pixels, recognition
+from pagewright.operators import detection, evaluation, layout, pixels, rasters, recognition
 from pagewright.operators.graph import connected
 from pagewright.plans import pipelines
+from pagewright.plans.models import Model, Slot
 from pagewright.sources import tables
 from pagewright.streaming import streams
 
@@ -212,16 +214,48 @@ def test_images_and_continuous_intake(spark, tmp_path):
     assert px.count() == 15 and px.select("r", "g", "b").distinct().first()[:] == (10, 20, 30)
     q = streams.stream_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), pixels.sizes_of, availableNow=True)
     q.awaitTermination(120)
-    assert [(r["src_w"], r["src_h"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(5, 3)]
+    assert [(r["src_w"], r["src_h"]) for r in spark.read.parquet(str(tmp_path / "out" / "pages")).collect()] == [(5, 3)]
+    bad = spark.read.parquet(str(tmp_path / "out" / "quarantine")).collect()
+    assert [(r["origin"].rsplit("/")[-1], r["reason"]) for r in bad] == [("b.png", "undecodable")]
+    bmp(tmp_path / "in" / "again.bmp", 5, 3, (10, 20, 30))  # the same picture, in a later batch
+    bmp(tmp_path / "in" / "c.bmp", 4, 3, (10, 20, 30))
+    streams.stream_pages(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), pixels.sizes_of, availableNow=True).awaitTermination(120)
+    assert sorted((r["src_w"], r["src_h"]) for r in spark.read.parquet(str(tmp_path / "out" / "pages")).collect()) == [(4, 3), (5, 3)]
+    assert spark.read.parquet(str(tmp_path / "out" / "quarantine")).count() == 1
+
+
+def test_recognition_within_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        bmp(tmp_path / "in" / f"{i}.bmp", 40 + i, 30, (250, 250, 250))
+        raw = bytearray((tmp_path / "in" / f"{i}.bmp").read_bytes())
+        row = -(-3 * (40 + i) // 4) * 4
+        for y in range(10, 20):
+            raw[54 + row * y + 30 : 54 + row * y + 90] = bytes(60)  # a dark bar
+        (tmp_path / "in" / f"{i}.bmp").write_bytes(raw)
+    model = spark.createDataFrame([("bar", 1, [0.125] * 64)], "label string, sample_count long, feature array<double>")
+    read = pipelines.template_recognizer(model, 8, 8, threshold=0.0)
+    q = streams.stream_recognition(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda: read, 64, {"box_threshold": 0.3, "min_area": 4.0}, availableNow=True)
+    q.awaitTermination(300)
+    got = spark.read.parquet(str(tmp_path / "out" / "pages")).collect()
+    assert len(got) == 3 and {r["text"] for r in got} == {"bar"}
 
 
 def test_progress_stream(spark, tmp_path):
     spark.createDataFrame([("r", 1, 1, 2, 0.9, 0.1), ("r", 1, 2, 2, 0.7, 0.3), ("r", 2, 1, 2, 0.5, 0.3)], streams.PROGRESS).write.json(str(tmp_path / "in"))
     source = spark.readStream.schema(streams.PROGRESS).json(str(tmp_path / "in"))
-    for q in streams.stream_progress(source, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True):
+    runs = spark.createDataFrame([("r", 0.3), ("s", 0.95)], "run string, accuracy double")
+    for q in streams.stream_progress(source, str(tmp_path / "out"), str(tmp_path / "cp"), runs, availableNow=True):
         q.awaitTermination(120)
     assert {r["epoch"]: r["batches"] for r in streams.latest(spark, str(tmp_path / "out" / "epochs"), ["run", "epoch"]).collect()} == {1: 2, 2: 1}
     assert streams.latest(spark, str(tmp_path / "out" / "best"), ["run"]).first()["epoch"] == 2
+    # a run whose events are all worse than its start keeps that, also over a restart
+    for epoch in (1, 2):
+        spark.createDataFrame([("s", epoch, 1, 2, 0.1, 0.5 + epoch / 10)], streams.PROGRESS).write.mode("append").json(str(tmp_path / "in"))
+        for q in streams.stream_progress(source, str(tmp_path / "out"), str(tmp_path / "cp"), runs, availableNow=True):
+            q.awaitTermination(120)
+    best = {r["run"]: (r["epoch"], r["accuracy"]) for r in streams.latest(spark, str(tmp_path / "out" / "best"), ["run"]).collect()}
+    assert best == {"r": (2, 0.3), "s": (0, 0.95)}
 
 
 def test_registry_round_trip(spark, tmp_path):
@@ -247,6 +281,42 @@ def test_failed_rows_keep_their_error(spark):
     assert len(got) == 8 and [r["seq"] for r in got if r["error"]] == [3]
 
 
+def test_models_are_set_up_once_and_swapped(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def factory(text):
+        def load():
+            made.add(1)
+            return lambda pdf: pdf.assign(text=text, confidence=1.0)
+
+        return load
+
+    d = spark.range(0, 4000, 1, 40).select(F.lit(1).cast("long").alias("page_id"), F.col("id").cast("int").alias("seq"))
+    slot = Slot("reader", "1", factory("one"))
+    assert {r["text"] for r in pipelines.apply_recognizer(d, slot).collect()} == {"one"}
+    first = made.value
+    assert 1 <= first <= 8 < 40  # by worker, not by task or batch
+    slot.swap("2", factory("two"))
+    assert {r["text"] for r in pipelines.apply_recognizer(d, slot).collect()} == {"two"}
+    assert first < made.value <= 2 * 8
+
+
+def test_detectors_read_pixels_and_keep_errors(spark):
+    images = rasters_of(spark, range(6), 9, 7)
+
+    def load():
+        def fn(px):
+            if px[0, 0, 0] == grid_of(3, 1, 1)[0][0][0]:
+                raise ValueError("no")
+            return [(0, 0, px.shape[1], px.shape[0], px[0, 0, 1] / 255)]
+
+        return fn
+
+    boxes, failed = pipelines.apply_detector(images, Model("whole", "1", load))
+    assert {r["page_id"]: r["det_conf"] for r in boxes.collect()} == {i: grid_of(i, 1, 1)[0][0][1] / 255 for i in range(6) if i != 3}
+    assert [(r["page_id"], r["error"]) for r in failed.collect()] == [(3, "ValueError: no")]
+
+
 def test_labels_of_several_files(spark, tmp_path):
     for name, text in (("a.txt", "x.png\tab\ny.png\tb\n"), ("b.txt", "z.png\tcd\n")):
         (tmp_path / name).write_text(text)
@@ -324,9 +394,13 @@ def test_components_of_random_images(spark):
 
 
 def test_runs_without_epochs_keep_their_start(spark):
-    none = spark.createDataFrame([("r", 1, 0.5, 0.8)], "run string, epoch int, loss double, accuracy double")
-    got = {r["run"]: tuple(r)[1:] for r in evaluation.best_checkpoint(none, spark.createDataFrame([("r",), ("s",)], "run string")).collect()}
-    assert got == {"r": (1, 0.5, 0.8), "s": (0, float("inf"), 0.0)}
+    rows = spark.createDataFrame([("r", 1, 0.5, 0.8), ("t", 1, 0.9, 0.5), ("t", 2, 0.8, 0.6), ("u", 1, 0.4, 0.7)], "run string, epoch int, loss double, accuracy double")
+    runs = spark.createDataFrame([("r", 0.1), ("s", 0.4), ("t", 0.95), ("u", 0.7)], "run string, accuracy double")
+    got = {r["run"]: tuple(r)[1:] for r in evaluation.best_checkpoint(rows, runs).collect()}
+    inf = float("inf")
+    assert got == {"r": (1, 0.5, 0.8), "s": (0, inf, 0.4), "t": (0, inf, 0.95), "u": (1, 0.4, 0.7)}
+    got = {r["run"]: tuple(r)[1:] for r in evaluation.best_checkpoint(rows, runs.select("run")).collect()}
+    assert got["s"] == (0, inf, 0.0) and got["t"] == (2, 0.8, 0.6)
 
 
 def test_components_of_long_chains_and_hubs(spark):
@@ -445,3 +519,239 @@ def test_least_rectangles_against_brute_force(spark):
                     along, across = [x * ux + y * uy for x, y in own], [y * ux - x * uy for x, y in own]
                     least = min(least, (max(along) - min(along)) * (max(across) - min(across)))
         assert q["area"] == pytest.approx(0 if least == math.inf else least, abs=1e-6)
+
+
+def rasters_of(spark, images, w, h):
+    rows = [(i, w, h, bytearray(v for row in grid_of(i, w, h) for px in row for v in px)) for i in images]
+    return spark.createDataFrame(rows, rasters.RASTER)
+
+
+@pytest.mark.parametrize("size", [1, 3, 8, 50])
+def test_tiles_give_what_whole_images_give(spark, size):
+    """Kernels on tiles with halos, on pixel tables, and by the plain definition."""
+    w, h, images = 17, 11, range(3)
+    tiled, px = rasters.tiles(rasters_of(spark, images, w, h), size), pixel_table(spark, images, w, h)
+    one = lambda px: np.ones(px.shape[:2], bool)
+    p = rasters.tile_pixels(tiled, lambda a, r: [rasters.text_probability(rasters.luma(a), one(a), r["mean"])], "p double")
+    blur = rasters.tile_pixels(tiled, lambda a, r: list(np.moveaxis(rasters.box_blur(a.astype(np.int32), one(a), r["width"], r["height"]), 2, 0)), "r int, g int, b int")
+    assert sorted(map(tuple, blur.collect())) == sorted(map(tuple, pixels.aug_blur(px).collect()))
+    got = {tuple(r)[:3]: r["p"] for r in p.collect()}
+    assert got == pytest.approx({tuple(r)[:3]: r["p"] for r in pixels.text_probability(pixels.to_gray(px)).collect()}, abs=1e-12)
+    for i in images:
+        v = [[light(*c) for c in row] for row in grid_of(i, w, h)]
+        dark = sum(map(sum, v)) / (w * h) > 0.5
+        for y in range(h):
+            for x in range(w):
+                near = [v[b][a] for b, a in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)) if 0 <= a < w and 0 <= b < h]
+                want = (1 - v[y][x] if dark else v[y][x]) * 0.75 + sum(abs(v[y][x] - n) for n in near) / len(near) * 0.25
+                assert got[i, y, x] == pytest.approx(min(max(want, 0), 1), abs=1e-12)
+    plan = tiled.withColumns({"dst_w": F.lit(7), "dst_h": F.lit(19)})
+    for kernel in ("bilinear", "triangle"):
+        small = {tuple(r)[:3]: r["v"] for r in rasters.resample(plan, kernel).collect()}
+        want = {(i, y, x): v[0] for i in images for y, row in enumerate(scaled([[(light(*c),) for c in row] for row in grid_of(i, w, h)], 7, 19, kernel)) for x, v in enumerate(row)}
+        assert small == pytest.approx(want, abs=1e-9)
+
+
+def test_tile_kernels_need_no_exchange(spark):
+    tiled = rasters.tiles(rasters_of(spark, range(2), 9, 9), 4)
+    plan = rasters.tile_pixels(tiled, lambda a, r: [rasters.ink(rasters.luma(a), r["mean"])], "v double")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_lanczos_weights_are_those_of_the_table(spark):
+    sizes = spark.createDataFrame([(1, 23, 9), (2, 5, 31)], "image_id long, src int, dst int")
+    for kernel in ("bilinear", "triangle", "lanczos3"):
+        got = {(r["image_id"], r["d"], r["s"]): r["w"] for r in pixels.axis_weights(sizes, kernel).collect()}
+        want = {(i, d, s): v for i, src, dst in ((1, 23, 9), (2, 5, 31)) for (d, s), v in np.ndenumerate(rasters.axis_weights(src, dst, kernel)) if v}
+        assert {k: v for k, v in got.items() if abs(v) > 1e-12} == pytest.approx({k: v for k, v in want.items() if abs(v) > 1e-12}, abs=1e-9)
+
+
+def test_augmentation_follows_content(spark):
+    """An image under two ids is changed alike, another is not; the seed is the pixel table's; small images are not blurred."""
+    px = pixel_table(spark, [4], 20, 12)
+    twice = px.unionByName(px.withColumn("image_id", F.lit(900).cast("long"))).unionByName(pixel_table(spark, [5], 20, 12))
+    got = {}
+    for r in pixels.augment(twice).collect():
+        got.setdefault(r["image_id"], {})[r["y"], r["x"]] = (r["r"], r["g"], r["b"])
+    assert got[4] == got[900] != got[5]
+    seeds = {r["image_id"]: r["content"] for r in pixels.content_hash(twice).collect()}
+    assert seeds[4] == seeds[900] == rasters.content(np.array(grid_of(4, 20, 12)), np.ones((12, 20), bool)) != seeds[5]
+    u = [rasters.uniform(seeds[4], k) for k in range(4)]
+    assert u[1] == value(spark, pixels.image_uniform(F.lit(seeds[4]), 1))
+    plain = pixels.aug_contrast(pixels.aug_brightness(px, F.lit(u[0] * 0.3 - 0.15)), F.lit(1.0 + (u[1] * 0.4 - 0.2)))
+    chain = pixels.aug_blur(pixels.aug_noise(plain, 0.02, F.lit(u[2] > 0.4), F.lit(seeds[4])), F.lit(u[3] > 0.7))
+    assert got[4] == {(r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in chain.collect()}
+    tiny = pixel_table(spark, [1], 4, 9)
+    assert sorted(map(tuple, pixels.aug_blur(tiny).collect())) == sorted(map(tuple, tiny.collect()))
+
+
+def test_training_tensors_against_the_pixel_operators(spark):
+    """Every number of every tensor, from augment and model_input on pixel tables; parts of a batch; both sides."""
+    w, h = 20, 12
+    samples = spark.createDataFrame([(i, f"{i}.png", "ab"[: 1 + i % 2] + ("?" if i == 3 else "")) for i in range(11)] + [(11, "11.png", "??")], "seq long, image_path string, label_text string")
+    images = rasters_of(spark, range(12), w, h).withColumn("image_path", F.concat("image_id", F.lit(".png")))
+    chars = spark.createDataFrame([(0, "<blank>"), (1, "a"), (2, "b")], "idx int, ch string")
+    packed = pipelines.training_tensors(samples, images, chars, batch=4, pack_bytes=200_000).collect()
+    px = pixel_table(spark, range(11), w, h)
+    plan = spark.range(11).select(F.col("id").alias("image_id"), *[F.lit(v).alias(k) for k, v in {"src_w": w, "src_h": h, "dst_w": 80, "dst_h": 48, "canvas_w": 96, "canvas_h": 48, "pad_x": 0, "pad_y": 0}.items()])
+    plainly = {r["image_id"]: r["values"] for r in pixels.model_input(px, plan).collect()}
+    changed = {r["image_id"]: r["values"] for r in pixels.model_input(pixels.augment(px), plan).collect()}
+    seen = {}
+    for r in packed:
+        n = len(r["seqs"])
+        assert r["shape"] == [n, 3, 48, 96] and (n == 1 or len(r["tensor"]) <= 200_000)
+        tensor = np.frombuffer(r["tensor"], "<f4").reshape(n, -1)
+        labels = np.array(r["padded"]).reshape(n, -1)
+        for k, seq in enumerate(r["seqs"]):
+            want = changed[seq] if r["side"] == "train" else plainly[seq]
+            assert tensor[k].tolist() == pytest.approx(want, abs=1e-6)
+            assert labels[k][: r["label_lengths"][k]].tolist() == [1, 2][: 1 + seq % 2] and not labels[k][r["label_lengths"][k] :].any()
+            seen.setdefault((r["side"], r["batch_no"]), []).append((r["part"], seq))
+    order = [i for i in range(11) if i % 5]
+    assert {k: [s for _, s in sorted(v)] for k, v in seen.items()} == {("train", 0): order[:4], ("train", 1): order[4:], ("validation", 0): [0, 5, 10]}
+    assert max(p for v in seen.values() for p, _ in v) > 0  # some come in parts
+
+
+def test_rotated_boxes_are_judged_by_their_own_area(spark):
+    """A staircase has a large upright box and a small turned one; the cap counts what is left."""
+    stairs = [(1, y + d, y + k, 0.9) for y in range(12) for k in (0, 1) for d in (0,)]
+    block = [(1, y + 30, x, 0.9) for y in range(6) for x in range(9)]
+    thin = [(1, 50, x, 0.9) for x in range(20)]
+    prob = spark.createDataFrame(stairs + block + thin, "image_id long, y int, x int, p double")
+    meta = spark.createDataFrame([(1, 0, 0, 64, 64, 1.0, 1.0, 64, 64)], "image_id long, pad_x int, pad_y int, content_w int, content_h int, scale_x double, scale_y double, orig_w int, orig_h int")
+    tops = lambda **k: sorted(round(r["t"]) for r in detection.detect_regions(prob, meta, unclip_ratio=0.0, **k).withColumn("t", g.top(F.col("quad"))).collect())
+    assert tops(min_area=20.0) == [0, 30]
+    assert tops(min_area=20.0, rotated=True) == [30]
+    assert tops(min_area=10.0, rotated=True) == [0, 30]
+    assert tops(min_area=20.0, rotated=True, max_candidates=1) == [30]
+    assert tops(min_area=20.0, max_candidates=1) == [0]
+
+
+def test_rotated_detection_against_brute_force(spark):
+    r = random.Random(11)
+    grid = {(i, y, x): r.choice([0.35, 0.7, 0.95]) for i in range(4) for y in range(24) for x in range(24) if r.random() < 0.42}
+    prob = spark.createDataFrame([(*k, v) for k, v in grid.items()], "image_id long, y int, x int, p double")
+    meta = spark.createDataFrame([(i, 0, 0, 24, 24, 2.0, 1.0, 48, 24) for i in range(4)], "image_id long, pad_x int, pad_y int, content_w int, content_h int, scale_x double, scale_y double, orig_w int, orig_h int")
+    got = detection.detect_regions(prob, meta, 0.3, 0.6, 1.5, 8.3, 3, rotated=True).collect()
+    want = []
+    for i in range(4):
+        left, kept = {k[1:] for k in grid if k[0] == i}, 0
+        while left:
+            todo, own = [min(left)], []
+            while todo:
+                k = todo.pop()
+                if k in left:
+                    left.remove(k)
+                    own.append(k)
+                    todo += [(k[0] + 1, k[1]), (k[0] - 1, k[1]), (k[0], k[1] + 1), (k[0], k[1] - 1)]
+            score, least = sum(grid[i, *k] for k in own) / len(own), None
+            for a in own:
+                for b in own:
+                    if (n := math.dist(a, b)) > 0:
+                        ux, uy = (b[1] - a[1]) / n, (b[0] - a[0]) / n
+                        along, across = [x * ux + y * uy for y, x in own], [y * ux - x * uy for y, x in own]
+                        area = (max(along) - min(along)) * (max(across) - min(across))
+                        least = area if least is None else min(least, area)
+            if score >= 0.6 and (least or 0) >= 8.3 and kept < 3:
+                kept += 1
+                want.append((i, round(score, 9)))
+    assert want and sorted((q["page_id"], round(q["det_conf"], 9)) for q in got) == sorted(want)
+
+
+def test_rasters_and_pixel_tables_are_detected_alike(spark):
+    px, images = pixel_table(spark, range(3), 30, 20), rasters_of(spark, range(3), 30, 20)
+    for rotated in (False, True):
+        a, b = (sorted(map(str, d.collect())) for d in (detection.detect_model_free(px, 48, box_threshold=0.3, min_area=2.0, rotated=rotated), detection.detect_in_rasters(images, 48, box_threshold=0.3, min_area=2.0, rotated=rotated)))
+        assert a and a == b
+
+
+def test_labels_are_looked_up_in_their_rows(spark):
+    chars = spark.createDataFrame([(0, "<blank>"), (1, "a"), (2, "bx"), (3, "a"), (4, "\U0001f600"), (5, "")], "idx int, ch string")
+    samples = spark.createDataFrame([(1, "ab?a"), (2, ""), (3, None), (4, "\U0001f600é\U0001f601b"), (5, "zzz")], "seq int, label_text string")
+    got = recognition.encode_labels(samples, chars)
+    assert {r["seq"]: r["label_indices"] for r in got.collect()} == {1: [3, 2, 3], 2: [], 3: [], 4: [4, 2], 5: []}
+    kept = recognition.keep_known(samples.select(F.col("seq").alias("key"), F.col("label_text").alias("label")), chars, 2)
+    assert {r["key"]: r["label"] for r in kept.collect()} == {1: "aba", 4: "\U0001f600b"}
+    for d in (got, kept):
+        assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    assert recognition.encode_labels(samples, chars.limit(0)).filter("size(label_indices) > 0").count() == 0
+
+
+def test_numbering_against_all_pairs_and_on_a_long_page(spark):
+    r = random.Random(2)
+    pages, want = [], {}
+    for page in range(60):
+        numbers = [None if r.random() < 0.2 else k + r.choice([1, 1, 1, 2, 3, 40]) for k in range(r.randint(2, 14))]
+        blank = r.random() < 0.5
+        pages += [(page, k, k, 0, f"{n} x" if n is not None else "x") for k, n in enumerate(numbers)] + ([(page, len(numbers), len(numbers) - 1, 1, "")] if blank else [])
+        c = [(k, n) for k, n in enumerate(numbers) if n is not None]
+        if len(c) < 3 or not (blank or max(n for _, n in c) > len(numbers) + 2):
+            continue
+        rated = []
+        for k, n in c:
+            exact, near = (sum(abs(n - k + j - m) <= e for j, m in c) for e in (0, 1))
+            if n - k >= 0 and exact >= 3:
+                rated.append((exact, near, -k, n - k))
+        if rated:
+            want[page] = max(rated)[3]
+    slots = spark.createDataFrame(pages, "page_id long, slot int, line_no int, k int, text string")
+    assert {q["page_id"]: q["start"] for q in layout.numbering_start(slots).collect()} == want
+    long = spark.range(50_000).select(F.lit(1).cast("long").alias("page_id"), F.col("id").cast("int").alias("seq"), g.quad_from_rect(F.lit(10.0), 24.0 * F.col("id"), F.lit(300.0), F.lit(12.0)).alias("quad"), F.concat((F.col("id") + 7).cast("string"), F.lit(" w")).alias("text"))
+    text = one(layout.page_text(long))["text"].split("\n")
+    assert len(text) == 50_000 and text[0] == "    7  w" and text[-1] == "50006  w"
+
+
+def test_two_registries_in_one_folder(spark, tmp_path):
+    root = str(tmp_path / "models")
+    tables.register_model(spark.createDataFrame([("net", 5, "base", "w", "d", (1, 2, 0.5, 0.1))], tables.MANIFEST), root)
+    rows = [("t one", 7, 32, 24, 0.4, [("a", 2, [0.6, 0.8]), ("b", 1, [1.0, 0.0])], (3, 4, 0.9, 0.2)), ("t/two", 8, 32, 32, 0.4, [], (0, 0, 0.0, 0.0))]
+    tables.save_template_models(spark.createDataFrame(rows, tables.TEMPLATE_MODEL), f"file://{root}")
+    (tmp_path / "models" / "bad").mkdir()
+    (tmp_path / "models" / "bad" / tables.TEMPLATE_FILE).write_text('{"name": "broken", ')
+    got = tables.list_template_models(spark, root)
+    assert [(r["model_dir"], r["name"], r["template_count"], r["accuracy"]) for r in got.collect()] == [("8-t-two", "t/two", 0, 0.0), ("7-t-one", "t one", 2, 0.9)]
+    assert "feature" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["label"], tuple(r["feature"])) for r in tables.load_template_models(spark, root).collect()} == {("a", (0.6, 0.8)), ("b", (1.0, 0.0))}
+    assert [r["name"] for r in tables.list_models(spark, root, "part-*.json").collect()] == ["net"]
+
+
+def test_long_pairs_are_dealt_over_tasks(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choices("abcdef ", k=600)) for _ in range(60)]
+    rows = [(i, t[:300] + "zz" + t[305:], t, 0.5) for i, t in enumerate(texts)] + [(100, None, "x", 0.1), (101, " a ", "a", 0.2), (102, "kitten", "sitting", 0.3)]
+    d = spark.createDataFrame(rows, "sample_id long, prediction string, target string, confidence double").coalesce(1)
+    got = {q["sample_id"]: q for q in evaluation.eval_report(d).withColumn("part", F.spark_partition_id()).collect()}
+    assert {k: q["distance"] for k, q in got.items() if k < 100} == {i: evaluation.edits(p.strip(), t.strip()) for i, p, t, _ in rows[:60]}
+    assert (got[100]["distance"], got[101]["distance"], got[101]["exact"], got[102]["distance"]) == (None, 0, True, 3)
+    assert len({q["part"] for k, q in got.items() if k < 100}) > 3
+
+
+def test_many_templates_and_ties(spark):
+    """Clusters, blocks and matrices give what all pairs give; of templates alike the greatest label wins."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 16))
+    rows = np.concatenate([c + r.normal(scale=0.15, size=(60, 16)) for c in centres])
+    rows = np.concatenate([rows, rows[:40]])  # alike under two labels
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    labels = [f"l{i:04}" for i in range(len(rows))]
+    probes = np.concatenate([rows[::7], r.normal(size=(80, 16)), rows[:5] * 3.0, -rows[:3], np.zeros((1, 16))])
+    model = spark.createDataFrame([(label, 1, row.tolist()) for label, row in zip(labels, rows, strict=True)] + [("short", 1, [1.0, 0.0])], "label string, sample_count long, feature array<double>")
+    f = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(probes)] + [(999, [0.9, 0.1]), (1000, [1.0] * 5)], "sample_id long, feature array<double>")
+    want = {999: ("short", 0.9), 1000: ("short", 0.0)}
+    for i, p in enumerate(probes):
+        s, label = max((min(max(float((p * row).sum()), 0.0), 1.0), label) for label, row in zip(labels, rows, strict=True))
+        want[i] = (label, s) if s > 0 else ("short", 0.0)
+    for size in (1 << 24, 9000, 4000):
+        got = {q["sample_id"]: (q["text"], q["confidence"]) for q in recognition.match_templates(f, model, 0.0, size).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert {k: v[1] for k, v in got.items()} == pytest.approx({k: v[1] for k, v in want.items()}, abs=1e-12)
+
+
+def test_clusters_pass_over_templates():
+    """Well parted templates: most clusters are not looked at."""
+    r = np.random.default_rng(1)
+    rows = np.repeat(np.eye(40), 50, axis=0) + r.normal(scale=0.005, size=(2000, 40))
+    c = recognition._Clusters([str(i) for i in range(2000)], rows / np.linalg.norm(rows, axis=1)[:, None])
+    angle = np.arccos(np.clip(c.rows[:1] @ c.centres.T, -1, 1))
+    assert (np.cos(np.clip(angle - c.radius, 0, np.pi)) < 0.9).mean() > 0.9
+    assert c.best(c.rows[:3])[1][1] == "1"
