@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from ..functions import geometry as g
 from ..functions import text as t
@@ -37,6 +37,16 @@ def upper_median(values: Column, default: float) -> Column:
     return F.coalesce(let(F.array_sort(values), lambda a: _nth(a, F.floor(F.size(a) / 2))), F.lit(default))
 
 
+def _parts(a: Column, starts: Column) -> Column:
+    """The array in consecutive parts that begin at the places starts."""
+    return F.transform(starts, lambda at, k: F.slice(a, at + 1, F.coalesce(F.get(starts, k + 1), F.size(a)) - at))
+
+
+def _where(a: Column, new) -> Column:
+    """0 and the places i of an array for which new(i) holds."""
+    return F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | new(i))
+
+
 # gutters and merging
 
 
@@ -62,21 +72,38 @@ def drop_gutter(regions: DataFrame) -> DataFrame:
     return both.filter(~inside).select(*regions.columns)
 
 
-def merge_regions(regions: DataFrame) -> DataFrame:
-    """page_id, seq, quad, det_conf: boxes in order, each joined to the box gathered last if they belong together."""
-    start = F.lit(None).cast("array<struct<quad:array<struct<x:double,y:double>>,conf:double>>")
-    box = lambda q, c: F.struct(q.alias("quad"), c.cast("double").alias("conf"))
-
-    def add(done: Column, x: Column) -> Column:
-        def step(last: Column) -> Column:
-            joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(box(g.quad_union(last["quad"], x["quad"]), F.greatest(last["conf"], x["det_conf"]))))
-            return F.when(g.should_merge(last["quad"], x["quad"]), joined).otherwise(F.concat(done, F.array(box(x["quad"], x["det_conf"]))))
+@F.arrow_udf(ArrayType(IntegerType()))
+def _merged_at(left: pa.Array, top: pa.Array, right: pa.Array, bottom: pa.Array, height: pa.Array, aligned: pa.Array) -> pa.Array:
+    """Where merged boxes begin among a page's boxes in order: a box joins those gathered last, as one box, by the rule of
+    geometry.should_merge."""
+    out = []
+    for page in zip(*(x.to_pylist() for x in (left, top, right, bottom, height, aligned)), strict=True):
+        starts, last = [], None
+        for k, (x0, y0, x1, y1, h, straight) in enumerate(zip(*page, strict=True)):
+            if last is not None:
+                a0, b0, a1, b1, g_, level = last
+                mean = (g_ + h) * 0.5
+                line = abs((b0 + b1) * 0.5 - (y0 + y1) * 0.5) <= mean * 0.7 or min(b1, y1) - max(b0, y0) >= mean * 0.5
+                if level and straight and line and (min(a1, x1) - max(a0, x0) >= mean * 0.4 or x0 - a1 <= mean * 1.2):
+                    a0, b0, a1, b1 = min(a0, x0), min(b0, y0), max(a1, x1), max(b1, y1)
+                    last = (a0, b0, a1, b1, b1 - b0, True)
+                    continue
+            starts.append(k)
+            last = (x0, y0, x1, y1, h, straight)
+        out.append(starts)
+    return pa.array(out, pa.list_(pa.int32()))
 
-        return F.when(done.isNull(), F.array(box(x["quad"], x["det_conf"]))).otherwise(let(F.element_at(done, -1), step))
 
-    pages = drop_gutter(regions).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "quad", F.col("det_conf").cast("double").alias("det_conf")))).alias("rs"))
-    merged = pages.select("page_id", F.posexplode(F.aggregate("rs", start, add)).alias("seq", "b"))
-    return merged.select("page_id", F.col("seq").cast("int").alias("seq"), "b.quad", F.col("b.conf").alias("det_conf"))
+def merge_regions(regions: DataFrame) -> DataFrame:
+    """page_id, seq, quad, det_conf: boxes in order, each joined to the box gathered last if they belong together."""
+    pages = drop_gutter(regions).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "quad", F.col("det_conf").cast("double").alias("det_conf")))).alias("_b"))
+    of = lambda f: F.transform("_b", lambda x: f(x["quad"]))
+    starts = _merged_at(*[of(f) for f in (g.left, g.top, g.right, g.bottom, g.quad_height, g.quad_is_aligned)])
+    parts = pages.select("page_id", "_b", starts.alias("_s")).select("page_id", F.posexplode(_parts(F.col("_b"), F.col("_s"))).alias("seq", "_p"))
+    edge = lambda f, pick: pick(F.transform("_p", lambda x: f(x["quad"])))
+    x0, y0, x1, y1 = edge(g.left, F.array_min), edge(g.top, F.array_min), edge(g.right, F.array_max), edge(g.bottom, F.array_max)
+    quad = F.when(F.size("_p") == 1, F.get("_p", F.lit(0))["quad"]).otherwise(g.quad_from_rect(x0, y0, x1 - x0, y1 - y0))
+    return parts.select("page_id", F.col("seq").cast("int").alias("seq"), quad.alias("quad"), F.array_max(F.transform("_p", lambda x: x["det_conf"])).alias("det_conf"))
 
 
 # order and lines
@@ -92,55 +119,41 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return banded.drop("_new").withColumn("order_no", F.row_number().over(of_page().orderBy("band", g.left(q), "seq")))
 
 
-def group_lines(regions: DataFrame, order: list | None = None) -> DataFrame:
+def group_lines(regions: DataFrame) -> DataFrame:
     """regions with line_no (from 0): a region starts a line unless it shares one with the region just before."""
-    w = of_page().orderBy(*(order or ["seq"]))
-    new = (~g.shares_line(F.lag("quad").over(w), F.col("quad"))).cast("int")
-    return regions.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("line_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_new")
+    box = F.struct("seq", "quad", F.struct(*regions.columns).alias("row"))
+    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", box.alias("b")))).alias("_b"))
+    lines = pages.select(F.posexplode(_lines_in(F.transform("_b", lambda x: x["b"]))).alias("line_no", "_l"))
+    return lines.select("line_no", F.explode("_l").alias("_x")).select("_x.row.*", "line_no")
 
 
 def join_line(lined: DataFrame) -> DataFrame:
     """page_id, line_no, center_y, height, text of grouped regions: a space only across a wide gap between ASCII
     letters or digits."""
-    w = W.partitionBy("page_id", "line_no").orderBy("seq")
-    q, prev, last = F.col("quad"), F.lag("quad").over(w), F.lag("text").over(w)
-    wide = g.left(q) - g.right(prev) > (g.quad_height(q) + g.quad_height(prev)) * 0.5 * 0.7
-    space = wide & last.rlike(r"[A-Za-z0-9]\z") & F.col("text").rlike(r"\A[A-Za-z0-9]")
-    piece = F.concat(F.when(space, " ").otherwise(""), t.strip(F.col("text")))
-    pieces = lined.withColumn("_piece", piece)
-    out = pieces.groupBy("page_id", "line_no").agg(F.avg(g.center_y(q)).alias("center_y"), F.avg(g.quad_height(q)).alias("height"), F.array_sort(F.collect_list(F.struct("seq", "_piece"))).alias("_p"))
-    return out.select("page_id", "line_no", "center_y", "height", F.array_join(F.transform("_p", lambda x: x["_piece"]), "").alias("text"))
+    lines = lined.groupBy("page_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("seq", "quad", "text"))).alias("_l"))
+    return lines.select("page_id", "line_no", _line(F.col("_l")).alias("l")).select("page_id", "line_no", "l.*")
 
 
-def _gaps(lines: DataFrame) -> DataFrame:
-    """page_id, gaps (sorted positive distances of neighbouring lines), height (mean)."""
-    gap = F.col("center_y") - F.lag("center_y").over(of_page().orderBy("line_no"))
-    return lines.withColumn("_gap", gap).groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(F.col("_gap") > 0, F.col("_gap")))).alias("gaps"), F.avg("height").alias("height"))
+def _of_lines(lines: DataFrame) -> DataFrame:
+    """page_id, _l: each page's lines in order."""
+    return lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "center_y", "height", "text"))).alias("_l"))
 
 
 def line_pitch(lines: DataFrame, variant: str = "layout") -> DataFrame:
     """page_id, pitch: the median of the lower half of line gaps (upper median for variant `spatial`); without gaps
     the mean height, which for `spatial` is at least page_h / 80."""
-    low = F.slice("gaps", F.lit(1), F.greatest(F.ceil(F.size("gaps") / 2).cast("int"), F.lit(1)))
-    mid = lambda a: F.floor(F.size(a) / 2)
-    upper = let(low, lambda a: _nth(a, mid(a)))
+    pages = _of_lines(lines)
     if variant == "spatial":
-        sized = lines.groupBy("page_id").agg(F.max("page_h").alias("page_h"))
-        d = _gaps(lines).join(sized, "page_id")
-        return d.select("page_id", F.when(F.size("gaps") > 0, F.greatest(upper, F.lit(1.0))).otherwise(F.greatest("height", F.col("page_h") / 80, F.lit(1.0))).alias("pitch"))
-    true = let(low, lambda a: F.when(F.size(a) % 2 == 0, (_nth(a, mid(a) - 1) + _nth(a, mid(a))) * 0.5).otherwise(_nth(a, mid(a))))
-    return _gaps(lines).select("page_id", F.greatest(F.when(F.size("gaps") > 0, true).otherwise(F.col("height")), F.lit(1.0)).alias("pitch"))
+        d = pages.join(lines.groupBy("page_id").agg(F.max("page_h").alias("page_h")), "page_id")
+        return d.select("page_id", let(_gap_list(F.col("_l")), lambda gaps: _upper_pitch(gaps, F.greatest(_mean(F.col("_l"), lambda x: x["height"]), F.col("page_h") / 80, F.lit(1.0)))).alias("pitch"))
+    return pages.select("page_id", let(F.col("_l"), _pitch).alias("pitch"))
 
 
 def expand_slots(lines: DataFrame) -> DataFrame:
     """page_id, slot, line_no, k, text: lines with up to 32 empty slots (k > 0) where the next line is far below."""
-    w = of_page().orderBy("line_no")
-    d = lines.withColumn("_next", F.lead("center_y").over(w)).join(line_pitch(lines), "page_id")
-    span = F.greatest(F.round(F.greatest(F.col("_next") - F.col("center_y"), F.lit(0.0)) / F.col("pitch")), F.lit(1.0)) - 1
-    d = d.withColumn("_blank", F.coalesce(F.least(span, F.lit(32.0)), F.lit(0.0)).cast("int"))
-    d = d.withColumn("_at", F.sum(F.col("_blank") + 1).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_blank") - 1)
-    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_blank"))))
-    return d.select("page_id", (F.col("_at") + F.col("k")).cast("int").alias("slot"), "line_no", "k", F.when(F.col("k") == 0, F.col("text")).otherwise("").alias("text"))
+    slots = _of_lines(lines).select("page_id", "_l", F.posexplode(let(F.col("_l"), _slots)).alias("slot", "_s"))
+    line = F.get("_l", F.col("_s.i"))["line_no"]
+    return slots.select("page_id", "slot", line.alias("line_no"), F.col("_s.k").alias("k"), F.col("_s.text").alias("text"))
 
 
 def numbering_start(slots: DataFrame) -> DataFrame:
@@ -153,12 +166,8 @@ def numbering_start(slots: DataFrame) -> DataFrame:
 
 def _lines_in(boxes: Column) -> Column:
     """The lines, as arrays, of an array of boxes in order: a box starts one unless it shares it with the box before."""
-    def cut(b: Column) -> Column:
-        new = lambda i: (i == 0) | ~g.shares_line(F.get(b, i - 1)["quad"], F.get(b, i)["quad"])
-        starts = F.filter(F.sequence(F.lit(0), F.size(b) - 1), new)
-        return let(starts, lambda s: F.transform(s, lambda at, k: F.slice(b, at + 1, F.coalesce(F.get(s, k + 1), F.size(b)) - at)))
-
-    return let(boxes, cut)
+    new = lambda b: lambda i: ~g.shares_line(F.get(b, i - 1)["quad"], F.get(b, i)["quad"])
+    return let(boxes, lambda b: let(_where(b, new(b)), lambda starts: _parts(b, starts)))
 
 
 def _mean(a: Column, of) -> Column:
@@ -192,13 +201,22 @@ def _blanks(lines: Column, pitch: Column, most: float, least: float) -> Column:
     return F.transform(lines, lambda x, i: F.coalesce(F.least(F.greatest(F.round(far(x, i)), F.lit(least)) - 1, F.lit(most)), F.lit(0.0)).cast("int"))
 
 
-def _slots(lines: Column) -> Column:
-    """Lines (line true) with the empty slots behind them."""
+def _upper_pitch(gaps: Column, default: Column) -> Column:
+    upper = let(_lower_half(gaps), lambda low: _nth(low, F.floor(F.size(low) / 2)))
+    return F.when(F.size(gaps) > 0, F.greatest(upper, F.lit(1.0))).otherwise(default)
+
+
+def _pitch(lines: Column) -> Column:
+    """The line pitch of a page's lines, as line_pitch has it."""
     middle = lambda a: F.when(F.size(a) % 2 == 0, (_nth(a, F.floor(F.size(a) / 2) - 1) + _nth(a, F.floor(F.size(a) / 2))) * 0.5).otherwise(_nth(a, F.floor(F.size(a) / 2)))
-    pitch = lambda gaps: F.greatest(F.when(F.size(gaps) > 0, let(_lower_half(gaps), middle)).otherwise(_mean(lines, lambda x: x["height"])), F.lit(1.0))
-    slot = lambda line, text: F.struct(F.lit(line).alias("line"), text.alias("text"))
-    with_blanks = lambda blanks: F.flatten(F.transform(lines, lambda x, i: F.concat(F.array(slot(True, x["text"])), F.array_repeat(slot(False, F.lit("")), F.get(blanks, i)))))
-    return let(let(_gap_list(lines), pitch), lambda p: let(_blanks(lines, p, 32.0, 1.0), with_blanks))
+    return let(_gap_list(lines), lambda gaps: F.greatest(F.when(F.size(gaps) > 0, let(_lower_half(gaps), middle)).otherwise(_mean(lines, lambda x: x["height"])), F.lit(1.0)))
+
+
+def _slots(lines: Column) -> Column:
+    """Lines (k 0) with the empty slots behind them (k 1 and on); i is the line's place."""
+    slot = lambda k, i, text: F.struct((k == 0).alias("line"), i.cast("int").alias("i"), k.cast("int").alias("k"), text.alias("text"))
+    behind = lambda x, i, n: F.transform(F.sequence(F.lit(0), n), lambda k: slot(k, i, F.when(k == 0, x["text"]).otherwise("")))
+    return let(_pitch(lines), lambda p: let(_blanks(lines, p, 32.0, 1.0), lambda blanks: F.flatten(F.transform(lines, lambda x, i: behind(x, i, F.get(blanks, i))))))
 
 
 @F.arrow_udf(LongType())
@@ -301,7 +319,7 @@ def spatial_text(regions: DataFrame) -> DataFrame:
         return F.struct(_mean(boxes, lambda x: g.center_y(x["quad"])).alias("center_y"), t.rstrip(F.aggregate(across, F.lit(""), add)).alias("text"))
 
     def _spaced(lines: Column, a: Column) -> Column:
-        upper = lambda gaps: F.when(F.size(gaps) > 0, F.greatest(let(_lower_half(gaps), lambda low: _nth(low, F.floor(F.size(low) / 2))), F.lit(1.0))).otherwise(F.greatest(a["high"], F.col("_h") / 80, F.lit(1.0)))
+        upper = lambda gaps: _upper_pitch(gaps, F.greatest(a["high"], F.col("_h") / 80, F.lit(1.0)))
         text = lambda n: F.array_join(F.transform(lines, lambda x, i: F.concat(F.repeat(F.lit("\n"), F.coalesce(F.get(n, i - 1), F.lit(0))), x["text"])), "\n")
         return let(let(_gap_list(lines), upper), lambda p: let(_blanks(lines, p, 16.0, 1.0), text))
 
@@ -311,30 +329,35 @@ def spatial_text(regions: DataFrame) -> DataFrame:
 # rows, columns, tables
 
 
-def _clusters() -> Column:
-    """A fold over one page's boxes in order: a box joins the last group if its centre is near the group's mean."""
-    group = "array<struct<n:double,c:double,e:double,seqs:array<int>>>"
-
-    def add(done: Column, x: Column) -> Column:
-        one = F.struct(F.lit(1.0).alias("n"), x["c"].alias("c"), x["e"].alias("e"), F.array(x["seq"]).alias("seqs"))
-
-        def step(last: Column) -> Column:
-            near = F.abs(x["c"] - last["c"] / last["n"]) <= F.greatest(last["e"] / last["n"], x["e"]) * 0.6
-            grown = F.struct((last["n"] + 1.0).alias("n"), (last["c"] + x["c"]).alias("c"), (last["e"] + x["e"]).alias("e"), F.concat(last["seqs"], F.array(x["seq"])).alias("seqs"))
-            return F.when(near, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(one)))
+@F.arrow_udf(ArrayType(IntegerType()))
+def _clustered_at(centres: pa.Array, extents: pa.Array) -> pa.Array:
+    """Where groups begin among a page's boxes in order: a box joins the last group if its centre is near the group's
+    mean."""
+    out = []
+    for cs, es in zip(centres.to_pylist(), extents.to_pylist(), strict=True):
+        starts, n, c, e = [], 0, 0.0, 0.0
+        for k, (x, h) in enumerate(zip(cs, es, strict=True)):
+            if n and abs(x - c / n) <= max(e / n, h) * 0.6:
+                n, c, e = n + 1, c + x, e + h
+            else:
+                starts.append(k)
+                n, c, e = 1, x, h
+        out.append(starts)
+    return pa.array(out, pa.list_(pa.int32()))
 
-        return F.when(F.size(done) == 0, F.array(one)).otherwise(let(F.element_at(done, -1), step))
 
-    return F.aggregate("_boxes", F.array().cast(group), add)
+def _clusters(boxes: str) -> Column:
+    return _clustered_at(F.transform(boxes, lambda x: x["c"]), F.transform(boxes, lambda x: x["e"]))
 
 
 def _grouped(regions: DataFrame, center: Column, extent: Column, down: bool, name: str) -> DataFrame:
     """regions with column `name`: the number of the group that each falls into."""
     key = -center if down else center
-    boxes = F.array_sort(F.collect_list(F.struct(key.alias("k"), F.col("seq").cast("int").alias("seq"), center.alias("c"), extent.alias("e"))))
-    pages = regions.groupBy("page_id").agg(boxes.alias("_boxes"))
-    groups = pages.select("page_id", F.posexplode(_clusters()).alias(name, "_g"))
-    return regions.join(groups.select("page_id", name, F.explode("_g.seqs").alias("seq")), ["page_id", "seq"])
+    box = F.struct(key.alias("k"), F.col("seq").cast("int").alias("seq"), center.alias("c"), extent.alias("e"), F.struct(*regions.columns).alias("row"))
+    sortable = F.struct(key.alias("k"), F.col("seq").cast("int").alias("seq"), box.alias("b"))
+    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(sortable)).alias("_b")).select(F.transform("_b", lambda x: x["b"]).alias("_b"))
+    groups = pages.select("_b", _clusters("_b").alias("_s")).select(F.posexplode(_parts(F.col("_b"), F.col("_s"))).alias(name, "_g"))
+    return groups.select(name, F.explode("_g").alias("_x")).select("_x.row.*", name)
 
 
 def cluster_rows(regions: DataFrame) -> DataFrame:
@@ -356,21 +379,33 @@ def vertical_text(regions: DataFrame) -> DataFrame:
     return _lines_to_text(d.withColumn("_line", F.array_join(F.transform("_p", lambda x: x["s"]), "")), "col_no")
 
 
+def _edges(xs: Column, far: Column) -> Column:
+    """Means of sorted left edges that follow each other closely."""
+    return let(_where(xs, lambda i: F.get(xs, i) - F.get(xs, i - 1) > far), lambda starts: F.transform(_parts(xs, starts), lambda part: _mean(part, lambda v: v)))
+
+
+def _far(heights: Column, page_w: Column) -> Column:
+    """How far apart left edges of different columns are."""
+    return F.greatest(upper_median(F.filter(heights, lambda v: v > 0), 1.0) * 1.2, page_w * 0.01, F.lit(4.0))
+
+
 def column_edges(regions: DataFrame) -> DataFrame:
     """page_id, col_no, edge: means of left edges that follow each other closely. Needs page_w."""
     q = F.col("quad")
-    d = regions.select("page_id", "seq", "page_w", g.left(q).alias("x")).join(median_height(regions), "page_id")
-    w = of_page().orderBy("x", "seq")
-    far = F.col("x") - F.lag("x").over(w) > F.greatest(F.col("median_height") * 1.2, F.col("page_w") * 0.01, F.lit(4.0))
-    d = d.withColumn("_new", F.coalesce(far, F.lit(False)).cast("int")).withColumn("col_no", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
-    return d.groupBy("page_id", "col_no").agg(F.avg("x").alias("edge"))
+    pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(g.left(q))).alias("xs"), F.collect_list(g.quad_height(q)).alias("_h"), F.max("page_w").alias("_w"))
+    pages = pages.select("page_id", "xs", _far(F.col("_h"), F.col("_w")).alias("far"))
+    return pages.select("page_id", F.posexplode(_edges(F.col("xs"), F.col("far"))).alias("col_no", "edge"))
+
+
+def _nearest(x: Column, edges: Column) -> Column:
+    """The number of the nearest of edges (edge, col_no); the first of equally near ones."""
+    return F.array_min(F.transform(edges, lambda e: F.struct(F.abs(x - e["edge"]).alias("d"), e["col_no"].alias("k"))))["k"]
 
 
 def assign_columns(regions: DataFrame, columns: DataFrame) -> DataFrame:
     """regions with col_no of the nearest edge; the first of equally near ones."""
     edges = columns.groupBy("page_id").agg(F.collect_list(F.struct("col_no", "edge")).alias("_edges"))
-    nearest = F.array_min(F.transform("_edges", lambda e: F.struct(F.abs(g.left(F.col("quad")) - e["edge"]).alias("d"), e["col_no"].alias("c"))))["c"]
-    return regions.join(edges, "page_id").withColumn("col_no", nearest).drop("_edges")
+    return regions.join(edges, "page_id").withColumn("col_no", _nearest(g.left(F.col("quad")), F.col("_edges"))).drop("_edges")
 
 
 def _grid(regions: DataFrame) -> DataFrame:
@@ -379,30 +414,21 @@ def _grid(regions: DataFrame) -> DataFrame:
     q = F.col("quad")
     box = F.struct(g.center_y(q).alias("k"), F.col("seq").cast("int").alias("seq"), g.center_y(q).alias("c"), g.quad_height(q).alias("e"), g.left(q).alias("x"), t.strip(F.col("text")).alias("s"))
     pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("_boxes"), F.max("page_w").alias("_w"))
-    height = upper_median(F.filter(F.transform("_boxes", lambda x: x["e"]), lambda v: v > 0), 1.0)
-    far = F.greatest(height * 1.2, F.col("_w") * 0.01, F.lit(4.0))
+    xs, heights = F.array_sort(F.transform("_boxes", lambda x: x["x"])), F.transform("_boxes", lambda x: x["e"])
+    pages = pages.select("page_id", "_boxes", _clusters("_boxes").alias("_starts"), xs.alias("_xs"), _far(heights, F.col("_w")).alias("_far"))
+    numbered = F.transform(_edges(F.col("_xs"), F.col("_far")), lambda v, k: F.struct(v.alias("edge"), k.alias("col_no")))
+    pages = pages.select("page_id", "_boxes", "_starts", numbered.alias("_e"))
 
-    def edges(xs: Column, far: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) - F.get(xs, i - 1) > far))
-        return let(starts, lambda s: F.transform(s, lambda at, k: let(F.slice(xs, at + 1, F.coalesce(F.get(s, k + 1), F.size(xs)) - at), lambda part: _mean(part, lambda v: v))))
-
-    def placed(e: Column) -> Column:
-        column = lambda x: F.array_min(F.transform(e, lambda v, k: F.struct(F.abs(x["x"] - v).alias("d"), k.alias("k"))))["k"]
-        return F.transform("_boxes", lambda x: F.struct(x["x"].alias("x"), x["c"].alias("c"), x["seq"].alias("seq"), column(x).alias("col"), x["s"].alias("s")))
-
-    def table(e: Column, rows: Column) -> Column:
+    def table(rows: Column) -> Column:
         wide = F.size(F.filter(rows, lambda r: F.size(F.array_distinct(F.transform(r, lambda x: x["col"]))) >= 2))
         join = lambda r, k: F.array_join(F.transform(F.filter(r, lambda x: x["col"] == k), lambda x: F.nullif(x["s"], F.lit(""))), " ")
-        grid = F.transform(rows, lambda r: F.transform(e, lambda _, k: join(r, k)))
-        is_one = (F.size("_boxes") >= 4) & (F.size(rows) >= 2) & (F.size(e) >= 2) & (wide >= 2)
-        return F.struct(is_one.alias("is_table"), F.size(rows).alias("n_rows"), F.size(e).alias("n_cols"), grid.alias("grid"))
-
-    def rows(p: Column) -> Column:
-        return F.transform(_clusters(), lambda group: F.array_sort(F.filter(p, lambda x: F.array_contains(group["seqs"], x["seq"]))))
+        grid = F.transform(rows, lambda r: F.transform("_e", lambda e: join(r, e["col_no"])))
+        is_one = (F.size("_boxes") >= 4) & (F.size(rows) >= 2) & (F.size("_e") >= 2) & (wide >= 2)
+        return F.struct(is_one.alias("is_table"), F.size(rows).alias("n_rows"), F.size("_e").alias("n_cols"), grid.alias("grid"))
 
-    xs = F.array_sort(F.transform("_boxes", lambda x: x["x"]))
-    whole = let(let(F.struct(xs.alias("xs"), far.alias("far")), lambda v: edges(v["xs"], v["far"])), lambda e: let(let(placed(e), rows), lambda r: table(e, r)))
-    return pages.select("page_id", whole.alias("_t")).select("page_id", "_t.*")
+    placed = F.transform("_boxes", lambda x: F.struct(x["x"].alias("x"), x["c"].alias("c"), x["seq"].alias("seq"), _nearest(x["x"], F.col("_e")).alias("col"), x["s"].alias("s")))
+    rows = let(placed, lambda b: F.transform(_parts(b, F.col("_starts")), lambda r: F.array_sort(r)))
+    return pages.select("page_id", let(rows, table).alias("_t")).select("page_id", "_t.*")
 
 
 def is_table(regions: DataFrame) -> DataFrame:
@@ -420,7 +446,8 @@ def _rows(cells: DataFrame, *more: Column) -> DataFrame:
     """page_id, _rows: the cells of each page by row and column. Cells of table_cells are dealt by page already."""
     cell = F.struct("row_no", "col_no", "text", *more)
     pages = cells.groupBy("page_id").agg(F.array_sort(F.collect_list(cell)).alias("_c"))
-    return pages.select("page_id", "_c", F.transform(F.array_sort(F.array_distinct(F.transform("_c", lambda x: x["row_no"]))), lambda r: F.filter("_c", lambda x: x["row_no"] == r)).alias("_rows"))
+    starts = _where(F.col("_c"), lambda i: F.get("_c", i)["row_no"] != F.get("_c", i - 1)["row_no"])
+    return pages.select("page_id", "_c", let(starts, lambda at: _parts(F.col("_c"), at)).alias("_rows"))
 
 
 def table_text(cells: DataFrame) -> DataFrame:

@@ -263,11 +263,15 @@ def fit_canvas(gray: DataFrame, w: int, h: int) -> DataFrame:
 
 
 def template_feature(px: DataFrame, w: int = 32, h: int = 32) -> DataFrame:
-    """image_id, feature: the ink of the fitted image, row by row, with unit length."""
-    d = ink(fit_canvas(to_gray(px), w, h)).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("_v"))
-    v = F.transform("_v", lambda p: p["v"])
-    d = d.select("image_id", v.alias("_v")).withColumn("_n", F.greatest(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1.1920929e-7)))
-    return d.select("image_id", F.transform("_v", lambda x: x / F.col("_n")).alias("feature"))
+    """image_id, feature: the ink of the image fitted into w by h, row by row, with unit length. One exchange by image."""
+    def feature(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        image = np.full((int(y.max()) + 1, int(x.max()) + 1, 3), 255)
+        image[y, x] = np.stack([table.column(c).to_numpy() for c in CHANNELS], axis=1)
+        return pa.Table.from_arrays([table.column("image_id").slice(0, 1), pa.array([rasters.template_feature(image, w, h)])], names=["image_id", "feature"])
+
+    slim = px.select(F.col("image_id").cast("long").alias("image_id"), "y", "x", *CHANNELS)
+    return slim.groupBy("image_id").applyInArrow(feature, "image_id long, feature array<double>")
 
 
 def model_input(px: DataFrame, plan: DataFrame, mean: tuple = HALF, std: tuple = HALF, kernel: str = "triangle") -> DataFrame:

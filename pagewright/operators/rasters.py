@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 CHANNELS = ("r", "g", "b")
 RASTER = "image_id long, width int, height int, rgb binary"
 TILE = "image_id long, width int, height int, y0 int, x0 int, n_rows int, n_cols int, top int, left int, ext_rows int, ext_cols int, mean double, rgb binary"
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
 #: Pixels that are sent on at a time.
 ROWS_AT_ONCE = 65_536
 #: Fixed values of the content hash and of the noise, whole numbers whose products fit 64 bits.
@@ -235,6 +235,44 @@ def recognition_input(px: np.ndarray, width: int, height: int = 48) -> np.ndarra
     return np.moveaxis((canvas / 255.0 - 0.5) / 0.5, 2, 0)
 
 
+def template_feature(px: np.ndarray, w: int = 32, h: int = 32) -> np.ndarray:
+    """The ink of an image fitted into a canvas of its mean luma, row by row, with unit length."""
+    v, canvas = luma(px), np.empty((h, w))
+    canvas[:] = int(np.floor(v * 255 + 0.5).sum() // v.size) / 255.0
+    scale = min(w / v.shape[1], h / v.shape[0])
+    dw, dh = (int(min(max(math.floor(side * scale + 0.5), 1), most)) for side, most in ((v.shape[1], w), (v.shape[0], h)))
+    x, y = (w - dw) // 2, (h - dh) // 2
+    canvas[y : y + dh, x : x + dw] = scaled(v[:, :, None], dw, dh)[:, :, 0]
+    flat = ink(canvas, canvas.mean()).ravel()
+    return flat / max(float(np.sqrt((flat * flat).sum())), 1.1920929e-7)
+
+
+def cut_rotated(px: np.ndarray, quad: list[tuple[float, float]]) -> np.ndarray:
+    """The upright pixels of a quad by bilinear samples, edges repeated."""
+    h, w = px.shape[:2]
+    p = [(min(max(x, 0.0), w - 1.0), min(max(y, 0.0), h - 1.0)) for x, y in quad]
+    (ax, ay), (bx, by) = ((p[k][0] - p[0][0], p[k][1] - p[0][1]) for k in (1, 3))
+    ow, oh = (max(int(math.floor(math.hypot(*e) + 0.5)), 1) for e in ((ax, ay), (bx, by)))
+    fx, fy = (np.arange(ow) + 0.5)[None, :] / ow, (np.arange(oh) + 0.5)[:, None] / oh
+    sx, sy = np.clip(p[0][0] + fx * ax + fy * bx, 0.0, w - 1.0), np.clip(p[0][1] + fx * ay + fy * by, 0.0, h - 1.0)
+    out = np.zeros((oh, ow, 3))
+    for i in (0, 1):
+        for j in (0, 1):
+            x, y = np.minimum(np.floor(sx) + i, w - 1), np.minimum(np.floor(sy) + j, h - 1)
+            weight = np.abs(1 - i - (sx - np.floor(sx))) * np.abs(1 - j - (sy - np.floor(sy)))
+            out += px[y.astype(int), x.astype(int)] * weight[:, :, None]
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+
+
+def upside_down(px: np.ndarray, threshold: float = 0.9) -> tuple[float, bool]:
+    """(confidence, turn): whether the lower half of a horizontal crop has clearly more ink than the upper one."""
+    dark = 1.0 - luma(px)
+    half = max(px.shape[0] // 2, 1)
+    a, b = float(dark[:half].sum()), float(dark[half:].sum())
+    sure = min(abs(b - a) / max(a + b, 1.1920929e-7), 1.0)
+    return sure, b > a and sure >= min(threshold, 0.98)
+
+
 def resample(tiled: DataFrame, kernel: str = "bilinear") -> DataFrame:
     """image_id, y, x, v: the luma of tiles' images scaled to the columns dst_w and dst_h. A tile gives the block of
     target pixels that it has a share in; one exchange by image adds the blocks up."""

@@ -103,6 +103,70 @@ def recognize_pages(px: DataFrame, recognizer: Callable[[DataFrame], DataFrame],
     return regions, layout.page_text(shown)
 
 
+_CROPS = "page_id long, seq int, direction string, rotate boolean, width int, height int, rgb binary"
+
+
+def crop_rasters(images: DataFrame, boxes: DataFrame, orientation_threshold: float = 0.9) -> DataFrame:
+    """page_id, seq, direction, rotate, width, height, rgb: the crop of each box (page_id, seq, quad), upright. A page's
+    boxes come to it as one row, so an image travels at most once; its crops are cut and turned where it is."""
+    size = images.select(F.col("image_id").alias("page_id"), "width", "height")
+    rect = F.when(g.quad_is_aligned(F.col("quad")), g.crop_rect(F.col("quad"), F.col("width"), F.col("height")))
+    direction = g.text_direction(g.quad_width(F.col("quad")), g.quad_height(F.col("quad")))
+    box = F.struct("seq", "quad", direction.alias("direction"), g.quad_is_aligned(F.col("quad")).alias("straight"), rect.alias("rect"))
+    pages = boxes.join(size, "page_id").groupBy("page_id").agg(F.collect_list(box).alias("boxes"))
+    both = images.select("image_id", "width", "height", "rgb").join(pages, F.col("image_id") == F.col("page_id")).drop("page_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in rasters.rows_of(b):
+                page, rows = rasters.array_of(r), []
+                for x in r["boxes"]:
+                    if x["straight"] and not x["rect"]:
+                        continue
+                    c = x["rect"]
+                    px = page[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] if c else rasters.cut_rotated(page, [(p["x"], p["y"]) for p in x["quad"]])
+                    turn = x["direction"] == "Horizontal" and rasters.upside_down(px, orientation_threshold)[1]
+                    px = px[::-1, ::-1] if turn else px
+                    rows.append((r["image_id"], x["seq"], x["direction"], turn, px.shape[1], px.shape[0], px.tobytes()))
+                yield rasters.batch_of(_CROPS, rows)
+
+    return both.mapInArrow(cut, _CROPS)
+
+
+def recognize_rasters(images: DataFrame, recognizer: Callable[[DataFrame], DataFrame], size: int = 512, orientation_threshold: float = 0.9, score_threshold: float = 0.0, **params) -> tuple[DataFrame, DataFrame]:
+    """recognize_pages for images that are rows: boxes are found where an image lies, an image travels once to be cut,
+    and crops are read where they are cut. recognizer takes crop rasters (crop_id, width, height, rgb) and returns crop_id,
+    text, rec_conf."""
+    pages = images.select(F.col("image_id").alias("page_id"), F.col("width").cast("double").alias("page_w"), F.col("height").cast("double").alias("page_h"))
+    found = detection.detect_in_rasters(images, size, **params).join(pages.select("page_id", "page_w"), "page_id")
+    boxes = checkpointed(layout.merge_regions(found))
+    crops = checkpointed(crop_rasters(images, boxes, orientation_threshold))
+    read = recognizer(crops.select(crop_id(F.col("page_id"), F.col("seq")).alias("crop_id"), "width", "height", "rgb"))
+    named = boxes.withColumn("crop_id", crop_id(F.col("page_id"), F.col("seq")))
+    regions = recognition.assemble_regions(boxes, crops.select("page_id", "seq", "direction", "rotate"), named.select("page_id", "seq", "crop_id").join(read, "crop_id"))
+    regions = checkpointed(layout.score_regions(regions, score_threshold))
+    return regions, layout.page_text(regions.filter("in_text").join(pages, "page_id"))
+
+
+def raster_template_recognizer(templates: DataFrame, w: int = 32, h: int = 32, threshold: float = recognition.TEMPLATE_THRESHOLD) -> Callable[[DataFrame], DataFrame]:
+    """Reads crop rasters by the nearest template."""
+    def read(crops: DataFrame) -> DataFrame:
+        found = recognition.match_templates(template_features(crops.withColumnRenamed("crop_id", "image_id"), w, h).withColumnRenamed("image_id", "sample_id"), templates, threshold)
+        return found.select(F.col("sample_id").alias("crop_id"), "text", F.col("confidence").alias("rec_conf"))
+
+    return read
+
+
+def template_features(images: DataFrame, w: int = 32, h: int = 32) -> DataFrame:
+    """image_id, feature of rasters."""
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(r["image_id"], rasters.template_feature(rasters.array_of(r), w, h)) for r in rasters.rows_of(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([f for _, f in found], pa.list_(pa.float64()))], names=["image_id", "feature"])
+
+    return images.select("image_id", "width", "height", "rgb").mapInArrow(made, "image_id long, feature array<double>")
+
+
 def template_recognizer(templates: DataFrame, w: int = 32, h: int = 32, threshold: float = recognition.TEMPLATE_THRESHOLD) -> Callable[[DataFrame], DataFrame]:
     def read(crops: DataFrame) -> DataFrame:
         features = pixels.template_feature(crops, w, h).withColumnRenamed("image_id", "sample_id")

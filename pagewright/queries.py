@@ -309,7 +309,7 @@ a2 AS (SELECT image_id, y, x, seed, u2, u3, {_each('({c} - 128.0) * (1.0 + (u1 *
 a3 AS (SELECT image_id, y, x, u3, {_each('{c} + CASE WHEN u2 > 0.4 THEN ' + _noise("seed") + ' ELSE 0 END')} FROM a2),
 bl AS (SELECT a.image_id, a.y, a.x, sum(b.r) // count(*) AS r, sum(b.g) // count(*) AS g, sum(b.b) // count(*) AS b FROM a3 a JOIN a3 b ON a.image_id = b.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 WHERE a.u3 > 0.7 GROUP BY a.image_id, a.y, a.x)"""
 query("p18_augment", f"{_PX}, {_AUG} SELECT a3.image_id, a3.y, a3.x, CAST(coalesce(bl.r, a3.r) AS INT) AS r, CAST(coalesce(bl.g, a3.g) AS INT) AS g, CAST(coalesce(bl.b, a3.b) AS INT) AS b FROM a3 LEFT JOIN bl ON bl.image_id = a3.image_id AND bl.y = a3.y AND bl.x = a3.x")(lambda spark, sf_dir: pixels.augment(fx.pixels(spark, sf_dir)))
-QUERIES["p19_template_feature"] = lambda spark, sf_dir: pixels.template_feature(fx.pixels(spark, sf_dir), 12, 12)
+QUERIES["p19_template_feature"] = lambda spark, sf_dir: pipelines.template_features(_rasters(spark, sf_dir), 12, 12)
 _CH = fx.PIXELS + ", " + _AXIS.format(n="ax", src=24, dst=12) + ", " + _AXIS.format(n="ay", src=16, dst="(4 + s_suppkey % 9)") + """, c3 AS (SELECT image_id, y, x, unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS v FROM px),
 rx3 AS (SELECT g.image_id, c, y, d AS x, sum(v * k) AS v FROM c3 g JOIN axw w ON w.image_id = g.image_id AND w.s = g.x GROUP BY g.image_id, c, y, d),
 rs3 AS (SELECT g.image_id, c, d AS y, x, sum(v * k) AS v FROM rx3 g JOIN ayw w ON w.image_id = g.image_id AND w.s = g.y GROUP BY g.image_id, c, d, x),
@@ -333,7 +333,9 @@ _ST = "SELECT image_id, CAST(label // 100 AS INT) AS label_y, CAST(label % 100 A
 query("d3_component_stats", f"{_CC} {_ST} stats")(lambda spark, sf_dir: _flat_stats(_stats(spark, sf_dir)))
 query("d4_filter_components", f"{_CC} {_ST} stats WHERE score >= 0.6 AND (x1 - x0) * (y1 - y0) >= 6")(lambda spark, sf_dir: _flat_stats(detection.filter_components(_stats(spark, sf_dir))))
 query("d5_cap_candidates", f"{_CC} {_ST} (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY label) AS k FROM stats) WHERE k <= 3")(lambda spark, sf_dir: _flat_stats(detection.cap_candidates(_stats(spark, sf_dir), 3)))
-QUERIES["d6_min_area_rect"] = lambda spark, sf_dir: detection.min_area_rect(detection.label_runs(detection.binarize(_prob(spark, sf_dir)))).select("image_id", F.col("label.y").alias("label_y"), F.col("label.x0").alias("label_x"), g.quad_width(F.col("quad")).alias("w"), g.quad_height(F.col("quad")).alias("h"))
+# the least area of any angle has a side along two points of the component
+_LEAST = "dr AS (SELECT DISTINCT a.image_id, a.label, b.x - a.x AS dx, b.y - a.y AS dy FROM comp a JOIN comp b ON a.image_id = b.image_id AND a.label = b.label AND (b.x > a.x OR (b.x = a.x AND b.y > a.y))), ar AS (SELECT dr.image_id, dr.label, (max(x * dx + y * dy) - min(x * dx + y * dy)) * (max(y * dx - x * dy) - min(y * dx - x * dy)) / (dx * dx + dy * dy)::DOUBLE AS area FROM dr JOIN comp c ON c.image_id = dr.image_id AND c.label = dr.label GROUP BY dr.image_id, dr.label, dx, dy), la AS (SELECT stats.*, coalesce(least_area, 0.0) AS area FROM stats LEFT JOIN (SELECT image_id, label, min(area) AS least_area FROM ar GROUP BY image_id, label) USING (image_id, label))"
+query("d6_min_area_rect", f"{_CC}, {_LEAST} SELECT image_id, CAST(label // 100 AS INT) AS label_y, CAST(label % 100 AS INT) AS label_x, round(area, 6) AS area FROM la")(lambda spark, sf_dir: detection.min_area_rect(detection.label_runs(detection.binarize(_prob(spark, sf_dir)))).select("image_id", F.col("label.y").alias("label_y"), F.col("label.x0").alias("label_x"), F.round(g.quad_area(F.col("quad")), 6).alias("area")))
 
 
 def _meta(spark, sf_dir):
@@ -357,12 +359,12 @@ def d7(spark, sf_dir):
     return d.select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.top(F.col("quad")).alias("y0"), g.right(F.col("quad")).alias("x1"), g.bottom(F.col("quad")).alias("y1"), "det_conf")
 
 
+@query("d7_detect_rotated", f"{_CC}, {_LEAST}, k AS (SELECT image_id, label, score, row_number() OVER (PARTITION BY image_id ORDER BY label) AS n FROM la WHERE score >= 0.5 AND area >= 3.9) SELECT image_id AS page_id, score AS det_conf FROM k WHERE n <= 2")
 def d7_rotated(spark, sf_dir):
-    d = detection.detect_regions(_prob(spark, sf_dir), _meta(spark, sf_dir), 0.5, 0.5, 1.7, 4.0, rotated=True)
-    return d.select("page_id", "seq", *flat(F.col("quad")), "det_conf")
+    """Which components stay, by the area of their least box of any angle, of which two a page."""
+    return detection.detect_regions(_prob(spark, sf_dir), _meta(spark, sf_dir), 0.5, 0.5, 1.7, 3.9, 2, rotated=True).select("page_id", "det_conf")
 
 
-QUERIES["d7_detect_rotated"] = d7_rotated
 QUERIES["d8_detect_model_free"] = lambda spark, sf_dir: detection.detect_in_rasters(_rasters(spark, sf_dir), box_threshold=0.3, min_area=1.0).select("page_id", "seq", g.left(F.col("quad")).alias("x0"), g.top(F.col("quad")).alias("y0"), "det_conf")
 
 # recognition
@@ -580,11 +582,11 @@ def q2_tensors(spark, sf_dir):
 
 
 def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of suppliers: found without a model, read by the nearest of templates that part of the pages gives."""
-    px = fx.pixels(spark, sf_dir)
-    features = pixels.template_feature(px, 8, 8).select(F.col("image_id").alias("sample_id"), (F.col("image_id") % 5).cast("string").alias("label"), "feature")
-    read = pipelines.template_recognizer(checkpointed(recognition.train_templates(features)), 8, 8)
-    return pipelines.recognize_pages(px, read, 32, kernel="bilinear", box_threshold=0.3, min_area=1.0)[1]
+    """Pages of suppliers: found without a model, read by the nearest of templates that the pages give."""
+    images = _rasters(spark, sf_dir)
+    features = pipelines.template_features(images, 8, 8).select(F.col("image_id").alias("sample_id"), (F.col("image_id") % 5).cast("string").alias("label"), "feature")
+    read = pipelines.raster_template_recognizer(checkpointed(recognition.train_templates(features)), 8, 8)
+    return pipelines.recognize_rasters(images, read, 128, box_threshold=0.3, min_area=1.0)[1]
 
 
 QUERIES["q1_recognize_pages"] = q1

@@ -755,3 +755,58 @@ def test_clusters_pass_over_templates():
     angle = np.arccos(np.clip(c.rows[:1] @ c.centres.T, -1, 1))
     assert (np.cos(np.clip(angle - c.radius, 0, np.pi)) < 0.9).mean() > 0.9
     assert c.best(c.rows[:3])[1][1] == "1"
+
+
+GLYPHS = {"bar": ["######", "######", "......", "......"], "post": ["##....", "##....", "##....", "##...."], "step": ["##....", "####..", "######", "######"]}
+
+
+def drawn(text_rows, scale=4):
+    """A white page with glyphs in lines, and its pixels."""
+    page = np.full((40 * len(text_rows) + 20, 60 * max(map(len, text_rows)) + 40, 3), 255, np.uint8)
+    for y, row in enumerate(text_rows):
+        for x, name in enumerate(row):
+            if name:
+                mask = np.array([[c == "#" for c in line] for line in GLYPHS[name]]).repeat(scale, 0).repeat(scale, 1)
+                at = page[20 + 40 * y : 20 + 40 * y + mask.shape[0], 20 + 60 * x : 20 + 60 * x + mask.shape[1]]
+                at[mask] = 20
+    return page
+
+
+def test_pages_of_glyphs_are_read_in_order(spark):
+    """The whole job on drawn pages: what was drawn is what is read, line by line; by rasters and by pixel tables alike."""
+    pages = {1: [["bar", "step"], ["post", "bar"]], 2: [["step", "step", "bar"]], 3: [["post", ""], ["", "step"]]}
+    images = spark.createDataFrame([(i, p.shape[1], p.shape[0], bytearray(p.tobytes())) for i, p in ((i, drawn(rows)) for i, rows in pages.items())], rasters.RASTER)
+    params = {"box_threshold": 0.3, "min_area": 20.0, "unclip_ratio": 0.3}
+    boxes = detection.detect_in_rasters(images, 160, **params)
+    crops = pipelines.crop_rasters(images, boxes, 2.0).collect()
+    # templates from the glyphs where they were drawn
+    known = []
+    for i, rows in pages.items():
+        own = sorted((c for c in crops if c["page_id"] == i), key=lambda c: c["seq"])
+        names = [n for row in rows for n in row if n]
+        assert len(own) == len(names)
+        known += [(k, n, rasters.template_feature(rasters.array_of(c.asDict()), 16, 16).tolist()) for k, (c, n) in enumerate(zip(own, names, strict=True))]
+    model = recognition.train_templates(spark.createDataFrame(known, "sample_id long, label string, feature array<double>"))
+    regions, texts = pipelines.recognize_rasters(images, pipelines.raster_template_recognizer(model, 16, 16), 160, orientation_threshold=2.0, **params)
+    want = {i: [[n for n in row if n] for row in rows] for i, rows in pages.items()}
+    got = {r["page_id"]: [line for line in r["text"].split("\n") if line] for r in texts.collect()}
+    assert {i: [" ".join(row) for row in rows] for i, rows in want.items()} == got
+    px = spark.createDataFrame([(i, y, x, *map(int, v)) for i, rows in pages.items() for y, line in enumerate(drawn(rows)) for x, v in enumerate(line)], "image_id long, y int, x int, r int, g int, b int")
+    same = pipelines.recognize_pages(px, pipelines.template_recognizer(model, 16, 16), 160, orientation_threshold=2.0, **params)[1]
+    assert {r["page_id"]: r["text"] for r in same.collect()} == {r["page_id"]: r["text"] for r in texts.collect()}
+
+
+def test_cut_and_turned_crops_are_those_of_the_pixel_operators(spark):
+    quads = [[(8.3, 1.1), (16.3, 7.1), (10.3, 15.1), (2.3, 9.1)], [(-3.0, 2.0), (9.0, 2.5), (8.7, 30.0), (-3.3, 29.0)]]
+    q = spark.createDataFrame([(0, k, [(float(x), float(y)) for x, y in p], 24, 16) for k, p in enumerate(quads)], "image_id long, crop_id long, quad array<struct<x:double,y:double>>, page_w int, page_h int")
+    page = np.array(grid_of(0, 24, 16), np.uint8)
+    got = {}
+    for r in pixels.crop_rotated(pixel_table(spark, [0], 24, 16), q).collect():
+        got.setdefault(r["image_id"], {})[r["y"], r["x"]] = (r["r"], r["g"], r["b"])
+    for k, p in enumerate(quads):
+        assert {(y, x): tuple(map(int, v)) for y, row in enumerate(rasters.cut_rotated(page, p)) for x, v in enumerate(row)} == got[k]
+    px = pixel_table(spark, range(8), 9, 6)
+    names = spark.range(8).select(F.col("id").alias("image_id"), F.lit("Horizontal").alias("direction"))
+    for r in pixels.needs_rotation(pixels.to_gray(px), names, 0.02).collect():
+        sure, turn = rasters.upside_down(np.array(grid_of(r["image_id"], 9, 6), np.uint8), 0.02)
+        assert (r["confidence"], r["rotate"]) == (pytest.approx(sure, abs=1e-12), turn)
