@@ -234,8 +234,9 @@ def detect_in_rasters(images: DataFrame, size: int = 512, kernel: str = "triangl
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rasters.rows_of(b):
-                runs = _runs_of(model_free_probability(rasters.array_of(r), size, kernel), threshold)
-                yield from _box_table(r["image_id"], _boxes(*runs, box_threshold, min_area, max_candidates, rotated)).to_batches()
+                boxes = _boxes(*_runs_of(model_free_probability(rasters.array_of(r), size, kernel), threshold), box_threshold, min_area, max_candidates, rotated)
+                if boxes:
+                    yield from _box_table(r["image_id"], boxes).to_batches()
 
     boxes = images.select("image_id", "width", "height", "rgb").mapInArrow(found, _BOXES)
     return _placed(boxes, _plan_of(images.select("image_id", F.col("width").alias("src_w"), F.col("height").alias("src_h")), size), unclip_ratio)

@@ -47,6 +47,8 @@ def edits(a: str, b: str) -> int:
 
 #: Above this product of lengths, bit vectors are faster than Spark's own table of distances.
 LONG_PAIR = 10_000
+#: Above this one, pairs are dealt anew.
+DEALT_PAIR = 1_000
 
 
 def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -61,10 +63,12 @@ def eval_report(preds: DataFrame) -> DataFrame:
     p, t = strip(F.col("prediction")), strip(F.col("target"))
     d = preds.withColumns({"_p": p, "_t": t})
     product = F.char_length("_p").cast("long") * F.char_length("_t")
-    long = F.coalesce((F.col("_p") != F.col("_t")) & (product > LONG_PAIR), F.lit(False))
-    short = d.filter(~long).withColumn("distance", F.when(F.col("_p") == F.col("_t"), 0).otherwise(F.levenshtein("_p", "_t")))
-    far = d.filter(long).repartition(2 * d.sparkSession.sparkContext.defaultParallelism).withColumn("distance", F.pandas_udf(_distances, IntegerType())("_p", "_t"))
-    return short.unionByName(far).withColumns({"exact": F.col("_p") == F.col("_t"), "target_chars": F.char_length("_t")}).drop("_p", "_t")
+    costly = F.coalesce((F.col("_p") != F.col("_t")) & (product > DEALT_PAIR), F.lit(False))
+    here = d.filter(~costly).withColumn("distance", F.when(F.col("_p") == F.col("_t"), 0).otherwise(F.levenshtein("_p", "_t")))
+    dealt = d.filter(costly).repartition(4 * d.sparkSession.sparkContext.defaultParallelism)
+    long = F.pandas_udf(_distances, IntegerType())(F.when(product > LONG_PAIR, F.col("_p")), F.when(product > LONG_PAIR, F.col("_t")))
+    dealt = dealt.withColumn("distance", F.coalesce(long, F.levenshtein("_p", "_t")))
+    return here.unionByName(dealt).withColumns({"exact": F.col("_p") == F.col("_t"), "target_chars": F.char_length("_t")}).drop("_p", "_t")
 
 
 def line_accuracy(preds: DataFrame) -> DataFrame:

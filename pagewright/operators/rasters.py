@@ -10,6 +10,7 @@ array while it is worked on. Pixels that are not in the table do not exist for a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -35,18 +36,36 @@ def batch_of(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch; bytes are not copied."""
+    names = b.schema.names
+    plain = {n: b.column(n).to_pylist() for n in names if not pa.types.is_binary(b.schema.field(n).type)}
+    raw = {n: b.column(n) for n in names if n not in plain}
     for i in range(b.num_rows):
-        yield {name: b.column(k)[i].as_py() for k, name in enumerate(b.schema.names)}
+        yield {n: plain[n][i] if n in plain else memoryview(raw[n][i].as_buffer()) if raw[n][i].is_valid else None for n in names}
+
+
+def in_batches(ddl: str, rows: Iterator[tuple], size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about `size` bytes, or one row where that has more."""
+    held, n = [], 0
+    for r in rows:
+        held.append(r)
+        n += sum(len(v) for v in r if isinstance(v, bytes)) + 64
+        if n >= size:
+            yield batch_of(ddl, held)
+            held, n = [], 0
+    if held:
+        yield batch_of(ddl, held)
 
 
 def of_images(images: DataFrame) -> DataFrame:
     """Rasters of (image_id, width, height, n_channels, data) as images are read: BGR, BGRA or grey, row by row."""
+    def turned(r: dict) -> tuple:
+        px = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["n_channels"])
+        rgb = px[:, :, 2::-1] if r["n_channels"] >= 3 else np.repeat(px[:, :, :1], 3, axis=2)
+        return r["image_id"], r["width"], r["height"], rgb.tobytes()
+
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in rows_of(b):
-                px = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["n_channels"])
-                rgb = px[:, :, 2::-1] if r["n_channels"] >= 3 else np.repeat(px[:, :, :1], 3, axis=2)
-                yield batch_of(RASTER, [(r["image_id"], r["width"], r["height"], rgb.tobytes())])
+        yield from in_batches(RASTER, (turned(r) for b in batches for r in rows_of(b)))
 
     return images.filter("width > 0 and height > 0").select("image_id", "width", "height", "n_channels", "data").mapInArrow(turn, RASTER)
 
@@ -58,28 +77,42 @@ def array_of(r: dict) -> np.ndarray:
 
 def tiles(rasters: DataFrame, size: int = 512, halo: int = 1) -> DataFrame:
     """Tiles of rasters, cut where the images lie."""
+    def parts(r: dict) -> Iterator[tuple]:
+        px, w, h = array_of(r), r["width"], r["height"]
+        mean = sum(float(luma(px[y : y + 256]).sum()) for y in range(0, h, 256)) / (w * h)
+        for y in range(0, h, size):
+            for x in range(0, w, size):
+                n, m = min(size, h - y), min(size, w - x)
+                t, left = min(halo, y), min(halo, x)
+                part = px[y - t : y + n + halo, x - left : x + m + halo]
+                yield r["image_id"], w, h, y, x, n, m, t, left, *part.shape[:2], mean, part.tobytes()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in rows_of(b):
-                px, w, h = array_of(r), r["width"], r["height"]
-                mean = sum(float(luma(px[y : y + 256]).sum()) for y in range(0, h, 256)) / (w * h)
-                for y in range(0, h, size):
-                    for x in range(0, w, size):
-                        n, m = min(size, h - y), min(size, w - x)
-                        t, left = min(halo, y), min(halo, x)
-                        part = px[y - t : y + n + halo, x - left : x + m + halo]
-                        yield batch_of(TILE, [(r["image_id"], w, h, y, x, n, m, t, left, *part.shape[:2], mean, part.tobytes())])
+        yield from in_batches(TILE, (t for b in batches for r in rows_of(b) for t in parts(r)))
 
     return rasters.select("image_id", "width", "height", "rgb").mapInArrow(cut, TILE)
 
 
-def _pixels_of(image: int, y0: int, x0: int, values: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    h, w = values[0].shape
-    step = max(1, ROWS_AT_ONCE // w)
-    for y in range(0, h, step):
-        at = np.arange(min(step, h - y) * w, dtype=np.int32)
-        columns = [np.full(len(at), image, np.int64), at // w + np.int32(y0 + y), at % w + np.int32(x0), *(v[y : y + step].ravel() for v in values)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["image_id", "y", "x", *names])
+def _pixel_rows(parts: Iterator[tuple[int, int, int, list[np.ndarray]]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Pixel rows of (image_id, y0, x0, arrays), about ROWS_AT_ONCE at a time."""
+    held: list[list[np.ndarray]] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["image_id", "y", "x", *names])
+
+    n = 0
+    for image, y0, x0, values in parts:
+        h, w = values[0].shape
+        step = max(1, ROWS_AT_ONCE // w)
+        for y in range(0, h, step):
+            at = np.arange(min(step, h - y) * w, dtype=np.int32)
+            held.append([np.full(len(at), image, np.int64), at // w + np.int32(y0 + y), at % w + np.int32(x0), *(v[y : y + step].ravel() for v in values)])
+            n += len(at)
+            if n >= ROWS_AT_ONCE:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
 
 
 def tile_pixels(tiled: DataFrame, kernel: Callable[[np.ndarray, dict], list[np.ndarray]], values: str) -> DataFrame:
@@ -87,12 +120,12 @@ def tile_pixels(tiled: DataFrame, kernel: Callable[[np.ndarray, dict], list[np.n
     the tile's row, and returns an array of the same height and width for each value."""
     names = [v.split()[0] for v in values.split(", ")]
 
+    def part(r: dict) -> tuple:
+        t, left = r["top"], r["left"]
+        return r["image_id"], r["y0"], r["x0"], [v[t : t + r["n_rows"], left : left + r["n_cols"]] for v in kernel(array_of(r), r)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in rows_of(b):
-                t, left = r["top"], r["left"]
-                inner = [v[t : t + r["n_rows"], left : left + r["n_cols"]] for v in kernel(array_of(r), r)]
-                yield from _pixels_of(r["image_id"], r["y0"], r["x0"], inner, names)
+        yield from _pixel_rows((part(r) for b in batches for r in rows_of(b)), names)
 
     return tiled.mapInArrow(run, f"image_id long, y int, x int, {values}")
 
@@ -198,6 +231,7 @@ def augment(px: np.ndarray, have: np.ndarray, brightness: float = 0.15, contrast
     return box_blur(px, have, px.shape[1], px.shape[0]) if blur and u[3] > 0.7 else px
 
 
+@functools.lru_cache(maxsize=256)
 def axis_weights(src: int, dst: int, kernel: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
     """(dst, hi - lo): the share of source places lo to hi in each target place; as pixels.axis_weights."""
     hi = src if hi is None else hi
@@ -276,16 +310,17 @@ def upside_down(px: np.ndarray, threshold: float = 0.9) -> tuple[float, bool]:
 def resample(tiled: DataFrame, kernel: str = "bilinear") -> DataFrame:
     """image_id, y, x, v: the luma of tiles' images scaled to the columns dst_w and dst_h. A tile gives the block of
     target pixels that it has a share in; one exchange by image adds the blocks up."""
+    def block(r: dict) -> Iterator[tuple]:
+        v = luma(array_of(r))[r["top"] : r["top"] + r["n_rows"], r["left"] : r["left"] + r["n_cols"]]
+        along = axis_weights(r["width"], r["dst_w"], kernel, r["x0"], r["x0"] + r["n_cols"])
+        down = axis_weights(r["height"], r["dst_h"], kernel, r["y0"], r["y0"] + r["n_rows"])
+        xs, ys = (np.nonzero(m.any(axis=1))[0] for m in (along, down))
+        if len(xs) and len(ys):
+            found = down[ys[0] : ys[-1] + 1] @ (v @ along[xs[0] : xs[-1] + 1].T)
+            yield r["image_id"], r["dst_w"], r["dst_h"], int(ys[0]), int(xs[0]), *found.shape, found.tobytes()
+
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in rows_of(b):
-                v = luma(array_of(r))[r["top"] : r["top"] + r["n_rows"], r["left"] : r["left"] + r["n_cols"]]
-                along = axis_weights(r["width"], r["dst_w"], kernel, r["x0"], r["x0"] + r["n_cols"])
-                down = axis_weights(r["height"], r["dst_h"], kernel, r["y0"], r["y0"] + r["n_rows"])
-                xs, ys = (np.nonzero(m.any(axis=1))[0] for m in (along, down))
-                if len(xs) and len(ys):
-                    block = down[ys[0] : ys[-1] + 1] @ (v @ along[xs[0] : xs[-1] + 1].T)
-                    yield batch_of(_SHARE, [(r["image_id"], r["dst_w"], r["dst_h"], int(ys[0]), int(xs[0]), *block.shape, block.tobytes())])
+        yield from in_batches(_SHARE, (x for b in batches for r in rows_of(b) for x in block(r)))
 
     def whole(table: pa.Table) -> pa.Table:
         first = next(rows_of(table.slice(0, 1).to_batches()[0]))
@@ -293,7 +328,7 @@ def resample(tiled: DataFrame, kernel: str = "bilinear") -> DataFrame:
         for b in table.to_batches():
             for r in rows_of(b):
                 out[r["y"] : r["y"] + r["n"], r["x"] : r["x"] + r["m"]] += np.frombuffer(r["block"]).reshape(r["n"], r["m"])
-        return pa.Table.from_batches(list(_pixels_of(first["image_id"], 0, 0, [out], ["v"])))
+        return pa.Table.from_batches(list(_pixel_rows(iter([(first["image_id"], 0, 0, [out])]), ["v"])))
 
     return tiled.mapInArrow(share, _SHARE).groupBy("image_id").applyInArrow(whole, "image_id long, y int, x int, v double")
 

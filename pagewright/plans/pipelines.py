@@ -55,14 +55,14 @@ def apply_detector(images: DataFrame, fn: Callable[[np.ndarray], list[tuple]] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = ready(fn)
-        for b in batches:
-            rows: list[tuple] = []
-            for r in rasters.rows_of(b):
-                try:
-                    rows += [(r["image_id"], k, *map(float, box), None) for k, box in enumerate(call(rasters.array_of(r)))]
-                except Exception as failed:
-                    rows.append((r["image_id"], *[None] * 6, f"{type(failed).__name__}: {failed}"))
-            yield rasters.batch_of(_DETECTED, rows)
+
+        def found(r: dict) -> list[tuple]:
+            try:
+                return [(r["image_id"], k, *map(float, box), None) for k, box in enumerate(call(rasters.array_of(r)))]
+            except Exception as failed:
+                return [(r["image_id"], *[None] * 6, f"{type(failed).__name__}: {failed}")]
+
+        yield from rasters.in_batches(_DETECTED, (x for b in batches for r in rasters.rows_of(b) for x in found(r)))
 
     found = images.select("image_id", "width", "height", "rgb").mapInArrow(run, _DETECTED)
     boxes = found.filter("error is null").select("page_id", "seq", g.quad_from_rect(*[F.col(c) for c in "xywh"]).alias("quad"), "det_conf")
@@ -88,8 +88,8 @@ def recognize_pages(px: DataFrame, recognizer: Callable[[DataFrame], DataFrame],
     """(regions, texts) of page pixels: detect, drop the gutter, merge, crop, orient, recognise, assemble, lay out.
     recognizer takes crop pixels and returns crop_id, text, rec_conf; crops that it leaves out are dropped."""
     pages = pixels.sizes_of(px).select(F.col("image_id").alias("page_id"), F.col("src_w").cast("double").alias("page_w"), F.col("src_h").cast("double").alias("page_h"))
-    found = detection.detect_model_free(px, size, **params).join(pages.select("page_id", "page_w"), "page_id")
-    boxes = checkpointed(layout.merge_regions(found))
+    found = checkpointed(detection.detect_model_free(px, size, **params).join(pages.select("page_id", "page_w"), "page_id"))
+    boxes = checkpointed(layout.merge_regions(found))  # reads them several times
     named = boxes.withColumn("crop_id", crop_id(F.col("page_id"), F.col("seq")))
     crops = checkpointed(crop_table(px, boxes))
     direction = named.select(F.col("crop_id").alias("image_id"), g.text_direction(g.quad_width(F.col("quad")), g.quad_height(F.col("quad"))).alias("direction"))
@@ -116,19 +116,19 @@ def crop_rasters(images: DataFrame, boxes: DataFrame, orientation_threshold: flo
     pages = boxes.join(size, "page_id").groupBy("page_id").agg(F.collect_list(box).alias("boxes"))
     both = images.select("image_id", "width", "height", "rgb").join(pages, F.col("image_id") == F.col("page_id")).drop("page_id")
 
+    def crops(r: dict) -> Iterator[tuple]:
+        page = rasters.array_of(r)
+        for x in r["boxes"]:
+            if x["straight"] and not x["rect"]:
+                continue
+            c = x["rect"]
+            px = page[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] if c else rasters.cut_rotated(page, [(p["x"], p["y"]) for p in x["quad"]])
+            turn = x["direction"] == "Horizontal" and rasters.upside_down(px, orientation_threshold)[1]
+            px = px[::-1, ::-1] if turn else px
+            yield r["image_id"], x["seq"], x["direction"], turn, px.shape[1], px.shape[0], px.tobytes()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in rasters.rows_of(b):
-                page, rows = rasters.array_of(r), []
-                for x in r["boxes"]:
-                    if x["straight"] and not x["rect"]:
-                        continue
-                    c = x["rect"]
-                    px = page[c["y"] : c["y"] + c["h"], c["x"] : c["x"] + c["w"]] if c else rasters.cut_rotated(page, [(p["x"], p["y"]) for p in x["quad"]])
-                    turn = x["direction"] == "Horizontal" and rasters.upside_down(px, orientation_threshold)[1]
-                    px = px[::-1, ::-1] if turn else px
-                    rows.append((r["image_id"], x["seq"], x["direction"], turn, px.shape[1], px.shape[0], px.tobytes()))
-                yield rasters.batch_of(_CROPS, rows)
+        yield from rasters.in_batches(_CROPS, (x for b in batches for r in rasters.rows_of(b) for x in crops(r)))
 
     return both.mapInArrow(cut, _CROPS)
 
@@ -138,8 +138,8 @@ def recognize_rasters(images: DataFrame, recognizer: Callable[[DataFrame], DataF
     and crops are read where they are cut. recognizer takes crop rasters (crop_id, width, height, rgb) and returns crop_id,
     text, rec_conf."""
     pages = images.select(F.col("image_id").alias("page_id"), F.col("width").cast("double").alias("page_w"), F.col("height").cast("double").alias("page_h"))
-    found = detection.detect_in_rasters(images, size, **params).join(pages.select("page_id", "page_w"), "page_id")
-    boxes = checkpointed(layout.merge_regions(found))
+    found = checkpointed(detection.detect_in_rasters(images, size, **params).join(pages.select("page_id", "page_w"), "page_id"))
+    boxes = checkpointed(layout.merge_regions(found))  # reads them several times
     crops = checkpointed(crop_rasters(images, boxes, orientation_threshold))
     read = recognizer(crops.select(crop_id(F.col("page_id"), F.col("seq")).alias("crop_id"), "width", "height", "rgb"))
     named = boxes.withColumn("crop_id", crop_id(F.col("page_id"), F.col("seq")))

@@ -237,7 +237,7 @@ ORACLES["p1_denormalize"] = _PX + " SELECT image_id, y, x, round(r / 255.0::DOUB
 query("p2_gray", f"{_PX} SELECT * FROM gray")(_gray)
 query("p3_background", f"{_PX} SELECT image_id, avg(v) > 0.5 AS is_light, CAST(floor(sum(round(v * 255)) / count(*)) AS INT) AS luma FROM gray GROUP BY image_id")(lambda spark, sf_dir: pixels.background(_gray(spark, sf_dir)))
 _rasters = lambda spark, sf_dir: rasters.of_images(fx.images(spark, sf_dir))
-_tiles = lambda spark, sf_dir: rasters.tiles(_rasters(spark, sf_dir), 7)
+_tiles = lambda spark, sf_dir: rasters.tiles(_rasters(spark, sf_dir), 16)
 query("p4_ink", f"{_PX} SELECT image_id, y, x, least(greatest(CASE WHEN avg(v) OVER (PARTITION BY image_id) > 0.5 THEN 1 - v ELSE v END, 0.0), 1.0) AS v FROM gray")(lambda spark, sf_dir: rasters.tile_pixels(_tiles(spark, sf_dir), lambda px, r: [rasters.ink(rasters.luma(px), r["mean"])], "v double"))
 
 
