@@ -15,7 +15,8 @@ sixteenth of those seated, by a binomial with the probability at the block's sta
 Scale: pairs are dealt into shards of about SHARD_TOKENS tokens by context. A task sums the pairs of its batch, and
 what is shuffled is one packed, compressed row of each batch for each shard, so neither tokens nor pairs are Spark
 rows. A shard has its contexts whole, so seats need no other shard; contexts that a sample of texts finds often are
-spread over several shards by word, and their totals, one small row from each such shard, are summed by Spark. Words
+spread over several shards by word; after each sweep Spark sums their tables over the shards, one small row from each,
+and the next sweep starts from the sum, as it does for a context that is whole in its shard. Words
 are dealt into shards of their own, which get each context shard's part of their counts and answer with probabilities;
 those of the HEAVY_WORDS most frequent are broadcast instead. Pairs that occur once, in training texts only, are
 not stored: a pair of a text that is not found is one of these. Draws depend on shard and seed alone and packed rows
@@ -51,7 +52,7 @@ STRENGTH, ROOT_STRENGTH = 1.0, 10.0
 SEED = 11
 #: Rows of packed arrays: kind, the shard they go to, the shard they come from. Shards read them in order of kind.
 PACKED = "kind int, shard int, source int, payload binary"
-CONTEXTS, PAIRS, WORDS, ANSWERS, MORE, QUERIES = 0, 1, 2, 3, 4, 5
+CONTEXTS, PAIRS, WORDS, ANSWERS, MORE, QUERIES, APART = 0, 1, 2, 3, 4, 5, 6
 CHUNK = 250_000
 #: No word has a space, so no word has this hash.
 END = np.uint64(xxhash.xxh64_intdigest(" end"))
@@ -498,10 +499,27 @@ class Hot:
         return c, t, there
 
 
+def _with_tables(u: np.ndarray, n: np.ndarray, w: np.ndarray, c: np.ndarray, t: np.ndarray) -> bytes:
+    """PAIRS of seats: key, count, mean tables."""
+    key = pair_keys(np.repeat(u, n), w)
+    order = np.argsort(key)
+    return pack(key[order], c[order], t[order].astype(np.float32))
+
+
+def _more_tables(w: np.ndarray, t: np.ndarray, shard: int, shards: Shards) -> list[tuple]:
+    """MORE rows: tables beyond the first, by word."""
+    more = np.nonzero(t > 1)[0]
+    words, extra = summed(w[more], (t[more] - 1).astype(np.int64))
+    place = np.argsort(shards.of_words(words), kind="stable")
+    words, extra = words[place], extra[place]
+    return [(MORE, s, shard, pack(words[i:j], np.zeros(j - i, np.int64), extra[i:j])) for s, i, j in _parts(shards.of_words(words))]
+
+
 def sampled(found: DataFrame, answers: DataFrame, frequent: Frequent, hot: Hot, discount: float, shards: Shards, sweeps: int, burn_in: int) -> DataFrame:
     """Packed rows after the sweeps: CONTEXTS (context, customers, mean tables), PAIRS (key, count, mean tables) and, for
-    the shards of words, MORE (word, 0, tables beyond the first). Contexts that are spread take their tables of the
-    sweep before as they were at the start."""
+    the shards of words, MORE (word, 0, tables beyond the first). Of contexts that are spread over shards, APART
+    (shard and chunk, context, word, count, root probability of pairs with several customers) instead, for `sampled_apart`,
+    and CONTEXTS with a table for each pair."""
     shared = found.sparkSession.sparkContext.broadcast(frequent)
 
     def make(shard: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -514,12 +532,16 @@ def sampled(found: DataFrame, answers: DataFrame, frequent: Frequent, hot: Hot,
             elif kind == ANSWERS:
                 known.add(payload)
         known.sort()
-        _, tables, spread = hot.over(u, customers, d)
-        mean, n_mean = np.zeros(len(u)), sweeps - burn_in
+        spread = np.isin(u, hot.u)
+        tables, mean, n_mean = d.astype(np.float64), np.where(spread, d, 0.0), sweeps - burn_in
         context, w, c, p = [], [], [], []
-        for payload in chunks:
+        for i, payload in enumerate(chunks):
             _, uu, n, ww, cc = unpack(payload, _PAIR_KINDS)
-            multi = cc > 1
+            apart = np.repeat(np.isin(uu, hot.u), n)
+            if apart.any():
+                own, of = np.isin(uu, hot.u), cc[apart] > 1
+                yield packed_rows([(APART, shard, i, pack(np.array([shard, i]), uu[own], n[own], ww[apart], cc[apart], known.of(ww[apart][of])[1].astype(np.float32)))])
+            multi = (cc > 1) & ~apart
             context.append(np.repeat(looked_up(u, uu)[0], n)[multi])
             w.append(ww[multi])
             c.append(cc[multi])
@@ -528,32 +550,69 @@ def sampled(found: DataFrame, answers: DataFrame, frequent: Frequent, hot: Hot,
         rng, t_mean, t = np.random.default_rng([SEED, 2, shard]), np.zeros(len(c)), np.ones(len(c))
         for sweep in range(sweeps):
             t = seat(c, (STRENGTH + discount * tables[context]) * p, discount, rng)
-            now = d + np.bincount(context, t - 1, len(u))
-            tables = np.where(spread, tables, now)
+            tables = d + np.bincount(context, t - 1, len(u))
             if sweep >= burn_in:
                 t_mean += t / n_mean
-                mean += now / n_mean
+                mean += np.where(spread, 0.0, tables / n_mean)
         yield packed_rows([(CONTEXTS, shard, 0, pack(u, customers, mean))])
         done = 0
         for i, payload in enumerate(chunks):
             _, uu, n, ww, cc = unpack(payload, _PAIR_KINDS)
-            tt = np.minimum(cc, 1).astype(np.float64)
-            multi = np.nonzero(cc > 1)[0]
+            own = ~np.isin(uu, hot.u)
+            here = np.repeat(own, n)
+            cc = cc[here]
+            tt, multi = np.minimum(cc, 1).astype(np.float64), np.nonzero(cc > 1)[0]
             tt[multi] = t_mean[done : done + len(multi)]
             done += len(multi)
-            key = pair_keys(np.repeat(uu, n), ww)
-            order = np.argsort(key)
-            yield packed_rows([(PAIRS, shard, i, pack(key[order], cc[order], tt[order].astype(np.float32)))])
-        more = np.nonzero(t > 1)[0]
-        words, extra = summed(w[more], (t[more] - 1).astype(np.int64))
-        place = np.argsort(shards.of_words(words), kind="stable")
-        words, extra = words[place], extra[place]
-        yield packed_rows([(MORE, s, shard, pack(words[i:j], np.zeros(j - i, np.int64), extra[i:j])) for s, i, j in _parts(shards.of_words(words))])
+            yield packed_rows([(PAIRS, shard, i, _with_tables(uu[own], n[own], ww[here], cc, tt))])
+        yield packed_rows(_more_tables(w, t, shard, shards))
 
     parts = found.filter(F.col("kind").isin(CONTEXTS, PAIRS)).unionByName(answers.filter(F.col("kind") == ANSWERS))
     return materialize(by_shard(parts, shards.count, make, PACKED))
 
 
+def sampled_apart(seats: DataFrame, hot: Hot, discount: float, shards: Shards, sweeps: int, burn_in: int) -> DataFrame | None:
+    """The same rows for contexts that are spread over shards, from APART. A sweep draws where the pairs are, and its
+    tables are summed before the next one, so what is drawn depends on the totals just as in a context of one shard.
+    Draws depend on shard, chunk and sweep alone; the last pass draws all sweeps again rather than storing them."""
+    if not len(hot.u):
+        return None
+    apart, totals = seats.filter(F.col("kind") == APART), [hot.tables]
+
+    def drawn(payload: bytes, sweep: int) -> tuple[np.ndarray, ...]:
+        at, u, n, w, c, p = unpack(payload, "i8 u8 u4 u8 i8 f4")
+        context, multi = np.repeat(looked_up(hot.u, u)[0], n), c > 1
+        rng = np.random.default_rng([SEED, 3, int(at[0]), int(at[1]), sweep])
+        t = np.ones(len(c))
+        t[multi] = seat(c[multi], (STRENGTH + discount * totals[sweep][context[multi]]) * p.astype(np.float64), discount, rng)
+        return u, n, w, c, context, t
+
+    def beyond(sweep: int) -> Callable[[int, bytes], np.ndarray]:
+        def of(_: int, payload: bytes) -> np.ndarray:
+            *_, context, t = drawn(payload, sweep)
+            return np.bincount(context, t - 1, len(hot.u))
+
+        return of
+
+    for sweep in range(sweeps - 1):
+        totals.append(hot.tables + _sums(apart, beyond(sweep), len(hot.u)))  # a number for each context, of a pass over its pairs
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 64):
+            for shard, chunk, payload in zip(b.column("shard").to_pylist(), b.column("source").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                mean = 0.0
+                for sweep in range(sweeps):
+                    u, n, w, c, context, t = drawn(payload, sweep)
+                    mean = mean + (t if sweep >= burn_in else 0.0)
+                mean = mean / (sweeps - burn_in)
+                mean[c == 0] = 0.0
+                own, extra = summed(hot.u[context[c > 1]], mean[c > 1] - 1)
+                rows = [(CONTEXTS, shard, 0, pack(own, np.zeros(len(own), np.int64), extra)), (PAIRS, shard, chunk, _with_tables(u, n, w, c, mean))]
+                yield packed_rows(rows + _more_tables(w[c > 1], t[c > 1], shard, shards))
+
+    return materialize(apart.mapInArrow(made, PACKED))
+
+
 @dataclass
 class Model:
     """What scoring needs: CONTEXTS and PAIRS of `seats`, ANSWERS of `answers`, words that are broadcast, totals."""
@@ -583,6 +642,8 @@ def learn(texts: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, heavy:
     start = Hot.collected(_as_tables(found), shards)
     seats = sampled(found, answers, Frequent.collected(answers), start, discount, shards, sweeps, burn_in)
     discard(words, answers)
+    if (apart := sampled_apart(seats, start, discount, shards, sweeps, burn_in)) is not None:
+        seats = seats.filter(F.col("kind") != APART).unionByName(apart)
     words = words_of(parts.unionByName(seats.filter(F.col("kind") == MORE)), shards)
     root = fit_root(words, heavy, 1)
     answers = answered(words, parts, root, shards)
@@ -650,12 +711,12 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
 
     def make(shard: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         known, parts, ready = Answers(shared.value), [[np.empty(0, k)] for k in ("u8", "i8", "f4")], False
-        u, customers, tables = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
-        key = c = t = None
+        contexts = [[np.empty(0, k)] for k in ("u8", "i8", "f8")]
+        u = customers = tables = key = c = t = None
         for kind, source, payload in rows:
             if kind == CONTEXTS:
-                u, customers, tables = unpack(payload, "u8 i8 f8")
-                customers, tables, _ = hot.over(u, customers, tables)
+                for part, x in zip(contexts, unpack(payload, "u8 i8 f8"), strict=True):
+                    part.append(x)
             elif kind == PAIRS:
                 for part, x in zip(parts, unpack(payload, "u8 i8 f4"), strict=True):
                     part.append(x)
@@ -664,6 +725,8 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
             elif kind == QUERIES:
                 if not ready:
                     known.sort()
+                    u, customers, tables = summed(*(np.concatenate(x) for x in contexts))
+                    customers, tables, _ = hot.over(u, customers, tables)
                     key, c, t = (np.concatenate(x) for x in parts)
                     order = np.argsort(key)
                     key, c, t, ready = key[order], c[order], t[order].astype(np.float64), True
@@ -692,7 +755,7 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
         base = np.log10((wc + 1) / (root.n + root.v + 1))
         starts = np.cumsum(per) - per
         add = lambda x: np.add.reduceat(x[local], starts, dtype=np.int64 if x.dtype == bool else None)
-        return pack(ids, row, null, per.astype(np.uint32), add(wc > 0).astype(np.uint32), add(qw == END).astype(np.uint32), add(base), add(log_p).astype(np.float32))
+        return pack(ids, row, null, per.astype(np.uint32), add(wc > 0).astype(np.uint32), add(qw == END).astype(np.uint32), add(base), add(log_p))
 
     parts = model.seats.filter(F.col("kind").isin(CONTEXTS, PAIRS)), model.answers.filter(F.col("kind") == ANSWERS), asked
     return by_shard(reduce(DataFrame.unionByName, parts), model.shards.count, make, PACKED)
@@ -704,7 +767,7 @@ SUMS = "doc_id long, row long, n_tokens long, n_known long, copies long, base do
 def document_sums(answers: DataFrame, shards: Shards) -> DataFrame:
     """SUMS of each document, over all shards. Documents of one batch, and so of one home, are one row each."""
     def make(_: int, rows: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(x) for x in zip(*(unpack(p, "i8 i8 u1 u4 u4 u4 f8 f4") for _, _, p in rows), strict=True)]
+        cols = [np.concatenate(x) for x in zip(*(unpack(p, "i8 i8 u1 u4 u4 u4 f8 f8") for _, _, p in rows), strict=True)]
         order = np.lexsort((cols[0], cols[2], cols[1]))
         ids, row, null = (cols[i][order] for i in range(3))
         starts = np.nonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (row[1:] != row[:-1]) | (null[1:] != null[:-1])]))[0]

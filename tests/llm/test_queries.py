@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.llm import decontamination, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, url_filters
 from pagewright.llm.queries import ORACLES, QUERIES
@@ -255,6 +256,22 @@ def test_scores_against_brute_force_given_seats(spark, bits, hot):
     assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-5)
 
 
+def test_contexts_over_several_shards_are_seated_as_in_one(spark):
+    """Totals of contexts that are spread follow the sweeps: the same tables, within sampling error, as in one shard."""
+    import numpy as np
+    import xxhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("text", F.lit(True).alias("learn"))
+    common = [r["w"] for r in docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(3).collect()]
+    u = np.sort(np.array([lm_scoring.END, *[xxhash.xxh64_intdigest(w) for w in common]], np.uint64))
+    none = np.empty(0, np.uint64)
+    one = seatings(lm_scoring.learn(docs, shards=lm_scoring.Shards(0, none, none)))[0]
+    apart = seatings(lm_scoring.learn(docs, shards=lm_scoring.Shards(2, u, np.full(len(u), 4, np.uint64))))[0]
+    for context in u.tolist():
+        assert one[context] > 50
+        assert apart[context] == pytest.approx(one[context], rel=0.03, abs=4)
+
+
 def test_seats_are_those_of_the_restaurant():
     import numpy as np
 
