@@ -219,25 +219,26 @@ def _slots(lines: Column) -> Column:
     return let(_pitch(lines), lambda p: let(_blanks(lines, p, 32.0, 1.0), lambda blanks: F.flatten(F.transform(lines, lambda x, i: behind(x, i, F.get(blanks, i))))))
 
 
+def _most_voted(numbers: np.ndarray, lines: int) -> int | None:
+    """The start that most numbers vote for. numbers: that of each slot, or nan; a number's vote is itself less its slot.
+    Exact matches of a start are its votes, near ones also those beside it: look-ups in one sorted histogram."""
+    slot = np.nonzero(~np.isnan(numbers))[0]
+    if len(slot) < 3 or not (len(numbers) > lines or numbers[slot].max() > lines + 2):
+        return None
+    start, first, exact = np.unique(numbers[slot].astype(np.int64) - slot, return_index=True, return_counts=True)
+    beside = np.diff(start) == 1
+    near = exact.copy()
+    near[1:] += np.where(beside, exact[:-1], 0)
+    near[:-1] += np.where(beside, exact[1:], 0)
+    fits = np.nonzero((start >= 0) & (exact >= 3))[0].tolist()
+    best = max(fits, key=lambda i: (exact[i], near[i], -slot[first[i]]), default=None)
+    return None if best is None else int(start[best])
+
+
 @F.arrow_udf(LongType())
 def _voted(numbers: pa.Array, lines: pa.Array) -> pa.Array:
-    """The start that most numbers vote for. numbers: that of each slot or null; a number's vote is itself less its
-    slot, exact matches of a start are its votes, near ones also those beside it: three look-ups in one histogram."""
-    out: list[int | None] = []
-    for n, n_lines in zip(numbers, lines, strict=True):
-        found = n.values.to_numpy(zero_copy_only=False).astype(float)
-        slot = np.nonzero(~np.isnan(found))[0]
-        vote = found[slot].astype(np.int64) - slot
-        start, first, exact = np.unique(vote, return_index=True, return_counts=True)
-        at = lambda v: np.where((k := np.searchsorted(start, v)) < len(start), (start[np.minimum(k, len(start) - 1)] == v) * exact[np.minimum(k, len(start) - 1)], 0)  # noqa: B023, E731
-        if len(slot) < 3 or not (len(found) > n_lines.as_py() or found[slot].max() > n_lines.as_py() + 2):
-            out.append(None)
-            continue
-        near = exact + at(start - 1) + at(start + 1)
-        fits = np.nonzero((start >= 0) & (exact >= 3))[0]
-        best = max(fits.tolist(), key=lambda i: (exact[i], near[i], -slot[first[i]]), default=None)  # noqa: B023
-        out.append(None if best is None else int(start[best]))
-    return pa.array(out, pa.int64())
+    pages = zip(numbers, lines.to_pylist(), strict=True)
+    return pa.array([_most_voted(n.values.to_numpy(zero_copy_only=False).astype(float), k) for n, k in pages], pa.int64())
 
 
 def _start(slots: Column) -> Column:

@@ -410,7 +410,7 @@ def j9(spark, sf_dir):
 
 _CJ = f"WITH {fx.IDEOGRAPHS}"
 query("t9_display_width", f"{_CJ} SELECT key, CAST(length(text) + 2 AS INT) AS width FROM cj")(lambda spark, sf_dir: fx.ideographs(spark, sf_dir).select("key", t.display_width(F.col("text")).alias("width")))
-query("t14_cjk_score", f"{_CJ} SELECT key, 2 AS score FROM cj")(lambda spark, sf_dir: fx.ideographs(spark, sf_dir).select("key", t.cjk_score(F.col("text")).alias("score")))
+query("t14_cjk_score", f"{_CJ} SELECT key, CAST(2 * (key % 4) AS INT) AS score FROM cj")(lambda spark, sf_dir: fx.ideographs(spark, sf_dir).select("key", t.cjk_score(F.concat("name", F.repeat("good", (F.col("key") % 4).cast("int")), F.lit("é〜"))).alias("score")))
 
 
 @query("t13_repair_mojibake", f"{_CJ} SELECT key, text AS repaired FROM cj")
