@@ -238,7 +238,7 @@ def detect_in_rasters(images: DataFrame, size: int = 512, kernel: str = "triangl
                 if boxes:
                     yield from _box_table(r["image_id"], boxes).to_batches()
 
-    boxes = images.select("image_id", "width", "height", "rgb").mapInArrow(found, _BOXES)
+    boxes = rasters.mapped(images.select("image_id", "width", "height", "rgb"), found, _BOXES)
     return _placed(boxes, _plan_of(images.select("image_id", F.col("width").alias("src_w"), F.col("height").alias("src_h")), size), unclip_ratio)
 
 

@@ -39,7 +39,7 @@ def to_pixels(images: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i.as_py(), np.int64)), pa.array(y + np.int32(top)), pa.array(x), *map(pa.array, bgr)], names=["image_id", "y", "x", *CHANNELS])
 
     slim = images.filter("width > 0 and height > 0").select("image_id", "width", "height", "n_channels", "data")
-    return slim.mapInArrow(unpack, "image_id long, y int, x int, r int, g int, b int")
+    return rasters.mapped(slim, unpack, "image_id long, y int, x int, r int, g int, b int")
 
 
 def normalize_px(px: DataFrame, mean: tuple = DETECTION_MEAN, std: tuple = DETECTION_STD) -> DataFrame:

@@ -57,6 +57,19 @@ def in_batches(ddl: str, rows: Iterator[tuple], size: int = 4_000_000) -> Iterat
         yield batch_of(ddl, held)
 
 
+#: Bytes of a batch of images that a worker is given; rows alone would bound it only for small images.
+BATCH_BYTES = 64_000_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow for rows that hold images. Batches are bounded by bytes; a session that sets its own bound keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, None) is None:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def of_images(images: DataFrame) -> DataFrame:
     """Rasters of (image_id, width, height, n_channels, data) as images are read: BGR, BGRA or grey, row by row."""
     def turned(r: dict) -> tuple:
@@ -67,7 +80,8 @@ def of_images(images: DataFrame) -> DataFrame:
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(RASTER, (turned(r) for b in batches for r in rows_of(b)))
 
-    return images.filter("width > 0 and height > 0").select("image_id", "width", "height", "n_channels", "data").mapInArrow(turn, RASTER)
+    slim = images.filter("width > 0 and height > 0").select("image_id", "width", "height", "n_channels", "data")
+    return mapped(slim, turn, RASTER)
 
 
 def array_of(r: dict) -> np.ndarray:
@@ -90,7 +104,7 @@ def tiles(rasters: DataFrame, size: int = 512, halo: int = 1) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(TILE, (t for b in batches for r in rows_of(b) for t in parts(r)))
 
-    return rasters.select("image_id", "width", "height", "rgb").mapInArrow(cut, TILE)
+    return mapped(rasters.select("image_id", "width", "height", "rgb"), cut, TILE)
 
 
 def _pixel_rows(parts: Iterator[tuple[int, int, int, list[np.ndarray]]], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +141,7 @@ def tile_pixels(tiled: DataFrame, kernel: Callable[[np.ndarray, dict], list[np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _pixel_rows((part(r) for b in batches for r in rows_of(b)), names)
 
-    return tiled.mapInArrow(run, f"image_id long, y int, x int, {values}")
+    return mapped(tiled, run, f"image_id long, y int, x int, {values}")
 
 
 def by_image(px: DataFrame, columns: tuple, kernel: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], values: str) -> DataFrame:
@@ -231,12 +245,10 @@ def augment(px: np.ndarray, have: np.ndarray, brightness: float = 0.15, contrast
     return box_blur(px, have, px.shape[1], px.shape[0]) if blur and u[3] > 0.7 else px
 
 
-@functools.lru_cache(maxsize=256)
-def axis_weights(src: int, dst: int, kernel: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
-    """(dst, hi - lo): the share of source places lo to hi in each target place; as pixels.axis_weights."""
-    hi = src if hi is None else hi
-    d = np.arange(dst)
-    at = (d + 0.5) * (src / dst) - 0.5
+@functools.lru_cache(maxsize=64)
+def _taps(src: int, dst: int, kernel: str) -> tuple[np.ndarray, np.ndarray]:
+    """(dst, n) source places of each target place, and their shares; as pixels.axis_weights has them."""
+    at = (np.arange(dst) + 0.5) * (src / dst) - 0.5
     if kernel == "bilinear":
         s0 = np.clip(np.floor(at), 0, src - 1)
         w1 = np.clip(at - s0, 0.0, 1.0)
@@ -247,18 +259,32 @@ def axis_weights(src: int, dst: int, kernel: str, lo: int = 0, hi: int | None =
         taps = first[:, None] + np.arange(math.ceil(2 * wide * support) + 2)
         off = np.abs((taps - at[:, None]) / wide)
         weights = np.maximum(1.0 - off, 0.0) if kernel == "triangle" else np.where(off >= 3, 0.0, np.sinc(off) * np.sinc(off / 3))
-        weights = np.where((taps <= np.minimum(np.floor(at + wide * support), src - 1)[:, None]), weights, 0.0)
-    weights = weights / weights.sum(axis=1, keepdims=True)
-    out = np.zeros((dst, hi - lo))
-    inside = (taps >= lo) & (taps < hi)
-    np.add.at(out, (np.repeat(d, taps.shape[1]).reshape(taps.shape)[inside], taps[inside].astype(np.int64) - lo), weights[inside])
+        weights = np.where(taps <= np.minimum(np.floor(at + wide * support), src - 1)[:, None], weights, 0.0)
+    used = (weights != 0).any(axis=0)
+    return np.minimum(taps, src - 1).astype(np.int64)[:, used], (weights / weights.sum(axis=1, keepdims=True))[:, used]
+
+
+def axis_weights(src: int, dst: int, kernel: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """(dst, hi - lo): the share of source places lo to hi in each target place."""
+    taps, weights = _taps(src, dst, kernel)
+    hi = src if hi is None else hi
+    out, inside = np.zeros((dst, hi - lo)), (taps >= lo) & (taps < hi)
+    np.add.at(out, (np.nonzero(inside)[0], taps[inside] - lo), weights[inside])
+    return out
+
+
+def _along(px: np.ndarray, dst: int, kernel: str) -> np.ndarray:
+    """(rows, dst, channels) of (rows, src, channels): a sum over taps, so the work grows with the larger side only."""
+    taps, weights = _taps(px.shape[1], dst, kernel)
+    out = np.zeros((px.shape[0], dst, px.shape[2]))
+    for k in range(taps.shape[1]):
+        out += px[:, taps[:, k]] * weights[:, k, None]
     return out
 
 
 def scaled(px: np.ndarray, w: int, h: int, kernel: str = "triangle") -> np.ndarray:
     """(h, w, channels) of an array, along x, then along y."""
-    wide = np.einsum("dx,yxc->ydc", axis_weights(px.shape[1], w, kernel), px)
-    return np.einsum("ey,ydc->edc", axis_weights(px.shape[0], h, kernel), wide)
+    return np.swapaxes(_along(np.swapaxes(_along(px, w, kernel), 0, 1), h, kernel), 0, 1)
 
 
 def recognition_input(px: np.ndarray, width: int, height: int = 48) -> np.ndarray:
@@ -330,7 +356,7 @@ def resample(tiled: DataFrame, kernel: str = "bilinear") -> DataFrame:
                 out[r["y"] : r["y"] + r["n"], r["x"] : r["x"] + r["m"]] += np.frombuffer(r["block"]).reshape(r["n"], r["m"])
         return pa.Table.from_batches(list(_pixel_rows(iter([(first["image_id"], 0, 0, [out])]), ["v"])))
 
-    return tiled.mapInArrow(share, _SHARE).groupBy("image_id").applyInArrow(whole, "image_id long, y int, x int, v double")
+    return mapped(tiled, share, _SHARE).groupBy("image_id").applyInArrow(whole, "image_id long, y int, x int, v double")
 
 
 _SHARE = "image_id long, dst_w int, dst_h int, y int, x int, n int, m int, block binary"

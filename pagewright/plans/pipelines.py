@@ -64,7 +64,7 @@ def apply_detector(images: DataFrame, fn: Callable[[np.ndarray], list[tuple]] |
 
         yield from rasters.in_batches(_DETECTED, (x for b in batches for r in rasters.rows_of(b) for x in found(r)))
 
-    found = images.select("image_id", "width", "height", "rgb").mapInArrow(run, _DETECTED)
+    found = rasters.mapped(images.select("image_id", "width", "height", "rgb"), run, _DETECTED)
     boxes = found.filter("error is null").select("page_id", "seq", g.quad_from_rect(*[F.col(c) for c in "xywh"]).alias("quad"), "det_conf")
     return boxes, found.filter("error is not null").select("page_id", "error")
 
@@ -130,7 +130,7 @@ def crop_rasters(images: DataFrame, boxes: DataFrame, orientation_threshold: flo
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rasters.in_batches(_CROPS, (x for b in batches for r in rasters.rows_of(b) for x in crops(r)))
 
-    return both.mapInArrow(cut, _CROPS)
+    return rasters.mapped(both, cut, _CROPS)
 
 
 def recognize_rasters(images: DataFrame, recognizer: Callable[[DataFrame], DataFrame], size: int = 512, orientation_threshold: float = 0.9, score_threshold: float = 0.0, **params) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +164,7 @@ def template_features(images: DataFrame, w: int = 32, h: int = 32) -> DataFrame:
             found = [(r["image_id"], rasters.template_feature(rasters.array_of(r), w, h)) for r in rasters.rows_of(b)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([f for _, f in found], pa.list_(pa.float64()))], names=["image_id", "feature"])
 
-    return images.select("image_id", "width", "height", "rgb").mapInArrow(made, "image_id long, feature array<double>")
+    return rasters.mapped(images.select("image_id", "width", "height", "rgb"), made, "image_id long, feature array<double>")
 
 
 def template_recognizer(templates: DataFrame, w: int = 32, h: int = 32, threshold: float = recognition.TEMPLATE_THRESHOLD) -> Callable[[DataFrame], DataFrame]:
@@ -230,7 +230,7 @@ def training_tensors(samples: DataFrame, images: DataFrame, char_dict: DataFrame
         if held:
             yield row()
 
-    return dealt.mapInArrow(pack, TENSORS)
+    return rasters.mapped(dealt, pack, TENSORS)
 
 
 def prepare_dataset(annotations: DataFrame, sizes: DataFrame, char_dict: DataFrame, split: str = "train", least: int = 1) -> DataFrame:
