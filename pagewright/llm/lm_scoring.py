@@ -64,15 +64,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, hash of the token before it, tokens of each text)."""
+    """(hashes of the distinct tokens, sorted; the place of each token among them; tokens of each text). The token before
+    the first is the last one, an end."""
     known, at, counts = coded_words(texts, lower=True)
+    distinct, code = _distinct(np.append(known, END))
     n = counts + 1
-    place = np.full(len(at) + len(counts), len(known), np.int64)
+    place = np.full(len(at) + len(counts), code[-1], np.int64)
     inner = np.ones(len(place), bool)
     inner[np.cumsum(n) - 1] = False
-    place[inner] = at
-    word = np.append(known, END)[place]
-    return word, np.concatenate([word[-1:], word[:-1]]), n  # the last token is an end
+    place[inner] = code[at]
+    return distinct, place, n
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values, sorted; the place of each value among them)."""
+    order = np.argsort(h)
+    new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    code = np.empty(len(h), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return h[order[new]], code
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -113,12 +123,15 @@ class Shards:
     def of_words(self, word: np.ndarray) -> np.ndarray:
         return (mixed(word ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.count)).astype(np.int32)
 
-    def of_pairs(self, before: np.ndarray, key: np.ndarray) -> np.ndarray:
-        home = mixed(before) % np.uint64(self.count)
+    def of_pairs(self, contexts: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The shards of pairs, whose contexts are contexts[context]. What depends on the context alone is found once for
+        each of them."""
+        home = (mixed(contexts) % np.uint64(self.count))[context]
         if len(self.hot):
-            slot = np.minimum(np.searchsorted(self.hot, before), len(self.hot) - 1)
-            own = self.hot[slot] == before
-            home[own] = (home[own] + (key[own] >> np.uint64(20)) % self.spread[slot[own]]) % np.uint64(self.count)
+            slot, hot = looked_up(self.hot, contexts)
+            own = np.nonzero(hot[context])[0]
+            of = context[own]
+            home[own] = (home[own] + (pair_keys(contexts[of], word[own]) >> np.uint64(20)) % self.spread[slot[of]]) % np.uint64(self.count)
         return home.astype(np.int32)
 
 
@@ -132,8 +145,8 @@ def plan(docs: DataFrame) -> Shards:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            u, c = np.unique(tokens(b.column(0))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["u", "c"])
+            u, place, _ = tokens(b.column(0))  # each token is a context once
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(place, minlength=len(u)))], names=["u", "c"])
 
     some = docs.select("text").sample(fraction=min(1.0, HOT_SAMPLE / max(1, rows)), seed=SEED)
     found = materialize(some.mapInArrow(made, "u long, c long").groupBy("u").agg(F.sum("c").alias("c")))
@@ -173,11 +186,17 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [keys[starts], *[np.add.reduceat(v[order], starts) if len(keys) else v for v in values]]
 
 
-def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of wanted among sorted keys, whether they are there)."""
+def looked_up(keys: np.ndarray, wanted: np.ndarray, sort: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(places of wanted among sorted keys, whether they are there). With sort, they are searched in their own
+    order, so that neighbours read the same memory."""
     if not len(keys):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    if sort:
+        order, at = np.argsort(wanted), np.empty(len(wanted), np.int64)
+        at[order] = np.searchsorted(keys, wanted[order])
+    else:
+        at = np.searchsorted(keys, wanted)
+    at = np.minimum(at, len(keys) - 1)
     return at, keys[at] == wanted
 
 
@@ -213,18 +232,23 @@ def by_shard(rows: DataFrame, n: int, make: Callable[[int, Iterator[tuple[int, i
 
 
 def _batch_pairs(text: pa.Array, shards: Shards) -> tuple:
-    """Tokens of a batch and its distinct pairs, sorted by shard and context: (pair of each token, tokens of each text,
-    shard, context and word of each pair)."""
-    word, before, n = tokens(text)
-    key = pair_keys(before, word)
-    pair, distinct = pd.factorize(key)  # by hashing, in order of appearance; a sort of all tokens takes several times as long
-    first = np.empty(len(distinct), np.int64)
-    first[pair[::-1]] = np.arange(len(key) - 1, -1, -1)
-    u, w, own = before[first], word[first], shards.of_pairs(before[first], distinct)
-    place = np.lexsort((u, own))
+    """Tokens of a batch and its distinct pairs, sorted by shard, context and word: (pair of each token, tokens of each
+    text, shard of each pair, distinct tokens, and the places of each pair's context and word among them)."""
+    distinct, word, n = tokens(text)
+    before = np.concatenate([word[-1:], word[:-1]])
+    pair, both = pd.factorize(before * len(distinct) + word)  # by hashing; a sort of all tokens takes several times as long
+    u, w = np.divmod(both, len(distinct))
+    own = shards.of_pairs(distinct, u, distinct[w])
+    place = np.argsort(both)
+    place = place[_by_shard(own[place], shards)]
     back = np.empty(len(place), np.int64)
     back[place] = np.arange(len(place))
-    return back[pair], n, own[place], u[place], w[place]
+    return back[pair], n, own[place], distinct, u[place], w[place]
+
+
+def _by_shard(of: np.ndarray, shards: Shards) -> np.ndarray:
+    """The stable order of shards, by a radix sort up to 16 bits."""
+    return np.argsort(of.astype(np.uint16) if shards.bits <= 16 else of, kind="stable")
 
 
 def _runs(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +269,8 @@ def batch_counts(docs: DataFrame, shards: Shards) -> DataFrame:
     others."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 8_192):
-            pair, n, own, u, w = _batch_pairs(b.column("text"), shards)
+            pair, n, own, distinct, u, w = _batch_pairs(b.column("text"), shards)
+            u, w = distinct[u], distinct[w]
             learnt = np.repeat(b.column("learn").to_numpy(zero_copy_only=False), n)
             c = np.bincount(pair[learnt], minlength=len(u)).astype(np.uint32)
             held = (np.bincount(pair[~learnt], minlength=len(u)) > 0).astype(np.uint8)
@@ -677,14 +702,15 @@ def queries(docs: DataFrame, shards: Shards, frequent: Frequent) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 8_192):
-            pair, n, own, u, w = _batch_pairs(b.column("text"), shards)
+            pair, n, own, distinct, u, w = _batch_pairs(b.column("text"), shards)
             null = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             ids, rows = b.column("doc_id").fill_null(0).to_numpy(), b.column("row").to_numpy()
-            at, there = looked_up(shared.value, w)
-            code = np.where(there, at, RARE).astype(np.uint32)
+            at, there = looked_up(shared.value, distinct)  # once for each word, not for each pair
+            place = np.where(there, at, RARE).astype(np.uint32)
+            code = place[w]
             doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
             of = own[pair]
-            order = np.argsort(of.astype(np.uint16) if shards.bits <= 16 else of, kind="stable")
+            order = _by_shard(of, shards)
             home = int(mixed(rows[:1].view(np.uint64))[0] % np.uint64(shards.count))
             size, out, at = np.bincount(of), [], 0
             for s, i, j in _parts(own):
@@ -693,8 +719,8 @@ def queries(docs: DataFrame, shards: Shards, frequent: Frequent) -> DataFrame:
                 kind = np.uint16 if j - i <= 65_536 else np.uint32
                 local = (pair[order[at:end]] - i).astype(kind)
                 before, times = _runs(u[i:j])
-                place, common = looked_up(shared.value, before)
-                words = (np.where(common, place, RARE).astype(np.uint32), before[~common], times, code[i:j], w[i:j][~there[i:j]])
+                rare = w[i:j][code[i:j] == RARE]
+                words = (place[before], distinct[before[~there[before]]], times, code[i:j], distinct[rare])
                 out.append((QUERIES, s, home, pack(ids[docs_here], rows[docs_here], null[docs_here].astype(np.uint8), per, *words, local.view(np.uint8))))
                 at = end
             yield packed_rows(out)
@@ -742,7 +768,7 @@ def scored(model: Model, asked: DataFrame) -> DataFrame:
             out[often] = x[code[often]]
         qw[~often] = rare
         wc[~often], wp[~often] = known.of(rare)
-        at, there = looked_up(key, pair_keys(np.repeat(qu, n), qw))
+        at, there = looked_up(key, pair_keys(np.repeat(qu, n), qw), sort=True)
         if len(key):
             own_c, own_t = np.where(there, c[at], 1), np.where(there, t[at], 1.0)
         else:

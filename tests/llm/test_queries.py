@@ -272,6 +272,47 @@ def test_contexts_over_several_shards_are_seated_as_in_one(spark):
         assert apart[context] == pytest.approx(one[context], rel=0.03, abs=4)
 
 
+def test_words_of_a_batch_are_hashed_as_one_by_one():
+    import pyarrow as pa
+    import xxhash
+
+    from pagewright.llm import common
+
+    odd = ["", "a", "Ab", "\u00e9t\u00e9", "\U0001f600", "x" * 31, "y" * 32, "z" * 5000, "a"]
+    assert common.word_hashes(pa.array(odd)).tolist() == [xxhash.xxh64_intdigest(w) for w in odd]
+    assert common.word_hashes(pa.array(odd).slice(2, 4)).tolist() == [xxhash.xxh64_intdigest(w) for w in odd[2:6]]
+    assert len(common.word_hashes(pa.array([], pa.string()))) == 0
+
+
+def test_pairs_of_a_batch_are_dealt_by_distinct_words(monkeypatch):
+    """Shards and frequent contexts are found once for each word of a batch, however many pairs it has."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    texts = [" ".join(f"{a} w{(7 * i + k) % 50}" for k in range(40) for a in ("The", "the", "THE")) for i in range(20)] + ["", None, "the"]
+    hashes = lambda t: [xxhash.xxh64_intdigest(w.lower()) for w in (t or "").split()] + [int(lm_scoring.END)]
+    the = xxhash.xxh64_intdigest("the")
+    hot = np.sort(np.array([the, lm_scoring.END], np.uint64))
+    shards = lm_scoring.Shards(3, hot, np.array([5, 3], np.uint64))
+    searched, look = [], lm_scoring.looked_up
+    monkeypatch.setattr(lm_scoring, "looked_up", lambda keys, wanted, *a, **b: searched.append(len(wanted)) or look(keys, wanted, *a, **b))
+    pair, n, own, distinct, u, w = lm_scoring._batch_pairs(pa.array(texts, pa.string()), shards)
+    want = [p for t in texts for p in zip([int(lm_scoring.END), *hashes(t)], hashes(t), strict=False)]
+    assert n.tolist() == [len(hashes(t)) for t in texts]
+    assert [(int(distinct[u[p]]), int(distinct[w[p]])) for p in pair] == want
+    assert len(u) == len(set(want)) > 2 * len(distinct) and searched == [len(distinct)]
+    order = list(zip(own.tolist(), u.tolist(), w.tolist(), strict=True))
+    assert order == sorted(order)
+
+    def shard(a, b):
+        home = int(lm_scoring.mixed(np.array([a], np.uint64))[0]) % 8
+        key, at = int(lm_scoring.pair_keys(np.array([a], np.uint64), np.array([b], np.uint64))[0]), hot.tolist()
+        return (home + (key >> 20) % int(shards.spread[at.index(a)])) % 8 if a in at else home
+
+    assert own.tolist() == [shard(int(distinct[a]), int(distinct[b])) for a, b in zip(u, w, strict=True)]
+
+
 def test_seats_are_those_of_the_restaurant():
     import numpy as np
 
