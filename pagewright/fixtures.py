@@ -77,9 +77,14 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 IMAGE_W, IMAGE_H = 24, 16
 
 
+def dealt(ids: DataFrame) -> DataFrame:
+    """ids, dealt to all places of the cluster: a file of ids is small and read by one task, what is made of them is not."""
+    return ids.repartition(4 * ids.sparkSession.sparkContext.defaultParallelism, *ids.columns)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small image for each supplier, with colours by formula."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"))
+    s = dealt(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id")))
     d = s.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(IMAGE_H - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(IMAGE_W - 1))))
     v = lambda a, b, c: ((F.col("x") * a + F.col("y") * b + F.col("image_id") * c) % 256).cast("int")
     return d.withColumns({"r": v(7, 13, 17), "g": v(11, 3, 5), "b": v(2, 29, 31)})
@@ -97,7 +102,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
             data = pa.array([_bgr(i, y, x).tobytes() for i in b.column(0).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), data], names=["image_id", "data"])
 
-    ids = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id"))
+    ids = dealt(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id")))
     return ids.mapInArrow(made, "image_id long, data binary").select("image_id", F.lit(IMAGE_W).alias("width"), F.lit(IMAGE_H).alias("height"), F.lit(3).alias("n_channels"), "data")
 
 

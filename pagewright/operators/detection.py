@@ -202,11 +202,13 @@ def detect_regions(prob: DataFrame, meta: DataFrame, threshold: float = 0.3, box
 
 def _runs_of(p: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
     """(y, x0, x1, total) of the runs of an array of probabilities."""
-    on = np.pad(p > threshold, ((0, 0), (1, 1)))
-    step = np.diff(on.astype(np.int8), axis=1)
-    (y, x0), (_, end) = np.nonzero(step == 1), np.nonzero(step == -1)
-    sums = np.pad(np.cumsum(p, axis=1), ((0, 0), (1, 0)))
-    return y, x0, end - 1, sums[y, end] - sums[y, x0]
+    wide = p.shape[1] + 2
+    on = np.zeros((p.shape[0], wide), bool)  # rows end off, so runs begin and end in turn
+    np.greater(p, threshold, out=on[:, 1:-1])
+    turn = np.nonzero(on.ravel()[1:] != on.ravel()[:-1])[0]
+    (y, x0), end = np.divmod(turn[::2], wide), turn[1::2] % wide
+    sums = np.cumsum(p, axis=1)
+    return y, x0, end - 1, sums[y, end - 1] - np.where(x0 > 0, sums[y, x0 - 1], 0.0)
 
 
 def _square(w: int, h: int, size: int) -> tuple[int, int, int, int]:
@@ -216,13 +218,31 @@ def _square(w: int, h: int, size: int) -> tuple[int, int, int, int]:
     return cw, ch, (size - cw) // 2, (size - ch) // 2
 
 
+def _model_free_luma(px: np.ndarray, size: int, kernel: str) -> np.ndarray:
+    """The luma of an image in a white square. Luma is linear in the channels, so it is taken before scaling: one channel
+    grows instead of three."""
+    w, h, x, y = _square(px.shape[1], px.shape[0], size)
+    v = np.ones((size, size))
+    v[y : y + h, x : x + w] = rasters.scaled(rasters.luma(px)[:, :, None], w, h, kernel)[:, :, 0]
+    return np.clip(v, 0.0, 1.0, out=v)
+
+
 def model_free_probability(px: np.ndarray, size: int = 512, kernel: str = "triangle") -> np.ndarray:
     """The text probability of an image in a square, by ink and contrast alone."""
-    w, h, x, y = _square(px.shape[1], px.shape[0], size)
-    canvas = np.full((size, size, 3), 255.0)
-    canvas[y : y + h, x : x + w] = rasters.scaled(px, w, h, kernel)
-    v = rasters.luma(canvas)
-    return rasters.text_probability(v, np.ones(v.shape, bool), v.mean())
+    v = _model_free_luma(px, size, kernel)
+    return rasters.text_probability(v, None, v.mean())
+
+
+def _model_free_runs(px: np.ndarray, size: int, kernel: str, threshold: float) -> tuple[np.ndarray, ...]:
+    """_runs_of(model_free_probability(...), threshold), some rows of the square at a time."""
+    v = _model_free_luma(px, size, kernel)
+    mean, step, parts = v.mean(), max(1, rasters.AT_ONCE // size), []
+    for top in range(0, size, step):
+        halo = min(top, 1)
+        p = rasters.text_probability(v[top - halo : top + step + 1], None, mean)
+        y, *runs = _runs_of(p[halo : halo + step], threshold)
+        parts.append((y + top, *runs))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
 def _plan_of(sizes: DataFrame, size: int) -> DataFrame:
@@ -234,7 +254,7 @@ def detect_in_rasters(images: DataFrame, size: int = 512, kernel: str = "triangl
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in rasters.rows_of(b):
-                boxes = _boxes(*_runs_of(model_free_probability(rasters.array_of(r), size, kernel), threshold), box_threshold, min_area, max_candidates, rotated)
+                boxes = _boxes(*_model_free_runs(rasters.array_of(r), size, kernel, threshold), box_threshold, min_area, max_candidates, rotated)
                 if boxes:
                     yield from _box_table(r["image_id"], boxes).to_batches()
 
@@ -248,7 +268,7 @@ def detect_model_free(px: DataFrame, size: int = 512, kernel: str = "triangle",
         y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
         image = np.full((int(y.max()) + 1, int(x.max()) + 1, 3), 255)
         image[y, x] = np.stack([table.column(c).to_numpy() for c in pixels.CHANNELS], axis=1)
-        runs = _runs_of(model_free_probability(image, size, kernel), threshold)
+        runs = _model_free_runs(image, size, kernel, threshold)
         return _box_table(table.column("image_id")[0].as_py(), _boxes(*runs, box_threshold, min_area, max_candidates, rotated))
 
     boxes = px.select(F.col("image_id").cast("long").alias("image_id"), "y", "x", *pixels.CHANNELS).groupBy("image_id").applyInArrow(found, _BOXES)

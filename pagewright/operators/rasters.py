@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 CHANNELS = ("r", "g", "b")
@@ -25,6 +26,9 @@ TILE = "image_id long, width int, height int, y0 int, x0 int, n_rows int, n_cols
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
 #: Pixels that are sent on at a time.
 ROWS_AT_ONCE = 65_536
+#: Numbers that a kernel works on at a time where it can: what is larger than a cache, or than memory that is kept for
+#: the next image, takes several times as long.
+AT_ONCE = 32_768
 #: Fixed values of the content hash and of the noise, whole numbers whose products fit 64 bits.
 CONTENT_X, CONTENT_Y, CONTENT_ADD, CONTENT_MOD, PRIME, NOISE_FACTOR = 7919, 104_729, 12_345, 1_000_003, 2_147_483_647, 48_271
 
@@ -163,6 +167,30 @@ def by_image(px: DataFrame, columns: tuple, kernel: Callable[[np.ndarray, np.nda
     return slim.groupBy("image_id").applyInArrow(run, f"image_id long, y int, x int, {values}")
 
 
+def beside(px: DataFrame, plan: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """fn of each image's pixels and its rows of plan, which meet in one task: one exchange of both by image. Neither is
+    broadcast: Spark takes a table that was exploded for as small as what it was made of."""
+    slim = px.filter("y is not null and x is not null").withColumn("image_id", px["image_id"].cast("long"))
+    return slim.groupBy("image_id").cogroup(plan.withColumn("image_id", plan["image_id"].cast("long")).groupBy("image_id")).applyInArrow(fn, schema)
+
+
+def array_in(table: pa.Table, columns: tuple, w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """(h, w, columns) of a pixel table, and the mask of its pixels; those beyond w and h are left out."""
+    y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+    inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+    px, have = np.zeros((h, w, len(columns))), np.zeros((h, w), bool)
+    y, x = y[inside], x[inside]
+    have[y, x] = True
+    for k, c in enumerate(columns):
+        px[y, x, k] = pc.fill_null(table.column(c), 0).to_numpy()[inside]
+    return px, have
+
+
+def pixel_table(image: pa.Scalar, y: np.ndarray, x: np.ndarray, values: dict) -> pa.Table:
+    columns = {"y": pa.array(y.astype(np.int32)), "x": pa.array(x.astype(np.int32))} | {c: pa.array(v) for c, v in values.items()}
+    return pa.table({"image_id": pa.repeat(image, len(y))} | columns)
+
+
 # kernels
 
 
@@ -183,8 +211,28 @@ def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
     return out
 
 
-def text_probability(v: np.ndarray, have: np.ndarray, mean: float) -> np.ndarray:
-    """Ink, and a quarter of the mean contrast with the four neighbours that exist."""
+@functools.lru_cache(maxsize=4)
+def _neighbours(h: int, w: int) -> np.ndarray:
+    """How many of the four neighbours each place has, 1 at least."""
+    n = np.full((h, w), 4.0)
+    for edge in (np.s_[:, 0], np.s_[:, -1], np.s_[0], np.s_[-1]):
+        n[edge] -= 1
+    return np.maximum(n, 1)
+
+
+def text_probability(v: np.ndarray, have: np.ndarray | None, mean: float) -> np.ndarray:
+    """Ink, and a quarter of the mean contrast with the four neighbours that exist; have None: all pixels do."""
+    if have is None:
+        across, down = np.abs(np.diff(v, axis=1)), np.abs(np.diff(v, axis=0))
+        total, n = np.zeros(v.shape), _neighbours(*v.shape)
+        total[:, 1:] += across
+        total[:, :-1] += across
+        total[1:] += down
+        total[:-1] += down
+        total /= n
+        total *= 0.25
+        total += (1.0 - v if mean > 0.5 else v) * 0.75
+        return np.clip(total, 0.0, 1.0, out=total)
     total, n = np.zeros(v.shape), np.zeros(v.shape, np.int64)
     for dy, dx in ((0, -1), (0, 1), (-1, 0), (1, 0)):
         there = _shifted(have, dy, dx)
@@ -284,7 +332,25 @@ def _along(px: np.ndarray, dst: int, kernel: str) -> np.ndarray:
 
 def scaled(px: np.ndarray, w: int, h: int, kernel: str = "triangle") -> np.ndarray:
     """(h, w, channels) of an array, along x, then along y."""
-    return np.swapaxes(_along(np.swapaxes(_along(px, w, kernel), 0, 1), h, kernel), 0, 1)
+    px = _along(px, w, kernel)
+    taps, weights = _taps(px.shape[0], h, kernel)
+    out = np.zeros((h, w, px.shape[2]))
+    step = max(1, AT_ONCE // (w * px.shape[2]))
+    for top in range(0, h, step):
+        rows = slice(top, top + step)
+        for k in range(taps.shape[1]):
+            out[rows] += px[taps[rows, k]] * weights[rows, k, None, None]
+    return out
+
+
+def scaled_where(have: np.ndarray, w: int, h: int, kernel: str = "triangle") -> np.ndarray:
+    """(h, w): the target places that a pixel has a share in."""
+    if have.all():
+        return np.ones((h, w), bool)
+    for dst in (w, h):
+        taps, weights = _taps(have.shape[1], dst, kernel)
+        have = (have[:, taps] & (weights != 0)).any(axis=2).T
+    return have
 
 
 def recognition_input(px: np.ndarray, width: int, height: int = 48) -> np.ndarray:
@@ -307,21 +373,34 @@ def template_feature(px: np.ndarray, w: int = 32, h: int = 32) -> np.ndarray:
     return flat / max(float(np.sqrt((flat * flat).sum())), 1.1920929e-7)
 
 
-def cut_rotated(px: np.ndarray, quad: list[tuple[float, float]]) -> np.ndarray:
-    """The upright pixels of a quad by bilinear samples, edges repeated."""
-    h, w = px.shape[:2]
+def sampled(px: np.ndarray, have: np.ndarray | None, quad: list[tuple[float, float]], w: float, h: float) -> tuple[np.ndarray, np.ndarray]:
+    """The upright pixels of a quad on a page of w by h by bilinear samples, edges repeated, and which of them any pixel
+    is near; have None: all pixels of the page are there."""
     p = [(min(max(x, 0.0), w - 1.0), min(max(y, 0.0), h - 1.0)) for x, y in quad]
     (ax, ay), (bx, by) = ((p[k][0] - p[0][0], p[k][1] - p[0][1]) for k in (1, 3))
     ow, oh = (max(int(math.floor(math.hypot(*e) + 0.5)), 1) for e in ((ax, ay), (bx, by)))
     fx, fy = (np.arange(ow) + 0.5)[None, :] / ow, (np.arange(oh) + 0.5)[:, None] / oh
     sx, sy = np.clip(p[0][0] + fx * ax + fy * bx, 0.0, w - 1.0), np.clip(p[0][1] + fx * ay + fy * by, 0.0, h - 1.0)
-    out = np.zeros((oh, ow, 3))
+    out, there = np.zeros((oh, ow, 3)), np.zeros((oh, ow), bool)
     for i in (0, 1):
         for j in (0, 1):
-            x, y = np.minimum(np.floor(sx) + i, w - 1), np.minimum(np.floor(sy) + j, h - 1)
+            x, y = np.minimum(np.floor(sx) + i, w - 1).astype(int), np.minimum(np.floor(sy) + j, h - 1).astype(int)
             weight = np.abs(1 - i - (sx - np.floor(sx))) * np.abs(1 - j - (sy - np.floor(sy)))
-            out += px[y.astype(int), x.astype(int)] * weight[:, :, None]
-    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+            if have is None:
+                there[:] = True
+            else:
+                inside = (y < have.shape[0]) & (x < have.shape[1])
+                y, x = np.where(inside, y, 0), np.where(inside, x, 0)
+                inside &= have[y, x]
+                there |= inside
+                weight = np.where(inside, weight, 0.0)
+            out += px[y, x] * weight[:, :, None]
+    return out, there
+
+
+def cut_rotated(px: np.ndarray, quad: list[tuple[float, float]]) -> np.ndarray:
+    """The upright pixels of a quad by bilinear samples, edges repeated."""
+    return np.clip(np.floor(sampled(px, None, quad, px.shape[1], px.shape[0])[0] + 0.5), 0, 255).astype(np.uint8)
 
 
 def upside_down(px: np.ndarray, threshold: float = 0.9) -> tuple[float, bool]:

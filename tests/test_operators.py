@@ -810,3 +810,18 @@ def test_cut_and_turned_crops_are_those_of_the_pixel_operators(spark):
     for r in pixels.needs_rotation(pixels.to_gray(px), names, 0.02).collect():
         sure, turn = rasters.upside_down(np.array(grid_of(r["image_id"], 9, 6), np.uint8), 0.02)
         assert (r["confidence"], r["rotate"]) == (pytest.approx(sure, abs=1e-12), turn)
+
+
+def test_detection_square_by_bands_is_the_whole_one(spark, sf_dir):
+    from pagewright import fixtures
+
+    px = np.random.default_rng(1).integers(0, 256, (30, 50, 3), np.uint8)
+    canvas = np.full((200, 200, 3), 255.0)
+    canvas[40:160] = rasters.scaled(px, 200, 120)
+    v = rasters.luma(canvas)
+    plain = rasters.text_probability(v, np.ones(v.shape, bool), v.mean())
+    assert detection.model_free_probability(px, 200) == pytest.approx(plain, abs=1e-12)
+    for a, b in zip(detection._runs_of(plain, 0.3), detection._model_free_runs(px, 200, "triangle", 0.3), strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
+    # a file of ids is one task's, what is made of them must not be
+    assert all(made(spark, sf_dir).rdd.getNumPartitions() > 1 for made in (fixtures.images, fixtures.pixels))
