@@ -104,6 +104,14 @@ def axis_weights(sizes: DataFrame, kernel: str = "bilinear") -> DataFrame:
     return each.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("image_id", "d"))).filter("w <> 0")
 
 
+def _scaled(table: pa.Table, p: dict, kernel: str, values: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """An image's values scaled to a plan's size, and which places any pixel has a share in."""
+    if min(p[c] or 0 for c in ("src_w", "src_h", "dst_w", "dst_h")) < 1:
+        return np.zeros((0, 0, len(values))), np.zeros((0, 0), bool)
+    px, have = rasters.array_in(table, values, p["src_w"], p["src_h"])
+    return rasters.scaled(px, p["dst_w"], p["dst_h"], kernel), rasters.scaled_where(have, p["dst_w"], p["dst_h"], kernel)
+
+
 def resample(px: DataFrame, plan: DataFrame, kernel: str = "bilinear", values: tuple = ("v",)) -> DataFrame:
     """px scaled to the sizes of plan (image_id, src_w, src_h, dst_w, dst_h): along x, then along y."""
     wx = axis_weights(plan.select("image_id", F.col("src_w").alias("src"), F.col("dst_w").alias("dst")), kernel).withColumnsRenamed({"d": "dx", "s": "x"})
@@ -276,7 +284,20 @@ def template_feature(px: DataFrame, w: int = 32, h: int = 32) -> DataFrame:
 
 def model_input(px: DataFrame, plan: DataFrame, mean: tuple = HALF, std: tuple = HALF, kernel: str = "triangle") -> DataFrame:
     """image_id, values: scaled, padded with white, normalised, planes in channel order, each row by row. plan has
-    src_w, src_h, dst_w, dst_h, canvas_w, canvas_h, pad_x, pad_y."""
-    full = normalize_px(pad_canvas(resample(px, plan, kernel, CHANNELS), plan, 255.0, CHANNELS), mean, std)
-    planes = full.select("image_id", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), "y", "x", F.col(c).alias("v")) for i, c in enumerate(CHANNELS)])).alias("p"))
-    return planes.groupBy("image_id").agg(F.array_sort(F.collect_list("p")).alias("_p")).select("image_id", F.transform("_p", lambda p: p["v"]).alias("values"))
+    src_w, src_h, dst_w, dst_h, canvas_w, canvas_h, pad_x, pad_y. One exchange of both by image."""
+    def run(table: pa.Table, plans: pa.Table) -> pa.Table:
+        rows = []
+        if plans.num_rows:
+            p = plans.to_pylist()[0]
+            canvas = np.full((p["canvas_h"], p["canvas_w"], 3), 255.0)
+            v, there = _scaled(table, p, kernel, CHANNELS)
+            y, x = np.nonzero(there)
+            to_y, to_x = y + p["pad_y"], x + p["pad_x"]
+            inside = (to_y >= 0) & (to_y < p["canvas_h"]) & (to_x >= 0) & (to_x < p["canvas_w"])
+            canvas[to_y[inside], to_x[inside]] = v[y[inside], x[inside]]
+            rows.append(np.moveaxis((canvas / 255.0 - mean) / std, 2, 0).ravel())
+        ids = pa.array([p["image_id"] for p in plans.slice(0, 1).to_pylist()], pa.int64())
+        return pa.Table.from_arrays([ids, pa.array(rows, pa.list_(pa.float64()))], names=["image_id", "values"])
+
+    sizes = plan.select("image_id", "src_w", "src_h", "dst_w", "dst_h", "canvas_w", "canvas_h", "pad_x", "pad_y")
+    return rasters.beside(px.select("image_id", "y", "x", *CHANNELS), sizes, run, "image_id long, values array<double>")

@@ -825,3 +825,11 @@ def test_detection_square_by_bands_is_the_whole_one(spark, sf_dir):
         assert a == pytest.approx(b, abs=1e-9)
     # a file of ids is one task's, what is made of them must not be
     assert all(made(spark, sf_dir).rdd.getNumPartitions() > 1 for made in (fixtures.images, fixtures.pixels))
+
+
+@pytest.mark.parametrize("name", ["p20_model_input"])
+def test_pixels_are_not_broadcast(spark, sf_dir, name):
+    """Spark takes exploded pixels for as small as the ids that they come from."""
+    from pagewright.queries import QUERIES
+
+    assert "Broadcast" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
