@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,23 +114,32 @@ def _scaled(table: pa.Table, p: dict, kernel: str, values: tuple) -> tuple[np.nd
 
 
 def resample(px: DataFrame, plan: DataFrame, kernel: str = "bilinear", values: tuple = ("v",)) -> DataFrame:
-    """px scaled to the sizes of plan (image_id, src_w, src_h, dst_w, dst_h): along x, then along y."""
-    wx = axis_weights(plan.select("image_id", F.col("src_w").alias("src"), F.col("dst_w").alias("dst")), kernel).withColumnsRenamed({"d": "dx", "s": "x"})
-    wy = axis_weights(plan.select("image_id", F.col("src_h").alias("src"), F.col("dst_h").alias("dst")), kernel).withColumnsRenamed({"d": "dy", "s": "y"})
-    total = [F.sum(F.col(c) * F.col("w")).alias(c) for c in values]
-    rows = px.join(wx, ["image_id", "x"]).groupBy("image_id", "y", "dx").agg(*total).withColumnRenamed("dx", "x")
-    return rows.join(wy, ["image_id", "y"]).groupBy("image_id", "dy", "x").agg(*total).withColumnRenamed("dy", "y").select("image_id", "y", "x", *values)
+    """px scaled to the sizes of plan (image_id, src_w, src_h, dst_w, dst_h): along x, then along y. One exchange of both
+    by image; axis_weights has the shares as a table."""
+    def run(table: pa.Table, plans: pa.Table) -> pa.Table:
+        v, there = _scaled(table, plans.to_pylist()[0], kernel, values) if plans.num_rows and table.num_rows else (np.zeros((0, 0, len(values))), np.zeros((0, 0), bool))
+        y, x = np.nonzero(there)
+        return rasters.pixel_table((table if table.num_rows else plans).column("image_id")[0], y, x, {c: v[y, x, k] for k, c in enumerate(values)})
+
+    sizes = plan.select("image_id", "src_w", "src_h", "dst_w", "dst_h")
+    return rasters.beside(px.select("image_id", "y", "x", *values), sizes, run, "image_id long, y int, x int, " + ", ".join(f"{c} double" for c in values))
 
 
 def pad_canvas(px: DataFrame, plan: DataFrame, fill: Column | float = 1.0, values: tuple = ("v",)) -> DataFrame:
     """px set at (pad_x, pad_y) into canvases of plan (image_id, canvas_w, canvas_h, pad_x, pad_y); the rest is fill,
-    a number or a column of plan."""
-    grid = plan.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("canvas_h") - 1)))
-    grid = grid.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("canvas_w") - 1)))
+    a number or a column of plan. One exchange of both by image."""
+    def run(table: pa.Table, plans: pa.Table) -> pa.Table:
+        p = plans.to_pylist()[0] if plans.num_rows else {"canvas_w": 0, "canvas_h": 0, "pad_x": 0, "pad_y": 0, "_fill": 0.0}
+        moved = table.set_column(1, "y", pc.add(table.column("y"), p["pad_y"])).set_column(2, "x", pc.add(table.column("x"), p["pad_x"]))
+        v, have = rasters.array_in(moved, values, p["canvas_w"], p["canvas_h"])
+        v[~have] = p["_fill"]
+        y, x = np.divmod(np.arange(have.size), max(have.shape[1], 1))
+        return rasters.pixel_table((plans if plans.num_rows else table).column("image_id")[0], y, x, {c: v[:, :, k].ravel() for k, c in enumerate(values)})
+
     fill = fill if isinstance(fill, Column) else F.lit(fill)
-    grid = grid.select("image_id", "y", "x", fill.alias("_fill"))
-    placed = px.join(plan.select("image_id", "pad_x", "pad_y"), "image_id").select("image_id", (F.col("y") + F.col("pad_y")).alias("y"), (F.col("x") + F.col("pad_x")).alias("x"), *values)
-    return grid.join(placed, ["image_id", "y", "x"], "left").select("image_id", "y", "x", *[F.coalesce(F.col(c), F.col("_fill")).alias(c) for c in values])
+    canvas = plan.select("image_id", "canvas_w", "canvas_h", "pad_x", "pad_y", fill.cast("double").alias("_fill"))
+    known = px.select("image_id", "y", "x", *values).dropna(subset=list(values))
+    return rasters.beside(known, canvas, run, "image_id long, y int, x int, " + ", ".join(f"{c} double" for c in values))
 
 
 def crop_px(px: DataFrame, rects: DataFrame) -> DataFrame:
