@@ -144,11 +144,12 @@ def pad_canvas(px: DataFrame, plan: DataFrame, fill: Column | float = 1.0, value
 
 def crop_px(px: DataFrame, rects: DataFrame) -> DataFrame:
     """Pixels of rects (image_id, crop_id, x0, y0, w, h), counted from each rectangle's corner, as crop_id's image. A
-    rectangle meets the pixels of its rows only: it is a row for each of them."""
+    rectangle meets the pixels of its rows only: it is a row for each of them. Neither side is broadcast, as Spark takes
+    an exploded table for as small as what it was made of."""
     rows = rects.filter("h > 0").withColumn("_y", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("h") - 1)))
     rows = rows.select(F.col("image_id").alias("_image"), F.col("_y").cast("int").alias("_y"), "crop_id", "x0", "y0", "w")
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("w"))
-    both = px.join(rows, (F.col("image_id") == F.col("_image")) & (F.col("y") == F.col("_y")) & inside)
+    both = px.join(rows.hint("merge"), (F.col("image_id") == F.col("_image")) & (F.col("y") == F.col("_y")) & inside)
     rest = [c for c in px.columns if c not in ("image_id", "x", "y")]
     return both.select(F.col("crop_id").alias("image_id"), (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), *rest)
 
