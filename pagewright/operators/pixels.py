@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import rasters
 
@@ -155,21 +156,23 @@ def crop_px(px: DataFrame, rects: DataFrame) -> DataFrame:
 
 
 def crop_rotated(px: DataFrame, quads: DataFrame) -> DataFrame:
-    """Upright pixels of quads (image_id, crop_id, quad, page_w, page_h) by bilinear samples, edges repeated."""
-    p = lambda i, c: F.least(F.greatest(F.get("quad", F.lit(i))[c], F.lit(0.0)), F.col("page_w" if c == "x" else "page_h") - 1.0)
-    edge = lambda k, c: p(k, c) - p(0, c)
-    length = lambda k: F.greatest(F.round(F.sqrt(edge(k, "x") * edge(k, "x") + edge(k, "y") * edge(k, "y"))), F.lit(1.0)).cast("int")
-    d = quads.select("image_id", "crop_id", "page_w", "page_h", "quad", length(1).alias("ow"), length(3).alias("oh"))
-    d = d.withColumn("oy", F.explode(F.sequence(F.lit(0), F.col("oh") - 1))).withColumn("ox", F.explode(F.sequence(F.lit(0), F.col("ow") - 1)))
-    fx, fy = (F.col("ox") + 0.5) / F.col("ow"), (F.col("oy") + 0.5) / F.col("oh")
-    at = {c: F.least(F.greatest(p(0, c) + fx * edge(1, c) + fy * edge(3, c), F.lit(0.0)), F.col("page_w" if c == "x" else "page_h") - 1.0) for c in "xy"}
-    d = d.select("image_id", "crop_id", "ox", "oy", at["x"].alias("sx"), at["y"].alias("sy"), (F.col("page_w") - 1).alias("mx"), (F.col("page_h") - 1).alias("my"))
-    tap = lambda v, m, k: F.struct(F.least(F.floor(F.col(v)) + k, F.col(m)).cast("int").alias("at"), F.abs(1 - k - (F.col(v) - F.floor(F.col(v)))).alias("w"))
-    d = d.withColumn("tx", F.explode(F.array(tap("sx", "mx", 0), tap("sx", "mx", 1)))).withColumn("ty", F.explode(F.array(tap("sy", "my", 0), tap("sy", "my", 1))))
-    taps = d.select("image_id", "crop_id", "ox", "oy", F.col("tx.at").alias("x"), F.col("ty.at").alias("y"), (F.col("tx.w") * F.col("ty.w")).alias("w"))
-    found = taps.join(px, ["image_id", "y", "x"]).groupBy("crop_id", "oy", "ox")
-    values = [F.least(F.greatest(F.round(F.sum(F.col(c) * F.col("w"))), F.lit(0.0)), F.lit(255.0)).cast("int").alias(c) for c in CHANNELS]
-    return found.agg(*values).select(F.col("crop_id").alias("image_id"), F.col("oy").alias("y"), F.col("ox").alias("x"), *CHANNELS)
+    """Upright pixels of quads (image_id, crop_id, quad, page_w, page_h) by bilinear samples, edges repeated; a sample
+    without any pixel near it is left out. One exchange of both by image."""
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        parts = []
+        if table.num_rows and found.num_rows:
+            px, have = rasters.array_in(table, CHANNELS, pc.max(table.column("x")).as_py() + 1, pc.max(table.column("y")).as_py() + 1)
+            for k, q in enumerate(found.to_pylist()):
+                v, there = rasters.sampled(px, have, [(p["x"], p["y"]) for p in q["quad"]], q["page_w"], q["page_h"])
+                y, x = np.nonzero(there)
+                whole = np.clip(np.floor(v[y, x] + 0.5), 0, 255).astype(np.int32)
+                parts.append(rasters.pixel_table(found.column("crop_id")[k], y, x, {c: whole[:, i] for i, c in enumerate(CHANNELS)}))
+        return pa.concat_tables(parts) if parts else empty
+
+    kind = quads.schema["crop_id"].dataType
+    empty = pa.schema([("image_id", to_arrow_type(kind)), *((c, pa.int32()) for c in ("y", "x", *CHANNELS))]).empty_table()
+    slim = px.select("image_id", "y", "x", *CHANNELS)
+    return rasters.beside(slim, quads.select("image_id", "crop_id", "quad", F.col("page_w").cast("double").alias("page_w"), F.col("page_h").cast("double").alias("page_h")), run, f"image_id {kind.simpleString()}, y int, x int, r int, g int, b int")
 
 
 def rotate180(px: DataFrame) -> DataFrame:

@@ -827,7 +827,7 @@ def test_detection_square_by_bands_is_the_whole_one(spark, sf_dir):
     assert all(made(spark, sf_dir).rdd.getNumPartitions() > 1 for made in (fixtures.images, fixtures.pixels))
 
 
-@pytest.mark.parametrize("name", ["p20_model_input", "p6_pad_canvas", "p7_crop"])
+@pytest.mark.parametrize("name", ["p20_model_input", "p6_pad_canvas", "p7_crop", "p8_crop_rotated"])
 def test_pixels_are_not_broadcast(spark, sf_dir, name):
     """Spark takes exploded pixels for as small as the ids that they come from."""
     from pagewright.queries import QUERIES
