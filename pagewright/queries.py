@@ -683,7 +683,7 @@ def s13_templates(spark, sf_dir):
 
 @query("s14_register_model", f"SELECT {_DIR} AS model_dir, 1 AS manifests FROM supplier")
 def s14(spark, sf_dir):
-    files = spark.read.option("recursiveFileLookup", True).text(_registry(spark, sf_dir)).select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("model_dir"))
+    files = tables.files_below(spark, _registry(spark, sf_dir)).select(F.element_at(F.split("path", "/"), -2).alias("model_dir"))
     return files.filter("model_dir <> 'model_dir=bad'").groupBy("model_dir").agg(F.count(F.lit(1)).cast("int").alias("manifests"))
 
 

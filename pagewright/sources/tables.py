@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -141,9 +143,68 @@ def model_dir(created_at: Column, name: Column) -> Column:
     return F.concat_ws("-", created_at.cast("string"), sanitize_name(name, "ai-recognizer"))
 
 
+def _written(rows: DataFrame, root: str) -> None:
+    """A file of each row (model_dir, file, text) below root, written by the tasks, each under its final name, whole: a
+    task that runs again writes the same. Rows are dealt first, as a file takes long for what it holds."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root)
+        for b in batches:
+            for folder, file, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                fs.create_dir(f"{base}/{folder}", recursive=True)
+                with fs.open_output_stream(f"{base}/{folder}/{file}") as f:
+                    f.write(text.encode())
+            yield b.select(["model_dir"])
+
+    places = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    rows.select("model_dir", "file", "text").repartition(places, "model_dir").mapInArrow(write, "model_dir string").count()
+
+
 def register_model(models: DataFrame, root: str) -> None:
-    """One folder `<created_at>-<name>` with a manifest for each row of the manifest's columns."""
-    models.withColumn("model_dir", model_dir(F.col("created_at"), F.col("name"))).write.mode("append").partitionBy("model_dir").json(root)
+    """One folder `model_dir=<created_at>-<name>` with a manifest for each row of the manifest's columns. Models that are
+    registered again get another manifest beside the first."""
+    folder = F.concat(F.lit("model_dir="), model_dir(F.col("created_at"), F.col("name")))
+    file = F.concat(F.lit(f"part-{uuid.uuid4().hex}-"), F.substring(F.sha2("text", 256), 1, 16), F.lit(".json"))
+    _written(models.select(folder.alias("model_dir"), F.to_json(F.struct(*models.columns)).alias("text")).withColumn("file", file), root)
+
+
+#: Characters of files that are sent on at a time, unless one alone has more.
+CHARS_AT_ONCE = 4_000_000
+
+
+def files_below(spark: SparkSession, root: str, file: str = "*") -> DataFrame:
+    """path, text of all files in and below root whose name fits; hidden ones (as Spark has it, `.` or `_` first) are left
+    out. One task lists root, tasks list its folders and read: neither paths nor files pass through the driver."""
+    hidden = lambda path: any(x[0] == "." or (x[0] == "_" and "=" not in x) for x in path.split("/") if x)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            fs, base = FileSystem.from_uri(root)
+            found = [x.path for x in fs.get_file_info(FileSelector(base))]
+            for at in range(0, len(found), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 10_000], pa.string())], names=["path"])
+
+    def files(fs: FileSystem, base: str, paths: list[str]) -> Iterator[str]:
+        for info in fs.get_file_info(paths):
+            inside = [info] if info.type == FileType.File else fs.get_file_info(FileSelector(info.path, recursive=True))
+            yield from (x.path for x in inside if x.type == FileType.File and fnmatchcase(x.base_name, file) and not hidden(x.path[len(base) :]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root)
+        held, n = [], 0
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["path", "text"])
+        for b in batches:
+            for path in files(fs, base, b.column(0).to_pylist()):
+                with fs.open_input_stream(path) as f:
+                    held.append((path, f.read().decode(errors="replace")))
+                n += len(held[-1][1]) + 200
+                if n >= CHARS_AT_ONCE:
+                    yield batch(held)
+                    held, n = [], 0
+        if held:
+            yield batch(held)
+
+    listed = spark.range(0, 1, 1, 1).mapInArrow(entries, "path string")
+    return listed.repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInArrow(read, "path string, text string")
 
 
 def _manifests(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
@@ -161,6 +222,11 @@ def list_models(spark: SparkSession, root: str, file: str = "*.json") -> DataFra
     return d.orderBy(F.desc("created_at"), F.desc("name"))
 
 
+def _newest_first(d: DataFrame) -> DataFrame:
+    """d in order. A sort over ranges reads what it sorts twice, so rows are dealt before: files are read once."""
+    return d.repartition("model_dir").orderBy(F.desc("created_at"), F.desc("name"))
+
+
 #: Fixed value: the name of a template model's file. It holds the templates themselves, and what describes them.
 TEMPLATE_FILE = "template-model.json"
 _TEMPLATE_METRICS = "metrics STRUCT<train_samples BIGINT, validation_samples BIGINT, accuracy DOUBLE, avg_loss DOUBLE>"

@@ -833,3 +833,9 @@ def test_pixels_are_not_broadcast(spark, sf_dir, name):
     from pagewright.queries import QUERIES
 
     assert "Broadcast" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_models_of_one_folder_get_a_file_each(spark, tmp_path):
+    rows = [("net", 5, base, "w", "d", (1, 2, 0.5, 0.1)) for base in ("base", "other")]
+    tables.register_model(spark.createDataFrame(rows, tables.MANIFEST).coalesce(1), str(tmp_path))
+    assert tables.files_below(spark, str(tmp_path), "*.json").count() == 2
