@@ -208,18 +208,18 @@ def files_below(spark: SparkSession, root: str, file: str = "*") -> DataFrame:
 
 
 def _manifests(spark: SparkSession, root: str, file: str, schema: str) -> DataFrame:
-    """Readable manifests of that file name in folders below root, with model_dir; others are left out. Fields that the
-    schema lacks are not parsed."""
-    reader = spark.read.schema(schema + ", _corrupt STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    raw = reader.option("recursiveFileLookup", True).option("pathGlobFilter", file).option("multiLine", True).json(root)
-    d = raw.withColumn("model_dir", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    """Readable manifests of that file name in folders below root, with model_dir; others are left out.
+    Fields that the schema lacks are not parsed."""
+    parsed = F.from_json("text", schema + ", _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("model_dir")
+    d = files_below(spark, root, file).select(folder, F.explode(F.array(parsed)).alias("m")).select("m.*", "model_dir")  # explode: parsed once
     return d.filter("_corrupt is null and name is not null and created_at is not null").drop("_corrupt")
 
 
 def list_models(spark: SparkSession, root: str, file: str = "*.json") -> DataFrame:
     """Readable manifests below root, newest first. file: their name, where other JSON lies beside them."""
     d = _manifests(spark, root, file, MANIFEST).select("model_dir", "name", "created_at", "base_model_name", "metrics.*")
-    return d.orderBy(F.desc("created_at"), F.desc("name"))
+    return _newest_first(d)
 
 
 def _newest_first(d: DataFrame) -> DataFrame:
@@ -234,20 +234,10 @@ TEMPLATE_MODEL = f"name STRING, created_at BIGINT, input_width INT, input_height
 
 
 def save_template_models(models: DataFrame, root: str) -> None:
-    """One folder `<created_at>-<name>` with a template model's file for each row of TEMPLATE_MODEL. Files are written by
-    the tasks, each under its final name, whole: a task that runs again writes the same."""
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = FileSystem.from_uri(root)
-        for b in batches:
-            for folder, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                fs.create_dir(f"{base}/{folder}", recursive=True)
-                with fs.open_output_stream(f"{base}/{folder}/{TEMPLATE_FILE}") as f:
-                    f.write(text.encode())
-            yield b.select(["model_dir"])
-
+    """One folder `<created_at>-<name>` with a template model's file for each row of TEMPLATE_MODEL."""
     names = [x.split()[0] for x in ("name", "created_at", "input_width", "input_height", "similarity_threshold", "templates", "metrics")]
-    rows = models.select(F.concat_ws("-", F.col("created_at").cast("string"), sanitize_name(F.col("name"), "template-model")).alias("model_dir"), F.to_json(F.struct(*names)).alias("text"))
-    rows.mapInArrow(write, "model_dir string").count()
+    folder = F.concat_ws("-", F.col("created_at").cast("string"), sanitize_name(F.col("name"), "template-model"))
+    _written(models.select(folder.alias("model_dir"), F.lit(TEMPLATE_FILE).alias("file"), F.to_json(F.struct(*names)).alias("text")), root)
 
 
 def list_template_models(spark: SparkSession, root: str) -> DataFrame:
@@ -257,7 +247,7 @@ def list_template_models(spark: SparkSession, root: str) -> DataFrame:
     slim = f"name STRING, created_at BIGINT, input_width INT, input_height INT, templates ARRAY<STRUCT<label STRING>>, {_TEMPLATE_METRICS}"
     d = _manifests(spark, root, TEMPLATE_FILE, slim).filter("templates is not null")
     d = d.select("model_dir", "name", "created_at", F.size("templates").alias("template_count"), "input_width", "input_height", "metrics.accuracy", "metrics.avg_loss")
-    return d.orderBy(F.desc("created_at"), F.desc("name"))
+    return _newest_first(d)
 
 
 def load_template_models(spark: SparkSession, root: str) -> DataFrame:
