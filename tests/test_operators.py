@@ -839,3 +839,19 @@ def test_models_of_one_folder_get_a_file_each(spark, tmp_path):
     rows = [("net", 5, base, "w", "d", (1, 2, 0.5, 0.1)) for base in ("base", "other")]
     tables.register_model(spark.createDataFrame(rows, tables.MANIFEST).coalesce(1), str(tmp_path))
     assert tables.files_below(spark, str(tmp_path), "*.json").count() == 2
+
+
+def test_registry_files_are_written_and_read_by_tasks(spark, tmp_path):
+    root = tmp_path / "models"
+    rows = [("net", 5, "base", "w", "d", (1, 2, 0.5, 0.1)), ("net", 5, "other", "w", "d", (3, 4, 0.5, 0.1)), *((f"n{i}", i, "b", "w", "d", (i, 0, 0.0, 0.0)) for i in range(50))]
+    tables.register_model(spark.createDataFrame(rows, tables.MANIFEST).coalesce(1), str(root))
+    (root / "deep" / "er").mkdir(parents=True)
+    (root / "deep" / "er" / "m.json").write_text('{\n "name": "nested",\n "created_at": 99\n}')
+    (root / "_hidden").mkdir()
+    for bad in ("_hidden/m.json", "deep/.m.json", "deep/m.txt"):
+        (root / bad).write_text('{"name": "no", "created_at": 1}')
+    (root / "deep" / "wrong.json").write_text('{"name": "no", "created_at": "x"}')
+    got = tables.list_models(spark, str(root)).collect()
+    assert [r["created_at"] for r in got] == [99, *range(49, 4, -1), 5, 5, *range(4, -1, -1)]
+    assert {r["base_model_name"] for r in got if r["name"] == "net"} == {"base", "other"}  # one file each
+    assert got[0]["model_dir"] == "er" and tables.files_below(spark, str(root), "*.json").rdd.getNumPartitions() > 1
