@@ -114,7 +114,8 @@ def crop_rasters(images: DataFrame, boxes: DataFrame, orientation_threshold: flo
     direction = g.text_direction(g.quad_width(F.col("quad")), g.quad_height(F.col("quad")))
     box = F.struct("seq", "quad", direction.alias("direction"), g.quad_is_aligned(F.col("quad")).alias("straight"), rect.alias("rect"))
     pages = boxes.join(size, "page_id").groupBy("page_id").agg(F.collect_list(box).alias("boxes"))
-    both = images.select("image_id", "width", "height", "rgb").join(pages, F.col("image_id") == F.col("page_id")).drop("page_id")
+    # images are never broadcast: Spark can't tell how large their bytes are
+    both = images.select("image_id", "width", "height", "rgb").hint("merge").join(pages, F.col("image_id") == F.col("page_id")).drop("page_id")
 
     def crops(r: dict) -> Iterator[tuple]:
         page = rasters.array_of(r)

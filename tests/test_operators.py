@@ -855,3 +855,16 @@ def test_registry_files_are_written_and_read_by_tasks(spark, tmp_path):
     assert [r["created_at"] for r in got] == [99, *range(49, 4, -1), 5, 5, *range(4, -1, -1)]
     assert {r["base_model_name"] for r in got if r["name"] == "net"} == {"base", "other"}  # one file each
     assert got[0]["model_dir"] == "er" and tables.files_below(spark, str(root), "*.json").rdd.getNumPartitions() > 1
+
+
+def test_images_are_not_broadcast_to_be_cut(spark, sf_dir):
+    import re
+
+    from pagewright import fixtures
+
+    images = rasters.of_images(fixtures.images(spark, sf_dir))
+    boxes = images.select(F.col("image_id").alias("page_id"), F.lit(1).alias("seq"), quad((1, 1), (9, 1), (9, 9), (1, 9)).alias("quad"))
+    cut = pipelines.crop_rasters(images, boxes)
+    plan = cut._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "rgb" in plan and not re.search(r"BroadcastExchange\nInput \[\d+\]: \[[^\]]*rgb", plan)
+    assert cut.count() == images.count()
