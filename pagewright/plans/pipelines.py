@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -20,27 +20,37 @@ from .models import Model, Slot, in_use, ready
 RECOGNISED = "text string, confidence double, error string"
 
 
-def apply_recognizer(crops: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | Model | Slot, keys: str = "page_id long, seq int", batch: int = 32) -> DataFrame:
-    """keys, text, confidence, error of crops. fn takes a batch of rows and returns text and confidence for each; if it
-    fails on a batch its rows are tried alone, and a row that fails keeps its error. fn may be a Model, which workers set
-    up once, or a Slot, whose model of the moment is used."""
+def apply_recognizer(crops: DataFrame, fn: Callable[[pd.DataFrame], Mapping] | Model | Slot, keys: str = "page_id long, seq int", batch: int = 32) -> DataFrame:
+    """keys, text, confidence, error of crops. fn takes a batch of rows and returns text and confidence for each, as a
+    frame or a dict of them; if it fails on a batch its rows are tried alone, and a row that fails keeps its error. fn may
+    be a Model, which workers set up once, or a Slot, whose model of the moment is used."""
     names, fn = [k.split()[0] for k in keys.split(",")], in_use(fn)
 
-    def one(call: Callable, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(call: Callable, pdf: pd.DataFrame) -> tuple[list, list, list]:
+        n = len(pdf)
         try:
-            out = call(pdf)[["text", "confidence"]].reset_index(drop=True)
-            return out.assign(error=None)
+            out = call(pdf)
+            text, confidence = list(out["text"]), list(out["confidence"])
+            if len(text) != n or len(confidence) != n:
+                raise ValueError(f"{len(text)} texts and {len(confidence)} confidences for {n} rows")
+            return text, confidence, [None] * n
         except Exception as failed:
-            if len(pdf) > 1:
-                return pd.concat([one(call, pdf.iloc[[i]]) for i in range(len(pdf))], ignore_index=True)
-            return pd.DataFrame({"text": [None], "confidence": [None], "error": [f"{type(failed).__name__}: {failed}"]})
+            if n > 1:
+                rows = [one(call, pdf.iloc[[i]]) for i in range(n)]
+                return tuple([v for row in rows for v in row[k]] for k in range(3))
+            return [None], [None], [f"{type(failed).__name__}: {failed}"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = ready(fn)
-        for pdf in frames:
+        for pdf in frames:  # what a model returns is small, so it goes on by frames, not by batches
+            found: tuple[list, list, list] = ([], [], [])
             for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch].reset_index(drop=True)
-                yield pd.concat([part[names], one(call, part)], axis=1)
+                for held, more in zip(found, one(call, pdf.iloc[at : at + batch].reset_index(drop=True)), strict=True):
+                    held.extend(more)
+            out = pdf[names].reset_index(drop=True)
+            for name, values in zip(("text", "confidence", "error"), found, strict=True):
+                out[name] = pd.Series(values, dtype="float64" if name == "confidence" else object)
+            yield out
 
     return crops.mapInPandas(run, f"{keys}, {RECOGNISED}")
 

@@ -596,9 +596,9 @@ def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model that workers set up once: it reads upper case, and not every page."""
     def load():
         def fn(pdf):
-            if (pdf["page_id"] % 1301 == 5).any():
+            if (pdf["page_id"].to_numpy() % 1301 == 5).any():
                 raise ValueError("unreadable")
-            return pdf.assign(text=pdf["text"].str.upper(), confidence=pdf["rec_conf"])
+            return {"text": [None if x is None else x.upper() for x in pdf["text"]], "confidence": pdf["rec_conf"]}
 
         return fn
 

@@ -868,3 +868,18 @@ def test_images_are_not_broadcast_to_be_cut(spark, sf_dir):
     plan = cut._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "rgb" in plan and not re.search(r"BroadcastExchange\nInput \[\d+\]: \[[^\]]*rgb", plan)
     assert cut.count() == images.count()
+
+
+def test_recognizer_answers_with_a_dict_and_goes_on_by_frames(spark):
+    d = spark.range(0, 100, 1, 1).selectExpr("id page_id", "cast(id % 7 as int) seq", "concat('t', id) text")
+
+    def fn(pdf):
+        if (pdf["page_id"] == 40).any():
+            return {"text": list(pdf["text"])[1:], "confidence": [0.5] * len(pdf)}  # too few
+        return {"text": list(pdf["text"].str.upper()), "confidence": [0.5] * len(pdf)}
+
+    made = pipelines.apply_recognizer(d, fn)
+    got = {r["page_id"]: r for r in made.collect()}
+    assert len(got) == 100 and [i for i, r in got.items() if r["error"]] == [40]
+    assert got[40]["text"] is None and got[40]["confidence"] is None and "0 texts" in got[40]["error"]
+    assert all(r["text"] == f"T{i}" and r["confidence"] == 0.5 for i, r in got.items() if i != 40)
