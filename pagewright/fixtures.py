@@ -26,7 +26,8 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
     seq = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order))
-    d = items.select(F.col("l_orderkey").alias("page_id"), seq.alias("seq"), "l_partkey", "l_suppkey", F.col("p_name").alias("text"), (1 - F.col("l_discount")).cast("double").alias("det_conf"), (1 - F.col("l_tax")).cast("double").alias("rec_conf"))
+    items = items.withColumn("seq", seq)  # numbered before l_orderkey gets its other name, so what follows by page needs no exchange
+    d = items.select(F.col("l_orderkey").alias("page_id"), "seq", "l_partkey", "l_suppkey", F.col("p_name").alias("text"), (1 - F.col("l_discount")).cast("double").alias("det_conf"), (1 - F.col("l_tax")).cast("double").alias("rec_conf"))
     at = F.col("seq") - 1
     down = F.col("page_id") % 7 == 0
     across, along = 20.0 + 160 * (at % 2) + F.col("l_partkey") % 3, 10.0 + 30 * F.floor(at / 2) + F.col("l_suppkey") % 3

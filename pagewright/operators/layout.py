@@ -15,8 +15,6 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..plans.lineage import checkpointed
-
 
 
 def of_page():
@@ -303,28 +301,32 @@ def spatial_text(regions: DataFrame) -> DataFrame:
     wide = g.quad_width(q) / F.greatest(F.char_length("text"), F.lit(1))
     box = F.struct(g.top(q).alias("y"), g.left(q).alias("x"), "seq", q.alias("quad"), t.strip(F.col("text")).alias("s"), wide.alias("wide"))
     pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("_b"), F.max("page_w").alias("_w"), F.max("page_h").alias("_h"))
-    def whole(b: Column) -> Column:
-        widths = F.filter(F.transform(b, lambda x: x["wide"]), lambda v: v > 0)
-        limit = F.when(F.col("_w") > 0, F.col("_w") / 160.0).otherwise(1.0)
-        left = F.greatest(F.array_min(F.transform(b, lambda x: x["x"])), F.lit(0.0))
-        about = F.struct(F.greatest(upper_median(widths, 10.0), limit, F.lit(1.0)).alias("wide"), left.alias("left"), _mean(b, lambda x: g.quad_height(x["quad"])).alias("high"))
-        return let(about, lambda a: let(F.transform(_lines_in(b), lambda line: _indented(line, a)), lambda lines: _spaced(lines, a)))
+    return pages.select("page_id", let(F.col("_b"), _spatial).alias("text"))
+
+
+def _spatial(b: Column) -> Column:
+    """The spatial text of a page's boxes (y, x, seq, quad, s, wide) in order; its size is in _w and _h."""
+    widths = F.filter(F.transform(b, lambda x: x["wide"]), lambda v: v > 0)
+    limit = F.when(F.col("_w") > 0, F.col("_w") / 160.0).otherwise(1.0)
+    left = F.greatest(F.array_min(F.transform(b, lambda x: x["x"])), F.lit(0.0))
+    about = F.struct(F.greatest(upper_median(widths, 10.0), limit, F.lit(1.0)).alias("wide"), left.alias("left"), _mean(b, lambda x: g.quad_height(x["quad"])).alias("high"))
+    return let(about, lambda a: let(F.transform(_lines_in(b), lambda line: _indented(line, a)), lambda lines: _spaced(lines, a)))
 
-    def _indented(boxes: Column, a: Column) -> Column:
-        def add(out: Column, x: Column) -> Column:
-            column = F.least(F.greatest(F.round((x["x"] - a["left"]) / a["wide"]), F.lit(0.0)), F.lit(240.0)).cast("int")
-            gap = F.when(column > F.char_length(out), F.repeat(F.lit(" "), column - F.char_length(out))).when((F.length(out) > 0) & ~out.endswith(" "), " ").otherwise("")
-            return F.concat(out, gap, x["s"])
 
-        across = F.array_sort(F.transform(boxes, lambda x: F.struct(x["x"].alias("x"), x["y"].alias("y"), x["seq"].alias("seq"), x["s"].alias("s"))))
-        return F.struct(_mean(boxes, lambda x: g.center_y(x["quad"])).alias("center_y"), t.rstrip(F.aggregate(across, F.lit(""), add)).alias("text"))
+def _indented(boxes: Column, a: Column) -> Column:
+    def add(out: Column, x: Column) -> Column:
+        column = F.least(F.greatest(F.round((x["x"] - a["left"]) / a["wide"]), F.lit(0.0)), F.lit(240.0)).cast("int")
+        gap = F.when(column > F.char_length(out), F.repeat(F.lit(" "), column - F.char_length(out))).when((F.length(out) > 0) & ~out.endswith(" "), " ").otherwise("")
+        return F.concat(out, gap, x["s"])
 
-    def _spaced(lines: Column, a: Column) -> Column:
-        upper = lambda gaps: _upper_pitch(gaps, F.greatest(a["high"], F.col("_h") / 80, F.lit(1.0)))
-        text = lambda n: F.array_join(F.transform(lines, lambda x, i: F.concat(F.repeat(F.lit("\n"), F.coalesce(F.get(n, i - 1), F.lit(0))), x["text"])), "\n")
-        return let(let(_gap_list(lines), upper), lambda p: let(_blanks(lines, p, 16.0, 1.0), text))
+    across = F.array_sort(F.transform(boxes, lambda x: F.struct(x["x"].alias("x"), x["y"].alias("y"), x["seq"].alias("seq"), x["s"].alias("s"))))
+    return F.struct(_mean(boxes, lambda x: g.center_y(x["quad"])).alias("center_y"), t.rstrip(F.aggregate(across, F.lit(""), add)).alias("text"))
 
-    return pages.select("page_id", let(F.col("_b"), whole).alias("text"))
+
+def _spaced(lines: Column, a: Column) -> Column:
+    upper = lambda gaps: _upper_pitch(gaps, F.greatest(a["high"], F.col("_h") / 80, F.lit(1.0)))
+    text = lambda n: F.array_join(F.transform(lines, lambda x, i: F.concat(F.repeat(F.lit("\n"), F.coalesce(F.get(n, i - 1), F.lit(0))), x["text"])), "\n")
+    return let(let(_gap_list(lines), upper), lambda p: let(_blanks(lines, p, 16.0, 1.0), text))
 
 
 # rows, columns, tables
@@ -415,10 +417,15 @@ def _grid(regions: DataFrame) -> DataFrame:
     q = F.col("quad")
     box = F.struct(g.center_y(q).alias("k"), F.col("seq").cast("int").alias("seq"), g.center_y(q).alias("c"), g.quad_height(q).alias("e"), g.left(q).alias("x"), t.strip(F.col("text")).alias("s"))
     pages = regions.groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("_boxes"), F.max("page_w").alias("_w"))
+    return _with_grid(pages.withColumn("_starts", _clusters("_boxes")), F.lit(True)).select("page_id", "_t.*")
+
+
+def _with_grid(pages: DataFrame, on: Column) -> DataFrame:
+    """pages (_boxes in order, _starts of their rows, _w) with _t: is_table, n_rows, n_cols, grid; null where not `on`."""
     xs, heights = F.array_sort(F.transform("_boxes", lambda x: x["x"])), F.transform("_boxes", lambda x: x["e"])
-    pages = pages.select("page_id", "_boxes", _clusters("_boxes").alias("_starts"), xs.alias("_xs"), _far(heights, F.col("_w")).alias("_far"))
+    pages = pages.withColumns({"_xs": F.when(on, xs), "_far": F.when(on, _far(heights, F.col("_w")))})
     numbered = F.transform(_edges(F.col("_xs"), F.col("_far")), lambda v, k: F.struct(v.alias("edge"), k.alias("col_no")))
-    pages = pages.select("page_id", "_boxes", "_starts", numbered.alias("_e"))
+    pages = pages.withColumn("_e", F.when(on, numbered)).drop("_xs", "_far")
 
     def table(rows: Column) -> Column:
         wide = F.size(F.filter(rows, lambda r: F.size(F.array_distinct(F.transform(r, lambda x: x["col"]))) >= 2))
@@ -429,7 +436,7 @@ def _grid(regions: DataFrame) -> DataFrame:
 
     placed = F.transform("_boxes", lambda x: F.struct(x["x"].alias("x"), x["c"].alias("c"), x["seq"].alias("seq"), _nearest(x["x"], F.col("_e")).alias("col"), x["s"].alias("s")))
     rows = let(placed, lambda b: F.transform(_parts(b, F.col("_starts")), lambda r: F.array_sort(r)))
-    return pages.select("page_id", let(rows, table).alias("_t")).select("page_id", "_t.*")
+    return pages.withColumn("_t", F.when(on, let(rows, table))).drop("_e")
 
 
 def is_table(regions: DataFrame) -> DataFrame:
@@ -454,8 +461,13 @@ def _rows(cells: DataFrame, *more: Column) -> DataFrame:
 def table_text(cells: DataFrame) -> DataFrame:
     """page_id, text: columns aligned by display width, two spaces apart."""
     pages = _rows(cells, t.display_width(F.col("text")).alias("width"))
-    columns = F.array_sort(F.array_distinct(F.transform("_c", lambda x: x["col_no"])))
-    widths = F.transform(columns, lambda k: F.struct(k.alias("k"), F.array_max(F.transform(F.filter("_c", lambda x: x["col_no"] == k), lambda x: x["width"])).alias("w")))
+    return pages.select("page_id", _aligned(F.col("_rows"), F.col("_c")).alias("text"))
+
+
+def _aligned(rows: Column, cells: Column) -> Column:
+    """The text of a table's rows of cells (col_no, text, width)."""
+    columns = F.array_sort(F.array_distinct(F.transform(cells, lambda x: x["col_no"])))
+    widths = F.transform(columns, lambda k: F.struct(k.alias("k"), F.array_max(F.transform(F.filter(cells, lambda x: x["col_no"] == k), lambda x: x["width"])).alias("w")))
     state = lambda s, at: F.struct(s.alias("s"), at.cast("int").alias("at"))
 
     def whole(w: Column) -> Column:
@@ -466,9 +478,9 @@ def table_text(cells: DataFrame) -> DataFrame:
             return F.when(x["text"] == "", a).otherwise(let(F.greatest(start(x) - a["at"], F.lit(0)), with_pad))
 
         line = lambda row: F.rtrim(F.aggregate(row, state(F.lit(""), F.lit(0)), add, lambda a: a["s"]))
-        return F.array_join(F.transform("_rows", line), "\n")
+        return F.array_join(F.transform(rows, line), "\n")
 
-    return pages.select("page_id", let(widths, whole).alias("text"))
+    return let(widths, whole)
 
 
 def table_csv(cells: DataFrame) -> DataFrame:
@@ -479,14 +491,32 @@ def table_csv(cells: DataFrame) -> DataFrame:
 
 
 def layout_text(regions: DataFrame) -> DataFrame:
-    """page_id, layout, text: vertical pages by columns, tables aligned, all others as spatial text."""
-    kind = vertical_dominant(regions).join(is_table(regions), "page_id", "left")
-    kind = kind.select("page_id", F.when(F.col("vertical"), "vertical").when(F.coalesce("is_table", F.lit(False)), "table").otherwise("spatial").alias("layout"))
-    kind = checkpointed(kind)
-    d = checkpointed(regions.join(kind, "page_id"))
-    of = lambda name: d.filter(F.col("layout") == name).drop("layout")
-    texts = vertical_text(of("vertical")).unionByName(table_text(checkpointed(table_cells(of("table"))))).unionByName(spatial_text(of("spatial")))
-    return kind.join(texts, "page_id")
+    """page_id, layout, text: vertical pages by columns, tables aligned, all others as spatial text. One exchange by page;
+    which layout a page has, and its text, are found in its row, so nothing is stored between."""
+    q = F.col("quad")
+    wide = g.quad_width(q) / F.greatest(F.char_length("text"), F.lit(1))
+    box = F.struct(g.top(q).alias("y"), g.left(q).alias("x"), "seq", q.alias("quad"), t.strip(F.col("text")).alias("s"), wide.alias("wide"), g.center_x(q).alias("cx"), g.center_y(q).alias("cy"), g.quad_width(q).alias("w"), g.quad_height(q).alias("h"))
+    n, down = F.count(F.lit(1)), F.count_if(F.col("direction") == "Vertical")
+    pages = regions.filter("page_id is not null").groupBy("page_id").agg(F.array_sort(F.collect_list(box)).alias("_b"), ((n >= 2) & (down * 2 > n)).alias("_v"), F.max("page_w").alias("_w"), F.max("page_h").alias("_h"))
+
+    def sorted_by(key, c: str, e: str, x: str) -> Column:
+        return F.array_sort(F.transform("_b", lambda b: F.struct(key(b).alias("k"), b["seq"].cast("int").alias("seq"), b[c].alias("c"), b[e].alias("e"), b[x].alias("x"), b["s"].alias("s"))))
+
+    # columns of vertical pages, rows of all others
+    boxes = F.when(F.col("_v"), sorted_by(lambda b: -b["cx"], "cx", "w", "y")).otherwise(sorted_by(lambda b: b["cy"], "cy", "h", "x"))
+    pages = pages.withColumn("_boxes", boxes).withColumn("_starts", _clusters("_boxes"))
+    pages = _with_grid(pages, ~F.col("_v"))
+    kind = F.when(F.col("_v"), "vertical").when(F.coalesce(F.col("_t.is_table"), F.lit(False)), "table").otherwise("spatial")
+    pages = pages.withColumn("layout", kind)
+
+    downwards = lambda part: F.array_sort(F.transform(part, lambda b: F.struct(b["x"].alias("top"), b["k"].alias("k"), b["seq"].alias("seq"), b["s"].alias("s"))))
+    column = lambda part: F.array_join(F.transform(downwards(part), lambda b: b["s"]), "")
+    vertical = F.array_join(F.transform(_parts(F.col("_boxes"), F.col("_starts")), column), "\n")
+    cell = lambda text, k: F.struct(k.alias("col_no"), text.alias("text"), t.display_width(text).alias("width"))
+    cells = F.transform("_t.grid", lambda row: F.transform(row, cell))
+    aligned = let(cells, lambda rows: _aligned(rows, F.flatten(rows)))
+    text = F.when(F.col("layout") == "vertical", vertical).when(F.col("layout") == "table", aligned).otherwise(let(F.col("_b"), _spatial))
+    return pages.select("page_id", "layout", text.alias("text"))
 
 
 # review

@@ -883,3 +883,17 @@ def test_recognizer_answers_with_a_dict_and_goes_on_by_frames(spark):
     assert len(got) == 100 and [i for i, r in got.items() if r["error"]] == [40]
     assert got[40]["text"] is None and got[40]["confidence"] is None and "0 texts" in got[40]["error"]
     assert all(r["text"] == f"T{i}" and r["confidence"] == 0.5 for i, r in got.items() if i != 40)
+
+
+def test_layout_text_is_found_in_the_pages_row(spark):
+    names = ["ab", "c", "d e", "fg", "h"]
+    pages = [regions(spark, [(x, 20 + 200 * (i % 2), 10 + 30 * (i // 2), 30, 12) for i, x in enumerate(names)]), regions(spark, [(x, 300 - 30 * (i // 2), 10 + 60 * (i % 2), 12, 50) for i, x in enumerate(names)], direction="Vertical"), regions(spark, [(x, 20, 10 + 50 * i, 30, 12) for i, x in enumerate(names)])]
+    d = pages[0].unionByName(pages[1].withColumn("page_id", F.lit(2).cast("long"))).unionByName(pages[2].withColumn("page_id", F.lit(3).cast("long")))
+    made = layout.layout_text(d)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ExistingRDD" not in plan.replace("Scan ExistingRDD[page_id", "")  # nothing is stored between
+    got = {r["page_id"]: (r["layout"], r["text"]) for r in made.collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "table", 2: "vertical", 3: "spatial"}
+    assert got[1][1] == one(layout.table_text(layout.table_cells(pages[0])))["text"]
+    assert got[2][1] == one(layout.vertical_text(pages[1]))["text"]
+    assert got[3][1] == one(layout.spatial_text(pages[2]))["text"]
