@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -187,16 +188,34 @@ def template_recognizer(templates: DataFrame, w: int = 32, h: int = 32, threshol
     return read
 
 
+def _keyed(samples: DataFrame, *columns: Column) -> DataFrame:
+    """columns of samples with _key and _no, which together name a row also where seq is null or not unique: rows that
+    share them are alike in all that matters."""
+    keyed = samples.select(*columns, F.xxhash64("seq").alias("_key"), F.xxhash64("label_text").alias("_text"))
+    return keyed.withColumn("_no", F.row_number().over(W.partitionBy("_key").orderBy("seq", "image_path", "_text"))).drop("_text")
+
+
 def prepare_training(samples: DataFrame, sizes: DataFrame, char_dict: DataFrame, batch: int = 32) -> DataFrame:
     """Samples ready for training: encoded, split, with width, batch and padded labels. sizes: image_path, w, h. The
-    training side is batched by chunks in order, each parted by width; the validation side by width, then in chunks."""
-    coded = checkpointed(tables.encoded_only(recognition.encode_labels(samples, char_dict)))
+    training side is batched by chunks in order, each parted by width; the validation side by width, then in chunks.
+
+    Rows are split and batched by their lengths and sizes alone. Labels travel once, as text, to what was found for
+    their row, and are encoded there: neither they nor their indices are stored between."""
+    samples = samples.drop("label_indices")
+    lengths = recognition.encode_labels(samples, char_dict).withColumn("_n", F.size("label_indices"))
+    # filtered behind the window, so that labels are encoded once
+    coded = checkpointed(_keyed(lengths, F.col("seq"), F.col("image_path"), F.col("_n")).filter("_n > 0"))
     split = evaluation.split_every_fifth(coded)
     side = F.explode(F.array_compact(F.array(F.when(F.col("in_train"), "train"), F.when(F.col("in_validation"), "validation"))))
-    sided = checkpointed(split.withColumn("side", side).join(sizes, "image_path").withColumn("width", g.rec_width(F.col("w"), F.col("h"))))
+    sided = checkpointed(split.withColumn("side", side).join(sizes, "image_path").withColumn("width", g.rec_width(F.col("w"), F.col("h"))).drop("image_path"))
     of = lambda name: sided.filter(F.col("side") == name)
     batched = evaluation.assign_batches(of("train"), batch, "chunk").unionByName(evaluation.assign_batches(of("validation"), batch, "width"))
-    return evaluation.pad_batches(batched, ["side", "batch_no", "width"])
+    longest = batched.withColumn("_most", F.max("_n").over(W.partitionBy("side", "batch_no", "width"))).drop("seq", "_n").withColumnsRenamed({"_key": "_of", "_no": "_of_no"})
+    labels = _keyed(samples, *[F.col(c) for c in samples.columns])
+    # the same row's key alone deals both sides; labels are never broadcast
+    whole = labels.join(longest.hint("merge"), (F.col("_key") == F.col("_of")) & (F.col("_no") - F.col("_of_no") == 0)).drop("_key", "_no", "_of", "_of_no")
+    ready_ = recognition.encode_labels(whole, char_dict).withColumn("label_length", F.size("label_indices"))
+    return ready_.withColumn("padded", F.concat("label_indices", F.array_repeat(F.lit(0), F.col("_most") - F.col("label_length")))).drop("_most")
 
 
 #: Bytes of images that a packed row holds unless one alone has more.

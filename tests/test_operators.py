@@ -897,3 +897,21 @@ def test_layout_text_is_found_in_the_pages_row(spark):
     assert got[1][1] == one(layout.table_text(layout.table_cells(pages[0])))["text"]
     assert got[2][1] == one(layout.vertical_text(pages[1]))["text"]
     assert got[3][1] == one(layout.spatial_text(pages[2]))["text"]
+
+
+def test_training_stores_no_labels_and_keeps_rows_of_one_number(spark, monkeypatch):
+    stored = []
+    real = pipelines.checkpointed
+    monkeypatch.setattr(pipelines, "checkpointed", lambda d: stored.append(d.columns) or real(d))
+    rows = [(1, "a", "xyz"), (1, "b", "y"), (1, "b", "zz"), (None, "a", "x"), (None, "b", "yy"), (2, "a", "?"), (3, "none", "x"), (4, "a", "xyzxy")]
+    samples = spark.createDataFrame(rows, "seq long, image_path string, label_text string")
+    sizes = spark.createDataFrame([("a", 100, 48), ("b", 200, 48)], "image_path string, w int, h int")
+    chars = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "idx int, ch string")
+    got = pipelines.prepare_training(samples, sizes, chars).collect()
+    assert stored and not any({"label_text", "label_indices"} & set(c) for c in stored)
+    want = sorted((str(s), i, t) for s, i, t in rows if t != "?" and i != "none")
+    assert sorted((str(r["seq"]), r["image_path"], r["label_text"]) for r in got) == want
+    for r in got:
+        group = [x["label_length"] for x in got if (x["side"], x["batch_no"], x["width"]) == (r["side"], r["batch_no"], r["width"])]
+        assert r["label_indices"] == ["xyz".index(c) + 1 for c in r["label_text"]] and r["w"] == {"a": 100, "b": 200}[r["image_path"]]
+        assert r["padded"] == r["label_indices"] + [0] * (max(group) - r["label_length"])
