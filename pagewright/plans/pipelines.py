@@ -189,8 +189,8 @@ def template_recognizer(templates: DataFrame, w: int = 32, h: int = 32, threshol
 
 
 def _keyed(samples: DataFrame, *columns: Column) -> DataFrame:
-    """columns of samples with _key and _no, which together name a row also where seq is null or not unique: rows that
-    share them are alike in all that matters."""
+    """columns of samples with _key and _no, which together name a row also where seq is not unique: of rows with one
+    seq, those alike in name and label may stand for each other."""
     keyed = samples.select(*columns, F.xxhash64("seq").alias("_key"), F.xxhash64("label_text").alias("_text"))
     return keyed.withColumn("_no", F.row_number().over(W.partitionBy("_key").orderBy("seq", "image_path", "_text"))).drop("_text")
 
